@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, functions as F
 
 from attestor import presets
+from attestor.functions.once import add_once
 from attestor.functions.text import text
 
 # Case-insensitive with Unicode classes, so that non-breaking spaces and accented letters count as
@@ -61,8 +62,7 @@ def population_text(title, conditions: Column, eligibility) -> Column:
 def population(flags: Column) -> Column:
     """Subtype, setting and class from :func:`population_flags`.
 
-    Pass the flags as a materialised column (``withColumn`` first), so that each pattern is
-    evaluated once per row.
+    Pass the flags as a column of their own, so that each pattern is evaluated once per row.
     """
     f = flags
     neo, adj, met = f["neoadjuvant"], f["adjuvant"], f["metastatic"]
@@ -96,7 +96,7 @@ def classify_population(
 ):
     """Add ``population_class``, ``bc_subtype`` and ``bc_setting`` to a trials frame."""
     return (
-        df.withColumn("_flags", population_flags(population_text(title, conditions, eligibility), patterns))
+        add_once(df, {"_flags": population_flags(population_text(title, conditions, eligibility), patterns)})
         .withColumn("_population", population(F.col("_flags")))
         .select("*", "_population.*")
         .drop("_flags", "_population")
