@@ -29,9 +29,16 @@ def collapse(value) -> Column:
     return F.trim(F.regexp_replace(text(value), r"(?U)\s+", " "))
 
 
+# Well-formed tags, comments and declarations. A bare "<" in running text ("p < 0.05") is no tag.
+_MARKUP = (
+    r"""</?[A-Za-z][\w:.-]*(?:\s+[\w:.-]+\s*=\s*(?:"[^"]*"|'[^']*'))*\s*/?>"""
+    r"|<!--(?s:.*?)-->|<[!?][^<>]*>"
+)
+
+
 def flatten_markup(value) -> Column:
     """Element text in document order: tags dropped, whitespace collapsed."""
-    return collapse(F.regexp_replace(text(value), r"<[^>]+>", ""))
+    return collapse(F.regexp_replace(text(value), _MARKUP, ""))
 
 
 def normalise(value) -> Column:
@@ -101,13 +108,18 @@ def number(value) -> Column:
     return text(value).try_cast("double")
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """Fixed decimals; exact ties go to the even digit."""
+    return F.replace(F.format_number(value, digits), F.lit(","), F.lit(""))
+
+
 def fmt_num(value, digits: int = 2, fallback: str = "-") -> Column:
     n = number(value)
-    return F.when(n.isNull() | F.isnan(n), F.lit(fallback)).otherwise(F.format_string(f"%.{digits}f", n))
+    return F.when(n.isNull() | F.isnan(n), F.lit(fallback)).otherwise(fixed(n, digits))
 
 
 def fmt_pct(part: Column, total: Column) -> Column:
-    return F.when(total <= 0, F.lit("0.0%")).otherwise(F.format_string("%.1f%%", part / total * 100))
+    return F.when(total <= 0, F.lit("0.0%")).otherwise(F.concat(fixed(part / total * 100, 1), F.lit("%")))
 
 
 def percent(part: Column, total: Column, digits: int = 1) -> Column:

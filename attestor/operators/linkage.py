@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from attestor import presets
 from attestor.functions.extract import published_endpoint
-from attestor.functions.text import first_text, text, title_tokens, year_in, years_agree
+from attestor.functions.text import first_text, fixed, text, title_tokens, year_in, years_agree
 from attestor.operators.gating import gate
 from attestor.operators.ordered import top_rows
 from attestor.operators.similarity_join import distinct_sets, search_floor, similar_sets
@@ -128,7 +128,7 @@ def link(trials: DataFrame, publications: DataFrame, verdicts: DataFrame | None
         .when(by_title, "Low")
         .otherwise("Unlinked")
     )
-    score = F.format_string("%.3f", "title_score")
+    score = fixed(F.col("title_score"), 3)
     note = F.col("gate_note")
     notes = (
         F.when(

@@ -183,7 +183,7 @@ def running_cost(
     return totals.withColumn("over_ceiling", F.col("total_usd") > ceiling)
 
 
-def cost_summary(costed: DataFrame, run: Sequence[str], order: Sequence[str]) -> DataFrame:
+def cost_summary(costed: DataFrame, run: Sequence[str], order: Sequence[str], digits: int = 6) -> DataFrame:
     """Per run: calls and cost up to and including the first call over the ceiling."""
     over = F.col("over_ceiling")
     stop = F.min(F.when(over, F.struct(*order, "total_calls", "total_usd"))).alias("_stop")
@@ -193,5 +193,5 @@ def cost_summary(costed: DataFrame, run: Sequence[str], order: Sequence[str]) ->
         *run,
         s.isNotNull().alias("stopped"),
         F.coalesce(s["total_calls"], t["total_calls"]).alias("total_calls"),
-        F.round(F.coalesce(s["total_usd"], t["total_usd"]), 6).alias("total_usd"),
+        F.round(F.coalesce(s["total_usd"], t["total_usd"]), digits).alias("total_usd"),
     )

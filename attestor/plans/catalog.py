@@ -664,13 +664,13 @@ def left_updates(spark, sf):
 @query
 def running_cost_ceiling(spark, sf):
     out = matching.running_cost(derived(spark, sf, "calls"), ["user_id"], ["ts", "event_id"], "prompt_tokens", "completion_tokens", ceiling=1.0)
-    return _rounded(out.select("user_id", "event_id", "cost_usd", "total_usd", "total_calls", "over_ceiling"), 6)
+    return _rounded(out.select("user_id", "event_id", "cost_usd", "total_usd", "total_calls", "over_ceiling"), 8)
 
 
 @query
 def cost_summary(spark, sf):
     out = matching.running_cost(derived(spark, sf, "calls"), ["user_id"], ["ts", "event_id"], "prompt_tokens", "completion_tokens", ceiling=1.0)
-    return matching.cost_summary(out, ["user_id"], ["ts", "event_id"])
+    return matching.cost_summary(out, ["user_id"], ["ts", "event_id"], digits=8)
 
 
 # ------------------------------------------------------------------ requests, answers, embeddings

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from attestor.functions.once import add_once
 from attestor.functions.text import blank_to_null, collapse, flatten_markup, text, year_in
 
 ROW_TAG = "PubmedArticle"
@@ -15,14 +16,14 @@ def _struct(**fields) -> T.StructType:
 
 _S = T.StringType()
 _VALUE = _struct(_VALUE=_S)
-# Titles may hold inline markup: read as plain string the markup is kept in order and can be
-# flattened; as a struct the order would be lost.
+# Titles and abstracts may hold inline markup. Read as plain strings they keep their inner XML in
+# order; read as structs, the text around the markup would be lost.
 ARTICLE_SCHEMA = _struct(
     MedlineCitation=_struct(
         PMID=_VALUE,
         Article=_struct(
             ArticleTitle=_S,
-            Abstract=_struct(AbstractText=T.ArrayType(_struct(_Label=_S, _VALUE=_S))),
+            Abstract=_S,
             AuthorList=_struct(Author=T.ArrayType(_struct(LastName=_S))),
             Journal=_struct(
                 Title=_S, JournalIssue=_struct(PubDate=_struct(Year=_S, MedlineDate=_S))
@@ -47,11 +48,20 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+_PART = r'(?s)<AbstractText((?:[^>"/]|"[^"]*")*)>(.*?)</AbstractText>'
+
+
 def abstract_parts(abstract: Column) -> Column:
-    """Non-empty abstract parts as ``(label, text)``, labels in upper case."""
-    parts = F.transform(
-        abstract,
-        lambda a: F.struct(F.upper(F.trim(F.coalesce(a["_Label"], F.lit("")))).alias("label"), flatten_markup(a["_VALUE"]).alias("body")),
+    """Non-empty parts of an abstract's inner XML as ``(label, body)``, labels in upper case."""
+    attributes = F.regexp_extract_all(abstract, F.lit(_PART), F.lit(1))
+    bodies = F.regexp_extract_all(abstract, F.lit(_PART), F.lit(2))
+    parts = F.zip_with(
+        attributes,
+        bodies,
+        lambda a, b: F.struct(
+            F.upper(F.trim(F.regexp_extract(a, r'\bLabel\s*=\s*"([^"]*)"', 1))).alias("label"),
+            flatten_markup(b).alias("body"),
+        ),
     )
     return F.filter(parts, lambda p: p["body"] != "")
 
@@ -92,17 +102,17 @@ def to_publications(articles: DataFrame) -> DataFrame:
     """Publication rows in :data:`attestor.schemas.PUBLICATION_SCHEMA`."""
     c, a = F.col("MedlineCitation"), F.col("MedlineCitation.Article")
     parts = F.coalesce(
-        abstract_parts(a["Abstract"]["AbstractText"]), F.array().cast("array<struct<label:string,body:string>>")
+        abstract_parts(a["Abstract"]), F.array().cast("array<struct<label:string,body:string>>")
     )
-    rows = articles.withColumn("_parts", parts)
+    rows = add_once(articles, {"_parts": parts})
     return rows.select(
         collapse(c["PMID"]["_VALUE"]).alias("pmid"),
         flatten_markup(a["ArticleTitle"]).alias("title"),
         abstract_body(F.col("_parts")).alias("abstract_text"),
         sections_map(F.col("_parts")).alias("abstract_sections"),
-        _texts(F.transform(a["AuthorList"]["Author"], lambda x: x["LastName"])).alias("authors"),
+        _texts(F.transform(a["AuthorList"]["Author"], lambda x: flatten_markup(x["LastName"]))).alias("authors"),
         publication_year(a["Journal"]["JournalIssue"]["PubDate"], a["ArticleDate"]).alias("pub_year"),
-        F.coalesce(blank_to_null(collapse(c["MedlineJournalInfo"]["MedlineTA"])), collapse(a["Journal"]["Title"])).alias("journal"),
+        F.coalesce(blank_to_null(flatten_markup(c["MedlineJournalInfo"]["MedlineTA"])), flatten_markup(a["Journal"]["Title"])).alias("journal"),
         _texts(F.transform(c["MeshHeadingList"]["MeshHeading"], lambda x: x["DescriptorName"]["_VALUE"])).alias("mesh_terms"),
         F.array_distinct(_texts(F.transform(a["PublicationTypeList"]["PublicationType"], lambda x: x["_VALUE"]))).alias("pub_types"),
         F.array_distinct(
