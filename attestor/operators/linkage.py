@@ -13,8 +13,7 @@ from attestor import presets
 from attestor.functions.extract import published_endpoint
 from attestor.functions.text import first_text, fixed, text, title_tokens, year_in, years_agree
 from attestor.operators.gating import gate
-from attestor.operators.ordered import top_rows
-from attestor.operators.similarity_join import distinct_sets, search_floor, similar_sets
+from attestor.operators.similarity_join import distinct_sets, nearest_sets
 from attestor.schemas import LINK_COLUMNS as LINK_FIELDS
 from attestor.session import materialise
 
@@ -33,7 +32,7 @@ def unique_id_matches(publications: DataFrame) -> DataFrame:
 
 
 def pmid_order(pmid: Column) -> Column:
-    return F.struct(F.coalesce(pmid.try_cast("bigint"), F.lit(2**62)), pmid)
+    return F.struct(F.coalesce(pmid.try_cast("bigint"), F.lit(2**62)).alias("no"), pmid.alias("pmid"))
 
 
 def title_matches(trials: DataFrame, kept: DataFrame, threshold: float = presets.JACCARD_MEDIUM) -> DataFrame:
@@ -43,34 +42,23 @@ def title_matches(trials: DataFrame, kept: DataFrame, threshold: float = presets
     are compared once.
     """
     wanted = distinct_sets(trials.select(title_tokens("title").alias("t")), "t")
+    best = nearest_sets(wanted, offered_titles(kept), threshold)
+    return best.select("tokens", F.col("payload.pmid").alias("pmid"), "score")
+
+
+def offered_titles(kept: DataFrame) -> DataFrame:
+    """Distinct title token sets, each with its first publication in identifier order."""
     titled = kept.select("pmid", F.array_sort(title_tokens("title")).alias("tokens")).filter(F.size("tokens") > 0)
-    offered = titled.groupBy("tokens").agg(F.min(pmid_order(F.col("pmid"))).alias("_first"))
-    pairs = similar_sets(wanted, offered.select("tokens"), search_floor(threshold))
-    scored = pairs.filter(F.col("score") >= threshold).join(
-        offered.withColumnRenamed("tokens", "right_tokens"), "right_tokens"
-    )
-    # min over (-score, identifier): the greatest score, then the smallest identifier
-    best = scored.groupBy("left_tokens").agg(F.min(F.struct((-F.col("score")).alias("s"), "_first")).alias("_b"))
-    return best.select(
-        F.col("left_tokens").alias("tokens"), F.col("_b._first.pmid").alias("pmid"), (-F.col("_b.s")).alias("score")
-    )
+    return titled.groupBy("tokens").agg(F.min(pmid_order(F.col("pmid"))).alias("payload"))
 
 
 def title_candidates(
     trials: DataFrame, kept: DataFrame, k: int = presets.SEARCH_RESULTS, threshold: float = presets.JACCARD_MEDIUM
 ) -> DataFrame:
     """Top-``k`` report: the most similar distinct titles per trial, with their first publication."""
-    wanted = trials.select("nct_id", F.array_sort(title_tokens("title")).alias("left_tokens"))
-    titled = kept.select("pmid", F.array_sort(title_tokens("title")).alias("tokens")).filter(F.size("tokens") > 0)
-    offered = titled.groupBy("tokens").agg(F.min(pmid_order(F.col("pmid"))).alias("_first"))
-    pairs = similar_sets(distinct_sets(wanted, "left_tokens"), offered.select("tokens"), search_floor(threshold))
-    scored = pairs.filter(F.col("score") >= threshold).join(
-        offered.withColumnRenamed("tokens", "right_tokens"), "right_tokens"
-    )
-    best = top_rows(scored, ["left_tokens"], [F.desc("score"), F.col("_first")], k)
-    return wanted.join(best, "left_tokens").select(
-        "nct_id", "rank", F.col("_first.pmid").alias("pmid"), "score"
-    )
+    wanted = trials.select("nct_id", F.array_sort(title_tokens("title")).alias("tokens"))
+    best = nearest_sets(distinct_sets(wanted, "tokens"), offered_titles(kept), threshold, k)
+    return wanted.join(best, "tokens").select("nct_id", "rank", F.col("payload.pmid").alias("pmid"), "score")
 
 
 def author_year_matches(publications: DataFrame, wanted: DataFrame) -> DataFrame:

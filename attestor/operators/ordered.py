@@ -96,7 +96,9 @@ def grouped_median(
     df: DataFrame, group: Sequence[str], value: str, out: str = "median", single_task_rows: int = SINGLE_TASK_ROWS
 ) -> DataFrame:
     """Exact median per group: equal values are counted first, then the middle is found by running counts."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = materialise(
+        df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
+    )
     ranked = running_totals(counts, group, [value], {"_upto": F.col("_n")}, single_task_rows)
     if group:
         sizes = counts.groupBy(*group).agg(F.sum("_n").alias("_size"))

@@ -24,8 +24,9 @@ TAU_MAX = 3.0
 MU_CELLS = 400
 MU_SPREAD = 5.0
 HDI_MASS = 0.95
-# One prefix costs one pass over the tau x mu grid, so a range holds few rows.
+# With intervals one prefix costs a pass over the tau x mu grid, so a range holds few rows.
 PREFIXES_PER_RANGE = 5_000
+MEANS_PER_RANGE = 100_000
 
 
 def poolable_effects(effects: DataFrame, log: DataFrame, decisions: Sequence[str] | None = None) -> DataFrame:
@@ -155,7 +156,7 @@ def _terms(y: np.ndarray, s: np.ndarray) -> np.ndarray:
     return np.stack([w, wy, wy * y[:, None], np.log(w)])
 
 
-def _summaries(sums: np.ndarray) -> pd.DataFrame:
+def _summaries(sums: np.ndarray, interval: bool) -> pd.DataFrame:
     """Posterior summaries from prefix sums of shape (4, prefixes, cells)."""
     sw, swy, swyy, slw = sums
     v0, m0 = presets.PRIOR_MU_SD**2, presets.PRIOR_MU_MEAN
@@ -172,8 +173,8 @@ def _summaries(sums: np.ndarray) -> pd.DataFrame:
     tau_sd = np.sqrt(np.maximum((p * _TAU2).sum(axis=1) - tau_mean**2, 0.0))
     step = sd * (2 * MU_SPREAD / MU_CELLS)
     k = np.arange(MU_CELLS)
-    low, high = np.empty_like(mu), np.empty_like(mu)
-    for i in range(len(mu)):
+    low, high = np.full_like(mu, np.nan), np.full_like(mu, np.nan)
+    for i in range(len(mu) if interval else 0):
         live = p[i] > 1e-14
         at = mu[i] + (k + 0.5 - MU_CELLS / 2) * step[i]
         gap = at[:, None] - m[i][live][None, :]
@@ -184,12 +185,8 @@ def _summaries(sums: np.ndarray) -> pd.DataFrame:
         kept = order[before < HDI_MASS]
         low[i] = mu[i] + (kept.min() - MU_CELLS / 2) * step[i]
         high[i] = mu[i] + (kept.max() + 1 - MU_CELLS / 2) * step[i]
-    return pd.DataFrame(
-        {
-            "mu_mean": np.exp(mu), "mu_hdi_lower": np.exp(low), "mu_hdi_upper": np.exp(high),
-            "tau_mean": tau_mean, "tau_sd": tau_sd,
-        }
-    )
+    ends = {"mu_hdi_lower": np.exp(low), "mu_hdi_upper": np.exp(high)} if interval else {}
+    return pd.DataFrame({"mu_mean": np.exp(mu), **ends, "tau_mean": tau_mean, "tau_sd": tau_sd})
 
 
 def _segments(frame: pd.DataFrame, group: Sequence[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
@@ -212,10 +209,13 @@ def pool_prefixes(
     carry: Sequence[str] = ("pair_id", "nct_id", "registration_date"),
     y: str = "log_hr",
     se: str = "se_log_hr",
+    interval: bool = True,
     ranges: int | None = None,
 ) -> DataFrame:
     """One posterior per prefix of each group in ``order`` (which must end in a unique key).
 
+    ``interval=False`` leaves out the HDI, by far the costliest column, for users of the mean only.
+
     Rows are range-partitioned by (group, order), so a group of any size is spread over tasks. A
     first pass sums the last group of each range (one small row per range); each range then starts
     from the sums of the ranges before it and moves through its rows once, in Arrow batches.
@@ -225,7 +225,8 @@ def pool_prefixes(
     rows = effects.select(*columns)
     if ranges is None:
         n = rows.count()
-        ranges = max(1, -(-n // PREFIXES_PER_RANGE), min(spark.sparkContext.defaultParallelism, n // 16))
+        most = PREFIXES_PER_RANGE if interval else MEANS_PER_RANGE
+        ranges = max(1, -(-n // most), min(spark.sparkContext.defaultParallelism, n // 16))
     split = split_by_range(rows, [*group, *order], ranges)
 
     def ends(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -263,7 +264,10 @@ def pool_prefixes(
     out = T.StructType(
         [split.schema[c] for c in dict.fromkeys([*group, *carry])]
         + [T.StructField("n_trials", T.LongType())]
-        + [T.StructField(c, T.DoubleType()) for c in ("mu_mean", "mu_hdi_lower", "mu_hdi_upper", "tau_mean", "tau_sd")]
+        + [
+            T.StructField(c, T.DoubleType())
+            for c in ("mu_mean", *(("mu_hdi_lower", "mu_hdi_upper") if interval else ()), "tau_mean", "tau_sd")
+        ]
     )
     shown = list(dict.fromkeys([*group, *carry]))
 
@@ -286,7 +290,7 @@ def pool_prefixes(
                     done = chunk[shown].reset_index(drop=True)
                     done["n_trials"] = np.arange(count + 1, count + len(chunk) + 1)
                     count += len(chunk)
-                    yield pd.concat([done, _summaries(sums)], axis=1)
+                    yield pd.concat([done, _summaries(sums, interval)], axis=1)
 
     return split.sortWithinPartitions(*group, *order).mapInPandas(sweep, out)
 

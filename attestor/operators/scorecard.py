@@ -68,7 +68,7 @@ def build_scorecard(
     power_log: DataFrame | None = None,
     parity: bool = False,
 ) -> DataFrame:
-    """One row per cluster.
+    """One row per cluster. ``clusters`` and ``effects`` are read several times: pass written tables.
 
     ``pooled`` has one posterior row per cluster (a per-cluster fit, or the shared one of
     :func:`attestor.operators.pooling.broadcast_posterior`).

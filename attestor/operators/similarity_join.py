@@ -1,7 +1,7 @@
-"""Exact token-set similarity join at a Jaccard threshold.
+"""Exact token-set similarity search: the most similar sets at or above a Jaccard threshold.
 
-Finds, for every left token set, the most similar right token set, without comparing all pairs and
-without dropping frequent tokens. It rests on two facts about sets x and y with Jaccard >= t:
+Nothing is sampled, capped or dropped, and not all pairs are compared. It rests on two facts about
+sets x and y with Jaccard >= t:
 
 * sizes are close:  t * |x| <= |y| <= |x| / t, and they share at least
   o = ceil(t / (1 + t) * (|x| + |y|)) tokens;
@@ -11,16 +11,26 @@ without dropping frequent tokens. It rests on two facts about sets x and y with
 So each set is emitted once per admissible partner size under those first tokens only, and the
 join key is (token, own size, partner size). Ordering rare tokens first keeps words that occur in
 most titles out of the keys. Any order is exact; the word counts only make it fast.
+
+The higher the threshold, the fewer first tokens remain. The search therefore goes down in steps:
+a set that has its ``k`` best partners at one step cannot have better ones below it and is done,
+so only sets without close partners ever reach the wide, expensive steps.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from attestor.functions.once import add_once
+from attestor.operators.ordered import top_rows
+from attestor.session import materialise
+
 # How many of the most frequent tokens are moved to the end of the order (a fixed-size list).
 FREQUENT_TOKENS = 256
+STEPS = (0.9, 0.8, 0.7, 0.6, 0.55)
 
 
 def _ceil(value: Column) -> Column:
@@ -33,37 +43,62 @@ def distinct_sets(df: DataFrame, tokens: str) -> DataFrame:
     return df.select(F.array_sort(tokens).alias("tokens")).filter(F.size("tokens") > 0).distinct()
 
 
-def frequent_tokens(sets: DataFrame, limit: int = FREQUENT_TOKENS) -> list[str]:
-    """The most frequent tokens, rarest of them first."""
+def frequent_tokens(sets: DataFrame, limit: int = FREQUENT_TOKENS) -> list[int]:
+    """Hashes of the most frequent tokens, rarest of them first."""
     counts = sets.select(F.explode("tokens").alias("token")).groupBy("token").count()
-    top = counts.orderBy(F.desc("count"), "token").limit(limit).collect()
-    return [row["token"] for row in reversed(top)]
+    top = counts.orderBy(F.desc("count"), "token").limit(limit).select(F.xxhash64("token").alias("h")).collect()
+    return [row["h"] for row in reversed(top)]
 
 
-def _signatures(sets: DataFrame, frequent: list[str], threshold: float) -> DataFrame:
-    late = F.array(*[F.lit(t) for t in frequent]) if frequent else F.array().cast("array<string>")
-    ranked = F.array_sort(
-        F.transform("tokens", lambda t: F.struct(F.array_position(late, t).alias("late"), t.alias("token")))
+def in_search_order(sets: DataFrame, frequent: Sequence[int]) -> DataFrame:
+    """Add ``ordered``: 64-bit hashes of the tokens, uncommon tokens first, the most frequent last.
+
+    Keys and counts on numbers are far cheaper than on texts. The texts decide in the end: ``clash``
+    marks a set in which two tokens share a hash, for which hashes may not rule out a partner.
+    """
+    late = F.array(*[F.lit(h).cast("bigint") for h in frequent]) if frequent else F.array().cast("array<bigint>")
+    hashes = F.transform("tokens", lambda t: F.xxhash64(t))
+    ranked = F.array_sort(F.transform(hashes, lambda h: F.struct(F.array_position(late, h).alias("late"), h.alias("h"))))
+    return sets.withColumn("ordered", F.transform(ranked, lambda r: r["h"])).withColumn(
+        "clash", F.size(F.array_distinct("ordered")) < F.size("ordered")
     )
-    size = F.size("tokens")
-    overlap = _ceil((size + F.col("other")) * (threshold / (1 + threshold)))
+
+
+def spread(sets: DataFrame) -> DataFrame:
+    """Write the sets once, evenly over all cores: comparing them is work far beyond their size."""
+    spark = sets.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return materialise(sets.repartition(parts, "tokens"))
+
+
+def set_sizes(sets: DataFrame) -> list[int]:
+    """The distinct set sizes: at most as many as the longest title has words."""
+    return sorted(r[0] for r in sets.select(F.size("tokens")).distinct().collect())
+
+
+def _signatures(sets: DataFrame, sizes: Sequence[int], threshold: float) -> DataFrame:
+    size, other = F.size("ordered"), F.col("other")
+    overlap = _ceil((size + other) * (threshold / (1 + threshold)))
+    known = F.array(*[F.lit(n) for n in sizes]) if sizes else F.array().cast("array<int>")
     return (
-        sets.withColumn("ordered", F.transform(ranked, lambda r: r["token"]))
-        .withColumn(
-            "other",
-            F.explode(F.sequence(_ceil(size * threshold), F.floor(F.round(size / F.lit(threshold), 9)).cast("int"))),
-        )
-        .withColumn("prefix", F.slice("ordered", 1, F.greatest(size - overlap + 1, F.lit(1))))
-        .filter(overlap <= F.least(size, F.col("other")))
-        .select("tokens", "prefix", size.alias("own"), "other", F.explode("prefix").alias("token"))
+        sets.withColumn("own", size)
+        .withColumn("other", F.explode(known))
+        .withColumn("need", overlap)
+        .filter(F.col("need") <= F.least("own", "other"))
+        .withColumn("prefix", F.array_distinct(F.slice("ordered", 1, F.col("own") - F.col("need") + 1)))
+        .withColumn("token", F.explode("prefix"))
     )
 
 
-def similar_sets(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``(left_tokens, right_tokens, score)`` of distinct sets with Jaccard >= threshold."""
-    frequent = frequent_tokens(right)
-    a = _signatures(left, frequent, threshold).alias("a")
-    b = _signatures(right, frequent, threshold).alias("b")
+def pairs_above(
+    left: DataFrame, right: DataFrame, left_sizes: Sequence[int], right_sizes: Sequence[int], threshold: float
+) -> DataFrame:
+    """Pairs ``(tokens, score, payload)`` with Jaccard >= threshold.
+
+    ``left(tokens, ordered)``; ``right(tokens, ordered, payload)``; both hold distinct sets.
+    """
+    a = _signatures(left, right_sizes, threshold).alias("a")
+    b = _signatures(right, left_sizes, threshold).alias("b")
     joined = a.join(
         b,
         (F.col("a.token") == F.col("b.token"))
@@ -72,21 +107,53 @@ def similar_sets(left: DataFrame, right: DataFrame, threshold: float) -> DataFra
     )
     # A pair may meet under several tokens; it is kept under the first one only.
     first = F.get(F.array_intersect(F.col("a.prefix"), F.col("b.prefix")), 0)
-    shared = F.size(F.array_intersect(F.col("a.tokens"), F.col("b.tokens")))
-    raw = shared / (F.col("a.own") + F.col("b.own") - shared)
-    return (
-        joined.filter(first == F.col("a.token"))
-        .select(
-            F.col("a.tokens").alias("left_tokens"),
-            F.col("b.tokens").alias("right_tokens"),
-            F.round(raw, 4).alias("score"),
-            raw.alias("_raw"),
-        )
-        .filter(F.col("_raw") >= threshold - 1e-12)
-        .drop("_raw")
+    met = joined.filter((F.size("a.prefix") == 1) | (F.size("b.prefix") == 1) | (first == F.col("a.token")))
+    likely = F.size(F.array_intersect(F.col("a.ordered"), F.col("b.ordered"))) >= F.col("a.need")
+    met = met.filter(likely | F.col("a.clash") | F.col("b.clash"))
+    scored = add_once(
+        met.select(
+            F.col("a.tokens").alias("tokens"),
+            F.col("b.tokens").alias("_others"),
+            F.col("b.payload").alias("payload"),
+            (F.col("a.own") + F.col("b.own")).alias("_sizes"),
+        ),
+        {"_shared": F.size(F.array_intersect("tokens", "_others"))},
     )
+    raw = F.col("_shared") / (F.col("_sizes") - F.col("_shared"))
+    return scored.filter(raw >= threshold - 1e-12).select("tokens", F.round(raw, 4).alias("score"), "payload")
+
+
+def nearest_sets(wanted: DataFrame, offered: DataFrame, threshold: float, k: int = 1) -> DataFrame:
+    """The ``k`` best partners per wanted set: ``(tokens, score, payload, rank)``.
+
+    ``wanted(tokens)`` and ``offered(tokens, payload)`` hold distinct sets; partners are ranked by
+    score, then by payload. Scores have 4 decimals and reach ``threshold``.
+    """
+    frequent = frequent_tokens(offered)
+    right = spread(in_search_order(offered, frequent))
+    pending = spread(in_search_order(wanted, frequent))
+    left_sizes, right_sizes = set_sizes(pending), set_sizes(right)
+    found: DataFrame | None = None
+
+    def best_of(pairs: DataFrame) -> DataFrame:
+        if k > 1:
+            return top_rows(pairs, ["tokens"], [F.desc("score"), F.col("payload")], k)
+        best = F.min(F.struct((-F.col("score")).alias("s"), "payload")).alias("_b")
+        return pairs.groupBy("tokens").agg(best).select(
+            "tokens", (-F.col("_b.s")).alias("score"), F.col("_b.payload").alias("payload"), F.lit(1).alias("rank")
+        )
 
-
-def search_floor(threshold: float) -> float:
-    """The unrounded Jaccard at which the 4-decimal score can reach ``threshold``."""
-    return math.nextafter(threshold - 0.00005, 0.0)
+    for step in [s for s in STEPS if s > threshold] + [threshold]:
+        floor = math.nextafter(step - 0.00005, 0.0)  # scores count after rounding
+        pairs = pairs_above(pending, right, left_sizes, right_sizes, floor)
+        best = best_of(pairs.filter(F.col("score") >= step))
+        if step == threshold:
+            return best if found is None else found.unionByName(best)
+        best = materialise(best)
+        complete = best.filter(F.col("rank") == k).select("tokens")
+        done = best.join(complete, "tokens", "left_semi")
+        found = done if found is None else found.unionByName(done)
+        pending = spread(pending.join(complete, "tokens", "left_anti"))
+        if pending.isEmpty():
+            return found
+    raise AssertionError("the last step returns")

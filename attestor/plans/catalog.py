@@ -465,7 +465,7 @@ def pool_sequential(spark, sf):
 
 @query
 def pool_sequential_grouped(spark, sf):
-    out = pooling.pool_prefixes(_supplier_effects(spark, sf), ["endpoint_cluster"])
+    out = pooling.pool_prefixes(_supplier_effects(spark, sf), ["endpoint_cluster"], interval=False)
     return _rounded(out.select("endpoint_cluster", "nct_id", "n_trials", "mu_mean", "tau_mean", "tau_sd"), 5)
 
 
@@ -494,7 +494,7 @@ def variance_median(spark, sf):
 
 
 def _power(spark: SparkSession, sf: str) -> DataFrame:
-    prefixes = pooling.pool_prefixes(_supplier_effects(spark, sf))
+    prefixes = pooling.pool_prefixes(_supplier_effects(spark, sf), interval=False)
     return power.power_audit(derived(spark, sf, "power_trials"), prefixes)
 
 
@@ -818,8 +818,8 @@ def effect_json(spark, sf):
 def scorecard_by_cluster(spark, sf):
     """The flagship: clusters, log metrics, per-cluster pooling, median variance, bias, strength."""
     log = derived(spark, sf, "log")
-    clusters = scorecard.cluster_pairs(log, "registered_endpoint")
-    effects = _order_effects(spark, sf)
+    clusters = materialise(scorecard.cluster_pairs(log, "registered_endpoint"))
+    effects = materialise(_order_effects(spark, sf))
     approved = pooling.poolable_effects(effects, log).join(clusters, "pair_id")
     pooled = pooling.pool(approved, ["endpoint_cluster"])
     card = scorecard.build_scorecard(

@@ -11,11 +11,16 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from attestor.session import at_least_parallel
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
     "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+# Tables whose rows go on to costly text or grid work.
+BUSY = ("orders", "lineitem", "documents", "part")
+
 # Letters for digits turn a number into a word.
 WORD = "translate(cast({0} as string), '0123456789', 'abcdefghij')"
 
@@ -268,6 +273,7 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A projection as a DataFrame; ``x_list`` columns become arrays ``x``."""
     sql = SQL[name]
     used = {t: table(spark, sf_dir, t) for t in re.findall(r"(?<!\{)\{(\w+)\}(?!\})", sql) if t in TABLES}
+    used = {t: at_least_parallel(df) if t in BUSY else df for t, df in used.items()}
     df = spark.sql(sql, **used)
     for column in LISTS:
         if f"{column}_list" in df.columns:

@@ -52,3 +52,9 @@ def materialise(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the shared checkpoint folder and cut its lineage there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def at_least_parallel(df: DataFrame) -> DataFrame:
+    """Spread a scan with fewer splits than cores (one small file, say); other scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
