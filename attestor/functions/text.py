@@ -93,7 +93,9 @@ def years_agree(year_a: Column, year_b: Column, window: int = presets.YEAR_WINDO
 
 def iso_date(value) -> Column:
     """Full ISO dates (dash or slash); partial dates and other text become NULL."""
-    return F.try_to_date(F.substring(F.replace(text(value), F.lit("/"), F.lit("-")), 1, 10), "yyyy-MM-dd")
+    c = F.substring(F.replace(text(value), F.lit("/"), F.lit("-")), 1, 10)
+    # The shape is tested first: failing date parses are slow.
+    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(c, "yyyy-MM-dd"))
 
 
 def truthy(value) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from attestor import presets
 from attestor.functions.text import truthy
 from attestor.operators.ordered import PART, split_by_range
+from attestor.session import materialise
 
 TAU_CELLS = 400
 TAU_MAX = 3.0
@@ -124,8 +125,9 @@ def hdi(grid: DataFrame, group: Sequence[str], mass: float = HDI_MASS) -> DataFr
 
 def pool(effects: DataFrame, group: Sequence[str] = (), y: str = "log_hr", se: str = "se_log_hr") -> DataFrame:
     """Full-data posterior summary per group, on the ratio scale, with the 95 % HDI."""
-    cells = mixture(effects, group, y, se)
-    moments = _moments(cells, group)
+    # One pass over the trials; everything below works on TAU_CELLS rows per group.
+    cells = materialise(mixture(effects, group, y, se))
+    moments = materialise(_moments(cells, group))
     interval = hdi(density(cells, moments, group), group)
     if group:
         both = moments.join(interval, list(group))
@@ -222,7 +224,7 @@ def pool_prefixes(
     """
     spark = effects.sparkSession
     columns = list(dict.fromkeys([*group, *order, *carry, y, se]))
-    rows = effects.select(*columns)
+    rows = materialise(effects.select(*columns))
     if ranges is None:
         n = rows.count()
         most = PREFIXES_PER_RANGE if interval else MEANS_PER_RANGE

@@ -8,6 +8,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from attestor import presets
+from attestor.functions.once import add_once
 from attestor.functions.text import iso_date, number, text
 
 
@@ -52,13 +53,11 @@ def power_audit(
     """One audit row per trial; ``posteriors`` is the prefix table with its registration dates."""
     size = number("enrollment")
     whole = F.when(F.abs(size) < 9e18, size.try_cast("bigint"))
-    bad = whole.isNull() | (whole <= 0)
+    bad = F.col("_n").isNull() | (F.col("_n") <= 0)
     rate = F.coalesce(number("event_rate"), F.lit(event_rate)) if "event_rate" in trials.columns else F.lit(event_rate)
-    rows = trials.withColumns({"_n": whole, "_bad": bad, "assumed_event_rate": rate, "date": iso_date("registration_date")})
-    rows = rows.withColumn("_hr", F.when(~F.col("_bad"), implied_ratio(F.col("_n"), F.col("assumed_event_rate"), alpha, power)))
-    answers = posterior_asof(
-        rows.filter("_hr IS NOT NULL"), posteriors.withColumn("date", iso_date("registration_date")), group
-    )
+    rows = add_once(trials, {"_n": whole, "assumed_event_rate": rate, "date": iso_date("registration_date")})
+    rows = rows.withColumn("_bad", bad).withColumn("_hr", F.when(~F.col("_bad"), implied_ratio(F.col("_n"), F.col("assumed_event_rate"), alpha, power)))
+    answers = posterior_asof(rows, posteriors.withColumn("date", iso_date("registration_date")), group)
     keys = [*group, "date"]
     if group:
         # Trials without a date stay out of the shuffle, where they would share one task.
