@@ -15,7 +15,7 @@ from attestor.session import materialise
 
 PART = "_part"
 # The largest group one task sorts by itself; bigger ones are split into ranges.
-SINGLE_TASK_ROWS = 1_000_000
+SINGLE_TASK_ROWS = 4_000_000
 
 
 def largest_group(df: DataFrame, group: Sequence[str]) -> int:

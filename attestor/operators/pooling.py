@@ -28,6 +28,9 @@ HDI_MASS = 0.95
 # With intervals one prefix costs a pass over the tau x mu grid, so a range holds few rows.
 PREFIXES_PER_RANGE = 5_000
 MEANS_PER_RANGE = 100_000
+# One row per range comes back to the driver (13 KB each); ranges are read in batches, so larger
+# tables get longer ranges, not more of them.
+MAX_RANGES = 4096
 
 
 def poolable_effects(effects: DataFrame, log: DataFrame, decisions: Sequence[str] | None = None) -> DataFrame:
@@ -229,6 +232,7 @@ def pool_prefixes(
         n = rows.count()
         most = PREFIXES_PER_RANGE if interval else MEANS_PER_RANGE
         ranges = max(1, -(-n // most), min(spark.sparkContext.defaultParallelism, n // 16))
+    ranges = min(ranges, MAX_RANGES)
     split = split_by_range(rows, [*group, *order], ranges)
 
     def ends(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -246,16 +250,16 @@ def pool_prefixes(
                 count += len(run)
         if last is not None:
             yield pd.DataFrame(
-                {"part": [part], "first": [repr(first)], "last": [repr(last)], "n": [count], "sums": [total.ravel().tolist()]}
+                {"part": [part], "first": [repr(first)], "last": [repr(last)], "n": [count], "sums": [total.tobytes()]}
             )
 
     before: dict[int, tuple[str, int, np.ndarray]] = {}
     if ranges > 1:
         # At most one row per range comes back to the driver.
-        found = split.mapInPandas(ends, "part int, first string, last string, n long, sums array<double>")
+        found = split.mapInPandas(ends, "part int, first string, last string, n long, sums binary")
         carried: tuple[str, int, np.ndarray] | None = None
         for row in found.orderBy("part").collect():
-            sums, n = np.asarray(row["sums"]).reshape(4, TAU_CELLS), row["n"]
+            sums, n = np.frombuffer(row["sums"]).reshape(4, TAU_CELLS), row["n"]
             if carried is not None and carried[0] == row["first"]:
                 before[row["part"]] = carried
                 if row["first"] == row["last"]:

@@ -73,8 +73,12 @@ def apply_reviews(log: DataFrame, reviews: DataFrame) -> DataFrame:
 
 
 def fold_reviews(log: DataFrame, events: DataFrame, order: Sequence[str] = ("ts",)) -> DataFrame:
-    """Current log state: valid events, latest per pair, applied to the decision rows."""
-    valid, _ = checked_reviews(events, log)
+    """Current log state: valid events, latest per pair, applied to the decision rows.
+
+    Events are reduced to one row per pair before anything is joined; events of unknown pairs find
+    no row in the log (:func:`checked_reviews` lists them).
+    """
+    valid, _ = schemas.split_valid(events, review_rules())
     return apply_reviews(log, latest_reviews(valid, order))
 
 

@@ -15,6 +15,12 @@ most titles out of the keys. Any order is exact; the word counts only make it fa
 The higher the threshold, the fewer first tokens remain. The search therefore goes down in steps:
 a set that has its ``k`` best partners at one step cannot have better ones below it and is done,
 so only sets without close partners ever reach the wide, expensive steps.
+
+Boilerplate is the hot bucket here: a third of all titles may share their frequent words and differ
+in rare ones only. For ``k = 1`` such titles are never paired one by one. Two sets without a common
+rare token score by their frequent tokens and sizes alone, so all sets with equal frequent tokens
+and equal size form one class, of which only the first payload can win; classes are compared with
+classes. Sets with a common rare token meet under it.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ from attestor.session import materialise
 
 # How many of the most frequent tokens are moved to the end of the order (a fixed-size list).
 FREQUENT_TOKENS = 256
-STEPS = (0.9, 0.8, 0.7, 0.6, 0.55)
+STEPS = (0.8, 0.65)
 
 
 def _ceil(value: Column) -> Column:
@@ -51,16 +57,21 @@ def frequent_tokens(sets: DataFrame, limit: int = FREQUENT_TOKENS) -> list[int]:
 
 
 def in_search_order(sets: DataFrame, frequent: Sequence[int]) -> DataFrame:
-    """Add ``ordered``: 64-bit hashes of the tokens, uncommon tokens first, the most frequent last.
+    """Add ``ordered``: 64-bit hashes of the tokens, rare tokens first, the most frequent last.
 
     Keys and counts on numbers are far cheaper than on texts. The texts decide in the end: ``clash``
     marks a set in which two tokens share a hash, for which hashes may not rule out a partner.
+    ``rare`` counts the tokens outside the frequent list, ``own`` all tokens.
     """
     late = F.array(*[F.lit(h).cast("bigint") for h in frequent]) if frequent else F.array().cast("array<bigint>")
     hashes = F.transform("tokens", lambda t: F.xxhash64(t))
     ranked = F.array_sort(F.transform(hashes, lambda h: F.struct(F.array_position(late, h).alias("late"), h.alias("h"))))
-    return sets.withColumn("ordered", F.transform(ranked, lambda r: r["h"])).withColumn(
-        "clash", F.size(F.array_distinct("ordered")) < F.size("ordered")
+    return add_once(sets, {"_ranked": ranked}).select(
+        *sets.columns,
+        F.transform("_ranked", lambda r: r["h"]).alias("ordered"),
+        F.size("tokens").alias("own"),
+        F.size(F.filter("_ranked", lambda r: r["late"] == 0)).alias("rare"),
+        (F.size(F.array_distinct(hashes)) < F.size("tokens")).alias("clash"),
     )
 
 
@@ -73,46 +84,56 @@ def spread(sets: DataFrame) -> DataFrame:
 
 def set_sizes(sets: DataFrame) -> list[int]:
     """The distinct set sizes: at most as many as the longest title has words."""
-    return sorted(r[0] for r in sets.select(F.size("tokens")).distinct().collect())
+    return sorted(r[0] for r in sets.select("own").distinct().collect())
 
 
-def _signatures(sets: DataFrame, sizes: Sequence[int], threshold: float) -> DataFrame:
-    size, other = F.size("ordered"), F.col("other")
-    overlap = _ceil((size + other) * (threshold / (1 + threshold)))
+def _signatures(sets: DataFrame, sizes: Sequence[int], threshold: float, rare_only: bool = False) -> DataFrame:
+    """One row per admissible partner size and prefix token; ``own`` may exceed the listed tokens."""
+    listed, other = F.size("ordered"), F.col("other")
+    overlap = _ceil((F.col("own") + other) * (threshold / (1 + threshold)))
     known = F.array(*[F.lit(n) for n in sizes]) if sizes else F.array().cast("array<int>")
+    length = listed - F.col("need") + 1
+    if rare_only:
+        length = F.least(length, F.col("rare"))
     return (
-        sets.withColumn("own", size)
-        .withColumn("other", F.explode(known))
+        sets.withColumn("other", F.explode(known))
         .withColumn("need", overlap)
-        .filter(F.col("need") <= F.least("own", "other"))
-        .withColumn("prefix", F.array_distinct(F.slice("ordered", 1, F.col("own") - F.col("need") + 1)))
+        .filter((F.col("need") <= listed) & (F.col("need") <= other))
+        .withColumn("prefix", F.array_distinct(F.slice("ordered", 1, length)))
         .withColumn("token", F.explode("prefix"))
     )
 
 
-def pairs_above(
-    left: DataFrame, right: DataFrame, left_sizes: Sequence[int], right_sizes: Sequence[int], threshold: float
-) -> DataFrame:
-    """Pairs ``(tokens, score, payload)`` with Jaccard >= threshold.
-
-    ``left(tokens, ordered)``; ``right(tokens, ordered, payload)``; both hold distinct sets.
-    """
-    a = _signatures(left, right_sizes, threshold).alias("a")
-    b = _signatures(right, left_sizes, threshold).alias("b")
-    joined = a.join(
-        b,
+def _meeting(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Candidate pairs ``a``/``b``: signatures with a common key, each pair under its first one only."""
+    joined = a.alias("a").join(
+        b.alias("b"),
         (F.col("a.token") == F.col("b.token"))
         & (F.col("a.own") == F.col("b.other"))
         & (F.col("a.other") == F.col("b.own")),
     )
-    # A pair may meet under several tokens; it is kept under the first one only.
     first = F.get(F.array_intersect(F.col("a.prefix"), F.col("b.prefix")), 0)
     met = joined.filter((F.size("a.prefix") == 1) | (F.size("b.prefix") == 1) | (first == F.col("a.token")))
     likely = F.size(F.array_intersect(F.col("a.ordered"), F.col("b.ordered"))) >= F.col("a.need")
-    met = met.filter(likely | F.col("a.clash") | F.col("b.clash"))
+    return met.filter(likely | F.col("a.clash") | F.col("b.clash"))
+
+
+def pairs_above(
+    left: DataFrame, right: DataFrame, left_sizes: Sequence[int], right_sizes: Sequence[int], threshold: float,
+    rare_only: bool = False,
+) -> DataFrame:
+    """Pairs ``(tokens, own, score, payload)`` with Jaccard >= threshold.
+
+    ``left(tokens, own, ..)`` and ``right(tokens, own, .., payload)`` come from
+    :func:`in_search_order`; with ``rare_only`` just the pairs that share a rare token.
+    """
+    met = _meeting(
+        _signatures(left, right_sizes, threshold, rare_only), _signatures(right, left_sizes, threshold, rare_only)
+    )
     scored = add_once(
         met.select(
             F.col("a.tokens").alias("tokens"),
+            F.col("a.own").alias("own"),
             F.col("b.tokens").alias("_others"),
             F.col("b.payload").alias("payload"),
             (F.col("a.own") + F.col("b.own")).alias("_sizes"),
@@ -120,33 +141,73 @@ def pairs_above(
         {"_shared": F.size(F.array_intersect("tokens", "_others"))},
     )
     raw = F.col("_shared") / (F.col("_sizes") - F.col("_shared"))
-    return scored.filter(raw >= threshold - 1e-12).select("tokens", F.round(raw, 4).alias("score"), "payload")
+    return scored.filter(raw >= threshold - 1e-12).select("tokens", "own", F.round(raw, 4).alias("score"), "payload")
+
+
+def _with_class(sets: DataFrame, frequent: Sequence[int]) -> DataFrame:
+    """Add ``words``, the frequent tokens of a set, and ``late``, their hashes in search order."""
+    listed = F.array(*[F.lit(h).cast("bigint") for h in frequent]) if frequent else F.array().cast("array<bigint>")
+    return sets.withColumns(
+        {
+            "words": F.filter("tokens", lambda t: F.array_contains(listed, F.xxhash64(t))),
+            "late": F.slice("ordered", F.col("rare") + 1, F.size("ordered")),
+        }
+    )
+
 
+def _as_sets(classes: DataFrame, *more: str) -> DataFrame:
+    """Classes in the form of ordered sets whose ``own`` size counts the left-out rare tokens too."""
+    clash = F.size(F.array_distinct("late")) < F.size("words")
+    return classes.select(
+        F.col("words").alias("tokens"), F.col("late").alias("ordered"), "own", F.lit(0).alias("rare"),
+        clash.alias("clash"), *more,
+    )
 
-def nearest_sets(wanted: DataFrame, offered: DataFrame, threshold: float, k: int = 1) -> DataFrame:
+
+def _first_best(pairs: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The greatest score per key, then the smallest payload."""
+    best = F.min(F.struct((-F.col("score")).alias("s"), "payload")).alias("_b")
+    return pairs.groupBy(*key).agg(best).select(
+        *key, (-F.col("_b.s")).alias("score"), F.col("_b.payload").alias("payload")
+    )
+
+
+def nearest_sets(
+    wanted: DataFrame, offered: DataFrame, threshold: float, k: int = 1, frequent_limit: int = FREQUENT_TOKENS
+) -> DataFrame:
     """The ``k`` best partners per wanted set: ``(tokens, score, payload, rank)``.
 
     ``wanted(tokens)`` and ``offered(tokens, payload)`` hold distinct sets; partners are ranked by
     score, then by payload. Scores have 4 decimals and reach ``threshold``.
     """
-    frequent = frequent_tokens(offered)
-    right = spread(in_search_order(offered, frequent))
-    pending = spread(in_search_order(wanted, frequent))
+    frequent = frequent_tokens(offered, frequent_limit)
+    right = spread(_with_class(in_search_order(offered, frequent), frequent))
+    pending = spread(_with_class(in_search_order(wanted, frequent), frequent))
     left_sizes, right_sizes = set_sizes(pending), set_sizes(right)
+    right_classes = None
+    if k == 1:
+        named = right.filter(F.size("words") > 0)
+        grouped = named.groupBy("words", "late", "own").agg(F.min("payload").alias("payload"))
+        right_classes = spread(_as_sets(grouped, "payload"))
     found: DataFrame | None = None
 
-    def best_of(pairs: DataFrame) -> DataFrame:
+    def best_of(floor: float, step: float) -> DataFrame:
+        reached = F.col("score") >= step
         if k > 1:
-            return top_rows(pairs, ["tokens"], [F.desc("score"), F.col("payload")], k)
-        best = F.min(F.struct((-F.col("score")).alias("s"), "payload")).alias("_b")
-        return pairs.groupBy("tokens").agg(best).select(
-            "tokens", (-F.col("_b.s")).alias("score"), F.col("_b.payload").alias("payload"), F.lit(1).alias("rank")
-        )
+            pairs = pairs_above(pending, right, left_sizes, right_sizes, floor).filter(reached)
+            return top_rows(pairs, ["tokens"], [F.desc("score"), F.col("payload")], k).drop("own")
+        by_rare = pairs_above(pending, right, left_sizes, right_sizes, floor, rare_only=True).filter(reached)
+        left_classes = pending.filter(F.size("words") > 0).select("words", "late", "own").distinct()
+        by_class = pairs_above(_as_sets(left_classes), right_classes, left_sizes, right_sizes, floor).filter(reached)
+        best_class = _first_best(by_class, ["tokens", "own"]).withColumnRenamed("tokens", "words")
+        from_class = pending.select("tokens", "words", "own").join(best_class, ["words", "own"])
+        columns = ["tokens", "score", "payload"]
+        both = _first_best(by_rare, ["tokens"]).select(columns).unionByName(from_class.select(columns))
+        return _first_best(both, ["tokens"]).withColumn("rank", F.lit(1))
 
     for step in [s for s in STEPS if s > threshold] + [threshold]:
-        floor = math.nextafter(step - 0.00005, 0.0)  # scores count after rounding
-        pairs = pairs_above(pending, right, left_sizes, right_sizes, floor)
-        best = best_of(pairs.filter(F.col("score") >= step))
+        # Scores count after rounding.
+        best = best_of(math.nextafter(step - 0.00005, 0.0), step)
         if step == threshold:
             return best if found is None else found.unionByName(best)
         best = materialise(best)

@@ -55,10 +55,10 @@ def population_summary(trials: DataFrame) -> DataFrame:
 
 
 def shares(df: DataFrame, column: str, by: Column | None = None) -> DataFrame:
-    """Counts and percentages per value; blanks are left out of both."""
+    """Counts and percentages per value of a coded column; blanks are left out of both."""
     value = (F.col(column) if by is None else by).alias("value")
     counts = df.filter(text(column) != "").groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    everything = Window.partitionBy(F.lit(0))  # one row per value
+    everything = Window.partitionBy(F.lit(0))  # one row per code
     return counts.select("value", "n", F.round(F.col("n") / F.sum("n").over(everything) * 100, 1).alias("pct"))
 
 

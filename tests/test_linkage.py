@@ -10,9 +10,9 @@ from attestor.operators import gating, linkage, similarity_join
 from tests_support import PUB_SCHEMA, TRIAL_SCHEMA, publication
 
 @pytest.mark.parametrize("k", [1, 3])
-@pytest.mark.parametrize("threshold", [0.5, 0.7])
-def test_nearest_sets_equal_brute_force(spark, k, threshold):
-    rng = random.Random(k * 10 + int(threshold * 10))
+@pytest.mark.parametrize("threshold, frequent", [(0.5, 6), (0.5, 256), (0.7, 0), (0.7, 9)])
+def test_nearest_sets_equal_brute_force(spark, k, threshold, frequent):
+    rng = random.Random(k * 10 + int(threshold * 10) + frequent)
     common, rare = [f"c{i}" for i in range(6)], [f"r{i}" for i in range(40)]
 
     def some():
@@ -33,11 +33,19 @@ def test_nearest_sets_equal_brute_force(spark, k, threshold):
     wanted = spark.createDataFrame([(list(s),) for s in left], "tokens array<string>")
     offered = spark.createDataFrame([(list(s), i) for s, i in numbered.items()], "tokens array<string>, payload int")
     got = {}
-    for r in similarity_join.nearest_sets(wanted, offered, threshold, k).orderBy("rank").collect():
+    for r in similarity_join.nearest_sets(wanted, offered, threshold, k, frequent).orderBy("rank").collect():
         got.setdefault(tuple(r["tokens"]), []).append((r["payload"], r["score"]))
     assert got == want
 
 
+def test_boilerplate_titles_meet_as_one_class(spark):
+    """All titles share three words and differ in one: every pair scores 0.6, the first payload wins."""
+    offered = spark.createDataFrame([(sorted(["study", "of", "drug", f"x{i}"]), 1000 + i) for i in range(400)], "tokens array<string>, payload int")
+    wanted = spark.createDataFrame([(sorted(["study", "of", "drug", f"y{i}"]),) for i in range(400)], "tokens array<string>")
+    got = similarity_join.nearest_sets(wanted, offered, 0.5, frequent_limit=3).collect()
+    assert len(got) == 400 and {(r["score"], r["payload"]) for r in got} == {(0.6, 1000)}
+
+
 def test_search_without_offers(spark):
     wanted = spark.createDataFrame([(["a", "b"],)], "tokens array<string>")
     offered = spark.createDataFrame([], "tokens array<string>, payload int")
