@@ -11,6 +11,7 @@ from attestor.functions.text import fill_template, normalise, pair_key, split_ca
 from attestor.functions.vectors import cosine, hashed_embedding
 from attestor.operators.gating import strip_fences
 from attestor.operators.ordered import keep_latest, running_totals
+from attestor.session import materialise
 
 MATCH_COLUMNS = ("pair_id", "similarity_score", "routing")
 
@@ -74,7 +75,9 @@ def match_endpoints(
     """Matchable pairs with ``pair_id``, ``similarity_score``, ``ssi`` and ``routing``."""
     rows = matchable(linked, endpoint).withColumn("pair_id", pair_key(F.trim("nct_id"), F.trim("pmid")))
     texts = candidate_pairs(rows, ["pair_id"], endpoint, "published_endpoint")
-    scored = best_scores(rows, ["pair_id"], texts, embedder(distinct_texts(texts), "text"))
+    # Both sides of a comparison read the vectors; the embedder must run once per text.
+    known = materialise(embedder(distinct_texts(texts), "text").select("text", "embedding"))
+    scored = best_scores(rows, ["pair_id"], texts, known)
     score = F.col("similarity_score")
     return scored.withColumns({"ssi": switch_index(score), "routing": route(score)})
 
@@ -84,6 +87,19 @@ def attach_matches(linked: DataFrame, updates: DataFrame) -> DataFrame:
     return linked.drop(*MATCH_COLUMNS).join(updates.select("nct_id", "pmid", *MATCH_COLUMNS), ["nct_id", "pmid"], "left")
 
 
+def refresh_matches(
+    linked: DataFrame,
+    changed: DataFrame,
+    existing: DataFrame,
+    embedder: Callable[[DataFrame, str], DataFrame] = hashed_embedding,
+) -> DataFrame:
+    """Compare only the trials of ``changed(nct_id)`` again; all other results stay as they are."""
+    columns = ["nct_id", "pmid", *MATCH_COLUMNS]
+    todo = linked.join(changed.select("nct_id").distinct(), "nct_id", "left_semi")
+    updates = upsert(existing.select(columns), match_endpoints(todo, embedder=embedder).select(columns))
+    return attach_matches(linked, updates)
+
+
 def unmatched_yet(linked: DataFrame, log: DataFrame) -> DataFrame:
     """Resume: trials whose id is not in the decision log yet."""
     done = log.select(F.split("pair_id", "_")[0].alias("nct_id")).filter("nct_id IS NOT NULL").distinct()

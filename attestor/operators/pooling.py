@@ -82,7 +82,8 @@ def mixture(effects: DataFrame, group: Sequence[str], y: str = "log_hr", se: str
     )
 
 
-def _moments(cells: DataFrame, group: Sequence[str]) -> DataFrame:
+def moments_of(cells: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Means and deviations of mu and tau per group, from :func:`mixture` cells."""
     mean, mean_t = F.sum(F.col("p") * F.col("m")), F.sum(F.col("p") * F.col("tau"))
     square = F.sum(F.col("p") * (1.0 / F.col("prec") + F.col("m") * F.col("m")))
     square_t = F.sum(F.col("p") * F.col("tau") * F.col("tau"))
@@ -130,7 +131,7 @@ def pool(effects: DataFrame, group: Sequence[str] = (), y: str = "log_hr", se: s
     """Full-data posterior summary per group, on the ratio scale, with the 95 % HDI."""
     # One pass over the trials; everything below works on TAU_CELLS rows per group.
     cells = materialise(mixture(effects, group, y, se))
-    moments = materialise(_moments(cells, group))
+    moments = materialise(moments_of(cells, group))
     interval = hdi(density(cells, moments, group), group)
     if group:
         both = moments.join(interval, list(group))

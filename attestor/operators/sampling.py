@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -11,6 +12,8 @@ from attestor.functions.text import pair_nct, pair_pmid, stable_rank, text
 from attestor.operators.ordered import SINGLE_TASK_ROWS, running_totals, top_rows
 
 RANK = "_stable_rank"
+# Up to here a stratum's quota is cut on the map side.
+SMALL_QUOTA = 1000
 # Hash buckets of three hex digits: 4096 counts decide where a share ends.
 BUCKET_DIGITS = 3
 
@@ -68,10 +71,15 @@ def stratified_sample(
     """At most ``n`` rows: an equal quota per stratum, filled up from the rest, all in hash order."""
     ranked = log.withColumn(RANK, stable_rank(key))
     quota = max(n // len(strata), 1)
-    listed = ranked.filter(F.col(stratum).isin(*strata))
-    chosen = top_rows(listed, [stratum], [F.col(RANK), F.col(key)], quota, "_no").drop("_no")
-    # At most quota rows per stratum: a fixed-size side.
-    rest = ranked.join(F.broadcast(chosen.select(key)), key, "left_anti")
+    if quota <= SMALL_QUOTA:
+        # Every map task keeps at most quota rows per stratum, so this side is small.
+        listed = ranked.filter(F.col(stratum).isin(*strata))
+        chosen = top_rows(listed, [stratum], [F.col(RANK), F.col(key)], quota, "_no").drop("_no")
+        rest = ranked.join(F.broadcast(chosen.select(key)), key, "left_anti")
+    else:
+        shares = [stable_share(log.filter(F.col(stratum) == s), lambda rows: min(rows, quota), key) for s in strata]
+        keys = reduce(DataFrame.unionByName, shares)
+        chosen, rest = ranked.join(keys, key, "left_semi"), ranked.join(keys, key, "left_anti")
     both = chosen.withColumn("_turn", F.lit(0)).unionByName(rest.withColumn("_turn", F.lit(1)))
     return both.orderBy("_turn", RANK, key).limit(n).drop("_turn", RANK)
 

@@ -77,8 +77,7 @@ def in_search_order(sets: DataFrame, frequent: Sequence[int]) -> DataFrame:
 
 def spread(sets: DataFrame) -> DataFrame:
     """Write the sets once, evenly over all cores: comparing them is work far beyond their size."""
-    spark = sets.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = sets.sparkSession.sparkContext.defaultParallelism
     return materialise(sets.repartition(parts, "tokens"))
 
 

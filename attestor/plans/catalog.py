@@ -22,7 +22,7 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(f: Query) -> Query:
-    QUERIES[f.__name__] = f
+    QUERIES[f.__name__.rstrip("_")] = f  # a trailing underscore avoids a module's name
     return f
 
 
@@ -469,6 +469,24 @@ def pool_sequential_grouped(spark, sf):
     return _rounded(out.select("endpoint_cluster", "nct_id", "n_trials", "mu_mean", "tau_mean", "tau_sd"), 5)
 
 
+@query
+def posterior_hdi(spark, sf):
+    """The 95 % highest-density interval of the pooled log ratio per cluster."""
+    group = ["endpoint_cluster"]
+    cells = materialise(pooling.mixture(_supplier_effects(spark, sf), group))
+    return _rounded(pooling.hdi(pooling.density(cells, pooling.moments_of(cells, group), group), group), 5)
+
+
+@query
+def refresh_matches(spark, sf):
+    """Matches of all orders, compared again for the trials that user events mention."""
+    linked = derived(spark, sf, "endpoint_texts")
+    old = linked.select("nct_id", "pmid", tx.pair_key("nct_id", "pmid").alias("pair_id"), F.lit(0.123).alias("similarity_score"), F.lit("kept").alias("routing"))
+    changed = table(spark, sf, "events").select(F.concat(F.lit("NCT"), F.lpad(F.col("user_id").cast("string"), 8, "0")).alias("nct_id"))
+    out = matching.refresh_matches(linked, changed, old, lambda df, c: vectors.hashed_embedding(df, c, size=8192))
+    return out.select("nct_id", "pmid", "pair_id", "similarity_score", "routing")
+
+
 @query
 def pool_clusters(spark, sf):
     effects = _order_effects(spark, sf).join(_poolable_clusters(spark, sf), "pair_id")
@@ -698,13 +716,11 @@ def embed_hook(spark, sf):
 
 @query
 def match_endpoints(spark, sf):
-    """Endpoint texts of all orders compared with the offline embedder."""
-    log = derived(spark, sf, "log")
-    linked = log.select(
-        tx.pair_nct("pair_id").alias("nct_id"), tx.pair_pmid("pair_id").alias("pmid"), F.lit("High").alias("linkage_confidence"),
-        F.col("registered_endpoint").alias("primary_outcomes"), "published_endpoint",
+    """Endpoint texts of all orders compared by the offline embedder (word counts)."""
+    linked = derived(spark, sf, "endpoint_texts")
+    return matching.match_endpoints(linked, embedder=lambda df, c: vectors.hashed_embedding(df, c, size=8192)).select(
+        "pair_id", "similarity_score", "ssi", "routing"
     )
-    return matching.match_endpoints(linked).select("pair_id", "similarity_score", "ssi", "routing")
 
 
 # ------------------------------------------------------------------ sources
@@ -815,7 +831,7 @@ def effect_json(spark, sf):
 
 
 @query
-def scorecard_by_cluster(spark, sf):
+def scorecard_(spark, sf):
     """The flagship: clusters, log metrics, per-cluster pooling, median variance, bias, strength."""
     log = derived(spark, sf, "log")
     clusters = materialise(scorecard.cluster_pairs(log, "registered_endpoint"))

@@ -65,6 +65,17 @@ FROM (
 ) AS adjudicated
 """
 
+# Linked pairs with registered and published endpoint texts that overlap in part.
+SQL["endpoint_texts"] = """
+SELECT 'NCT' || lpad(cast(o_orderkey as string), 8, '0') AS nct_id, cast(20000000 + o_custkey as string) AS pmid,
+  CASE WHEN o_orderkey % 9 = 0 THEN 'Low' WHEN o_orderkey % 2 = 0 THEN 'High' ELSE 'Medium' END AS linkage_confidence,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'Overall survival at five years | Safety' WHEN '2-HIGH' THEN 'Progression-free survival'
+    WHEN '3-MEDIUM' THEN 'Pathological complete response | Overall  survival' WHEN '5-LOW' THEN 'Quality of life' ELSE ' ' END AS primary_outcomes,
+  CASE o_custkey % 5 WHEN 0 THEN 'Overall survival' WHEN 1 THEN 'progression-free survival in arm ' || o_orderstatus
+    WHEN 2 THEN 'Quality of life and overall survival' WHEN 3 THEN 'none' ELSE 'complete response, complete remission' END AS published_endpoint
+FROM {orders}
+"""
+
 # Gold and second-reviewer labels on the orders whose key is a labelled document's.
 SQL["gold"] = """
 SELECT 'NCT' || lpad(cast(o_orderkey as string), 8, '0') || '_' || cast(20000000 + o_custkey as string) AS pair_id,

@@ -544,6 +544,10 @@ ORACLE["pool_full"] = _with(
     f"SELECT endpoint_cluster, {_POOLED} FROM moments JOIN hdi USING (endpoint_cluster)", "supplier_effects",
     **_pool_ctes(_SUPPLIER_EFFECTS, "endpoint_cluster"),
 )
+ORACLE["posterior_hdi"] = _with(
+    "SELECT endpoint_cluster, round(lo, 5) AS mu_lower, round(hi, 5) AS mu_upper FROM hdi", "supplier_effects",
+    **_pool_ctes(_SUPPLIER_EFFECTS, "endpoint_cluster"),
+)
 ORACLE["pool_overall"] = _with(f"SELECT {_POOLED} FROM moments, hdi", "supplier_effects", **_pool_ctes(_SUPPLIER_EFFECTS, ""))
 ORACLE["pool_sequential"] = _with(
     """SELECT nct_id, registration_date, n_trials, round(exp(mu), 5) AS mu_mean, round(exp(lo), 5) AS mu_hdi_lower, round(exp(hi), 5) AS mu_hdi_upper,
@@ -738,6 +742,25 @@ FROM (SELECT *, coalesce((j->>'switch_type') IN ({_TYPES}) AND (j->>'direction')
   FROM (SELECT pair_id, CASE WHEN json_valid({_FENCED}) THEN ({_FENCED})::JSON END AS j FROM answers))""",
     "answers",
 )
+_SPLIT = "list_filter(regexp_split_to_array(lower({0}), '[^\\w]+'), lambda w: w <> '')"
+_MATCHES = dict(
+    p="SELECT nct_id || '_' || pmid AS pair_id, primary_outcomes, CASE WHEN published_endpoint = 'none' THEN '' ELSE published_endpoint END AS published FROM endpoint_texts WHERE linkage_confidence <> 'Low' AND trim(primary_outcomes) <> ''",
+    cand="SELECT pair_id, published, regexp_replace(trim(unnest(string_split(primary_outcomes, '|'))), '\\s+', ' ', 'g') AS candidate FROM p WHERE published <> ''",
+    words=f"SELECT txt, w, count(*) AS c FROM (SELECT txt, unnest({_SPLIT.format('txt')}) AS w FROM (SELECT candidate AS txt FROM cand UNION SELECT published FROM cand)) GROUP BY ALL",
+    norm="SELECT txt, sqrt(sum(c * c)) AS len FROM words GROUP BY txt",
+    cos="""SELECT candidate, published, sum(coalesce(a.c * b.c, 0)) / any_value(na.len * nb.len) AS cosine FROM (SELECT DISTINCT candidate, published FROM cand)
+JOIN norm na ON na.txt = candidate JOIN norm nb ON nb.txt = published LEFT JOIN words a ON a.txt = candidate LEFT JOIN words b ON b.txt = published AND b.w = a.w GROUP BY ALL""",
+)
+_MATCHED = f"""SELECT p.pair_id, coalesce(score, 0.0::DOUBLE) AS similarity_score, round((1.0::DOUBLE - coalesce(score, 0.0::DOUBLE)) * 100, 4) AS ssi, {ROUTE.format('coalesce(score, 0.0)')} AS routing
+FROM p LEFT JOIN (SELECT pair_id, round(max(cosine), 4) AS score FROM cand JOIN cos USING (candidate, published) GROUP BY pair_id) b USING (pair_id)"""
+ORACLE["match_endpoints"] = _with(_MATCHED, "endpoint_texts", **_MATCHES)
+ORACLE["refresh_matches"] = _with(
+    """SELECT e.nct_id, e.pmid, e.nct_id || '_' || e.pmid AS pair_id, CASE WHEN hit THEN m.similarity_score ELSE 0.123::DOUBLE END AS similarity_score,
+  CASE WHEN hit THEN m.routing ELSE 'kept' END AS routing
+FROM (SELECT *, nct_id IN (SELECT 'NCT' || lpad(user_id::VARCHAR, 8, '0') FROM events) AND linkage_confidence <> 'Low' AND trim(primary_outcomes) <> '' AS hit FROM endpoint_texts) e
+LEFT JOIN m ON m.pair_id = e.nct_id || '_' || e.pmid""",
+    "endpoint_texts", **_MATCHES, m=_MATCHED,
+)
 ORACLE["embed_hook"] = r"SELECT DISTINCT md5(text) AS text_key, 512 AS dims, CASE WHEN regexp_matches(text, '[\pL\pN\pM_]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM documents"
 
 # ------------------------------------------------------------------ sources
@@ -779,7 +802,7 @@ for _name in list(_SEQ_CTES):
     for _other in ("cells", "sums", "post", "weighed", "raised", "probs"):
         _SEQ_CTES[_name] = _SEQ_CTES[_name].replace(f"FROM {_other}", f"FROM q_{_other}")
 _SEQ = {**_SEQ_CTES, "seq": _POWER_CTES["seq"].replace("FROM moments", "FROM q_moments"), "days": _POWER_CTES["days"], "audit": _POWER_CTES["audit"]}
-ORACLE["scorecard_by_cluster"] = _with(
+ORACLE["scorecard"] = _with(
     """SELECT c.endpoint_cluster, trials_included, trials_excluded, coalesce(trials_unlinked, 0) AS trials_unlinked, human_override_rate_pct, mean_ssi, human_confirmed_switch_rate_pct, ai_human_agreement_rate_pct,
   round(exp(mu), 5) AS pooled_hr, round(exp(lo), 5) AS pooled_hr_cri_lower, round(exp(hi), 5) AS pooled_hr_cri_upper, round(tau_mean, 5) AS between_trial_tau,
   CASE WHEN sigma2 > 0 THEN round(tau_mean * tau_mean / (tau_mean * tau_mean + sigma2) * 100, 1) END AS i_squared_pct, mean_optimism_bias,

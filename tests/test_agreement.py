@@ -93,6 +93,14 @@ def test_stratified_sample_has_the_asked_size(frame, n):
         assert got.filter("routing = 'auto_concordant'").count() >= min(2, n // 3)
 
 
+def test_large_quotas_give_the_same_sample(frame, monkeypatch):
+    rows = [(f"p{i}", r) for i, r in enumerate(["llm"] * 30 + ["auto_concordant"] * 2 + ["other"] * 8)]
+    df = frame("pair_id string, routing string", rows)
+    small = {r["pair_id"] for r in sampling.stratified_sample(df, 12).collect()}
+    monkeypatch.setattr(sampling, "SMALL_QUOTA", 0)
+    assert {r["pair_id"] for r in sampling.stratified_sample(df, 12).collect()} == small
+
+
 def test_spot_check_samples_automatic_rows_only(log):
     assert {r[0] for r in sampling.spot_check_pairs(log, 1.0).collect()} == {"NCT001_111", "NCT003_333"}
     assert sampling.spot_check_pairs(log, 0.1).count() == 0
