@@ -103,7 +103,7 @@ def _sheet(rows: DataFrame, columns) -> DataFrame:
 def composition(template: DataFrame, log: DataFrame) -> DataFrame:
     """Routing counts of the sampled pairs."""
     return (
-        log.join(F.broadcast(template.select("pair_id")), "pair_id", "left_semi")
+        log.join(template.select("pair_id"), "pair_id", "left_semi")
         .groupBy("routing")
         .agg(F.count(F.lit(1)).alias("n"))
     )
