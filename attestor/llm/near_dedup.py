@@ -91,7 +91,7 @@ def signed(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = arrow_schema("doc_id long, body binary")
-    press = zstandard.ZstdCompressor(level=1)
+    press = zstandard.ZstdCompressor(level=5)
     for b in batches:
         for piece in W.slices(b.column("text")):
             bounds = piece.offsets.tolist()
@@ -203,14 +203,12 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch(schema, [np.concatenate(found_a), np.concatenate(found_b)])
 
 
-def _across(classes: DataFrame, labels: DataFrame, block: int) -> DataFrame:
+def _across(shared: DataFrame, classes: DataFrame, labels: DataFrame, block: int) -> DataFrame:
     """Pairs within the radius that share a key and lie in different components."""
-    named = classes.join(labels.select("node", "component"), "node", "left")
-    named = written(named.select("node", "sig", F.coalesce("component", "node").alias("component")))
-    entries = index(named).join(named.select("node", "component"), "node")
-    mixed = entries.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"))
+    named = shared.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"))
     mixed = mixed.where("x < y").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    entries = entries.join(mixed, "key").join(named.select("node", "sig"), "node")
+    entries = named.join(mixed, "key").join(classes, "node")
     entries = entries.withColumn("block", F.pmod(F.hash("node", F.lit(3)), F.col("blocks")))
     dealt = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", "node", "component", "sig", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
@@ -235,15 +233,17 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERC
     n = parts(docs)
     classes = linkable.join(nodes.select("node").distinct(), F.col("doc_id") == F.col("node")).select("node", "sig", "set_a", "set_b")
     classes = written(classes.dropDuplicates(["node", "set_a", "set_b"]).select("node", "sig").repartition(n, "node"))
+    entries = index(classes)
+    lowest = entries.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("top")).where("a < top").select("key", "a")
+    shared = written(entries.join(lowest, "key").select("key", "node", "a"))
+    stars = shared.where("node > a").select("a", F.col("node").alias("b")).distinct()
+
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(_pack, "doc_id long, body binary")
-    bodies = texts.repartition(n, "doc_id").join(nodes.select(F.col("node").alias("doc_id")).distinct().repartition(n, "doc_id"), "doc_id", "left_semi")
-    bodies = written(bodies.withColumnRenamed("doc_id", "node"))
+    met = shared.select(F.col("node").alias("doc_id")).distinct().repartition(n, "doc_id")
+    bodies = written(texts.repartition(n, "doc_id").join(met, "doc_id", "left_semi").withColumnRenamed("doc_id", "node"))
 
-    entries = index(classes)
-    stars = entries.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("top")).where("a < top").select("key", "a")
-    first = entries.join(stars, "key").where("node > a").select("a", F.col("node").alias("b")).distinct()
-    links = written(confirm(within_radius(first, classes), bodies, size, percent))
-    rest = confirm(_across(classes, components(links), block), bodies, size, percent)
+    links = written(confirm(within_radius(stars, classes), bodies, size, percent))
+    rest = confirm(_across(shared.select("key", "node"), classes, components(links), block), bodies, size, percent)
     labels = written(components(links.unionByName(rest)))
 
     found = marks.join(nodes, ["set_a", "set_b", "n_shingles"], "left").join(labels, "node", "left")
