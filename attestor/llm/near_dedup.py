@@ -7,9 +7,9 @@ one symbol left out, and all pairs within that distance meet under a common key.
 similarity limit differ in a quarter of the symbols on average, half of that distance.
 
 Texts with equal sets are one class. Under a key, each class is first compared with the key's
-smallest class only; large groups of near copies join there. Then only keys that still hold several
-components are searched for pairs, and only pairs from different components. What a key holds is
-dealt over blocks, so no task needs it whole.
+smallest class only, then with its nearest one of another component; large groups of near copies join
+there. In the end keys that still hold several components are searched for all pairs, and only pairs
+from different components. What a key holds is dealt over blocks, so no task needs it whole.
 
 Links are confirmed by the shingle sets of both whole texts, which travel compressed.
 """
@@ -35,6 +35,10 @@ WIDTH = 4
 CHUNKS = SYMBOLS // WIDTH
 #: The signature distance up to which the key join finds every pair.
 RADIUS = 2 * CHUNKS - 1
+#: Rounds that only try each member's nearest one of another component, within this distance. They join
+#: large groups with few comparisons; the last round tries all pairs that are left.
+NEAREST_ROUNDS = 2
+NEAREST_RADIUS = 22
 #: Members of one block of a key's members.
 BLOCK = 512
 
@@ -65,6 +69,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (W.mix(low) >> _U(48)).astype(np.uint16)
 
 
+_ENTRY = "key long, node long, slot int"
 _SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, sig binary"
 
 
@@ -117,17 +122,18 @@ def _signatures(column: pa.Array) -> np.ndarray:
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = arrow_schema("key long, node long")
+    schema = arrow_schema(_ENTRY)
     for b in batches:
         for at in range(0, b.num_rows, 2048):
             part = b.slice(at, 2048)
             keys = chunk_keys(_signatures(part.column("sig")))
-            nodes = part.column("node").to_numpy()
-            yield batch(schema, [keys.reshape(-1), np.repeat(nodes, keys.shape[1])])
+            slots = np.tile(np.arange(keys.shape[1], dtype=np.int32), len(keys))
+            yield batch(schema, [keys.reshape(-1), np.repeat(part.column("node").to_numpy(), keys.shape[1]), slots])
 
 
 def index(classes: DataFrame) -> DataFrame:
-    return classes.select("node", "sig").mapInArrow(_index, "key long, node long")
+    """``key, node, slot``: the keys under which a signature is found, numbered by chunk and symbol left out."""
+    return classes.select("node", "sig").mapInArrow(_index, _ENTRY)
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -179,41 +185,87 @@ def confirm(pairs: DataFrame, bodies: DataFrame, size: int = SHINGLE, percent: i
     return full.select("a", "b", "body_a", "body_b").mapInArrow(_confirm(size, percent), "a long, b long")
 
 
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one key's block pair that lie in different components and within the radius."""
-    schema = arrow_schema("a long, b long")
-    for t in whole_groups(batches, ["key", "low", "high"]):
-        t = t.combine_chunks()
-        node, component, block = (t.column(c).to_numpy() for c in ("node", "component", "block"))
-        low, high = t.column("low").to_numpy(), t.column("high").to_numpy()
-        sigs = _signatures(t.column("sig"))
-        bounds = group_slices([t.column("key").to_numpy(), low, high])
-        found_a, found_b = [], []
-        for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            if low[x] == high[x]:
-                rows = others = np.arange(x, y)
+def first_slots(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The lowest slot whose key a signature shares with each of the others; a pair is taken only there."""
+    same = (others == one).reshape(len(others), CHUNKS, WIDTH)
+    agree = same.sum(axis=2)
+    chunk = (agree >= WIDTH - 1).argmax(axis=1)
+    rows = np.arange(len(others))
+    left_out = np.where(agree[rows, chunk] == WIDTH, 0, (~same[rows, chunk]).argmax(axis=1))
+    return chunk * WIDTH + left_out
+
+
+def _cell(node, component, sigs, slot: int, rows: np.ndarray, others: np.ndarray, nearest: bool):
+    """Pairs across components between two blocks of one key's members (or inside one block).
+
+    Members of the component with most members here are only met by the rest.
+    """
+    values, counts = np.unique(component[np.concatenate((rows, others))], return_counts=True)
+    most = values[counts.argmax()]
+    inside = rows is others
+    for side, against in ((rows, others),) if inside else ((rows, others), (others, rows)):
+        second = side is others and not inside
+        for i in side[component[side] != most].tolist():
+            theirs = component[against]
+            if inside:
+                fits = (theirs != component[i]) & ((theirs == most) | (against > i))
+            elif second:
+                fits = theirs == most
             else:
-                rows, others = x + np.flatnonzero(block[x:y] == low[x]), x + np.flatnonzero(block[x:y] == high[x])
-            for i in rows.tolist():
-                against = others[(component[others] != component[i]) & ((others > i) | (low[x] != high[x]))]
-                near = against[distances(sigs[against], sigs[i]) <= RADIUS]
-                found_a.append(np.minimum(node[near], node[i]))
-                found_b.append(np.maximum(node[near], node[i]))
-        if found_a:
-            yield batch(schema, [np.concatenate(found_a), np.concatenate(found_b)])
-
-
-def _across(shared: DataFrame, classes: DataFrame, labels: DataFrame, block: int) -> DataFrame:
-    """Pairs within the radius that share a key and lie in different components."""
-    named = shared.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+                fits = theirs != component[i]
+            near = against[fits]
+            far = distances(sigs[near], sigs[i])
+            if nearest:
+                if len(near) and far.min() <= NEAREST_RADIUS:
+                    yield node[i], node[near[far.argmin()]]
+                continue
+            near = near[far <= RADIUS]
+            near = near[first_slots(sigs[i], sigs[near]) == slot] if len(near) else near
+            for j in near.tolist():
+                yield node[i], node[j]
+
+
+def _cross(nearest: bool):
+    schema = arrow_schema("a long, b long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ["key", "low", "high"]):
+            t = t.combine_chunks()
+            node, component, block, slot, low, high = (t.column(c).to_numpy() for c in ("node", "component", "block", "slot", "low", "high"))
+            sigs = _signatures(t.column("sig"))
+            bounds = group_slices([t.column("key").to_numpy(), low, high])
+            found: list[tuple[int, int]] = []
+            for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if low[x] == high[x]:
+                    rows = others = np.arange(x, y)
+                else:
+                    rows, others = x + np.flatnonzero(block[x:y] == low[x]), x + np.flatnonzero(block[x:y] == high[x])
+                found += _cell(node, component, sigs, int(slot[x]), rows, others, nearest)
+            if found:
+                pairs = np.array(found, np.int64)
+                yield batch(schema, [pairs.min(axis=1), pairs.max(axis=1)])
+
+    return run
+
+
+def _across(shared: DataFrame, classes: DataFrame, labels: DataFrame, block: int, nearest: bool) -> DataFrame:
+    """Pairs that share a key and lie in different components.
+
+    All pairs within the radius, each once; or with ``nearest``, for each member the nearest one of
+    another component, under a quarter of the keys.
+    """
+    if nearest:
+        shared = shared.where(F.col("slot") % WIDTH == 0)
+    named = shared.join(labels, "node", "left").select("key", "slot", "node", F.coalesce("component", "node").alias("component"))
     mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"))
     mixed = mixed.where("x < y").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     entries = named.join(mixed, "key").join(classes, "node")
     entries = entries.withColumn("block", F.pmod(F.hash("node", F.lit(3)), F.col("blocks")))
     dealt = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "node", "component", "sig", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    low, high = F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+    dealt = dealt.select("key", "slot", "node", "component", "sig", "block", low, high)
     sorted_ = dealt.repartition(parts(dealt), "key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return sorted_.mapInArrow(_cross, "a long, b long").distinct()
+    return sorted_.mapInArrow(_cross(nearest), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -235,7 +287,7 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERC
     classes = written(classes.dropDuplicates(["node", "set_a", "set_b"]).select("node", "sig").repartition(n, "node"))
     entries = index(classes)
     lowest = entries.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("top")).where("a < top").select("key", "a")
-    shared = written(entries.join(lowest, "key").select("key", "node", "a"))
+    shared = written(entries.join(lowest, "key").select("key", "node", "slot", "a"))
     stars = shared.where("node > a").select("a", F.col("node").alias("b")).distinct()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(_pack, "doc_id long, body binary")
@@ -243,8 +295,11 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERC
     bodies = written(texts.repartition(n, "doc_id").join(met, "doc_id", "left_semi").withColumnRenamed("doc_id", "node"))
 
     links = written(confirm(within_radius(stars, classes), bodies, size, percent))
-    rest = confirm(_across(shared.select("key", "node"), classes, components(links), block), bodies, size, percent)
-    labels = written(components(links.unionByName(rest)))
+    shared = shared.drop("a")
+    for nearest in (*[True] * NEAREST_ROUNDS, False):
+        met = confirm(_across(shared, classes, components(links), block, nearest), bodies, size, percent)
+        links = written(links.unionByName(met))
+    labels = written(components(links))
 
     found = marks.join(nodes, ["set_a", "set_b", "n_shingles"], "left").join(labels, "node", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "node")).otherwise(F.col("doc_id"))
