@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.llm import words as W
@@ -130,3 +130,17 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     found = recipes.join(groups, "recipe")
     kept = F.col("row") == F.coalesce("best", "any_row")
     return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+
+
+def without_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns; of repeated equal rows one stays."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    print_ = F.sha2(F.translate(F.coalesce("text", F.lit("")), upper, lower).cast("binary"), 256)
+    stays = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("id_"), F.col("text_sha256").alias("print_"))
+    rows = docs.withColumn("row_print_", print_)
+    same = (F.col("row_print_") == F.col("print_")) & F.col("doc_id").cast("long").eqNullSafe(F.col("id_"))
+    rows = rows.join(stays, same, "left_semi")
+    # Rows that agree in id and text are the only ones left of their group.
+    repeats = Window.partitionBy("row_print_", "doc_id").orderBy(F.lit(0))
+    rows = rows.withColumn("repeat_", F.row_number().over(repeats)).where("repeat_ = 1")
+    return rows.select(*[rows[c] for c in docs.columns])

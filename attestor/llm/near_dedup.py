@@ -305,3 +305,9 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERC
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "node")).otherwise(F.col("doc_id"))
     found = found.select("doc_id", "n_shingles", component.alias("component_id"))
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, all columns, of the document that stays of each component; rows without id stay."""
+    stays = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("id_")).distinct()
+    return docs.join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col("id_")), "left_semi")

@@ -4,18 +4,54 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from attestor.llm import near_dedup
-from attestor.llm.frames import table
+from attestor.llm import bpe, exact_dedup, language, mixing, near_dedup
+from attestor.llm.frames import crc_mod, table
+
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = crc_mod("doc_id", 4) == 2
+    found = language.predict(docs.drop("lang", "source"), language.fit(docs.where(~held)), held)
+    return found.select("doc_id", F.col("held").cast("boolean").alias("held_out"), "lang_pred", "score")
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = bpe.encode(table(spark, sf_dir, "documents"), WORD_BPE, decoded=True)
+    return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_language_id": op2_language_id,
+    "op4_bpe": op4_bpe,
+    "op7_exact_dedup": op7_exact_dedup,
+    "op9_source_mix": op9_source_mix,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op7_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+               doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+        FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+              FROM documents) WINDOW same AS (PARTITION BY t)
+    """,
+    "op9_source_mix": mixing.SQL,
+}
