@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import bpe, exact_dedup, language, mixing, near_dedup
+from attestor.llm import bpe, exact_dedup, language, media, mixing, near_dedup, packing, quality, substring_dedup, templates
 from attestor.llm.frames import crc_mod, table
+from attestor.session import work_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,26 +27,55 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("held").cast("boolean").alias("held_out"), "lang_pred", "score")
 
 
+def op3_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = bpe.encode(table(spark, sf_dir, "documents"), WORD_BPE, decoded=True)
     return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op5_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+    digests = (F.sha2(c, 256).alias(f"{c}_sha256") for c in ("ids", "positions"))
+    return packed.select("shard", "row", "n_tokens", "doc_ids", "parts", "ends", *digests)
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_path(spark, "media")
+    media.write_archives(table(spark, sf_dir, "documents"), folder)
+    return media.features(media.read_archives(spark, folder))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held = crc_mod("doc_id", 5) == 0
+    model = quality.fit(docs.join(labels.where(~held).select("doc_id", "quality"), "doc_id"), "quality")
+    found = quality.predict(docs, model, carry=held)
+    return found.select("doc_id", F.col("held").cast("boolean").alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_minhash_near_dedup": op1_minhash_near_dedup,
-    "op2_language_id": op2_language_id,
-    "op4_bpe": op4_bpe,
-    "op7_exact_dedup": op7_exact_dedup,
-    "op9_source_mix": op9_source_mix,
-}
+    query.__name__: query
+    for query in (
+        op1_minhash_near_dedup, op2_language_id, op3_page_text, op4_bpe, op5_token_packing, op6_substring_dedup, op7_exact_dedup, op8_media,
+        op9_source_mix, op10_quality,
+    )
+}
 
 ORACLE: dict[str, str] = {
     "op7_exact_dedup": """
