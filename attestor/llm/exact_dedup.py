@@ -49,7 +49,7 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     inner = inner[inner - begin >= WINDOW]
     stops = np.union1d(inner, offsets[1:])
     stops = stops[stops > 0]
-    starts = np.concatenate(([0], stops[:-1]))
+    starts = np.concatenate(([0], stops))[:-1]
     long = np.flatnonzero(stops - starts > LONGEST_CHUNK)
     if len(long):
         more = [np.arange(starts[i] + LONGEST_CHUNK, stops[i], LONGEST_CHUNK) for i in long]
@@ -65,7 +65,7 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in W.slices(b.column("text")):
             data, offsets = W.LOWER[piece.data], piece.offsets
             stops = cuts(data, offsets)
-            starts = np.concatenate(([0], stops[:-1])).astype(np.int64)
+            starts = np.concatenate(([0], stops))[:-1].astype(np.int64)
             with np.errstate(over="ignore"):
                 up, down = W._power_tables(len(data) + 1)
                 total = np.zeros(len(data) + 1, _U)

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.frames import written
+from attestor.llm.frames import parts, written
+
+#: Edges of one task; small rounds are not spread over more tasks than they need.
+TASK_EDGES = 250_000
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
@@ -21,6 +24,10 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    return df.coalesce(max(1, min(parts(df), -(-rows // TASK_EDGES))))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` with the smallest node id of each component, for every node that has a link.
 
@@ -33,12 +40,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = written(edges)
     mark = _mark(edges)
     while mark[0]:
+        edges = _few(edges, mark[0])
         around = _both_ways(edges)
-        large = around.where("v > u").join(_lowest(around), "u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u > v").distinct()
-        large = written(large)
+        large = around.where("v > u").join(_lowest(around), "u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u > v")
+        large = written(_few(large, mark[0]))
         lowest = _lowest(large)
         small = large.join(lowest, "u").where("v > low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        edges = written(small.unionByName(lowest.select("u", F.col("low").alias("v"))).where("u > v").distinct())
+        edges = written(_few(small.unionByName(lowest.select("u", F.col("low").alias("v"))).where("u > v").distinct(), mark[0]))
         before, mark = mark, _mark(edges)
         if mark == before:
             break

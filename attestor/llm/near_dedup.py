@@ -294,12 +294,12 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERC
     met = shared.select(F.col("node").alias("doc_id")).distinct().repartition(n, "doc_id")
     bodies = written(texts.repartition(n, "doc_id").join(met, "doc_id", "left_semi").withColumnRenamed("doc_id", "node"))
 
-    links = written(confirm(within_radius(stars, classes), bodies, size, percent))
+    labels = components(confirm(within_radius(stars, classes), bodies, size, percent))
     shared = shared.drop("a")
     for nearest in (*[True] * NEAREST_ROUNDS, False):
-        met = confirm(_across(shared, classes, components(links), block, nearest), bodies, size, percent)
-        links = written(links.unionByName(met))
-    labels = written(components(links))
+        met = confirm(_across(shared, classes, labels, block, nearest), bodies, size, percent)
+        known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        labels = components(known.unionByName(met))
 
     found = marks.join(nodes, ["set_a", "set_b", "n_shingles"], "left").join(labels, "node", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "node")).otherwise(F.col("doc_id"))
