@@ -11,7 +11,8 @@ its anchor. Only paths are shuffled, one row for some fourteen windows:
   words, whose windows are then compared one by one under their node.
 
 A path or window is known by the hash of its words next to that of its anchor, so only texts that
-share the anchor could ever be confused. Rows are named by ``doc_id`` and a hash of it and all their words.
+share the anchor could ever be confused. A row is named by a hash of its ``doc_id`` and all its words,
+and a ``spot`` holds, in one number, a second such hash, the place of a window and how many follow it.
 """
 
 from __future__ import annotations
@@ -26,14 +27,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestor.llm import words as W
-from attestor.llm.frames import arrow_schema, batch, parts, written
+from attestor.llm.frames import arrow_schema, batch, parts
 
 WINDOW = 35
-ANCHOR = 8
+ANCHOR = 6
 
 _U = np.uint64
-_EDGES = "node long, path long, doc_id long, name long, place long, n int"
+_EDGES = "node long, path long, name long, spot long"
 _TEXTS = "doc_id long, name long, body binary"
+#: A spot: 25 bits of the row's second hash, 32 of the word place, 6 of the number of windows.
+_COUNT_BITS, _PLACE_BITS, _CHECK_BITS = 6, 32, 25
+#: In place of the number: a single window of a path that occurs more than once.
+_WITNESS = (1 << _COUNT_BITS) - 1
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
@@ -54,11 +59,21 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def names(found: W.Words, ids: pa.Array) -> np.ndarray:
-    """A hash of each text's id and words, so that copies of a text lie apart."""
+def names(found: W.Words, ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each text's id and words, so that copies of a text lie apart, and the check bits of a second one."""
     with np.errstate(over="ignore"):
         own = W.mix(ids.fill_null(0).to_numpy().astype(np.int64).view(_U) + _U(1))
-        return W.mix(W.long_gram(found.hashes, found.first[:-1], found.first[1:]) + own)
+        whole = W.long_gram(found.hashes, found.first[:-1], found.first[1:])
+        return W.mix(whole + own), W.mix(whole ^ (own * _U(3))) >> _U(64 - _CHECK_BITS)
+
+
+def spots(check: np.ndarray, place: np.ndarray, n) -> np.ndarray:
+    return (check.astype(np.int64) << (_PLACE_BITS + _COUNT_BITS)) | (place.astype(np.int64) << _COUNT_BITS) | np.asarray(n, np.int64)
+
+
+def read_spots(spot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Check bits, word places and numbers of windows."""
+    return spot >> (_PLACE_BITS + _COUNT_BITS), (spot >> _COUNT_BITS) & ((1 << _PLACE_BITS) - 1), spot & _WITNESS
 
 
 def paths(found: W.Words, window: int = WINDOW):
@@ -67,16 +82,16 @@ def paths(found: W.Words, window: int = WINDOW):
     none = np.zeros(0, np.int64)
     if not len(lengths) or lengths.max() < window:
         return none, np.zeros(0, _U), none, none
-    anchor = min(ANCHOR, window)
+    anchor = max(min(ANCHOR, window), window - _WITNESS + 2)
     grams = W.grams(found.hashes, anchor)
-    at = sliding_argmin(grams, window - anchor + 1)
+    at = sliding_argmin(grams, window - anchor + 1)  # fewer places than the witness number
     edge = np.zeros(total + 1, np.int64)
     long = np.flatnonzero(lengths >= window)
     np.add.at(edge, found.first[long], 1)
     np.add.at(edge, found.first[long] + lengths[long] - window + 1, -1)
     starts = np.flatnonzero(np.cumsum(edge[:-1]))
     at = at[starts]
-    # An anchor lies in one text, so a new text is a new anchor.
+    # A path has at most as many windows as places for its anchor in one. An anchor lies in one text, so a new text is a new anchor.
     begin = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     n = np.diff(np.append(begin, len(starts)))
     first = starts[begin]
@@ -93,8 +108,8 @@ def _edges(window: int):
                 text, node, first, n = paths(found, window)
                 if len(text):
                     path = W.long_gram(found.hashes, first, first + n + window - 1)
-                    ids = b.column("doc_id").slice(piece.row, len(piece.offsets) - 1)
-                    yield batch(schema, [node, path, ids.take(pa.array(text)), names(found, ids)[text], first - found.first[text], n.astype(np.int32)])
+                    name, check = names(found, b.column("doc_id").slice(piece.row, len(piece.offsets) - 1))
+                    yield batch(schema, [node, path, name[text], spots(check[text], first - found.first[text], n)])
 
     return run
 
@@ -107,41 +122,40 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bounds = piece.offsets.tolist()
             bodies = [press.compress(piece.data[x:y].tobytes()) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
             ids = b.column("doc_id").slice(piece.row, len(bodies))
-            yield batch(schema, [ids, names(W.words(piece), ids), bodies])
+            yield batch(schema, [ids, names(W.words(piece), ids)[0], bodies])
 
 
 def _unpacked(body: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(body) if body else b""
 
 
-_WINDOWS = "node long, edge long, doc_id long, name long, place long, times long"
+def _words(ids: pa.Array, row: int, text: bytes) -> tuple[np.ndarray, int]:
+    """Word hashes of one text and its check bits."""
+    found = W.words(W.Slice(0, np.frombuffer(text, np.uint8), np.array([0, len(text)])))
+    return found.hashes, int(names(found, ids.slice(row, 1))[1][0])
 
 
 def _windows(window: int):
     """The single windows of the paths asked for, from their texts."""
-    schema = arrow_schema(_WINDOWS)
+    schema = arrow_schema(_EDGES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
-                text = _unpacked(b.column("body")[row].as_py())
-                hashes = W.words(W.Slice(0, np.frombuffer(text, np.uint8), np.array([0, len(text)]))).hashes
-                asked = b.column("asked")[row].as_py()
-                first = np.array([a["place"] for a in asked], np.int64)
-                n = np.array([a["n"] for a in asked], np.int64)
+                hashes, check = _words(b.column("doc_id"), row, _unpacked(b.column("body")[row].as_py()))
+                asked = b.column("asked")[row].values
+                node, spot, again = (asked.field(c).to_numpy(zero_copy_only=False) for c in ("node", "spot", "again"))
+                checks, first, n = read_spots(spot)
+                mine = checks == check
+                node, first, n, again = node[mine], first[mine], n[mine], again[mine]
                 starts = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
                 edge = W.long_gram(hashes, starts, starts + window)
-                node = np.repeat(np.array([a["node"] for a in asked], np.int64), n)
-                times = np.repeat(np.array([a["times"] for a in asked], np.int64), n)
-                ids = pa.array([b.column("doc_id")[row].as_py()] * len(starts), pa.int64())
-                name = np.full(len(starts), b.column("name")[row].as_py(), np.int64)
-                yield batch(schema, [node, edge, ids, name, starts, times])
+                mark = spots(np.full(len(starts), check), starts, np.where(np.repeat(again, n), _WITNESS, 1))
+                yield batch(schema, [np.repeat(node, n), edge, np.full(len(starts), b.column("name")[row].as_py(), np.int64), mark])
 
     return run
 
 
-
-
 def _remove(window: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
@@ -149,11 +163,14 @@ def _remove(window: int):
         for b in batches:
             n_words, n_removed, kept = [], [], []
             for row in range(b.num_rows):
-                words = _unpacked(b.column("body")[row].as_py()).split()
+                text = _unpacked(b.column("body")[row].as_py())
+                words = text.split()
                 spans = b.column("spans")[row].values
                 covered = np.zeros(len(words) + 1, np.int64)
                 if spans is not None and len(spans):
-                    place, n = (spans.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("place", "n"))
+                    check, place, n = read_spots(spans.to_numpy(zero_copy_only=False))
+                    mine = check == _words(b.column("doc_id"), row, text)[1]
+                    place, n = place[mine], n[mine]
                     np.add.at(covered, place, 1)
                     np.add.at(covered, place + n + window - 1, -1)
                 stay = np.cumsum(covered[:-1]) == 0
@@ -169,34 +186,27 @@ def _remove(window: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, texts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id, name, place, n``: ``n`` consecutive windows from word ``place`` on that start elsewhere too."""
+def repeated_spots(docs: DataFrame, texts: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``name, spot`` of all windows that start elsewhere too.
+
+    One plan without written steps: what several branches of it need is shuffled once and read again.
+    """
     edges = docs.mapInArrow(_edges(window), _EDGES)
     nodes = edges.groupBy("node").agg(F.count(F.lit(1)).alias("met"), F.min("path").alias("x"), F.max("path").alias("y")).where("met > 1")
-    edges = written(edges.join(nodes.select("node", (F.col("x") != F.col("y")).alias("branches")), "node"))
-    row = ["doc_id", "name", "place", "n"]
-
-    branching = edges.where("branches")
-    by_path = branching.groupBy("node", "path").agg(
-        F.count(F.lit(1)).alias("times"), F.min("name").alias("name"), F.min_by("doc_id", "name").alias("doc_id"), F.min_by("place", "name").alias("place"), F.max("n").alias("n")
-    )
-    by_path = written(by_path)
+    edges = edges.join(nodes.select("node", (F.col("x") != F.col("y")).alias("branches")), "node")
+
+    branching = edges.where("branches").drop("branches")
+    by_path = branching.groupBy("node", "path").agg(F.count(F.lit(1)).alias("times"), F.min("name").alias("name"), F.min_by("spot", "name").alias("spot"))
     again = branching.join(by_path.where("times > 1").select("node", "path"), ["node", "path"])
 
-    step = F.struct("node", "place", "n", F.least("times", F.lit(2)).cast("long").alias("times"))
-    asked = by_path.groupBy("doc_id", "name").agg(F.collect_list(step).alias("asked"))
-    asked = asked.select(F.col("doc_id").alias("asked_id"), F.col("name").alias("asked_name"), "asked")
-    same = F.col("doc_id").eqNullSafe(F.col("asked_id")) & (F.col("name") == F.col("asked_name"))
-    # Equal rows have equal windows: one of them stands for its name.
-    sources = texts.join(asked, same).select("doc_id", "name", "body", "asked").dropDuplicates(["doc_id", "name"])
-    windows = written(sources.mapInArrow(_windows(window), _WINDOWS))
-    common = windows.groupBy("node", "edge").agg(F.sum("times").alias("met")).where("met > 1").select("node", "edge")
-    single = windows.where("times = 1").join(common, ["node", "edge"])
-    return (
-        edges.where(~F.col("branches")).select(*row)
-        .unionByName(again.select(*row))
-        .unionByName(single.select("doc_id", "name", "place", F.lit(1).alias("n")))
-    )
+    step = F.struct("node", "spot", (F.col("times") > 1).alias("again"))
+    asked = by_path.groupBy("name").agg(F.collect_list(step).alias("asked"))
+    windows = texts.join(asked, "name").select("doc_id", "name", "body", "asked").mapInArrow(_windows(window), _EDGES)
+    witness = F.col("spot").bitwiseAND(_WITNESS) == _WITNESS
+    common = windows.groupBy("node", "path").agg(F.count(F.lit(1)).alias("met"), F.max(witness).alias("again")).where("met > 1 or again")
+    single = windows.where(~witness).join(common.select("node", "path"), ["node", "path"])
+    row = ["name", "spot"]
+    return edges.where(~F.col("branches")).select(*row).unionByName(again.select(*row)).unionByName(single.select(*row))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -210,12 +220,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     ignored; an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = parts(docs)
-    texts = written(docs.mapInArrow(_pack, _TEXTS).repartition(n, "name"))
-    spans = repeated_spans(docs, texts, window)
-    by_text = spans.groupBy("doc_id", "name").agg(F.collect_list(F.struct("place", "n")).alias("spans"))
-    by_text = by_text.select(F.col("doc_id").alias("id_"), F.col("name").alias("name_"), "spans").repartition(n, "name_")
-    same = (F.col("name") == F.col("name_")) & F.col("doc_id").eqNullSafe(F.col("id_"))
-    none = F.array().cast("array<struct<place:bigint,n:int>>")
-    rows = texts.join(by_text, same, "left").select("doc_id", "body", F.coalesce("spans", none).alias("spans"))
+    texts = docs.mapInArrow(_pack, _TEXTS).repartition(parts(docs), "name")
+    by_text = repeated_spots(docs, texts, window).groupBy("name").agg(F.collect_list("spot").alias("spans"))
+    rows = texts.join(by_text, "name", "left").select("doc_id", "body", F.coalesce("spans", F.array().cast("array<bigint>")).alias("spans"))
     return rows.mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept string")
