@@ -106,16 +106,16 @@ class TokenAutomaton:
         self.made = [-1] * size  # the merge whose gadget added the token's arcs
         self.lost: dict[int, int] = {}  # left token, right token -> the gadget that cut the arc
         self.steps: dict[int, bool] = {}
-        merged = set()
+        unused: set[int] = set()  # tokens without any arc
         for order, merge in enumerate(merges):
             u, v = merge.split(" ") if isinstance(merge, str) else merge
             first, second, whole = vocab[u], vocab[v], vocab[u + v]
-            merged.add(whole)
-            if not self._arc(first, second):
-                continue  # no accepted path has this pair any more
+            if first in unused or second in unused or not self._arc(first, second):
+                unused.add(whole)  # no accepted path has this pair any more
+                continue
             self.left[whole], self.right[whole], self.made[whole] = first, second, order
             self.lost[first << 20 | second] = order
-        self.spelled = {self._key(label): i for label, i in vocab.items() if i not in merged or self.made[i] >= 0}
+        self.spelled = {self._key(label): i for label, i in vocab.items() if i not in unused}
         self.longest = max(map(len, self.spelled))
         self.steps.clear()
 
