@@ -73,11 +73,11 @@ def jaccard(tokens_a: Column, tokens_b: Column) -> Column:
     )
 
 
-def title_key_words(value, limit: int = 12) -> Column:
-    """Title words longer than two characters, in order, at most ``limit`` of them."""
+def title_key_words(value, limit: int | None = None) -> Column:
+    """Title words longer than two characters, in order; the first ``limit`` of them where one is given."""
     cleaned = F.trim(F.regexp_replace(text(value), r"(?U)[^\w\s]", " "))
     words = F.filter(F.split(cleaned, r"(?U)\s+"), lambda w: F.length(w) > 2)
-    return F.slice(words, 1, limit)
+    return words if limit is None else F.slice(words, 1, limit)
 
 
 def year_in(value) -> Column:
@@ -92,10 +92,11 @@ def years_agree(year_a: Column, year_b: Column, window: int = presets.YEAR_WINDO
 
 
 def iso_date(value) -> Column:
-    """Full ISO dates (dash or slash); partial dates and other text become NULL."""
-    c = F.substring(F.replace(text(value), F.lit("/"), F.lit("-")), 1, 10)
+    """Full ISO dates (dash or slash), alone or followed by a time; partial dates and other text become NULL."""
+    c = F.replace(F.trim(text(value)), F.lit("/"), F.lit("-"))
     # The shape is tested first: failing date parses are slow.
-    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(c, "yyyy-MM-dd"))
+    whole = c.rlike(r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?)?$")
+    return F.when(whole, F.try_to_date(F.substring(c, 1, 10), "yyyy-MM-dd"))
 
 
 def truthy(value) -> Column:

@@ -131,7 +131,7 @@ def link(trials: DataFrame, publications: DataFrame, verdicts: DataFrame | None
             by_title & high,
             F.concat(
                 F.lit("Title Jaccard="), score, F.lit(f" ≥ {presets.JACCARD_HIGH} (High threshold). Matched to: "),
-                F.substring("_article_title", 1, 80), F.lit(". "), note,
+                F.col("_article_title"), F.lit(". "), note,
             ),
         )
         .when(
@@ -139,7 +139,7 @@ def link(trials: DataFrame, publications: DataFrame, verdicts: DataFrame | None
             F.concat(
                 F.lit("Stage 3 author+date disambiguation: Jaccard="), score, F.lit(", pub_year="), text("pub_year"),
                 F.lit(" within ±2 of completion_year="), text(expected), F.lit(", first_author='"), text("first_author"),
-                F.lit("'. Matched to: "), F.substring("_article_title", 1, 80), F.lit(". "), note,
+                F.lit("'. Matched to: "), F.col("_article_title"), F.lit(". "), note,
             ),
         )
         .when(

@@ -202,7 +202,7 @@ ORACLE["token_jaccard"] = _with(
     f"SELECT nct_id, {_JACCARD.format(a='ta', b='tb')} AS score FROM (SELECT nct_id, {_TOKENS.format('official_title')} AS ta, {_TOKENS.format('title')} AS tb FROM link_trials JOIN link_pubs ON nct_id = 'NCT' || lpad((pmid::BIGINT - 20000000)::VARCHAR, 8, '0'))",
     "link_trials", "link_pubs",
 )
-_KEYWORDS = "array_to_string(list_filter(regexp_split_to_array(trim(regexp_replace({0}, '[^\\w\\s]', ' ', 'g')), '\\s+'), lambda w: length(w) > 2)[1:12], ' ')"
+_KEYWORDS = "array_to_string(list_filter(regexp_split_to_array(trim(regexp_replace({0}, '[^\\w\\s]', ' ', 'g')), '\\s+'), lambda w: length(w) > 2), ' ')"
 ORACLE["title_key_words"] = _with(
     f"""SELECT 'document' AS kind, doc_id, {_KEYWORDS.format("(source || ' of ' || lang || ' titles: ' || n_chars::VARCHAR)")} AS key_words FROM documents
 UNION ALL SELECT 'trial', substr(nct_id, 4)::BIGINT, {_KEYWORDS.format('official_title')} FROM link_trials""",
@@ -243,7 +243,7 @@ SELECT *, CASE kase WHEN 'reject' THEN 'reject' WHEN 'lean' THEN 'reject' WHEN '
   kase IN ('lean', 'open') AS flag_for_review,
   CASE kase WHEN 'reject' THEN 'Publication type(s) definitively non-results: ' || array_to_string(bad, ', ') || '.'
     WHEN 'accept' THEN 'Publication type(s) confirm results paper: ' || array_to_string(good, ', ') || '.' || CASE WHEN len(secs) > 0 THEN ' Results section present.' ELSE '' END
-    WHEN 'lean' THEN 'Heuristic signals strongly favour rejection (reject_score=' || reject_score || ', accept_score=' || accept_score || '). Signals: ' || array_to_string(sig[1:5], '; ') || '.'
+    WHEN 'lean' THEN 'Heuristic signals strongly favour rejection (reject_score=' || reject_score || ', accept_score=' || accept_score || '). Signals: ' || array_to_string(sig, '; ') || '.'
     ELSE 'Heuristic signals inconclusive (reject_score=' || reject_score || ', accept_score=' || accept_score || '). Escalating to LLM arbiter.' END AS why
 FROM ({cased})"""
 
@@ -275,7 +275,7 @@ _METHOD = "CASE WHEN direct THEN 'direct' WHEN high THEN 'fuzzy' WHEN pmid2 IS N
 _CONF = "CASE WHEN direct OR high THEN 'High' WHEN pmid2 IS NOT NULL AND yok THEN 'Medium' WHEN pmid2 IS NOT NULL THEN 'Low' ELSE 'Unlinked' END"
 ORACLE["linkage_cascade"] = _with(
     f"""SELECT nct_id, coalesce(pmid, '') AS pmid, {_METHOD} AS linkage_method, {_CONF} AS linkage_confidence,
-  coalesce(regexp_extract(abstract_text, '(?i)(primary\\s+end\\s*point|primary\\s+outcome)[^\\.\\n]{{0,300}}', 0), '') AS published_endpoint,
+  coalesce(regexp_extract(abstract_text, '(?i)(primary\\s+end\\s*point|primary\\s+outcome)[^\\.\\n]*', 0), '') AS published_endpoint,
   coalesce(authors_list, '') AS first_author, coalesce(pub_year, '') AS pub_year, coalesce(journal, '') AS journal,
   CASE WHEN {_CONF} IN ('Low', 'Unlinked') THEN 'FLAGGED_FOR_REVIEW' ELSE '' END AS linkage_flag, score AS title_score FROM linked""",
     "link_trials", "link_pubs", **_LINK_CTES,
@@ -284,9 +284,9 @@ ORACLE["linkage_notes"] = _with(
     f"""SELECT nct_id, pmid, {_METHOD} AS linkage_method, {_CONF} AS linkage_confidence, 'pipeline_v3.0' AS linked_by,
   CASE WHEN pmid0 IS NOT NULL THEN 'CT.gov RESULT reference PMID ' || pmid0 || ' fetched successfully. ' || note
     WHEN pmid1 IS NOT NULL THEN 'Single direct NCT ID match in PubMed (PMID ' || pmid1 || '). ' || note
-    WHEN high THEN 'Title Jaccard=' || printf('%.3f', score) || ' ≥ 0.7 (High threshold). Matched to: ' || substr(article_title, 1, 80) || '. ' || note
+    WHEN high THEN 'Title Jaccard=' || printf('%.3f', score) || ' ≥ 0.7 (High threshold). Matched to: ' || article_title || '. ' || note
     WHEN pmid2 IS NOT NULL AND yok THEN 'Stage 3 author+date disambiguation: Jaccard=' || printf('%.3f', score) || ', pub_year=' || pub_year || ' within ±2 of completion_year=' || expected
-      || ', first_author=''' || authors_list || '''. Matched to: ' || substr(article_title, 1, 80) || '. ' || note
+      || ', first_author=''' || authors_list || '''. Matched to: ' || article_title || '. ' || note
     WHEN pmid2 IS NOT NULL THEN 'Stage 3 year mismatch: pub_year=''' || pub_year || ''' vs expected≈''' || coalesce(expected, '') || ''' (completion_date=''' || completion_date || '''). Jaccard='
       || printf('%.3f', score) || '. Human review required. ' || note
     WHEN ttl = '' THEN 'No trial title available for fuzzy matching; manual linkage required.'
@@ -333,7 +333,7 @@ ORACLE["link_review_fold"] = _with(
   CASE WHEN r.nct_id IS NULL THEN l.linkage_method ELSE 'manual' END AS linkage_method, coalesce(conf, l.linkage_confidence) AS linkage_confidence,
   CASE WHEN r.nct_id IS NULL THEN '' ELSE 'checked ' || event_type END AS linkage_notes,
   CASE WHEN conf IN ('Low', 'Unlinked') THEN 'FLAGGED_FOR_REVIEW' ELSE '' END AS linkage_flag,
-  CASE WHEN p.pmid IS NULL THEN '' ELSE regexp_extract(p.abstract_text, '(?i)primary\\s+outcome[^\\.\\n]{0,300}', 0) END AS published_endpoint,
+  CASE WHEN p.pmid IS NULL THEN '' ELSE regexp_extract(p.abstract_text, '(?i)primary\\s+outcome[^\\.\\n]*', 0) END AS published_endpoint,
   coalesce(p.journal, '') AS journal
 FROM l LEFT JOIN r ON r.nct_id = l.nct_id LEFT JOIN link_pubs p ON p.pmid = r.pmid AND conf <> 'Unlinked'""",
     "linkage_log", "link_pubs",
@@ -374,7 +374,7 @@ FROM (SELECT g.*, kase = 'open' AND g.pmid IN (SELECT pmid FROM v) AS m FROM g)
 ORACLE["arbiter_requests"] = _with(
     """SELECT pmid, '=== ARTICLE RECORD ===' || chr(10) || 'Title:             ' || title || chr(10) || 'Publication types: ' || array_to_string(list_sort(types), ', ') || chr(10)
   || 'Journal:           ' || journal || chr(10) || 'Year:              ' || pub_year || chr(10) || chr(10) || '=== ABSTRACT ===' || chr(10)
-  || CASE WHEN abstract_text = '' THEN '(no abstract available)' ELSE substr(abstract_text, 1, 1500) END || chr(10) || chr(10)
+  || CASE WHEN abstract_text = '' THEN '(no abstract available)' ELSE abstract_text END || chr(10) || chr(10)
   || 'Classify this article and return your JSON verdict.' || chr(10) AS request FROM g WHERE kase = 'open'""",
     "articles", g=_ARTICLE_GATE,
 )
@@ -455,11 +455,11 @@ FROM (SELECT *, coalesce({', '.join(_TRY)}) AS e FROM (SELECT *, CASE WHEN pmid
 """
 ORACLE["hr_extract"] = _with(
     """SELECT pair_id, nct_id, pmid, hr, lci AS hr_lci, uci AS hr_uci, log_hr, se AS se_log_hr, round(se * se, 8) AS variance, method AS extraction_method,
-  'PMID:' || pmid || ' — ' || substr(ctx, 1, 120) AS source_reference, registration_date FROM x WHERE reason IS NULL""",
+  'PMID:' || pmid || ' — ' || ctx AS source_reference, registration_date FROM x WHERE reason IS NULL""",
     "linked_lines", x=_EXTRACT,
 )
 ORACLE["hr_extract_audit"] = _with(
-    """SELECT nct_id, pmid, pair_id, hr, lci AS hr_lci, uci AS hr_uci, log_hr, se AS se_log_hr, coalesce(method, 'failed') AS extraction_method, substr(ctx, 1, 200) AS source_text,
+    """SELECT nct_id, pmid, pair_id, hr, lci AS hr_lci, uci AS hr_uci, log_hr, se AS se_log_hr, coalesce(method, 'failed') AS extraction_method, ctx AS source_text,
   reason IS NOT NULL OR method = 'rr_or_fallback' AS requires_manual_check, coalesce(reason, '') AS exclusion_reason, registration_date FROM x""",
     "linked_lines", x=_EXTRACT,
 )
