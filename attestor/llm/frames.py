@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.session import materialise
+from attestor.session import materialise, work_path
 
 _NUMPY = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "float": pa.float32()}
 
@@ -90,6 +90,13 @@ def written(df: DataFrame) -> DataFrame:
     return materialise(df)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same as :func:`written`, as a compressed table of its own in the shared folder."""
+    path = work_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def crc_mod(column: Column | str, n: int) -> Column:
     """crc32 of the value as text, modulo ``n``; NULL counts as the empty text."""
     column = F.col(column) if isinstance(column, str) else column

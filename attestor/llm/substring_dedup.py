@@ -27,11 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestor.llm import words as W
-from attestor.llm.frames import arrow_schema, batch, parts
+from attestor.llm.frames import arrow_schema, batch, group_slices, parts, stored, whole_groups
 
 WINDOW = 35
 ANCHOR = 6
 
+#: Paths of one node that a task compares by itself.
+MANY_PATHS = 256
+
 _U = np.uint64
 _EDGES = "node long, path long, name long, spot long"
 _TEXTS = "doc_id long, name long, body binary"
@@ -135,9 +138,15 @@ def _words(ids: pa.Array, row: int, text: bytes) -> tuple[np.ndarray, int]:
     return found.hashes, int(names(found, ids.slice(row, 1))[1][0])
 
 
-def _windows(window: int):
-    """The single windows of the paths asked for, from their texts."""
-    schema = arrow_schema(_EDGES)
+_BUNDLES = "node long, name long, spot long, edges binary"
+
+
+def _bundles(window: int, one_by_one: bool):
+    """The windows of the paths asked for, from their texts: a bundle per path, or a row per window.
+
+    A path that occurs again carries the witness number in its spot.
+    """
+    schema = arrow_schema(_EDGES if one_by_one else _BUNDLES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,12 +159,45 @@ def _windows(window: int):
                 node, first, n, again = node[mine], first[mine], n[mine], again[mine]
                 starts = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
                 edge = W.long_gram(hashes, starts, starts + window)
-                mark = spots(np.full(len(starts), check), starts, np.where(np.repeat(again, n), _WITNESS, 1))
-                yield batch(schema, [np.repeat(node, n), edge, np.full(len(starts), b.column("name")[row].as_py(), np.int64), mark])
+                name = b.column("name")[row].as_py()
+                if one_by_one:
+                    mark = spots(np.full(len(starts), check), starts, np.where(np.repeat(again, n), _WITNESS, 1))
+                    yield batch(schema, [np.repeat(node, n), edge, np.full(len(starts), name, np.int64), mark])
+                else:
+                    mark = spots(np.full(len(first), check), first, np.where(again, _WITNESS, n))
+                    bundles = [x.tobytes() for x in np.split(edge, np.cumsum(n)[:-1])] if len(n) else []
+                    yield batch(schema, [node, np.full(len(first), name, np.int64), mark, bundles])
 
     return run
 
 
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of windows that another path of the same node has too, from bundles in order of their nodes."""
+    schema = arrow_schema("name long, spot long")
+    for t in whole_groups(batches, ["node"]):
+        t = t.combine_chunks()
+        bundles = t.column("edges").to_pylist()
+        n = np.array([len(x) // 8 for x in bundles], np.int64)
+        edge = np.frombuffer(b"".join(bundles), np.int64)
+        node = np.repeat(t.column("node").to_numpy(), n)
+        check, place, mark = read_spots(t.column("spot").to_numpy())
+        order = np.lexsort((edge, node))
+        bounds = group_slices([node[order], edge[order]])
+        weight = np.repeat(np.where(mark == _WITNESS, 2, 1), n)[order]
+        met = np.empty(len(edge), bool)
+        met[order] = np.repeat(np.add.reduceat(weight, bounds[:-1]) > 1, np.diff(bounds)) if len(edge) else False
+        row = np.repeat(np.arange(len(n)), n)
+        met &= mark[row] != _WITNESS  # those are known to be repeated
+        at = np.flatnonzero(met)
+        if not len(at):
+            continue
+        new = np.concatenate(([True], (np.diff(at) != 1) | (np.diff(row[at]) != 0)))
+        begin, length = at[new], np.diff(np.append(np.flatnonzero(new), len(at)))
+        rows = row[begin]
+        inside = begin - (np.cumsum(n) - n)[rows]
+        yield batch(schema, [t.column("name").to_numpy()[rows], spots(check[rows], place[rows] + inside, length)])
+
+
 def _remove(window: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
@@ -186,30 +228,37 @@ def _remove(window: int):
     return run
 
 
-def repeated_spots(docs: DataFrame, texts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``name, spot`` of all windows that start elsewhere too.
-
-    One plan without written steps: what several branches of it need is shuffled once and read again.
-    """
+def repeated_spots(docs: DataFrame, texts: DataFrame, window: int = WINDOW, many: int = MANY_PATHS) -> DataFrame:
+    """``name, spot`` of all windows that start elsewhere too."""
+    n = parts(docs)
     edges = docs.mapInArrow(_edges(window), _EDGES)
     nodes = edges.groupBy("node").agg(F.count(F.lit(1)).alias("met"), F.min("path").alias("x"), F.max("path").alias("y")).where("met > 1")
-    edges = edges.join(nodes.select("node", (F.col("x") != F.col("y")).alias("branches")), "node")
+    edges = stored(edges.join(nodes.select("node", (F.col("x") != F.col("y")).alias("branches")), "node"), "edges")
 
     branching = edges.where("branches").drop("branches")
     by_path = branching.groupBy("node", "path").agg(F.count(F.lit(1)).alias("times"), F.min("name").alias("name"), F.min_by("spot", "name").alias("spot"))
+    by_path = stored(by_path, "paths")
     again = branching.join(by_path.where("times > 1").select("node", "path"), ["node", "path"])
 
-    step = F.struct("node", "spot", (F.col("times") > 1).alias("again"))
-    asked = by_path.groupBy("name").agg(F.collect_list(step).alias("asked"))
-    windows = texts.join(asked, "name").select("doc_id", "name", "body", "asked").mapInArrow(_windows(window), _EDGES)
+    crowds = by_path.groupBy("node").agg(F.count(F.lit(1)).alias("paths"))
+    known = by_path.join(crowds, "node").select("name", "paths", F.struct("node", "spot", (F.col("times") > 1).alias("again")).alias("step"))
+
+    def sources(condition: str) -> DataFrame:
+        asked = known.where(condition).groupBy("name").agg(F.collect_list("step").alias("asked"))
+        return texts.join(asked, "name").select("doc_id", "name", "body", "asked")
+
+    bundles = sources(f"paths <= {many}").mapInArrow(_bundles(window, False), _BUNDLES)
+    few = bundles.repartition(n, "node").sortWithinPartitions("node").mapInArrow(_common, "name long, spot long")
+    # The windows of a crowded node are counted one by one, so that no task needs the node whole.
+    crowded = sources(f"paths > {many}").mapInArrow(_bundles(window, True), _EDGES)
     witness = F.col("spot").bitwiseAND(_WITNESS) == _WITNESS
-    common = windows.groupBy("node", "path").agg(F.count(F.lit(1)).alias("met"), F.max(witness).alias("again")).where("met > 1 or again")
-    single = windows.where(~witness).join(common.select("node", "path"), ["node", "path"])
+    common = crowded.groupBy("node", "path").agg(F.count(F.lit(1)).alias("met"), F.max(witness).alias("again")).where("met > 1 or again")
+    single = crowded.where(~witness).join(common.select("node", "path"), ["node", "path"])
     row = ["name", "spot"]
-    return edges.where(~F.col("branches")).select(*row).unionByName(again.select(*row)).unionByName(single.select(*row))
+    return edges.where(~F.col("branches")).select(*row).unionByName(again.select(*row)).unionByName(few).unionByName(single.select(*row))
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, many: int = MANY_PATHS) -> DataFrame:
     """Every text of ``docs`` (``doc_id``, ``text``) without the words of windows that occur elsewhere.
 
     Returns ``doc_id``, ``n_words``, ``n_removed`` and ``kept``: the words that stay, joined by one space. A
@@ -220,7 +269,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     ignored; an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = docs.mapInArrow(_pack, _TEXTS).repartition(parts(docs), "name")
-    by_text = repeated_spots(docs, texts, window).groupBy("name").agg(F.collect_list("spot").alias("spans"))
+    # The filter drops nothing; with it all uses of the texts have one plan and share one shuffle.
+    texts = docs.mapInArrow(_pack, _TEXTS).where("name is not null").repartition(parts(docs), "name")
+    by_text = repeated_spots(docs, texts, window, many).groupBy("name").agg(F.collect_list("spot").alias("spans"))
     rows = texts.join(by_text, "name", "left").select("doc_id", "body", F.coalesce("spans", F.array().cast("array<bigint>")).alias("spans"))
     return rows.mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept string")

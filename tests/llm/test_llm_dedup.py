@@ -185,14 +185,14 @@ def brute_repeats(texts, window):
     return out
 
 
-@pytest.mark.parametrize("window", [1, 3, 12, 35])
-def test_repeats_as_brute_force(spark, window):
+@pytest.mark.parametrize("window, many", [(1, 256), (3, 2), (12, 3), (35, 256), (35, 1)])
+def test_repeats_as_brute_force(spark, window, many):
     passage = words_of(90, 11)
     texts = [words_of(60, 20) + passage + words_of(50, 21), words_of(10, 22) + passage[:70] + words_of(50, 23), passage[20:] + passage, ["the"] * 100, ["a", "b"] * 60]
     texts += [words_of(200, 30 + k, 3) for k in range(4)] + [["x"], [], words_of(35, 50), words_of(35, 50), words_of(34, 51), words_of(34, 51)]
     texts = {i: " ".join(t) for i, t in enumerate(texts)} | {100: None, 101: "  A\tA\n" * 50, 102: "Ä " * 40}
     docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in texts.items()], DOCS)
-    found = substring_dedup.without_repeats(docs, window).collect()
+    found = substring_dedup.without_repeats(docs, window, many).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in found} == brute_repeats(texts, window)
 
 
