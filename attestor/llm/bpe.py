@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from attestor.llm.frames import arrow_schema, batch
 
-#: Words and transitions a worker remembers; when full it starts anew.
-KNOWN_WORDS = 500_000
+#: Words, stretches between white space and transitions a worker remembers.
+KNOWN_WORDS = 600_000
 KNOWN_STEPS = 500_000
 _END = "\0"
 #: White space as the tokenizer's pattern engine knows it. Fixed values.
@@ -61,6 +61,8 @@ def _newer_signs() -> str:
     """The ranges as the inside of a character class."""
     pairs = (pair.split() for pair in _NEWER_SIGNS.split(","))
     return "".join(f"{chr(int(a, 16))}-{chr(int(b, 16))}" for a, b in pairs)
+#: What Python splits at, but the tokenizer doesn't. Fixed values.
+_NOT_SPACES = "\x1c\x1d\x1e\x1f"
 
 
 def _byte_letters() -> list[str]:
@@ -70,6 +72,30 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in visible else next(hidden)) for b in range(256)]
 
 
+class Memory:
+    """Ids of texts met before: when the younger half is full it becomes the older one, which is then forgotten."""
+
+    def __init__(self, most: int):
+        self.half = most // 2
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def find(self, key: str) -> bytes | None:
+        ids = self.young.get(key)
+        if ids is None:
+            ids = self.old.get(key)
+            if ids is not None:
+                self.keep(key, ids)
+        return ids
+
+    def keep(self, key: str, ids: bytes) -> bytes:
+        if len(key) <= 64:
+            if len(self.young) >= self.half:
+                self.old, self.young = self.young, {}
+            self.young[key] = ids
+        return ids
+
+
 class TokenAutomaton:
     """Encoder and decoder for one tokenizer file with word ends (see the module's description)."""
 
@@ -94,7 +120,9 @@ class TokenAutomaton:
         self._capitals = re.compile(f"[{''.join(map(chr, self._small)) or chr(0)}]")
         self._letters = dict(enumerate(_byte_letters()))
         self._compile(model["vocab"], model["merges"])
-        self.known: dict[str, tuple[int, ...]] = {}
+        self._label_of = np.array([self.labels.get(i, "") for i in range(max(self.labels) + 1)], object)
+        self._solid = re.compile(f"[^{_SPACES}]+")
+        self.known, self.words = Memory(KNOWN_WORDS), Memory(KNOWN_WORDS)  # stretches between white space; words
 
     def _key(self, label: str) -> str:
         """A label as spelled in a word: the word end is one sign."""
@@ -190,41 +218,55 @@ class TokenAutomaton:
             return self.path(word + _END)  # these letters stand for themselves
         return self.path(word.encode().decode("latin-1").translate(self._letters) + _END)
 
-    def _plain(self, text: str, out: list[int]) -> None:
+    def _word(self, word: str) -> bytes:
+        ids = self.words.find(word)
+        return self.words.keep(word, np.array(self.encode_word(word), "<u4").tobytes()) if ids is None else ids
+
+    def _stretch(self, stretch: str) -> bytes:
+        """Ids of a lower-case stretch: its words by the splitting pattern, one after the other."""
+        ids = self.known.find(stretch)
+        if ids is not None:
+            return ids
+        text = stretch if self._capitals.search(stretch) is None else stretch.translate(self._small)
+        pattern = self._words if self._newer.search(text) is None else self._strict_words
+        return self.known.keep(stretch, b"".join(map(self._word, pattern.findall(text))))
+
+    def _plain(self, text: str) -> bytes:
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         if not text.isascii():
             text = text.replace("Σ", "σ")  # lower-cased letter by letter: no final form
-            if self._capitals.search(text):
-                text = text.translate(self._small)
         text = text.lower()
-        pattern = self._words if self._newer.search(text) is None else self._strict_words
-        known = self.known
-        for word in pattern.findall(text):
-            ids = known.get(word)
-            if ids is None:
-                if len(known) >= KNOWN_WORDS:
-                    known.clear()
-                ids = self.encode_word(word)
-                if len(word) <= 64:
-                    known[word] = ids
-            out += ids
-
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+        # No word has white space in it, so what stands between white space is looked up as a whole.
+        if any(sign in text for sign in _NOT_SPACES):
+            stretches = self._solid.findall(text)
+        else:
+            stretches = text.split()
+        found = list(map(self.known.young.get, stretches))
+        at = -1
+        try:
+            while True:
+                at = found.index(None, at + 1)
+                found[at] = self._stretch(stretches[at])
+        except ValueError:
+            return b"".join(found)
+
+    def encode_bytes(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit numbers."""
         if self._special is None or self._special.search(text) is None:
-            self._plain(text, out)
-            return out
-        at = 0
+            return self._plain(text)
+        out, at = [], 0
         for hit in self._special.finditer(text):
-            self._plain(text[at : hit.start()], out)
-            out.append(self.special[hit.group()])
+            out += [self._plain(text[at : hit.start()]), np.array([self.special[hit.group()]], "<u4").tobytes()]
             at = hit.end()
-        self._plain(text[at:], out)
-        return out
+        return b"".join([*out, self._plain(text[at:])])
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
 
-    def decode(self, ids: list[int]) -> str:
-        return " ".join(map(self.labels.__getitem__, ids))
+    def decode(self, ids: list[int] | np.ndarray) -> str:
+        """The labels of the arcs, joined as the tokenizer joins them."""
+        return " ".join(self._label_of[np.asarray(ids, np.int64)].tolist())
 
 
 @lru_cache(maxsize=2)
@@ -259,11 +301,10 @@ def _encode(path: str, decoded: bool):
             for row, texts in _pieces(b.column("text")):
                 n, ids, back = [], [], []
                 for text in texts:
-                    tokens = machine.encode(text)
-                    n.append(len(tokens))
-                    ids.append(np.array(tokens, "<u4").tobytes())
+                    ids.append(machine.encode_bytes(text))
+                    n.append(len(ids[-1]) // 4)
                     if decoded:
-                        back.append(machine.decode(tokens))
+                        back.append(machine.decode(np.frombuffer(ids[-1], "<u4")))
                 yield batch(schema, [b.column("doc_id").slice(row, len(n)), n, ids, *([back] if decoded else [])])
 
     return run
@@ -287,7 +328,7 @@ def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(path)
         for b in batches:
-            texts = [machine.decode(np.frombuffer(x.as_py() or b"", "<u4").tolist()) for x in b.column("ids")]
+            texts = [machine.decode(np.frombuffer(x.as_py() or b"", "<u4")) for x in b.column("ids")]
             yield batch(schema, [b.column("doc_id"), texts])
 
     return run
