@@ -7,9 +7,11 @@ one symbol left out, and all pairs within that distance meet under a common key.
 similarity limit differ in a quarter of the symbols on average, half of that distance.
 
 Texts with equal sets are one class. Under a key, each class is first compared with the key's
-smallest class only, then with its nearest one of another component; large groups of near copies join
-there. In the end keys that still hold several components are searched for all pairs, and only pairs
-from different components. What a key holds is dealt over blocks, so no task needs it whole.
+smallest class only. The pairs within the radius make groups, the confirmed ones components; large
+groups of near copies come together here. What is left are pairs of different components: those in
+one group are compared by their whole sets, block by block, and those in different groups are found
+under the keys once more. What a group or key holds is dealt over pairs of blocks, so no task needs
+it whole, and only links leave a task.
 
 Links are confirmed by the shingle sets of both whole texts, which travel compressed.
 """
@@ -35,12 +37,12 @@ WIDTH = 4
 CHUNKS = SYMBOLS // WIDTH
 #: The signature distance up to which the key join finds every pair.
 RADIUS = 2 * CHUNKS - 1
-#: Rounds that only try each member's nearest one of another component, within this distance. They join
-#: large groups with few comparisons; the last round tries all pairs that are left.
-NEAREST_ROUNDS = 2
-NEAREST_RADIUS = 22
 #: Members of one block of a key's members.
 BLOCK = 512
+#: Packed bytes of one block of texts, where those make more blocks.
+BLOCK_BYTES = 4 << 20
+#: Shingles of one matrix product.
+MATRIX_COLUMNS = 4096
 
 _FACTORS = W.constants(5, SYMBOLS)
 _U = np.uint64
@@ -155,21 +157,23 @@ def within_radius(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(_near, "a long, b long")
 
 
+def _unpacked(body: bytes, size: int) -> np.ndarray:
+    """The shingle set of a packed text."""
+    text = zstandard.ZstdDecompressor().decompress(body)
+    return shingle_sets(W.Slice(0, np.frombuffer(text, np.uint8), np.array([0, len(text)])), size)[0]
+
+
 def _confirm(size: int, percent: int):
     schema = arrow_schema("a long, b long")
 
-    def shingles(body: bytes) -> np.ndarray:
-        text = zstandard.ZstdDecompressor().decompress(body)
-        return shingle_sets(W.Slice(0, np.frombuffer(text, np.uint8), np.array([0, len(text)])), size)[0]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, of = None, np.zeros(0, _U)
         for batch_ in batches:
             yes = []
             for a, left, right in zip(batch_.column("a").to_pylist(), batch_.column("body_a"), batch_.column("body_b"), strict=True):
                 if a != held:
-                    held, of = a, shingles(left.as_py())
-                other = shingles(right.as_py())
+                    held, of = a, _unpacked(left.as_py(), size)
+                other = _unpacked(right.as_py(), size)
                 both = len(np.intersect1d(of, other, assume_unique=True))
                 yes.append(100 * both >= percent * (len(of) + len(other) - both))
             yield batch(schema, [batch_.column(c).filter(pa.array(yes, pa.bool_())) for c in ("a", "b")])
@@ -195,52 +199,64 @@ def first_slots(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     return chunk * WIDTH + left_out
 
 
-def _cell(node, component, sigs, slot: int, rows: np.ndarray, others: np.ndarray, nearest: bool):
-    """Pairs across components between two blocks of one key's members (or inside one block).
+def _cells(t: pa.Table, key: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The rows of each (key, low, high) in sorted order: first row, and the rows of its two blocks."""
+    block, low, high = (t.column(c).to_numpy() for c in ("block", "low", "high"))
+    bounds = group_slices([t.column(key).to_numpy(), low, high])
+    for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if low[x] == high[x]:
+            rows = others = np.arange(x, y)
+        else:
+            rows, others = x + np.flatnonzero(block[x:y] == low[x]), x + np.flatnonzero(block[x:y] == high[x])
+        yield x, rows, others
+
+
+def _dealt(members: DataFrame, key: str, blocks: DataFrame) -> DataFrame:
+    """Members of each key dealt over pairs of blocks; every two members meet in exactly one."""
+    members = members.join(blocks, key).withColumn("block", F.pmod(F.hash("node", F.lit(3)), F.col("blocks")))
+    rows = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other", "blocks")
+    return rows.repartition(parts(rows), key, "low", "high").sortWithinPartitions(key, "low", "high")
 
-    Members of the component with most members here are only met by the rest.
+
+def _within_groups(size: int, percent: int):
+    """Confirmed links between components of one group, from the whole texts of two blocks of it.
+
+    All shingle sets of the two blocks are compared at once, as products of 0/1 matrices over the
+    shingles that occur twice. Of a text's links with one component, one is given.
     """
-    values, counts = np.unique(component[np.concatenate((rows, others))], return_counts=True)
-    most = values[counts.argmax()]
-    inside = rows is others
-    for side, against in ((rows, others),) if inside else ((rows, others), (others, rows)):
-        second = side is others and not inside
-        for i in side[component[side] != most].tolist():
-            theirs = component[against]
-            if inside:
-                fits = (theirs != component[i]) & ((theirs == most) | (against > i))
-            elif second:
-                fits = theirs == most
-            else:
-                fits = theirs != component[i]
-            near = against[fits]
-            far = distances(sigs[near], sigs[i])
-            if nearest:
-                if len(near) and far.min() <= NEAREST_RADIUS:
-                    yield node[i], node[near[far.argmin()]]
-                continue
-            near = near[far <= RADIUS]
-            near = near[first_slots(sigs[i], sigs[near]) == slot] if len(near) else near
-            for j in near.tolist():
-                yield node[i], node[j]
-
-
-def _cross(nearest: bool):
     schema = arrow_schema("a long, b long")
 
+    def links(sets: list, component: np.ndarray, rows: np.ndarray, others: np.ndarray) -> Iterator[tuple[int, int]]:
+        order = rows if rows is others else np.concatenate((rows, others))
+        lengths = np.array([len(sets[i]) for i in order])
+        shingle, number, met = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
+        of = np.repeat(np.arange(len(order)), lengths)
+        common = np.flatnonzero(met > 1)
+        place = np.full(len(shingle), -1)
+        place[common] = np.arange(len(common))
+        column = place[number]
+        shared = np.zeros((len(rows), len(others)), np.float32)
+        for at in range(0, len(common), MATRIX_COLUMNS):
+            here = (column >= at) & (column < at + MATRIX_COLUMNS)
+            matrix = np.zeros((len(order), min(MATRIX_COLUMNS, len(common) - at)), np.float32)
+            matrix[of[here], column[here] - at] = 1
+            left = matrix[: len(rows)]
+            shared += left @ (left if rows is others else matrix[len(rows) :]).T
+        n_rows, n_others = lengths[: len(rows), None], (lengths if rows is others else lengths[len(rows) :])[None, :]
+        linked = 100 * shared >= percent * (n_rows + n_others - shared)
+        linked &= component[rows][:, None] != component[others][None, :]
+        for i in np.flatnonzero(linked.any(axis=1)).tolist():
+            hits = others[linked[i]]
+            for j in hits[np.unique(component[hits], return_index=True)[1]].tolist():
+                yield int(rows[i]), j
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["key", "low", "high"]):
+        for t in whole_groups(batches, ["grp", "low", "high"]):
             t = t.combine_chunks()
-            node, component, block, slot, low, high = (t.column(c).to_numpy() for c in ("node", "component", "block", "slot", "low", "high"))
-            sigs = _signatures(t.column("sig"))
-            bounds = group_slices([t.column("key").to_numpy(), low, high])
-            found: list[tuple[int, int]] = []
-            for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                if low[x] == high[x]:
-                    rows = others = np.arange(x, y)
-                else:
-                    rows, others = x + np.flatnonzero(block[x:y] == low[x]), x + np.flatnonzero(block[x:y] == high[x])
-                found += _cell(node, component, sigs, int(slot[x]), rows, others, nearest)
+            node, component = t.column("node").to_numpy(), t.column("component").to_numpy()
+            sets = [_unpacked(body.as_py(), size) for body in t.column("body")]
+            found = [(node[i], node[j]) for _, rows, others in _cells(t, "grp") if len(rows) and len(others) for i, j in links(sets, component, rows, others)]
             if found:
                 pairs = np.array(found, np.int64)
                 yield batch(schema, [pairs.min(axis=1), pairs.max(axis=1)])
@@ -248,24 +264,51 @@ def _cross(nearest: bool):
     return run
 
 
-def _across(shared: DataFrame, classes: DataFrame, labels: DataFrame, block: int, nearest: bool) -> DataFrame:
-    """Pairs that share a key and lie in different components.
+def linked_within(groups: DataFrame, labels: DataFrame, bodies: DataFrame, size: int, percent: int, block: int) -> DataFrame:
+    """Confirmed links between different components of a group (``node``, ``component`` is the group's name)."""
+    named = groups.select("node", F.col("component").alias("grp")).join(labels, "node", "left")
+    named = named.select("node", "grp", F.coalesce("component", "node").alias("component")).join(bodies, "node")
+    sizes = named.groupBy("grp").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"), F.sum(F.length("body")).alias("bytes")
+    )
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    dealt = _dealt(named, "grp", sizes.where("x < y").select("grp", blocks.alias("blocks")))
+    return dealt.select("grp", "node", "component", "body", "block", "low", "high").mapInArrow(_within_groups(size, percent), "a long, b long")
 
-    All pairs within the radius, each once; or with ``nearest``, for each member the nearest one of
-    another component, under a quarter of the keys.
-    """
-    if nearest:
-        shared = shared.where(F.col("slot") % WIDTH == 0)
-    named = shared.join(labels, "node", "left").select("key", "slot", "node", F.coalesce("component", "node").alias("component"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"))
-    mixed = mixed.where("x < y").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    entries = named.join(mixed, "key").join(classes, "node")
-    entries = entries.withColumn("block", F.pmod(F.hash("node", F.lit(3)), F.col("blocks")))
-    dealt = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
-    dealt = dealt.select("key", "slot", "node", "component", "sig", "block", low, high)
-    sorted_ = dealt.repartition(parts(dealt), "key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return sorted_.mapInArrow(_cross(nearest), "a long, b long").distinct()
+
+def _between_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of one key within the radius whose groups and components differ, each pair under its first key."""
+    schema = arrow_schema("a long, b long")
+    for t in whole_groups(batches, ["key", "low", "high"]):
+        t = t.combine_chunks()
+        node, component, group, slot = (t.column(c).to_numpy() for c in ("node", "component", "grp", "slot"))
+        sigs = _signatures(t.column("sig"))
+        found: list[tuple[int, int]] = []
+        for x, rows, others in _cells(t, "key"):
+            for i in rows.tolist():
+                near = others[(group[others] != group[i]) & (component[others] != component[i])]
+                if rows is others:
+                    near = near[near > i]
+                near = near[distances(sigs[near], sigs[i]) <= RADIUS]
+                if len(near):
+                    near = near[first_slots(sigs[i], sigs[near]) == slot[x]]
+                found += [(node[i], node[j]) for j in near.tolist()]
+        if found:
+            pairs = np.array(found, np.int64)
+            yield batch(schema, [pairs.min(axis=1), pairs.max(axis=1)])
+
+
+def met_between(shared: DataFrame, classes: DataFrame, groups: DataFrame, labels: DataFrame, block: int) -> DataFrame:
+    """Pairs within the radius that share a key but neither group nor component."""
+    of = groups.select("node", F.col("component").alias("grp"))
+    named = shared.join(of, "node", "left").join(labels, "node", "left")
+    named = named.select("key", "slot", "node", F.coalesce("grp", "node").alias("grp"), F.coalesce("component", "node").alias("component"))
+    mixed = named.groupBy("key").agg(
+        F.min("grp").alias("x"), F.max("grp").alias("y"), F.min("component").alias("v"), F.max("component").alias("w"), F.count(F.lit(1)).alias("n")
+    )
+    mixed = mixed.where("x < y and v < w").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    dealt = _dealt(named.join(classes, "node"), "key", mixed)
+    return dealt.select("key", "slot", "node", "grp", "component", "sig", "block", "low", "high").mapInArrow(_between_groups, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -294,12 +337,13 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERC
     met = shared.select(F.col("node").alias("doc_id")).distinct().repartition(n, "doc_id")
     bodies = written(texts.repartition(n, "doc_id").join(met, "doc_id", "left_semi").withColumnRenamed("doc_id", "node"))
 
-    labels = components(confirm(within_radius(stars, classes), bodies, size, percent))
-    shared = shared.drop("a")
-    for nearest in (*[True] * NEAREST_ROUNDS, False):
-        met = confirm(_across(shared, classes, labels, block, nearest), bodies, size, percent)
-        known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        labels = components(known.unionByName(met))
+    near = written(within_radius(stars, classes))
+    labels = components(confirm(near, bodies, size, percent))
+    groups = components(near)
+    inside = linked_within(groups, labels, bodies, size, percent, block)
+    across = confirm(met_between(shared.drop("a"), classes, groups, labels, block), bodies, size, percent)
+    known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    labels = components(known.unionByName(inside).unionByName(across))
 
     found = marks.join(nodes, ["set_a", "set_b", "n_shingles"], "left").join(labels, "node", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "node")).otherwise(F.col("doc_id"))
