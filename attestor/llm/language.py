@@ -22,7 +22,9 @@ from attestor.llm.frames import arrow_schema, batch
 
 UNDETERMINED = "und"
 #: Labelled texts the model is fitted on, about; the bound on the model's size.
-SAMPLE_TEXTS = 6000
+SAMPLE_TEXTS = 5000
+#: Words and n-grams met fewer times in the sample count as unseen.
+LEAST_COUNT = 2
 LONGEST_GRAM = 5
 #: Added to each count, so that no language is impossible.
 SMOOTHING = 0.1
@@ -51,55 +53,64 @@ def grams(word: str, size: int) -> list[str]:
     return [marked[i : i + size] for i in range(len(marked) - size + 1)]
 
 
+_COUNTS = "kind int, lang string, key string, n long"
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word counts per language, summed in each batch before they leave the task."""
-    schema = arrow_schema("lang string, word string, n long")
+    """Counts of words (kind 0) and of their n-grams (kind 1) per language, summed in each batch before they leave the task."""
+    schema = arrow_schema(_COUNTS)
     for b in batches:
-        counts: Counter = Counter()
+        words: Counter = Counter()
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
             for word, n in Counter(_WORD.findall((text.as_py() or "").lower())).items():
-                counts[lang, word] += n
-        if counts:
-            keys = list(counts)
-            yield batch(schema, [[k[0] for k in keys], [k[1] for k in keys], list(counts.values())])
-
-
-def fit(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, smoothing: float = SMOOTHING) -> Model:
+                words[lang, word] += n
+        pieces: Counter = Counter()
+        for (lang, word), n in words.items():
+            for size in range(1, LONGEST_GRAM + 1):
+                for gram in grams(word, size):
+                    pieces[lang, gram] += n
+        for kind, counts in enumerate((words, pieces)):
+            if counts:
+                langs, keys = zip(*counts, strict=True)
+                yield batch(schema, [np.full(len(keys), kind, np.int32), list(langs), list(keys), list(counts.values())])
+
+
+def fit(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, smoothing: float = SMOOTHING, least: int = LEAST_COUNT) -> Model:
     """A model of ``labelled`` (``doc_id``, ``text``, ``lang``), fitted on about ``sample_texts`` whole texts.
 
-    The sample is drawn by a hash of ``doc_id``, so reruns agree; rows without ``lang`` are left out. The
-    driver receives the sample's word counts, bounded by the sample.
+    The sample is drawn by a hash of ``doc_id``, so reruns agree; rows without ``lang`` are left out. Words
+    and n-grams met fewer than ``least`` times count as unseen. The driver receives the sample's counts,
+    bounded by the sample.
     """
     labelled = labelled.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    n = labelled.agg(F.count(F.lit(1))).first()[0]
-    share = min(1.0, sample_texts / n) if n else 0.0
+    rows = labelled.agg(F.count(F.lit(1))).first()[0]
+    share = min(1.0, sample_texts / rows) if rows else 0.0
     chosen = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30))
-    sample = labelled.where(chosen)
-    rows = sample.select("lang", "text").mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect()
-    languages = sorted({r.lang for r in rows})
-    at = {lang: i for i, lang in enumerate(languages)}
-    words: dict[str, int] = {}
-    pieces: dict[str, int] = {}
-    word_at, gram_at = [], []
-    for r in sorted(rows, key=lambda r: (r.word, r.lang)):
-        word_at.append((words.setdefault(r.word, len(words)), at[r.lang], r.n))
-        for size in range(1, LONGEST_GRAM + 1):
-            gram_at += [(pieces.setdefault(g, len(pieces)), at[r.lang], r.n) for g in grams(r.word, size)]
-
-    def logs(entries: list, keys: int) -> np.ndarray:
-        counts = np.zeros((keys, len(languages)))
-        if entries:
-            i, j, n = np.array(entries, np.int64).T
-            np.add.at(counts, (i, j), n)
-        rate = (counts + smoothing) / (counts.sum(axis=0) + smoothing * max(keys, 1))
-        return np.log(rate) - np.log(rate).mean(axis=1, keepdims=True)
-
-    sums = np.zeros(len(languages))
-    for r in rows:
-        sums[at[r.lang]] += r.n
-    scores = np.concatenate((logs(word_at, len(words)), logs(gram_at, len(pieces))))
-    offset = len(words)
-    return Model(languages, np.log(sums / sums.sum()) if len(languages) else sums, words, {g: i + offset for g, i in pieces.items()}, scores.astype(np.float32))
+    counts = labelled.where(chosen).select("lang", "text").mapInArrow(_count, _COUNTS).groupBy("kind", "key", "lang").agg(F.sum("n").alias("n"))
+    met = counts.groupBy("kind", "key").agg(F.collect_list(F.struct("lang", "n")).alias("by_lang"), F.sum("n").alias("n")).where(F.col("n") >= least)
+    table = met.select("kind", "key", F.explode("by_lang").alias("c")).select("kind", "key", "c.lang", "c.n").toArrow()
+    table = table.sort_by([("kind", "ascending"), ("key", "ascending"), ("lang", "ascending")])
+    kinds, n = table["kind"].to_numpy(), table["n"].to_numpy()
+    languages = sorted(table["lang"].unique().to_pylist())
+    place = {lang: i for i, lang in enumerate(languages)}
+    column = np.array([place[x] for x in table["lang"].to_pylist()], np.int64)
+    index: list[dict[str, int]] = []
+    parts = []
+    for kind in (0, 1):
+        keys = table["key"].filter(pa.array(kinds == kind)).to_pylist()
+        numbered: dict[str, int] = {}
+        row = np.array([numbered.setdefault(k, len(numbered)) for k in keys], np.int64)
+        sums = np.zeros((len(numbered), len(languages)))
+        np.add.at(sums, (row, column[kinds == kind]), n[kinds == kind])
+        if len(numbered):
+            rate = np.log((sums + smoothing) / (sums.sum(axis=0) + smoothing * len(numbered)))
+            sums = rate - rate.mean(axis=1, keepdims=True)
+        index.append(numbered)
+        parts.append(sums)
+    totals = np.bincount(column[kinds == 0], n[kinds == 0], len(languages)) + 1.0
+    offset = len(parts[0])
+    pieces = {g: i + offset for g, i in index[1].items()}
+    return Model(languages, np.log(totals / totals.sum()), index[0], pieces, np.concatenate(parts).astype(np.float32))
 
 
 class Scorer:

@@ -28,7 +28,7 @@ def test_language_of_held_out_documents(spark):
 
 def small_model(spark):
     rows = [(1, "the house and the garden", "en", None, 0), (2, "das haus und der garten", "de", None, 0), (3, "nothing", None, None, 0)]
-    return language.fit(spark.createDataFrame(rows, DOCS))
+    return language.fit(spark.createDataFrame(rows, DOCS), least=1)
 
 
 def test_words_come_before_grams(spark):
