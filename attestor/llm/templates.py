@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestor.llm.bpe import _pieces
-from attestor.llm.frames import arrow_schema, batch, written
+from attestor.llm.frames import arrow_schema, batch, stored, written
 
 #: A class must occur in this part of a host's pages, and have this many tokens.
 SUPPORT = 0.8
@@ -285,6 +285,7 @@ def extract(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     NULL and empty pages have the empty text; a NULL or hostless URL belongs to the blank host. Repeated
     rows are rows of their own. Other columns are ignored; an empty table gives an empty result.
     """
-    found = written(templates(pages, support).select("host", "frame", "texts"))
+    # As a table its size is known: Spark sends it to all tasks where it is small, else it shuffles.
+    found = stored(templates(pages, support).select("host", "frame", "texts"), "templates")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of().alias("host"))
     return rows.join(found, "host", "left").select("page_id", "url", "html", "host", "frame", "texts").mapInArrow(_extract, _TEXT)
