@@ -37,6 +37,8 @@ WIDTH = 4
 CHUNKS = SYMBOLS // WIDTH
 #: The signature distance up to which the key join finds every pair.
 RADIUS = 2 * CHUNKS - 1
+#: Signatures of one block of a key's members.
+KEY_BLOCK = 4096
 #: Members of one block of a key's members.
 BLOCK = 512
 #: Packed bytes of one block of texts, where those make more blocks.
@@ -311,7 +313,9 @@ def met_between(shared: DataFrame, classes: DataFrame, groups: DataFrame, labels
     return dealt.select("key", "slot", "node", "grp", "component", "sig", "block", "low", "high").mapInArrow(_between_groups, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK, key_block: int = KEY_BLOCK
+) -> DataFrame:
     """Near-duplicate components of ``docs`` (``doc_id``, ``text``), one row per row of the input.
 
     Returns ``doc_id``, ``n_shingles``, ``component_id`` (the smallest ``doc_id`` reachable by links)
@@ -341,7 +345,7 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERC
     labels = components(confirm(near, bodies, size, percent))
     groups = components(near)
     inside = linked_within(groups, labels, bodies, size, percent, block)
-    across = confirm(met_between(shared.drop("a"), classes, groups, labels, block), bodies, size, percent)
+    across = confirm(met_between(shared.drop("a"), classes, groups, labels, key_block), bodies, size, percent)
     known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
     labels = components(known.unionByName(inside).unionByName(across))
 

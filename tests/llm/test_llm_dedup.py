@@ -68,7 +68,7 @@ def near_rows():
 @pytest.mark.parametrize("block", [512, 4])
 def test_near_duplicates_as_brute_force(spark, block):
     rows = near_rows()
-    found = near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS), block=block).collect()
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS), block=block, key_block=block).collect()
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found}
     assert got == brute_components({r[0]: r[1] for r in rows})
 
