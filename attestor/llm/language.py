@@ -31,7 +31,7 @@ SMOOTHING = 0.1
 #: An unseen word says this part of what a known one does.
 BACKOFF = 0.7
 #: Words a worker remembers the scores of; when full it starts anew.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 100_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
