@@ -1,26 +1,22 @@
 """Exact token-set similarity search: the most similar sets at or above a Jaccard threshold.
 
-Nothing is sampled, capped or dropped, and not all pairs are compared. It rests on two facts about
-sets x and y with Jaccard >= t:
-
-* sizes are close:  t * |x| <= |y| <= |x| / t, and they share at least
-  o = ceil(t / (1 + t) * (|x| + |y|)) tokens;
-* if both sets are ordered the same way, the first |x| - o + 1 tokens of x and the first
-  |y| - o + 1 tokens of y have a token in common.
-
-So each set is emitted once per admissible partner size under those first tokens only, and the
-join key is (token, own size, partner size). Ordering rare tokens first keeps words that occur in
-most titles out of the keys. Any order is exact; the word counts only make it fast.
-
-The higher the threshold, the fewer first tokens remain. The search therefore goes down in steps:
-a set that has its ``k`` best partners at one step cannot have better ones below it and is done,
-so only sets without close partners ever reach the wide, expensive steps.
-
-Boilerplate is the hot bucket here: a third of all titles may share their frequent words and differ
-in rare ones only. For ``k = 1`` such titles are never paired one by one. Two sets without a common
-rare token score by their frequent tokens and sizes alone, so all sets with equal frequent tokens
-and equal size form one class, of which only the first payload can win; classes are compared with
-classes. Sets with a common rare token meet under it.
+Nothing is sampled, capped or dropped, and not all pairs are compared. Two sets x and y with
+Jaccard >= t have close sizes, t * |x| <= |y| <= |x| / t, and share at least
+o = ceil(t / (1 + t) * (|x| + |y|)) tokens. With all sets in one order of tokens, rare ones first, the
+``n`` first shared tokens lie among the first |x| - o + n tokens of x, and likewise for y.
+
+The search has two parts, by how many offered sets have a token (its document frequency):
+
+* Sets that share a **rare** token, one with at most ``rare_limit`` sets, meet under it. A wanted set
+  meets at most that many partners per token, however large the table is.
+* Sets without a common rare token score by their frequent tokens and sizes alone. So all sets with
+  equal frequent tokens and equal size are one **class**, of which only the ``k`` first payloads can
+  win, and classes are compared instead of titles. They meet under combinations of several of their
+  first tokens, as many as the threshold allows, so that no single word is a key.
+
+The higher the threshold, the fewer tokens and combinations. The search goes down in steps: a set that has
+its ``k`` best partners at one step cannot have better ones below it and is done, so only sets
+without close partners ever reach the wide steps.
 """
 
 from __future__ import annotations
@@ -30,13 +26,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from attestor.functions.once import add_once
 from attestor.operators.ordered import top_rows
 from attestor.session import materialise
 
-# How many of the most frequent tokens are moved to the end of the order (a fixed-size list).
-FREQUENT_TOKENS = 256
-STEPS = (0.8, 0.65)
+#: A token of at most this many offered sets is rare: the most partners that one token can bring.
+RARE_LIMIT = 32
+STEPS = (0.8, 0.7, 0.6)
+#: Tokens of a combination, by how many tokens may differ; longer ones where few may.
+COMBINATION = {0: 5, 1: 4, 2: 3, 3: 3, 4: 2, 5: 2}
 
 
 def _ceil(value: Column) -> Column:
@@ -49,36 +46,35 @@ def distinct_sets(df: DataFrame, tokens: str) -> DataFrame:
     return df.select(F.array_sort(tokens).alias("tokens")).filter(F.size("tokens") > 0).distinct()
 
 
-def frequent_tokens(sets: DataFrame, limit: int = FREQUENT_TOKENS) -> list[int]:
-    """Hashes of the most frequent tokens, rarest of them first."""
-    counts = sets.select(F.explode("tokens").alias("token")).groupBy("token").count()
-    top = counts.orderBy(F.desc("count"), "token").limit(limit).select(F.xxhash64("token").alias("h")).collect()
-    return [row["h"] for row in reversed(top)]
+def token_counts(offered: DataFrame) -> DataFrame:
+    """``token`` and in how many offered sets it is."""
+    return offered.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
-def in_search_order(sets: DataFrame, frequent: Sequence[int]) -> DataFrame:
-    """Add ``ordered``: 64-bit hashes of the tokens, rare tokens first, the most frequent last.
+def in_search_order(sets: DataFrame, counts: DataFrame, rare_limit: int = RARE_LIMIT) -> DataFrame:
+    """Add ``own`` (all tokens), ``ordered`` (those that any offered set has, rare ones first) and ``rare``.
 
-    Keys and counts on numbers are far cheaper than on texts. The texts decide in the end: ``clash``
-    marks a set in which two tokens share a hash, for which hashes may not rule out a partner.
-    ``rare`` counts the tokens outside the frequent list, ``own`` all tokens.
+    A common word meets its count in a join that splits skewed keys, or in a small table.
     """
-    late = F.array(*[F.lit(h).cast("bigint") for h in frequent]) if frequent else F.array().cast("array<bigint>")
-    hashes = F.transform("tokens", lambda t: F.xxhash64(t))
-    ranked = F.array_sort(F.transform(hashes, lambda h: F.struct(F.array_position(late, h).alias("late"), h.alias("h"))))
-    return add_once(sets, {"_ranked": ranked}).select(
+    listed = sets.select("tokens", F.explode("tokens").alias("token")).join(counts, "token")
+    ranked = listed.groupBy("tokens").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("_ranked"))
+    return sets.join(ranked, "tokens").select(
         *sets.columns,
-        F.transform("_ranked", lambda r: r["h"]).alias("ordered"),
         F.size("tokens").alias("own"),
-        F.size(F.filter("_ranked", lambda r: r["late"] == 0)).alias("rare"),
-        (F.size(F.array_distinct(hashes)) < F.size("tokens")).alias("clash"),
+        F.transform("_ranked", lambda r: r["token"]).alias("ordered"),
+        F.size(F.filter("_ranked", lambda r: r["df"] <= rare_limit)).alias("rare"),
     )
 
 
+def with_words(sets: DataFrame) -> DataFrame:
+    """Add ``words``: the frequent tokens in search order, which with ``own`` name the set's class."""
+    return sets.withColumn("words", F.slice("ordered", F.col("rare") + 1, F.size("ordered")))
+
+
 def spread(sets: DataFrame) -> DataFrame:
     """Write the sets once, evenly over all cores: comparing them is work far beyond their size."""
     parts = sets.sparkSession.sparkContext.defaultParallelism
-    return materialise(sets.repartition(parts, "tokens"))
+    return materialise(sets.repartition(parts))
 
 
 def set_sizes(sets: DataFrame) -> list[int]:
@@ -86,123 +82,117 @@ def set_sizes(sets: DataFrame) -> list[int]:
     return sorted(r[0] for r in sets.select("own").distinct().collect())
 
 
-def _signatures(sets: DataFrame, sizes: Sequence[int], threshold: float, rare_only: bool = False) -> DataFrame:
-    """One row per admissible partner size and prefix token; ``own`` may exceed the listed tokens."""
-    listed, other = F.size("ordered"), F.col("other")
-    overlap = _ceil((F.col("own") + other) * (threshold / (1 + threshold)))
+def _by_partner_size(sets: DataFrame, listed: str, sizes: Sequence[int], threshold: float) -> DataFrame:
+    """One row per set and admissible partner size ``other``, with the ``need`` of shared tokens."""
     known = F.array(*[F.lit(n) for n in sizes]) if sizes else F.array().cast("array<int>")
-    length = listed - F.col("need") + 1
-    if rare_only:
-        length = F.least(length, F.col("rare"))
-    return (
-        sets.withColumn("other", F.explode(known))
-        .withColumn("need", overlap)
-        .filter((F.col("need") <= listed) & (F.col("need") <= other))
-        .withColumn("prefix", F.array_distinct(F.slice("ordered", 1, length)))
-        .withColumn("token", F.explode("prefix"))
-    )
+    rows = sets.withColumn("other", F.explode(known))
+    rows = rows.withColumn("need", _ceil((F.col("own") + F.col("other")) * (threshold / (1 + threshold))))
+    return rows.filter((F.col("need") <= F.size(listed)) & (F.col("need") <= F.col("other")))
+
+
+def _rare_keys(sets: DataFrame, sizes: Sequence[int], threshold: float) -> DataFrame:
+    rows = _by_partner_size(sets, "ordered", sizes, threshold)
+    length = F.least(F.size("ordered") - F.col("need") + 1, F.col("rare"))
+    return rows.withColumn("prefix", F.slice("ordered", 1, length)).withColumn("key", F.explode("prefix"))
+
+
+def _combinations(array: Column, length: int) -> Column:
+    """Hashes of all ordered choices of ``length`` elements."""
+
+    def chosen(rest: Column, held: tuple[Column, ...]) -> Column:
+        if len(held) == length - 1:
+            return F.transform(rest, lambda t: F.xxhash64(*held, t))
+        return F.flatten(F.transform(rest, lambda t, i: chosen(F.slice(rest, i + 2, F.size(rest)), (*held, t))))
+
+    return chosen(array, ())
+
+
+def _combination_keys(classes: DataFrame, sizes: Sequence[int], threshold: float) -> DataFrame:
+    rows = _by_partner_size(classes, "words", sizes, threshold)
+    spare = F.greatest("own", "other") - F.col("need")
+    length = F.lit(1)
+    for most, tokens in sorted(COMBINATION.items(), reverse=True):
+        length = F.when(spare <= most, tokens).otherwise(length)
+    rows = rows.withColumn("length", F.least(length, F.col("need")))
+    rows = rows.withColumn("prefix", F.slice("words", 1, F.size("words") - F.col("need") + F.col("length")))
+    # One expression per length: each has its own nesting.
+    keys = F.array().cast("array<bigint>")
+    for tokens in sorted({1, *COMBINATION.values()}):
+        keys = F.when(F.col("length") == tokens, _combinations(F.col("prefix"), tokens)).otherwise(keys)
+    return rows.withColumn("key", F.explode(keys))
 
 
 def _meeting(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Candidate pairs ``a``/``b``: signatures with a common key, each pair under its first one only."""
     joined = a.alias("a").join(
         b.alias("b"),
-        (F.col("a.token") == F.col("b.token"))
-        & (F.col("a.own") == F.col("b.other"))
-        & (F.col("a.other") == F.col("b.own")),
+        (F.col("a.key") == F.col("b.key")) & (F.col("a.own") == F.col("b.other")) & (F.col("a.other") == F.col("b.own")),
     )
-    first = F.get(F.array_intersect(F.col("a.prefix"), F.col("b.prefix")), 0)
-    met = joined.filter((F.size("a.prefix") == 1) | (F.size("b.prefix") == 1) | (first == F.col("a.token")))
-    likely = F.size(F.array_intersect(F.col("a.ordered"), F.col("b.ordered"))) >= F.col("a.need")
-    return met.filter(likely | F.col("a.clash") | F.col("b.clash"))
-
+    return joined
 
-def pairs_above(
-    left: DataFrame, right: DataFrame, left_sizes: Sequence[int], right_sizes: Sequence[int], threshold: float,
-    rare_only: bool = False,
-) -> DataFrame:
-    """Pairs ``(tokens, own, score, payload)`` with Jaccard >= threshold.
 
-    ``left(tokens, own, ..)`` and ``right(tokens, own, .., payload)`` come from
-    :func:`in_search_order`; with ``rare_only`` just the pairs that share a rare token.
-    """
-    met = _meeting(
-        _signatures(left, right_sizes, threshold, rare_only), _signatures(right, left_sizes, threshold, rare_only)
-    )
-    scored = add_once(
-        met.select(
-            F.col("a.tokens").alias("tokens"),
-            F.col("a.own").alias("own"),
-            F.col("b.tokens").alias("_others"),
-            F.col("b.payload").alias("payload"),
-            (F.col("a.own") + F.col("b.own")).alias("_sizes"),
-        ),
-        {"_shared": F.size(F.array_intersect("tokens", "_others"))},
-    )
-    raw = F.col("_shared") / (F.col("_sizes") - F.col("_shared"))
-    return scored.filter(raw >= threshold - 1e-12).select("tokens", "own", F.round(raw, 4).alias("score"), "payload")
-
-
-def _with_class(sets: DataFrame, frequent: Sequence[int]) -> DataFrame:
-    """Add ``words``, the frequent tokens of a set, and ``late``, their hashes in search order."""
-    listed = F.array(*[F.lit(h).cast("bigint") for h in frequent]) if frequent else F.array().cast("array<bigint>")
-    return sets.withColumns(
-        {
-            "words": F.filter("tokens", lambda t: F.array_contains(listed, F.xxhash64(t))),
-            "late": F.slice("ordered", F.col("rare") + 1, F.size("ordered")),
-        }
-    )
+def _scored(pairs: DataFrame, threshold: float, shared: Column, left: Sequence[str], right: Sequence[str]) -> DataFrame:
+    sizes = F.col("a.own") + F.col("b.own")
+    raw = shared / (sizes - shared)
+    return pairs.select(*[F.col(f"a.{c}") for c in left], *[F.col(f"b.{c}") for c in right], raw.alias("_raw")).filter(
+        F.col("_raw") >= threshold - 1e-12
+    ).select(*left, *right, F.round("_raw", 4).alias("score"))
 
 
-def _as_sets(classes: DataFrame, *more: str) -> DataFrame:
-    """Classes in the form of ordered sets whose ``own`` size counts the left-out rare tokens too."""
-    clash = F.size(F.array_distinct("late")) < F.size("words")
-    return classes.select(
-        F.col("words").alias("tokens"), F.col("late").alias("ordered"), "own", F.lit(0).alias("rare"),
-        clash.alias("clash"), *more,
-    )
+def pairs_by_rare(left: DataFrame, right: DataFrame, left_sizes: Sequence[int], right_sizes: Sequence[int], threshold: float) -> DataFrame:
+    """``(tokens, payload, score)`` of the pairs with Jaccard >= threshold that share a rare token."""
+    met = _meeting(_rare_keys(left, right_sizes, threshold), _rare_keys(right, left_sizes, threshold))
+    # A pair counts under the first rare token of both prefixes only.
+    first = F.get(F.array_intersect(F.col("a.prefix"), F.col("b.prefix")), 0)
+    met = met.filter(first == F.col("a.key"))
+    shared = F.size(F.array_intersect(F.col("a.tokens"), F.col("b.tokens")))
+    return _scored(met, threshold, shared, ["tokens"], ["payload"])
 
 
-def _first_best(pairs: DataFrame, key: Sequence[str]) -> DataFrame:
-    """The greatest score per key, then the smallest payload."""
-    best = F.min(F.struct((-F.col("score")).alias("s"), "payload")).alias("_b")
-    return pairs.groupBy(*key).agg(best).select(
-        *key, (-F.col("_b.s")).alias("score"), F.col("_b.payload").alias("payload")
-    )
+def pairs_by_class(left: DataFrame, right: DataFrame, left_sizes: Sequence[int], right_sizes: Sequence[int], threshold: float) -> DataFrame:
+    """``(words, own, payloads, score)`` of the class pairs with Jaccard >= threshold, rare tokens taken as different."""
+    met = _meeting(_combination_keys(left, right_sizes, threshold), _combination_keys(right, left_sizes, threshold))
+    # A pair counts under the combination of its first shared words only.
+    met = met.withColumn("_shared", F.array_intersect(F.col("a.words"), F.col("b.words")))
+    lengths = sorted({1, *COMBINATION.values()})
+    own_key = F.lit(None).cast("bigint")
+    for tokens in lengths:
+        parts = [F.get("_shared", F.lit(i)) for i in range(tokens)]
+        own_key = F.when(F.col("a.length") == tokens, F.xxhash64(*parts)).otherwise(own_key)
+    met = met.filter((F.size("_shared") >= F.col("a.need")) & (own_key == F.col("a.key")))
+    return _scored(met, threshold, F.size("_shared"), ["words", "own"], ["payloads"])
 
 
 def nearest_sets(
-    wanted: DataFrame, offered: DataFrame, threshold: float, k: int = 1, frequent_limit: int = FREQUENT_TOKENS
+    wanted: DataFrame, offered: DataFrame, threshold: float, k: int = 1, rare_limit: int = RARE_LIMIT
 ) -> DataFrame:
     """The ``k`` best partners per wanted set: ``(tokens, score, payload, rank)``.
 
     ``wanted(tokens)`` and ``offered(tokens, payload)`` hold distinct sets; partners are ranked by
     score, then by payload. Scores have 4 decimals and reach ``threshold``.
     """
-    frequent = frequent_tokens(offered, frequent_limit)
-    right = spread(_with_class(in_search_order(offered, frequent), frequent))
-    pending = spread(_with_class(in_search_order(wanted, frequent), frequent))
+    counts = materialise(token_counts(offered))
+    right = spread(with_words(in_search_order(offered, counts, rare_limit)))
+    pending = spread(with_words(in_search_order(wanted, counts, rare_limit)))
     left_sizes, right_sizes = set_sizes(pending), set_sizes(right)
-    right_classes = None
-    if k == 1:
-        named = right.filter(F.size("words") > 0)
-        grouped = named.groupBy("words", "late", "own").agg(F.min("payload").alias("payload"))
-        right_classes = spread(_as_sets(grouped, "payload"))
+    first = top_rows(right.filter(F.size("words") > 0).select("words", "own", "payload"), ["words", "own"], [F.col("payload")], k)
+    right_classes = spread(first.groupBy("words", "own").agg(F.collect_list("payload").alias("payloads")))
+    order = [F.desc("score"), F.col("payload")]
     found: DataFrame | None = None
 
     def best_of(floor: float, step: float) -> DataFrame:
         reached = F.col("score") >= step
-        if k > 1:
-            pairs = pairs_above(pending, right, left_sizes, right_sizes, floor).filter(reached)
-            return top_rows(pairs, ["tokens"], [F.desc("score"), F.col("payload")], k).drop("own")
-        by_rare = pairs_above(pending, right, left_sizes, right_sizes, floor, rare_only=True).filter(reached)
-        left_classes = pending.filter(F.size("words") > 0).select("words", "late", "own").distinct()
-        by_class = pairs_above(_as_sets(left_classes), right_classes, left_sizes, right_sizes, floor).filter(reached)
-        best_class = _first_best(by_class, ["tokens", "own"]).withColumnRenamed("tokens", "words")
+        by_rare = pairs_by_rare(pending, right, left_sizes, right_sizes, floor).filter(reached)
+        left_classes = pending.filter(F.size("words") > 0).select("words", "own").distinct()
+        by_class = pairs_by_class(left_classes, right_classes, left_sizes, right_sizes, floor).filter(reached)
+        # Classes with equal scores are first cut to their k first payloads, while still in the task.
+        by_class = by_class.select("words", "own", "score", F.explode("payloads").alias("payload"))
+        best_class = top_rows(by_class, ["words", "own"], order, k).drop("rank")
         from_class = pending.select("tokens", "words", "own").join(best_class, ["words", "own"])
-        columns = ["tokens", "score", "payload"]
-        both = _first_best(by_rare, ["tokens"]).select(columns).unionByName(from_class.select(columns))
-        return _first_best(both, ["tokens"]).withColumn("rank", F.lit(1))
+        columns = ["tokens", "payload", "score"]
+        both = by_rare.select(columns).unionByName(from_class.select(columns))
+        # A partner met both ways has its true score under the rare token, the higher one.
+        both = both.groupBy("tokens", "payload").agg(F.max("score").alias("score"))
+        return top_rows(both, ["tokens"], order, k).select("tokens", "score", "payload", "rank")
 
     for step in [s for s in STEPS if s > threshold] + [threshold]:
         # Scores count after rounding.

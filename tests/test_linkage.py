@@ -10,9 +10,9 @@ from attestor.operators import gating, linkage, similarity_join
 from tests_support import PUB_SCHEMA, TRIAL_SCHEMA, publication
 
 @pytest.mark.parametrize("k", [1, 3])
-@pytest.mark.parametrize("threshold, frequent", [(0.5, 6), (0.5, 256), (0.7, 0), (0.7, 9)])
-def test_nearest_sets_equal_brute_force(spark, k, threshold, frequent):
-    rng = random.Random(k * 10 + int(threshold * 10) + frequent)
+@pytest.mark.parametrize("threshold, rare_limit", [(0.5, 5), (0.5, 0), (0.7, 1000), (0.7, 12)])
+def test_nearest_sets_equal_brute_force(spark, k, threshold, rare_limit):
+    rng = random.Random(k * 10 + int(threshold * 10) + rare_limit)
     common, rare = [f"c{i}" for i in range(6)], [f"r{i}" for i in range(40)]
 
     def some():
@@ -33,7 +33,7 @@ def test_nearest_sets_equal_brute_force(spark, k, threshold, frequent):
     wanted = spark.createDataFrame([(list(s),) for s in left], "tokens array<string>")
     offered = spark.createDataFrame([(list(s), i) for s, i in numbered.items()], "tokens array<string>, payload int")
     got = {}
-    for r in similarity_join.nearest_sets(wanted, offered, threshold, k, frequent).orderBy("rank").collect():
+    for r in similarity_join.nearest_sets(wanted, offered, threshold, k, rare_limit).orderBy("rank").collect():
         got.setdefault(tuple(r["tokens"]), []).append((r["payload"], r["score"]))
     assert got == want
 
@@ -42,7 +42,7 @@ def test_boilerplate_titles_meet_as_one_class(spark):
     """All titles share three words and differ in one: every pair scores 0.6, the first payload wins."""
     offered = spark.createDataFrame([(sorted(["study", "of", "drug", f"x{i}"]), 1000 + i) for i in range(400)], "tokens array<string>, payload int")
     wanted = spark.createDataFrame([(sorted(["study", "of", "drug", f"y{i}"]),) for i in range(400)], "tokens array<string>")
-    got = similarity_join.nearest_sets(wanted, offered, 0.5, frequent_limit=3).collect()
+    got = similarity_join.nearest_sets(wanted, offered, 0.5, rare_limit=1).collect()
     assert len(got) == 400 and {(r["score"], r["payload"]) for r in got} == {(0.6, 1000)}
 
 
@@ -91,7 +91,7 @@ def test_arbiter(frame):
     assert set(got) == {"3", "5", "8"}
     assert (got["3"]["verdict"], got["3"]["flag_for_review"]) == ("accept", False)
     assert (got["5"]["verdict"], got["5"]["flag_for_review"]) == ("reject", True)
-    assert f"Step1: {'s' * 200} |" in got["5"]["reason"]
+    assert f"Step1: {'s' * 300} |" in got["5"]["reason"]
     assert (got["8"]["verdict"], got["8"]["article_type"], got["8"]["confidence"]) == ("uncertain", "unknown", "low")
     merged = {r["pmid"]: r for r in gating.gate(frame(PUB_SCHEMA, [g[0] for g in GATE]), verdicts).collect()}
     assert (merged["3"]["tier"], merged["3"]["verdict"]) == ("llm", "accept")
