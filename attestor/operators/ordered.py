@@ -9,27 +9,22 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from attestor.session import materialise
 
 PART = "_part"
-# The largest group one task sorts by itself; bigger ones are split into ranges.
-SINGLE_TASK_ROWS = 4_000_000
-
-
-def largest_group(df: DataFrame, group: Sequence[str]) -> int:
-    counts = df.groupBy(*group).count() if group else df.agg(F.count(F.lit(1)).alias("count"))
-    return counts.agg(F.max("count")).first()[0] or 0
+#: A row's place in the order of its range.
+ROW = "_row"
 
 
 def split_by_range(df: DataFrame, keys: Sequence[str | Column], parts: int) -> DataFrame:
-    """Sort ``df`` over ``parts`` range partitions and keep each row's range number in ``_part``.
+    """Sort ``df`` over ``parts`` range partitions and keep each row's range number and place in it.
 
     The result is written to the checkpoint folder, so a lost executor re-reads the same ranges.
     """
     ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-    return materialise(ranged.withColumn(PART, F.spark_partition_id()))
+    return materialise(ranged.withColumns({PART: F.spark_partition_id(), ROW: F.monotonically_increasing_id()}))
 
 
 def _same(left: str, right: str, columns: Sequence[str]) -> Column:
@@ -39,51 +34,81 @@ def _same(left: str, right: str, columns: Sequence[str]) -> Column:
 
 
 def running_totals(
-    df: DataFrame,
-    group: Sequence[str],
-    order: Sequence[str],
-    totals: Mapping[str, Column],
-    single_task_rows: int = SINGLE_TASK_ROWS,
+    df: DataFrame, group: Sequence[str], order: Sequence[str], totals: Mapping[str, Column], parts: int | None = None
 ) -> DataFrame:
     """Inclusive running sums within each group; ``order`` must end in a unique key.
 
-    Groups of any size: above ``single_task_rows`` the rows are split into ranges of
-    (group, order), summed per range, and each range adds what came before it.
+    Groups of any size: rows are split into ranges of (group, order), summed per range, and each range adds
+    what came before it. There are as many ranges as the session has shuffle partitions.
     """
-    largest = largest_group(df, group)
-    if largest <= single_task_rows:
-        anchor = [F.col(g) for g in group] or [F.lit(0)]
-        w = Window.partitionBy(*anchor).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({name: F.sum(value).over(w) for name, value in totals.items()})
-
     rows = df.withColumns({f"_add_{name}": value for name, value in totals.items()})
-    total_rows = largest if not group else df.count()
-    parts = max(2, -(-total_rows // max(1, single_task_rows // 2)))
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = split_by_range(rows, [*group, *order], parts)
 
     sums = rows.groupBy(PART, *group).agg(*[F.sum(f"_add_{n}").alias(f"_sum_{n}") for n in totals])
+    # Only a range's first group can continue an earlier one, and only its last can be continued.
     anchor = [F.col(g) for g in group] or [F.lit(0)]
     before = Window.partitionBy(*anchor).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     carry = sums.select(
         PART, *group, *[F.sum(f"_sum_{n}").over(before).alias(f"_carry_{n}") for n in totals],
         F.lag(F.lit(1)).over(Window.partitionBy(*anchor).orderBy(PART)).alias("_continued"),
     ).filter("_continued IS NOT NULL").drop("_continued")
-    # Ranges are sorted, so only the first group of a range can continue an earlier one: at most
-    # one carry row per range, which is why this side may be broadcast whatever the table's size.
-    local = Window.partitionBy(PART, *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = Window.partitionBy(PART, *group).orderBy(ROW).rowsBetween(Window.unboundedPreceding, 0)
     within = rows.withColumns({n: F.sum(f"_add_{n}").over(local) for n in totals})
-    joined = within.alias("r").join(
-        F.broadcast(carry).alias("c"), _same("r", "c", [PART, *group]), "left"
-    )
+    joined = within.alias("r").join(carry.alias("c"), _same("r", "c", [PART, *group]), "left")
     added = {n: F.col(f"r.{n}") + F.coalesce(F.col(f"c._carry_{n}"), F.lit(0)) for n in totals}
     return joined.select(*[F.col(f"r.{c}") for c in df.columns], *[v.alias(n) for n, v in added.items()])
 
 
+_WHOLE = (T.IntegerType, T.LongType, T.ShortType, T.ByteType)
+_NARROW = (T.IntegerType, T.ShortType, T.ByteType, T.BooleanType, T.DateType, T.TimestampType)
+
+
+def _packed(df: DataFrame, columns: Sequence[str]) -> Column | None:
+    """One or two order columns as one number, which a task can keep without sorting; NULL comes first."""
+
+    def number(name: str) -> Column:
+        kind = df.schema[name].dataType
+        value = F.col(name)
+        if isinstance(kind, T.TimestampType):
+            value = F.unix_micros(value)
+        elif isinstance(kind, T.DateType):
+            value = F.unix_date(value)
+        return value.cast("decimal(38,0)")
+
+    def whole(value: int) -> Column:
+        return F.lit(str(value)).cast("decimal(38,0)")
+
+    kinds = [df.schema[c].dataType for c in columns]
+    if len(columns) == 1 and isinstance(kinds[0], (*_WHOLE, *_NARROW)):
+        return F.coalesce(number(columns[0]), whole(-(2**63) - 1))
+    if len(columns) == 2 and isinstance(kinds[0], _NARROW) and isinstance(kinds[1], (*_WHOLE, *_NARROW)):
+        # The first has at most 18 digits; the second, moved above 0, fewer than 2 * 10**19 values.
+        first = F.coalesce(number(columns[0]), whole(-(10**18))) * whole(2 * 10**19)
+        second = F.coalesce(number(columns[1]) + whole(2**63 + 1), whole(0))
+        return (first + second).cast("decimal(38,0)")
+    return None
+
+
 def keep_latest(df: DataFrame, keys: Sequence[str], latest_by: Sequence[str]) -> DataFrame:
-    """The row with the greatest ``latest_by`` per key, combined on the map side."""
-    rest = [c for c in df.columns if c not in keys]
-    picked = F.max_by(F.struct(*rest), F.struct(*latest_by)).alias("_row")
-    return df.groupBy(*keys).agg(picked).select(*keys, "_row.*").select(*df.columns)
+    """The row with the greatest ``latest_by`` per key; rows that tie are told apart by a hash of all columns.
+
+    The greatest order is found first, as one number per key and task, and its row is joined back. An order
+    that does not fit a number is combined with the row itself.
+    """
+    plain = [c for c, kind in df.dtypes if not kind.startswith("map")]
+    tie = F.xxhash64(*plain)
+    packed = _packed(df, latest_by)
+    if packed is None:
+        rest = [c for c in df.columns if c not in keys]
+        picked = F.max_by(F.struct(*rest), F.struct(*latest_by, tie.alias("_tie"))).alias("_row")
+        return df.groupBy(*keys).agg(picked).select(*keys, "_row.*").select(*df.columns)
+    rows = df.withColumn("_order", packed)
+    best = rows.groupBy(*keys).agg(F.max("_order").alias("_order"))
+    rows = rows.alias("r").join(best.alias("b"), _same("r", "b", [*keys, "_order"])).select("r.*")
+    first = Window.partitionBy(*keys, "_order").orderBy(F.desc("_tie"))
+    rows = rows.withColumn("_tie", tie).withColumn("_no", F.row_number().over(first))
+    return rows.filter("_no = 1").select(*df.columns)
 
 
 def top_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
@@ -92,14 +117,12 @@ def top_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: in
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
 
 
-def grouped_median(
-    df: DataFrame, group: Sequence[str], value: str, out: str = "median", single_task_rows: int = SINGLE_TASK_ROWS
-) -> DataFrame:
+def grouped_median(df: DataFrame, group: Sequence[str], value: str, out: str = "median", parts: int | None = None) -> DataFrame:
     """Exact median per group: equal values are counted first, then the middle is found by running counts."""
     counts = materialise(
         df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
     )
-    ranked = running_totals(counts, group, [value], {"_upto": F.col("_n")}, single_task_rows)
+    ranked = running_totals(counts, group, [value], {"_upto": F.col("_n")}, parts)
     if group:
         sizes = counts.groupBy(*group).agg(F.sum("_n").alias("_size"))
         ranked = ranked.alias("r").join(sizes.alias("s"), _same("r", "s", group)).select("r.*", "s._size")

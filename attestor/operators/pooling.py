@@ -1,9 +1,13 @@
 """Random-effects pooling by quadrature: full-data and prefix (sequential) posteriors.
 
 Model: y_i ~ N(theta_i, s_i^2), theta_i ~ N(mu, tau^2), mu ~ N(m0, sd0^2), tau ~ HalfNormal.
-With theta integrated out, y_i ~ N(mu, s_i^2 + tau^2), and mu given tau is normal. On a fixed grid
-of tau cells every quantity is a function of four sums over the trials (w, w*y, w*y^2, ln w with
+With theta integrated out, y_i ~ N(mu, s_i^2 + tau^2), and mu given tau is normal. At each of a fixed
+set of tau nodes every quantity is a function of four sums over the trials (w, w*y, w*y^2, ln w with
 w = 1 / (s^2 + tau^2)). Sums combine, so pooling needs one aggregation and no sampler.
+
+The posterior of tau narrows with the number of trials, the nodes do not. So the log posterior, which
+is smooth between nodes however large it gets, is interpolated to a grid of its own around each
+posterior's bulk. Both kinds of pooling share that one summary.
 """
 
 from __future__ import annotations
@@ -13,24 +17,33 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from attestor import presets
 from attestor.functions.text import truthy
-from attestor.operators.ordered import PART, split_by_range
+from attestor.operators.ordered import PART, ROW, split_by_range
 from attestor.session import materialise
 
-TAU_CELLS = 400
+TAU_NODES = 400
 TAU_MAX = 3.0
+#: Points of a posterior's own tau grid; it ends where the log density is this far below its top.
+TAU_POINTS = 128
+NEGLIGIBLE = 50.0
 MU_CELLS = 400
 MU_SPREAD = 5.0
 HDI_MASS = 0.95
-# With intervals one prefix costs a pass over the tau x mu grid, so a range holds few rows.
+#: Rows of one range: with intervals a prefix costs a pass over the tau x mu grid.
 PREFIXES_PER_RANGE = 5_000
 MEANS_PER_RANGE = 100_000
-# One row per range comes back to the driver (13 KB each); ranges are read in batches, so larger
-# tables get longer ranges, not more of them.
-MAX_RANGES = 4096
+#: Groups a task sums up before it passes them on.
+HELD_GROUPS = 200
+SUMS = ("sw", "swy", "swyy", "slw")
+
+#: Nodes are even in asinh(tau / TAU_SCALE): dense near 0, where small errors make the posterior bend, wide further out.
+TAU_SCALE = 0.005
+_STEP = math.asinh(TAU_MAX / TAU_SCALE) / TAU_NODES
+_NODES = TAU_SCALE * np.sinh((np.arange(TAU_NODES) + 0.5) * _STEP)
+_V0, _M0 = presets.PRIOR_MU_SD**2, presets.PRIOR_MU_MEAN
 
 
 def poolable_effects(effects: DataFrame, log: DataFrame, decisions: Sequence[str] | None = None) -> DataFrame:
@@ -41,158 +54,151 @@ def poolable_effects(effects: DataFrame, log: DataFrame, decisions: Sequence[str
     return effects.join(approved.select("pair_id"), "pair_id", "left_semi")
 
 
-def _tau(cell: Column) -> Column:
-    return (cell + 0.5) * (TAU_MAX / TAU_CELLS)
+def _terms(y: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """The four additive terms of each trial: shape (4, trials, nodes)."""
+    w = 1.0 / (s[:, None] ** 2 + _NODES[None, :] ** 2)
+    wy = w * y[:, None]
+    return np.stack([w, wy, wy * y[:, None], np.log(w)])
 
 
-def mixture(effects: DataFrame, group: Sequence[str], y: str = "log_hr", se: str = "se_log_hr") -> DataFrame:
-    """Per group and tau cell: probability ``p``, conditional mean ``m`` and precision ``prec`` of mu.
+def _interpolated(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Degree-5 interpolation of node values (posteriors, nodes) at ``at`` (posteriors, points), in units of asinh.
 
-    The grid is expanded inside each task and summed there first, so the shuffle carries one row
-    per task, group and cell however many trials there are.
+    Everything here is even in tau, so nodes below 0 mirror those above.
     """
-    cells = effects.select(
-        *group, F.col(y).alias("_y"), F.col(se).alias("_s"),
-        F.explode(F.sequence(F.lit(0), F.lit(TAU_CELLS - 1))).alias("cell"),
-    )
-    w = 1.0 / (F.col("_s") * F.col("_s") + _tau(F.col("cell")) * _tau(F.col("cell")))
-    weighted = cells.select(*group, "cell", "_y", w.alias("_w"))
-    sums = weighted.groupBy(*group, "cell").agg(
-        F.count(F.lit(1)).alias("n_trials"),
-        F.sum("_w").alias("_sw"),
-        F.sum(F.col("_w") * F.col("_y")).alias("_swy"),
-        F.sum(F.col("_w") * F.col("_y") * F.col("_y")).alias("_swyy"),
-        F.sum(F.ln("_w")).alias("_slw"),
-    )
-    v0, m0 = presets.PRIOR_MU_SD**2, presets.PRIOR_MU_MEAN
-    prec = F.lit(1.0 / v0) + F.col("_sw")
-    post = sums.withColumns({"tau": _tau(F.col("cell")), "prec": prec})
-    post = post.withColumn("m", (F.lit(m0 / v0) + F.col("_swy")) / F.col("prec"))
-    log_p = (
-        0.5 * F.col("_slw")
-        - 0.5 * F.ln("prec")
-        - 0.5 * (F.col("_swyy") + m0 * m0 / v0 - F.col("prec") * F.col("m") * F.col("m"))
-        - F.col("tau") * F.col("tau") / (2 * presets.PRIOR_TAU_SD**2)
-    )
-    # These windows see TAU_CELLS rows per group.
-    w_all = Window.partitionBy(*[F.col(g) for g in group] or [F.lit(0)])
-    post = post.withColumn("_lp", log_p).withColumn("_e", F.exp(F.col("_lp") - F.max("_lp").over(w_all)))
-    return post.withColumn("p", F.col("_e") / F.sum("_e").over(w_all)).select(
-        *group, "cell", "tau", "n_trials", "p", "m", "prec"
-    )
+    x = at / _STEP - 0.5
+    first = np.minimum(np.floor(x).astype(int) - 2, TAU_NODES - 6)
+    t = x - first
+    out = np.zeros_like(at)
+    for j in range(6):
+        weight = np.ones_like(t)
+        for k in range(6):
+            if k != j:
+                weight *= (t - k) / (j - k)
+        node = first + j
+        out += weight * np.take_along_axis(values, np.where(node < 0, -1 - node, node), axis=1)
+    return out
 
 
-def moments_of(cells: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Means and deviations of mu and tau per group, from :func:`mixture` cells."""
-    mean, mean_t = F.sum(F.col("p") * F.col("m")), F.sum(F.col("p") * F.col("tau"))
-    square = F.sum(F.col("p") * (1.0 / F.col("prec") + F.col("m") * F.col("m")))
-    square_t = F.sum(F.col("p") * F.col("tau") * F.col("tau"))
-    return cells.groupBy(*group).agg(
-        F.max("n_trials").alias("n_trials"), mean.alias("mu"), mean_t.alias("tau_mean"),
-        F.sqrt(F.greatest(square - mean * mean, F.lit(1e-300))).alias("mu_sd"),
-        F.sqrt(F.greatest(square_t - mean_t * mean_t, F.lit(0.0))).alias("tau_sd"),
-    )
+_POINTS, _WEIGHTS = np.polynomial.legendre.leggauss(TAU_POINTS)
 
 
-def _with_moments(cells: DataFrame, moments: DataFrame, group: Sequence[str]) -> DataFrame:
-    if group:
-        return cells.join(moments.select(*group, "mu", "mu_sd"), list(group))
-    one = moments.select("mu", "mu_sd").first()  # a single row: the whole table is one group
-    if one is None:
-        return cells.withColumns({"mu": F.lit(None).cast("double"), "mu_sd": F.lit(None).cast("double")})
-    return cells.withColumns({"mu": F.lit(one["mu"]), "mu_sd": F.lit(one["mu_sd"])})
+def _points(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Gauss-Legendre points between ``low`` and ``high``."""
+    return low[:, None] + 0.5 * (_POINTS + 1.0)[None, :] * (high - low)[:, None]
 
 
-def density(cells: DataFrame, moments: DataFrame, group: Sequence[str]) -> DataFrame:
-    """The density of mu on ``MU_CELLS`` midpoints within ``MU_SPREAD`` deviations of its mean."""
-    step = F.col("mu_sd") * (2 * MU_SPREAD / MU_CELLS)
-    grid = _with_moments(cells, moments, group).select(
-        *group, "p", "m", "prec", "mu", step.alias("step"),
-        F.explode(F.sequence(F.lit(0), F.lit(MU_CELLS - 1))).alias("k"),
-    )
-    at = F.col("mu") + (F.col("k") + 0.5 - MU_CELLS / 2) * F.col("step")
-    gap = at - F.col("m")
-    part = F.col("p") * F.sqrt(F.col("prec") / (2 * math.pi)) * F.exp(-0.5 * F.col("prec") * gap * gap)
-    return grid.groupBy(*group, "k").agg(F.first("mu").alias("mu"), F.first("step").alias("step"), F.sum(part).alias("density"))
-
+def _summaries(sums: np.ndarray, interval: bool) -> pd.DataFrame:
+    """Posterior summaries from sums of shape (4, posteriors, nodes)."""
+    sw, swy, swyy, slw = sums
+    prec = 1.0 / _V0 + sw
+    m = (_M0 / _V0 + swy) / prec
+    lp = 0.5 * slw - 0.5 * np.log(prec) - 0.5 * (swyy + _M0 * _M0 / _V0 - prec * m * m)
+    lp = lp - _NODES**2 / (2 * presets.PRIOR_TAU_SD**2)
+    lp = lp - lp.max(axis=1, keepdims=True)
+
+    def bulk(values: np.ndarray, border: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The borders around all values that are not negligible."""
+        live = values > values.max(axis=1, keepdims=True) - NEGLIGIBLE
+        rows = np.arange(len(live))
+        return border[rows, live.argmax(axis=1)], border[rows, live.shape[1] + 1 - live[:, ::-1].argmax(axis=1)]
+
+    ends = np.concatenate(([0.0], (np.arange(TAU_NODES) + 0.5) * _STEP, [TAU_NODES * _STEP]))
+    low, high = bulk(lp, np.broadcast_to(ends, (len(lp), len(ends))))
+    for _ in range(2):  # a posterior may be narrower than the nodes are apart
+        u = _points(low, high)
+        low, high = bulk(_interpolated(lp, u), np.concatenate([low[:, None], u, high[:, None]], axis=1))
+    u = _points(low, high)
+    tau = TAU_SCALE * np.sinh(u)
+    p = _interpolated(lp, u)
+    p = np.exp(p - p.max(axis=1, keepdims=True)) * np.cosh(u) * _WEIGHTS[None, :]
+    p /= p.sum(axis=1, keepdims=True)
+    tau_mean = (p * tau).sum(axis=1)
+    tau_sd = np.sqrt(np.maximum((p * (tau - tau_mean[:, None]) ** 2).sum(axis=1), 0.0))
+    m, prec = _interpolated(m, u), _interpolated(prec, u)
+    mu = (p * m).sum(axis=1)
+    sd = np.sqrt(np.maximum((p * (1.0 / prec + (m - mu[:, None]) ** 2)).sum(axis=1), 1e-300))
+    out = {"mu_mean": np.exp(mu)}
+    if interval:
+        step = sd * (2 * MU_SPREAD / MU_CELLS)
+        k = np.arange(MU_CELLS)
+        at = mu[:, None] + (k + 0.5 - MU_CELLS / 2)[None, :] * step[:, None]
+        gap = at[:, :, None] - m[:, None, :]
+        density = (np.exp(-0.5 * prec[:, None, :] * gap * gap) * (p * np.sqrt(prec / (2 * math.pi)))[:, None, :]).sum(axis=2)
+        # Densest cells first until they hold the mass, then their ends.
+        order = np.argsort(-density, axis=1, kind="stable")
+        ranked = np.take_along_axis(density, order, axis=1)
+        before = (np.cumsum(ranked, axis=1) - ranked) / density.sum(axis=1, keepdims=True)
+        kept = np.zeros(density.shape, bool)
+        np.put_along_axis(kept, order, before < HDI_MASS, axis=1)
+        first, last = kept.argmax(axis=1), MU_CELLS - 1 - kept[:, ::-1].argmax(axis=1)
+        out["mu_hdi_lower"] = np.exp(mu + (first - MU_CELLS / 2) * step)
+        out["mu_hdi_upper"] = np.exp(mu + (last + 1 - MU_CELLS / 2) * step)
+    return pd.DataFrame({**out, "tau_mean": tau_mean, "tau_sd": tau_sd})
+
+
+def _long(count: int, sums: np.ndarray) -> dict[str, np.ndarray]:
+    """Sums of shape (4, nodes) as columns, one row per node."""
+    return {"cell": np.arange(TAU_NODES, dtype=np.int32), "n": np.full(TAU_NODES, count), **dict(zip(SUMS, sums, strict=True))}
+
+
+_LONG = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("n", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in SUMS]])
+
+
+def node_sums(effects: DataFrame, group: Sequence[str], y: str = "log_hr", se: str = "se_log_hr") -> DataFrame:
+    """Per group and node: the number of trials and the four sums, added up in each task first."""
+    rows = effects.select(*group, F.col(y).cast("double").alias("_y"), F.col(se).cast("double").alias("_s"))
+    schema = T.StructType([*[rows.schema[c] for c in group], *_LONG])
+    names = list(group)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, tuple[int, np.ndarray]] = {}
+
+        def passed_on() -> Iterator[pd.DataFrame]:
+            for key, (count, sums) in held.items():
+                yield pd.DataFrame({**{c: [v] * TAU_NODES for c, v in zip(names, key, strict=True)}, **_long(count, sums)})
 
-def hdi(grid: DataFrame, group: Sequence[str], mass: float = HDI_MASS) -> DataFrame:
-    """Highest-density interval: densest cells first until they hold ``mass``, then their ends."""
-    anchor = [F.col(g) for g in group] or [F.lit(0)]
-    w_all = Window.partitionBy(*anchor)
-    down = w_all.orderBy(F.desc("density"), "k").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("density").over(down), F.lit(0.0)) / F.sum("density").over(w_all)
-    kept = grid.withColumn("_before", before).filter(F.col("_before") < mass)
-    at = F.col("mu") + (F.col("k") - MU_CELLS / 2) * F.col("step")
-    return kept.groupBy(*group).agg(F.min(at).alias("mu_lower"), F.max(at + F.col("step")).alias("mu_upper"))
+        for frame in frames:
+            parts = frame.groupby(names, dropna=False, sort=False) if names else [((), frame)]
+            for key, part in parts:
+                key = tuple(None if pd.isna(v) else v for v in (key if isinstance(key, tuple) else (key,)))
+                count, sums = held.get(key, (0, np.zeros((4, TAU_NODES))))
+                for a in range(0, len(part), 512):
+                    chunk = part.iloc[a : a + 512]
+                    sums = sums + _terms(chunk["_y"].to_numpy(float), chunk["_s"].to_numpy(float)).sum(axis=1)
+                held[key] = (count + len(part), sums)
+                if len(held) > HELD_GROUPS:
+                    yield from passed_on()
+                    held.clear()
+        yield from passed_on()
+
+    sums = rows.mapInPandas(run, schema)
+    return sums.groupBy(*group, "cell").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in SUMS])
 
 
 def pool(effects: DataFrame, group: Sequence[str] = (), y: str = "log_hr", se: str = "se_log_hr") -> DataFrame:
     """Full-data posterior summary per group, on the ratio scale, with the 95 % HDI."""
-    # One pass over the trials; everything below works on TAU_CELLS rows per group.
-    cells = materialise(mixture(effects, group, y, se))
-    moments = materialise(moments_of(cells, group))
-    interval = hdi(density(cells, moments, group), group)
-    if group:
-        both = moments.join(interval, list(group))
-    else:
-        ends = interval.first()
-        ends = (None, None) if ends is None else (ends["mu_lower"], ends["mu_upper"])
-        both = moments.withColumns({"mu_lower": F.lit(ends[0]).cast("double"), "mu_upper": F.lit(ends[1]).cast("double")})
-    return both.filter("n_trials IS NOT NULL").select(
-        *group,
-        "n_trials",
-        F.exp("mu").alias("pooled_hr"),
-        F.exp("mu_lower").alias("pooled_hr_cri_lower"),
-        F.exp("mu_upper").alias("pooled_hr_cri_upper"),
-        "tau_mean",
-        "tau_sd",
+    totals = node_sums(effects, group, y, se)
+    names = list(group)
+    values = ("pooled_hr", "pooled_hr_cri_lower", "pooled_hr_cri_upper", "tau_mean", "tau_sd")
+    schema = T.StructType(
+        [*[totals.schema[c] for c in group], T.StructField("n_trials", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in values]]
     )
 
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("cell")  # one row per node
+        out = _summaries(frame[list(SUMS)].to_numpy(float).T[:, None, :], True)
+        out = out.rename(columns={"mu_mean": "pooled_hr", "mu_hdi_lower": "pooled_hr_cri_lower", "mu_hdi_upper": "pooled_hr_cri_upper"})
+        out["n_trials"] = int(frame["n"].iloc[0])
+        for c in names:
+            out[c] = frame[c].iloc[:1].to_numpy()
+        return out[[*names, "n_trials", *values]]
 
-# --- prefix posteriors -------------------------------------------------------------------------
-
-_TAU2 = ((np.arange(TAU_CELLS) + 0.5) * (TAU_MAX / TAU_CELLS)) ** 2
-
+    keyed = totals if group else totals.withColumn("_all", F.lit(0))
+    return keyed.groupBy(*(group or ["_all"])).applyInPandas(one, schema)
 
-def _terms(y: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """The four additive terms of each trial: shape (4, trials, cells)."""
-    w = 1.0 / (s[:, None] ** 2 + _TAU2[None, :])
-    wy = w * y[:, None]
-    return np.stack([w, wy, wy * y[:, None], np.log(w)])
 
-
-def _summaries(sums: np.ndarray, interval: bool) -> pd.DataFrame:
-    """Posterior summaries from prefix sums of shape (4, prefixes, cells)."""
-    sw, swy, swyy, slw = sums
-    v0, m0 = presets.PRIOR_MU_SD**2, presets.PRIOR_MU_MEAN
-    tau = np.sqrt(_TAU2)
-    prec = 1.0 / v0 + sw
-    m = (m0 / v0 + swy) / prec
-    lp = 0.5 * slw - 0.5 * np.log(prec) - 0.5 * (swyy + m0 * m0 / v0 - prec * m * m)
-    lp = lp - _TAU2 / (2 * presets.PRIOR_TAU_SD**2)
-    p = np.exp(lp - lp.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
-    mu = (p * m).sum(axis=1)
-    sd = np.sqrt(np.maximum((p * (1.0 / prec + m * m)).sum(axis=1) - mu * mu, 1e-300))
-    tau_mean = (p * tau).sum(axis=1)
-    tau_sd = np.sqrt(np.maximum((p * _TAU2).sum(axis=1) - tau_mean**2, 0.0))
-    step = sd * (2 * MU_SPREAD / MU_CELLS)
-    k = np.arange(MU_CELLS)
-    low, high = np.full_like(mu, np.nan), np.full_like(mu, np.nan)
-    for i in range(len(mu) if interval else 0):
-        live = p[i] > 1e-14
-        at = mu[i] + (k + 0.5 - MU_CELLS / 2) * step[i]
-        gap = at[:, None] - m[i][live][None, :]
-        weight = p[i][live] * np.sqrt(prec[i][live] / (2 * math.pi))
-        dens = (np.exp(-0.5 * prec[i][live] * gap * gap) * weight).sum(axis=1)
-        order = np.lexsort((k, -dens))
-        before = np.concatenate([[0.0], np.cumsum(dens[order])[:-1]]) / dens.sum()
-        kept = order[before < HDI_MASS]
-        low[i] = mu[i] + (kept.min() - MU_CELLS / 2) * step[i]
-        high[i] = mu[i] + (kept.max() + 1 - MU_CELLS / 2) * step[i]
-    ends = {"mu_hdi_lower": np.exp(low), "mu_hdi_upper": np.exp(high)} if interval else {}
-    return pd.DataFrame({"mu_mean": np.exp(mu), **ends, "tau_mean": tau_mean, "tau_sd": tau_sd})
+# --- prefix posteriors -------------------------------------------------------------------------
 
 
 def _segments(frame: pd.DataFrame, group: Sequence[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
@@ -208,6 +214,44 @@ def _segments(frame: pd.DataFrame, group: Sequence[str]) -> Iterator[tuple[tuple
         yield tuple(keys.iloc[a]), frame.iloc[a:b]
 
 
+def _range_ends(split: DataFrame, group: Sequence[str], y: str, se: str) -> DataFrame:
+    """Per range: its first and last group, and the node sums of the last one's rows in it."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = last = part = None
+        total, count = np.zeros((4, TAU_NODES)), 0
+        for frame in frames:
+            for key, rows in _segments(frame, group):
+                if last is None or key != last:
+                    total, count = np.zeros((4, TAU_NODES)), 0
+                    first = key if first is None else first
+                    last, part = key, int(rows[PART].iloc[0])
+                for a in range(0, len(rows), 512):
+                    chunk = rows.iloc[a : a + 512]
+                    total += _terms(chunk[y].to_numpy(float), chunk[se].to_numpy(float)).sum(axis=1)
+                count += len(rows)
+        if last is not None:
+            yield pd.DataFrame({"part": np.full(TAU_NODES, part, np.int32), "first": repr(first), "last": repr(last), **_long(count, total)})
+
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("first", T.StringType()), T.StructField("last", T.StringType()), *_LONG])
+    return split.mapInPandas(run, schema)
+
+
+def _carried(ends: DataFrame) -> DataFrame:
+    """``part, carried``: per range, the node sums of its first group's rows in earlier ranges.
+
+    Ranges are sorted, so the ranges whose last group is g come right before the one in which g ends.
+    """
+    before = Window.partitionBy("last", "cell").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    added = ("n", *SUMS)
+    inside = ends.select("part", "first", "last", "cell", *[F.sum(c).over(before).alias(c) for c in added])
+    inside = inside.filter((F.col("first") == F.col("last")) & F.col("n").isNotNull()).select("part", "cell", *added)
+    totals = ends.groupBy(F.col("last").alias("first"), "cell").agg(*[F.sum(c).alias(c) for c in added])
+    ending = ends.filter(F.col("first") != F.col("last")).select("part", "first", "cell").join(totals, ["first", "cell"])
+    both = inside.unionByName(ending.select("part", "cell", *added))
+    return both.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("cell", *added))).alias("carried"))
+
+
 def pool_prefixes(
     effects: DataFrame,
     group: Sequence[str] = (),
@@ -222,84 +266,43 @@ def pool_prefixes(
 
     ``interval=False`` leaves out the HDI, by far the costliest column, for users of the mean only.
 
-    Rows are range-partitioned by (group, order), so a group of any size is spread over tasks. A
-    first pass sums the last group of each range (one small row per range); each range then starts
-    from the sums of the ranges before it and moves through its rows once, in Arrow batches.
+    Rows are range-partitioned by (group, order), as many ranges as there are rows for, so a group of any
+    size is spread over tasks. A first pass sums the last group of each range; these sums are added
+    up over the ranges by windows, and each range starts from what came before it.
     """
-    spark = effects.sparkSession
     columns = list(dict.fromkeys([*group, *order, *carry, y, se]))
     rows = materialise(effects.select(*columns))
     if ranges is None:
-        n = rows.count()
-        most = PREFIXES_PER_RANGE if interval else MEANS_PER_RANGE
-        ranges = max(1, -(-n // most), min(spark.sparkContext.defaultParallelism, n // 16))
-    ranges = min(ranges, MAX_RANGES)
+        ranges = max(1, -(-rows.count() // (PREFIXES_PER_RANGE if interval else MEANS_PER_RANGE)))
     split = split_by_range(rows, [*group, *order], ranges)
+    carried = _carried(_range_ends(split, group, y, se))
 
-    def ends(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = last = part = None
-        total, count = np.zeros((4, TAU_CELLS)), 0
-        for frame in frames:
-            for key, run in _segments(frame, group):
-                if last is None or key != last:
-                    total, count = np.zeros((4, TAU_CELLS)), 0
-                    first = key if first is None else first
-                    last, part = key, int(run[PART].iloc[0])
-                for a in range(0, len(run), 256):
-                    chunk = run.iloc[a : a + 256]
-                    total += _terms(chunk[y].to_numpy(float), chunk[se].to_numpy(float)).sum(axis=1)
-                count += len(run)
-        if last is not None:
-            yield pd.DataFrame(
-                {"part": [part], "first": [repr(first)], "last": [repr(last)], "n": [count], "sums": [total.tobytes()]}
-            )
-
-    before: dict[int, tuple[str, int, np.ndarray]] = {}
-    if ranges > 1:
-        # At most one row per range comes back to the driver.
-        found = split.mapInPandas(ends, "part int, first string, last string, n long, sums binary")
-        carried: tuple[str, int, np.ndarray] | None = None
-        for row in found.orderBy("part").collect():
-            sums, n = np.frombuffer(row["sums"]).reshape(4, TAU_CELLS), row["n"]
-            if carried is not None and carried[0] == row["first"]:
-                before[row["part"]] = carried
-                if row["first"] == row["last"]:
-                    sums, n = sums + carried[2], n + carried[1]
-            carried = (row["last"], n, sums)
-    start = spark.sparkContext.broadcast(before)
-
-    out = T.StructType(
-        [split.schema[c] for c in dict.fromkeys([*group, *carry])]
-        + [T.StructField("n_trials", T.LongType())]
-        + [
-            T.StructField(c, T.DoubleType())
-            for c in ("mu_mean", *(("mu_hdi_lower", "mu_hdi_upper") if interval else ()), "tau_mean", "tau_sd")
-        ]
-    )
     shown = list(dict.fromkeys([*group, *carry]))
-
-    def sweep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state, count = None, np.zeros((4, TAU_CELLS)), 0
-        for frame in frames:
-            for key, run in _segments(frame, group):
-                if current is None:
-                    known = start.value.get(int(run[PART].iloc[0]))
-                    if known is not None and known[0] == repr(key):
-                        count, state = known[1], known[2]
-                    current = key
-                elif key != current:
-                    current, state, count = key, np.zeros((4, TAU_CELLS)), 0
-                for a in range(0, len(run), 128):
-                    chunk = run.iloc[a : a + 128]
-                    sums = _terms(chunk[y].to_numpy(float), chunk[se].to_numpy(float))
-                    sums = np.cumsum(sums, axis=1) + state[:, None, :]
-                    state = sums[:, -1, :]
-                    done = chunk[shown].reset_index(drop=True)
-                    done["n_trials"] = np.arange(count + 1, count + len(chunk) + 1)
-                    count += len(chunk)
-                    yield pd.concat([done, _summaries(sums, interval)], axis=1)
-
-    return split.sortWithinPartitions(*group, *order).mapInPandas(sweep, out)
+    values = ("mu_mean", *(("mu_hdi_lower", "mu_hdi_upper") if interval else ()), "tau_mean", "tau_sd")
+    out = T.StructType([*[split.schema[c] for c in shown], T.StructField("n_trials", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in values]])
+
+    def sweep(frame: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        if frame.empty:
+            return pd.DataFrame(columns=out.names)
+        done, begun = [], False
+        for _, run in _segments(frame.sort_values(ROW), group):
+            state, count = np.zeros((4, TAU_NODES)), 0
+            if not begun and len(before):
+                known = before["carried"].iloc[0]
+                count = int(known[0]["n"])
+                state = np.array([[float(row[c]) for row in known] for c in SUMS])
+            begun = True
+            for a in range(0, len(run), 64):
+                chunk = run.iloc[a : a + 64]
+                sums = np.cumsum(_terms(chunk[y].to_numpy(float), chunk[se].to_numpy(float)), axis=1) + state[:, None, :]
+                state = sums[:, -1, :]
+                part = chunk[shown].reset_index(drop=True)
+                part["n_trials"] = np.arange(count + 1, count + len(chunk) + 1)
+                count += len(chunk)
+                done.append(pd.concat([part, _summaries(sums, interval)], axis=1))
+        return pd.concat(done, ignore_index=True)[out.names]
+
+    return split.groupBy(PART).cogroup(carried.withColumnRenamed("part", PART).groupBy(PART)).applyInPandas(sweep, out)
 
 
 def broadcast_posterior(clusters: DataFrame, log: DataFrame, posterior: DataFrame) -> DataFrame:

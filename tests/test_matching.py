@@ -108,7 +108,7 @@ def test_requests_only_for_ambiguous_pairs(frame):
 def test_cost_ceiling(frame, limit):
     calls = frame("run string, seq int, p long, c long", [("a", i, 100_000, 10_000) for i in range(10)] + [("b", 0, 1000, 0)])
     cost = 100 * presets.COST_PER_1K_INPUT_USD + 10 * presets.COST_PER_1K_OUTPUT_USD
-    costed = matching.running_cost(calls, ["run"], ["seq"], "p", "c", ceiling=3.5 * cost, single_task_rows=limit)
+    costed = matching.running_cost(calls, ["run"], ["seq"], "p", "c", ceiling=3.5 * cost, parts=limit)
     got = {r["run"]: r for r in matching.cost_summary(costed, ["run"], ["seq"]).collect()}
     assert (got["a"]["stopped"], got["a"]["total_calls"]) == (True, 4)
     assert got["a"]["total_usd"] == pytest.approx(4 * cost)

@@ -71,6 +71,42 @@ def test_prefixes_equal_full_pooling_of_first_rows(effects, ranges, group):
             assert got["mu_hdi_upper"] == pytest.approx(want["pooled_hr_cri_upper"], rel=1e-6)
 
 
+def fine_tau(y, s):
+    """Mean and deviation of tau by a grid around the mode, mu integrated analytically."""
+    def log_p(tau):
+        w = 1 / (s[None, :] ** 2 + tau[:, None] ** 2)
+        prec = 4 + w.sum(axis=1)
+        m = (w * y).sum(axis=1) / prec
+        return 0.5 * np.log(w).sum(axis=1) - 0.5 * np.log(prec) - 0.5 * ((w * y * y).sum(axis=1) - prec * m * m) - tau**2 / 0.5
+
+    low, high = 0.0, 3.0
+    points, weights = np.polynomial.legendre.leggauss(600)
+    for _ in range(4):
+        tau = low + (points + 1) / 2 * (high - low)
+        lp = np.concatenate([log_p(tau[a : a + 50]) for a in range(0, 600, 50)])
+        p = weights * np.exp(lp - lp.max())
+        p /= p.sum()
+        mean = (p * tau).sum()
+        sd = np.sqrt((p * (tau - mean) ** 2).sum())
+        live = tau[lp > lp.max() - 50]
+        first, last = np.searchsorted(tau, live[0]), np.searchsorted(tau, live[-1])
+        low, high = tau[first - 1] if first else low, tau[last + 1] if last < 599 else high
+    return mean, sd
+
+
+@pytest.mark.parametrize("n", [20, 2_000, 20_000, 100_000])
+@pytest.mark.parametrize("true_tau", [0.3, 0.02])
+def test_posterior_of_tau_at_any_size(n, true_tau):
+    rng = np.random.default_rng(n)
+    s = rng.uniform(0.05, 0.4, n)
+    y = rng.normal(-0.2, true_tau, n) + rng.normal(0, s)
+    sums = sum(pooling._terms(y[a : a + 1000], s[a : a + 1000]).sum(axis=1) for a in range(0, n, 1000))
+    got = pooling._summaries(sums[:, None, :], True).iloc[0]
+    mean, sd = fine_tau(y, s)
+    assert got["tau_mean"] == pytest.approx(mean, abs=5e-6) and got["tau_sd"] == pytest.approx(sd, abs=5e-6)
+    assert got["mu_hdi_lower"] < got["mu_mean"] < got["mu_hdi_upper"]
+
+
 def test_single_normal_interval(frame):
     # With one very precise trial mu is close to normal around the shrunken mean.
     r = pooling.pool(frame(SCHEMA, [("a", "p", "n", "2020-01-01", -0.2, 0.05)])).first()
@@ -142,17 +178,19 @@ def test_scorecard(frame):
             ("N3_3", "", "no", "", "x", "", ""),
         ],
     )
-    clusters = frame("endpoint_cluster string, pair_id string", [("os", "N1_1"), ("os", "N2_2"), ("os", "N3_3"), ("only_here", "N9_9")])
+    log = log.withColumn("endpoint_cluster", F.lit("os")).unionByName(log.limit(0).withColumn("endpoint_cluster", F.lit("")))
+    other = frame("pair_id string, endpoint_cluster string", [("N9_9", "only_here")])
+    log = log.unionByName(other, allowMissingColumns=True)
     links = frame("nct_id string, linkage_confidence string", [("N3", "Unlinked"), ("N3", "Unlinked"), ("N1", "High"), ("N7", "Unlinked")])
     pooled = frame("endpoint_cluster string, pooled_hr double, pooled_hr_cri_lower double, pooled_hr_cri_upper double, tau_mean double", [("os", 0.8, 0.7, 0.9, 0.2)])
     effects = frame("pair_id string, se_log_hr double", [("N1_1", 0.1), ("N2_2", 0.3)])
     bias = frame("nct_id string, optimism_bias string, audit_timestamp string", [("N1", "0.5", "1"), ("N1", "0.1", "2"), ("N2", "0.3", "1"), ("N3", "", "1")])
-    got = {r["endpoint_cluster"]: r for r in scorecard.build_scorecard(clusters, log, links, pooled, effects, bias).collect()}
+    got = {r["endpoint_cluster"]: r for r in scorecard.build_scorecard(log, links, pooled, effects, bias).collect()}
     r = got["os"]
     assert (r["trials_included"], r["trials_excluded"], r["trials_unlinked"], r["human_override_rate_pct"]) == (1, 1, 2, 50.0)
     assert (r["mean_ssi"], r["human_confirmed_switch_rate_pct"], r["ai_human_agreement_rate_pct"]) == (20.0, 33.3, 50.0)
     assert r["i_squared_pct"] == pytest.approx(round(0.04 / 0.09 * 100, 1)) and r["mean_optimism_bias"] == 0.2
     assert r["evidence_strength"] == "Gap"
     assert got["only_here"]["trials_included"] == 0 and got["only_here"]["evidence_strength"] == "Gap"
-    parity = scorecard.build_scorecard(clusters, log, links, parity=True).filter("endpoint_cluster = 'os'").first()
+    parity = scorecard.build_scorecard(log, links, parity=True).filter("endpoint_cluster = 'os'").first()
     assert parity["ai_human_agreement_rate_pct"] == 66.7
