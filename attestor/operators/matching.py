@@ -107,7 +107,11 @@ def unmatched_yet(linked: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def upsert(existing: DataFrame, updates: DataFrame, keys: Sequence[str] = ("nct_id", "pmid"), tie: str | None = None) -> DataFrame:
-    """Old and new rows, the last one per key: new beats old, then the greater ``tie`` column."""
+    """Old and new rows, the last one per key: new beats old, then the greater ``tie`` column.
+
+    Without ``tie`` the updates must have one row per key; rows that tie all the same are told apart by a
+    hash of their columns, so reruns agree.
+    """
     both = existing.withColumn("_source", F.lit(0)).unionByName(
         updates.withColumn("_source", F.lit(1)), allowMissingColumns=True
     )

@@ -6,16 +6,19 @@ current state is the latest valid event per pair joined to the decision rows.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from attestor import presets, schemas
 from attestor.functions.extract import published_endpoint
 from attestor.functions.text import matching_texts, number, text, truthy
+from attestor.functions.vectors import hashed_embedding
+from attestor.operators import matching
 from attestor.operators.ordered import keep_latest
-from attestor.operators.sampling import spot_check_pairs
+from attestor.operators.sampling import in_spot_check
 
 
 def review_rules() -> dict[str, Column]:
@@ -36,20 +39,20 @@ def checked_reviews(events: DataFrame, log: DataFrame) -> tuple[DataFrame, DataF
     return good.join(known, "pair_id", "left_semi"), bad.unionByName(unknown)
 
 
-def latest_reviews(events: DataFrame, order: Sequence[str] = ("ts",), spot_checks: DataFrame | None = None) -> DataFrame:
-    """The human columns per pair, from its latest event.
+#: Later events win; events of the same time go by their number.
+EVENT_ORDER = ("ts", "event_id")
 
-    A deferred review leaves the pair unreviewed; a pair of the spot-check sample is marked so.
-    """
-    last = keep_latest(events, ["pair_id"], order)
-    status = F.when(F.col("human_decision") == "defer", "no").otherwise("yes")
-    if spot_checks is not None:
-        marked = spot_checks.select("pair_id", F.lit(True).alias("_spot"))
-        last = last.join(marked, "pair_id", "left")
-        status = F.when(F.col("human_decision") == "defer", "no").when(F.col("_spot"), "spot_check").otherwise("yes")
+
+def latest_reviews(events: DataFrame, order: Sequence[str] = EVENT_ORDER) -> DataFrame:
+    """The human columns per pair, from its latest event; a deferred review leaves the pair unreviewed."""
+    return review_columns(keep_latest(events, ["pair_id"], order))
+
+
+def review_columns(last: DataFrame) -> DataFrame:
+    """Latest events (one per pair) as human columns."""
     return last.select(
         "pair_id",
-        status.alias("human_reviewed"),
+        F.when(F.col("human_decision") == "defer", "no").otherwise("yes").alias("human_reviewed"),
         "human_decision",
         "human_final_class",
         F.when(F.col("human_poolable"), "True").otherwise("False").alias("human_poolable"),
@@ -59,27 +62,34 @@ def latest_reviews(events: DataFrame, order: Sequence[str] = ("ts",), spot_check
     )
 
 
-def apply_reviews(log: DataFrame, reviews: DataFrame) -> DataFrame:
-    """The log with its human columns replaced where a review exists; nothing else changes."""
+def apply_reviews(log: DataFrame, reviews: DataFrame, spot: Column | None = None) -> DataFrame:
+    """The log with its human columns replaced where a review exists; nothing else changes.
+
+    A reviewed row for which ``spot`` holds is marked as a spot check.
+    """
     new = reviews.withColumnsRenamed({c: f"_new_{c}" for c in schemas.HUMAN_COLUMNS})
-    joined = log.join(new, "pair_id", "left")
+    joined = (log if spot is None else log.withColumn("_spot", spot)).join(new, "pair_id", "left")
     seen = F.col("_new_human_reviewed").isNotNull()
     defaults = {"human_reviewed": F.lit("no")}
     out = {}
     for c in schemas.HUMAN_COLUMNS:
         old = F.col(c) if c in log.columns else defaults.get(c, F.lit(""))
-        out[c] = F.when(seen, F.col(f"_new_{c}")).otherwise(old)
-    return joined.withColumns(out).drop(*[f"_new_{c}" for c in schemas.HUMAN_COLUMNS])
+        value = F.col(f"_new_{c}")
+        if c == "human_reviewed" and spot is not None:
+            value = F.when(F.col("_spot") & (value == "yes"), "spot_check").otherwise(value)
+        out[c] = F.when(seen, value).otherwise(old)
+    return joined.withColumns(out).drop("_spot", *[f"_new_{c}" for c in schemas.HUMAN_COLUMNS])
 
 
-def fold_reviews(log: DataFrame, events: DataFrame, order: Sequence[str] = ("ts",)) -> DataFrame:
+def fold_reviews(log: DataFrame, events: DataFrame, order: Sequence[str] = EVENT_ORDER) -> DataFrame:
     """Current log state: valid events, latest per pair, applied to the decision rows.
 
     Events are reduced to one row per pair before anything is joined; events of unknown pairs find
-    no row in the log (:func:`checked_reviews` lists them).
+    no row in the log (:func:`checked_reviews` lists them). Reviewed rows of the spot-check sample are
+    marked as such.
     """
     valid, _ = schemas.split_valid(events, review_rules())
-    return apply_reviews(log, latest_reviews(valid, order))
+    return apply_reviews(log, latest_reviews(valid, order), in_spot_check(log))
 
 
 def needs_review(spot: Column) -> Column:
@@ -92,19 +102,19 @@ def needs_review(spot: Column) -> Column:
     )
 
 
-def pending_queue(log: DataFrame, spot_checks: DataFrame | None = None) -> DataFrame:
+def in_queue(spot: Column) -> Column:
+    """Whether a row waits for a person; ``spot`` tells the rows of the spot check."""
+    return F.coalesce(needs_review(spot), F.lit(False)) & ~text("human_reviewed").isin(*presets.REVIEWED_STATUSES)
+
+
+def pending_queue(log: DataFrame, spot: Column | None = None) -> DataFrame:
     """Unresolved rows that need a person, lowest score first, missing scores last.
 
-    The spot-check sample is drawn once and joined, not per row.
+    Where the spot check ends is found once; then every row is tested by itself.
     """
-    sample = spot_check_pairs(log) if spot_checks is None else spot_checks
-    marked = log.join(sample.select("pair_id", F.lit(True).alias("_spot")), "pair_id", "left")
-    queue = marked.filter(
-        needs_review(F.coalesce("_spot", F.lit(False))) & ~text("human_reviewed").isin(*presets.REVIEWED_STATUSES)
-    )
-    return queue.orderBy(number("similarity_score").asc_nulls_last(), "pair_id").select(
-        *log.columns, F.coalesce("_spot", F.lit(False)).alias("spot_check")
-    )
+    spot = in_spot_check(log) if spot is None else spot
+    queue = log.withColumn("spot_check", spot).filter(in_queue(F.col("spot_check")))
+    return queue.orderBy(number("similarity_score").asc_nulls_last(), "pair_id")
 
 
 def review_triggers(spot: Column = None) -> Column:
@@ -144,7 +154,7 @@ def link_review_rules() -> dict[str, Column]:
     }
 
 
-def fold_link_reviews(linked: DataFrame, reviews: DataFrame, publications: DataFrame, order: Sequence[str] = ("ts",)) -> DataFrame:
+def fold_link_reviews(linked: DataFrame, reviews: DataFrame, publications: DataFrame, order: Sequence[str] = EVENT_ORDER) -> DataFrame:
     """Linked trials after manual link decisions: the latest valid one per trial replaces the link."""
     good, _ = schemas.split_valid(reviews, link_review_rules())
     last = keep_latest(good, ["nct_id"], order).select(
@@ -195,6 +205,37 @@ def link_review_audit(reviews: DataFrame) -> DataFrame:
     )
 
 
+class Resolution(NamedTuple):
+    """What manual link decisions lead to."""
+
+    linked: DataFrame
+    audit: DataFrame
+    matches: DataFrame
+
+
+def resolve_links(
+    linked: DataFrame,
+    reviews: DataFrame,
+    publications: DataFrame,
+    matches: DataFrame,
+    order: Sequence[str] = EVENT_ORDER,
+    embedder: Callable[[DataFrame, str], DataFrame] = hashed_embedding,
+) -> Resolution:
+    """Manual link decisions as one flow: the links they give, their audit rows, and the resolved trials matched anew.
+
+    ``matches`` are the match results so far (``nct_id, pmid`` and the match columns). Results of a
+    resolved trial's earlier link go; those of other trials stay.
+    """
+    good, _ = schemas.split_valid(reviews, link_review_rules())
+    resolved = good.select("nct_id").distinct()
+    folded = fold_link_reviews(linked, reviews, publications, order)
+    todo = folded.join(resolved, "nct_id", "left_semi")
+    columns = ["nct_id", "pmid", *matching.MATCH_COLUMNS]
+    kept = matches.select(*columns).join(resolved, "nct_id", "left_anti")
+    again = matching.match_endpoints(todo, embedder=embedder).select(*columns)
+    return Resolution(folded, link_review_audit(reviews), kept.unionByName(again))
+
+
 def linkage_queue(linked: DataFrame) -> DataFrame:
     """Links a person has to resolve, by confidence and trial."""
     open_link = F.col("linkage_confidence").isin("Low", "Unlinked") | (text("linkage_flag") != "")

@@ -3,85 +3,101 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from attestor import presets, schemas
 from attestor.functions.text import pair_nct, pair_pmid, stable_rank, text
-from attestor.operators.ordered import SINGLE_TASK_ROWS, running_totals, top_rows
 
 RANK = "_stable_rank"
-# Up to here a stratum's quota is cut on the map side.
-SMALL_QUOTA = 1000
-# Hash buckets of three hex digits: 4096 counts decide where a share ends.
+#: Hash digits by which rows are counted in one pass: 4096 counts.
 BUCKET_DIGITS = 3
+#: Keys of one bucket that are put in order on the driver; a larger bucket is counted by more digits first.
+EDGE_KEYS = 4096
+
+
+def share_edge(df: DataFrame, size_of: Callable[[int], int], key: str = "pair_id") -> tuple[str, str] | None:
+    """The last (hash, key) of the first ``size_of(row count)`` rows in that order; NULL keys are no rows.
+
+    Rows are counted per hash bucket, then within the one bucket in which the sample ends, until that one
+    is small. Copies of a key stay together: the key at the edge counts with all its rows.
+    """
+    keyed = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias(key)).withColumn(RANK, stable_rank(key))
+    prefix, wanted = "", None
+    while True:
+        inside = keyed.filter(F.col(RANK).startswith(prefix)) if prefix else keyed
+        bucket = F.substring(RANK, 1, len(prefix) + BUCKET_DIGITS)
+        counts = {r["b"]: r["n"] for r in inside.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        if wanted is None:
+            total = sum(counts.values())
+            wanted = min(size_of(total), total)
+        if wanted <= 0:
+            return None
+        for name in sorted(counts):
+            if counts[name] >= wanted:
+                break
+            wanted -= counts[name]
+        prefix = name
+        rows = keyed.filter(F.col(RANK).startswith(prefix)).groupBy(RANK, key).agg(F.count(F.lit(1)).alias("n"))
+        if counts[name] <= EDGE_KEYS or len(prefix) >= 15:
+            for row in rows.orderBy(RANK, key).collect():
+                if row["n"] >= wanted:
+                    return row[RANK], row[key]
+                wanted -= row["n"]
+
+
+def up_to(edge: tuple[str, str] | None, key: str = "pair_id") -> Column:
+    """Whether a row lies in the sample that ends at ``edge``: a test of the row alone."""
+    if edge is None:
+        return F.lit(False)
+    rank, name = stable_rank(key), F.col(key).cast("string")
+    return F.coalesce((rank < edge[0]) | ((rank == edge[0]) & (name <= edge[1])), F.lit(False))
 
 
 def stable_sample(df: DataFrame, n: int, key: str = "pair_id") -> DataFrame:
-    """The first ``n`` rows in (hash, key) order."""
-    return df.withColumn(RANK, stable_rank(key)).orderBy(RANK, key).limit(max(n, 0)).drop(RANK)
+    """The first ``n`` rows in (hash, key) order, as a set."""
+    return df.filter(up_to(share_edge(df, lambda _: n, key), key))
 
 
-def stable_share(
-    df: DataFrame, size_of, key: str = "pair_id", single_task_rows: int = SINGLE_TASK_ROWS
-) -> DataFrame:
-    """Keys of the first ``size_of(row count)`` rows in (hash, key) order, for samples of any size.
+def stable_share(df: DataFrame, size_of: Callable[[int], int], key: str = "pair_id") -> DataFrame:
+    """Keys of the first ``size_of(row count)`` rows in (hash, key) order, for samples of any size."""
+    return df.filter(up_to(share_edge(df, size_of, key), key)).select(key).distinct()
 
-    Counting rows per hash bucket shows which buckets lie wholly inside the sample; only the one
-    bucket at the edge has to be put in order.
-    """
-    keyed = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    keyed = keyed.withColumn(RANK, stable_rank(key)).withColumn("_bucket", F.substring(RANK, 1, BUCKET_DIGITS))
-    counts = {r["_bucket"]: r["n"] for r in keyed.groupBy("_bucket").agg(F.sum("_rows").alias("n")).collect()}
-    wanted = size_of(sum(counts.values()))
-    before, edge = 0, None
-    for bucket in sorted(counts):
-        if before + counts[bucket] > wanted:
-            edge = bucket
-            break
-        before += counts[bucket]
-    if edge is None:
-        return keyed.select(key)
-    inside = keyed.filter(F.col("_bucket") < edge).select(key)
-    ordered = running_totals(
-        keyed.filter(F.col("_bucket") == edge), [], [RANK, key], {"_upto": F.col("_rows")}, single_task_rows
-    )
-    at_edge = ordered.filter(F.col("_upto") - F.col("_rows") < wanted - before).select(key)
-    return inside.unionByName(at_edge)
+
+def in_spot_check(log: DataFrame, rate: float = presets.SPOT_CHECK_RATE) -> Column:
+    """Whether a log row is in the deterministic share of automatically routed pairs that people check (rounded down)."""
+    auto = F.col("routing").isin("auto_concordant", "auto_major_switch")
+    edge = share_edge(log.filter(auto), lambda n: min(n, int(n * rate)) if rate > 0 else 0)
+    return F.coalesce(auto, F.lit(False)) & up_to(edge)
 
 
 def spot_check_pairs(log: DataFrame, rate: float = presets.SPOT_CHECK_RATE) -> DataFrame:
-    """The deterministic share of automatically routed pairs that people check (rounded down)."""
-    auto = log.filter(F.col("routing").isin("auto_concordant", "auto_major_switch"))
-    return stable_share(auto, lambda n: min(n, int(n * rate)) if rate > 0 else 0)
+    """The pairs of the spot check."""
+    return log.filter(in_spot_check(log, rate)).select("pair_id").distinct()
 
 
 def second_rater_template(log: DataFrame, rate: float = presets.SPOT_CHECK_RATE) -> DataFrame:
     """A blinded second-review sheet for a share of the reviewed pairs (rounded up, at least one)."""
     reviewed = log.filter(F.col("human_reviewed").isin(*presets.REVIEWED_STATUSES))
-    picked = stable_share(reviewed, lambda n: min(n, max(math.ceil(n * rate), 1)))
-    rows = reviewed.join(picked, "pair_id", "left_semi")
-    return _sheet(rows, schemas.SECOND_REVIEW_COLUMNS)
+    edge = share_edge(reviewed, lambda n: min(n, max(math.ceil(n * rate), 1)))
+    return _sheet(reviewed.filter(up_to(edge)), schemas.SECOND_REVIEW_COLUMNS)
 
 
 def stratified_sample(
     log: DataFrame, n: int = presets.GOLD_SAMPLE_SIZE, stratum: str = "routing", strata=presets.ROUTINGS, key: str = "pair_id"
 ) -> DataFrame:
-    """At most ``n`` rows: an equal quota per stratum, filled up from the rest, all in hash order."""
-    ranked = log.withColumn(RANK, stable_rank(key))
-    quota = max(n // len(strata), 1)
-    if quota <= SMALL_QUOTA:
-        # Every map task keeps at most quota rows per stratum, so this side is small.
-        listed = ranked.filter(F.col(stratum).isin(*strata))
-        chosen = top_rows(listed, [stratum], [F.col(RANK), F.col(key)], quota, "_no").drop("_no")
-        rest = ranked.join(F.broadcast(chosen.select(key)), key, "left_anti")
-    else:
-        shares = [stable_share(log.filter(F.col(stratum) == s), lambda rows: min(rows, quota), key) for s in strata]
-        keys = reduce(DataFrame.unionByName, shares)
-        chosen, rest = ranked.join(keys, key, "left_semi"), ranked.join(keys, key, "left_anti")
-    both = chosen.withColumn("_turn", F.lit(0)).unionByName(rest.withColumn("_turn", F.lit(1)))
-    return both.orderBy("_turn", RANK, key).limit(n).drop("_turn", RANK)
+    """At most ``n`` rows: an equal quota per stratum, filled up from the rest, all in hash order, as a set."""
+    quota, chosen = max(n // len(strata), 1), F.lit(False)
+    for value in strata:
+        inside = F.coalesce(F.col(stratum) == value, F.lit(False))
+        chosen = chosen | (inside & up_to(share_edge(log.filter(inside), lambda rows: min(rows, quota), key), key))
+    taken = log.filter(chosen).count()
+    if taken > n:
+        chosen = chosen & up_to(share_edge(log.filter(chosen), lambda _: n, key), key)
+    elif taken < n:
+        chosen = chosen | up_to(share_edge(log.filter(~chosen), lambda rows: min(rows, n - taken), key), key)
+    return log.filter(chosen)
 
 
 def gold_template(log: DataFrame, n: int = presets.GOLD_SAMPLE_SIZE) -> DataFrame:

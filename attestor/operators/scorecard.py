@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from attestor import presets, schemas
@@ -33,12 +35,20 @@ def evidence_strength(pooled: Column, lower: Column, upper: Column, n: Column, s
     )
 
 
-def latest_bias(power_log: DataFrame, order: str | None = "audit_timestamp") -> DataFrame:
-    """The last numeric optimism bias per trial of an append-only power log."""
+def with_cluster(log: DataFrame, registered: str = "registered_endpoint") -> DataFrame:
+    """The log with each row's cluster."""
+    return log.withColumn("endpoint_cluster", endpoint_cluster(registered))
+
+
+def latest_bias(power_log: DataFrame, order: Sequence[str] = ("audit_timestamp",)) -> DataFrame:
+    """The last numeric optimism bias per trial of an append-only power log.
+
+    Rows of a trial that tie in ``order``, or all of them where the log has none of its columns, are told
+    apart by a hash of their values: a trial counts once.
+    """
     rows = power_log.withColumn("bias", number("optimism_bias")).filter("bias IS NOT NULL")
-    if order is None or order not in power_log.columns:
-        return rows.select("nct_id", "bias")
-    return keep_latest(rows.select("nct_id", "bias", order), ["nct_id"], [order]).select("nct_id", "bias")
+    known = [c for c in order if c in power_log.columns]
+    return keep_latest(rows.select("nct_id", "bias", *known), ["nct_id"], known or ["nct_id"]).select("nct_id", "bias")
 
 
 def log_metrics(clustered: DataFrame, parity: bool = False) -> DataFrame:
@@ -59,8 +69,13 @@ def log_metrics(clustered: DataFrame, parity: bool = False) -> DataFrame:
     )
 
 
+#: What the scorecard reads of the log.
+LOG_COLUMNS = (
+    "endpoint_cluster", "pair_id", "human_poolable", "human_reviewed", "human_decision", "ssi", "llm_switch_type", "human_final_class",
+)
+
+
 def build_scorecard(
-    clusters: DataFrame,
     log: DataFrame,
     linkage_log: DataFrame,
     pooled: DataFrame | None = None,
@@ -68,23 +83,22 @@ def build_scorecard(
     power_log: DataFrame | None = None,
     parity: bool = False,
 ) -> DataFrame:
-    """One row per cluster. ``clusters`` and ``effects`` are read several times: pass written tables.
+    """One row per cluster of ``log``, which has an ``endpoint_cluster`` (see :func:`with_cluster`).
 
+    The log is read several times: pass the written columns ``LOG_COLUMNS``, or a written table.
     ``pooled`` has one posterior row per cluster (a per-cluster fit, or the shared one of
     :func:`attestor.operators.pooling.broadcast_posterior`).
     """
-    names = clusters.select("endpoint_cluster").distinct()
-    clustered = log.join(clusters.select("endpoint_cluster", "pair_id"), "pair_id")
-    metrics = log_metrics(clustered, parity)
+    card = log_metrics(log, parity)
 
-    trials = clustered.select("endpoint_cluster", pair_nct("pair_id").alias("nct_id")).distinct()
+    trials = log.select("endpoint_cluster", pair_nct(F.trim("pair_id")).alias("nct_id")).distinct()
     unlinked = (
         linkage_log.filter(F.col("linkage_confidence") == "Unlinked")
         .groupBy("nct_id").agg(F.count(F.lit(1)).alias("_rows"))
         .join(trials, "nct_id")
         .groupBy("endpoint_cluster").agg(F.sum("_rows").alias("trials_unlinked"))
     )
-    card = names.join(metrics, "endpoint_cluster", "left").join(unlinked, "endpoint_cluster", "left")
+    card = card.join(unlinked, "endpoint_cluster", "left")
 
     none = F.lit(None).cast("double")
     if pooled is None:
@@ -99,7 +113,8 @@ def build_scorecard(
         known = effects.filter(F.col("se_log_hr") > 0).select(
             "pair_id", F.round(F.col("se_log_hr") * F.col("se_log_hr"), 8).alias("_var")
         )
-        variances = clusters.join(known, "pair_id").select("endpoint_cluster", "_var")
+        pairs = log.select("endpoint_cluster", F.trim("pair_id").alias("pair_id"))
+        variances = pairs.join(known, "pair_id").select("endpoint_cluster", "_var")
         card = card.join(grouped_median(variances, ["endpoint_cluster"], "_var", "_sigma2"), "endpoint_cluster", "left")
 
     if power_log is None:

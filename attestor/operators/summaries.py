@@ -102,11 +102,10 @@ def override_band(log: DataFrame) -> DataFrame:
     return counts.select("reviewed", "overrides", F.round(rate, 4).alias("override_rate"), band.alias("band"))
 
 
-def overview(log: DataFrame, queue: DataFrame) -> DataFrame:
-    """One row of headline counts."""
-    pending = queue.groupBy("pair_id").agg(F.count(F.lit(1)).alias("_pending"))
-    rows = log.join(pending.select("pair_id", F.lit(True).alias("_queued")), "pair_id", "left")
-    queued = F.coalesce("_queued", F.lit(False))
+def overview(log: DataFrame, queued: Column) -> DataFrame:
+    """One row of headline counts; ``queued`` tells the rows that wait for review."""
+    rows = log.withColumn("_queued", F.coalesce(queued, F.lit(False)))
+    queued = F.col("_queued")
     reviewed = F.col("human_reviewed").isin(*presets.REVIEWED_STATUSES)
     counts = rows.agg(
         F.count(F.lit(1)).alias("pairs"),

@@ -472,9 +472,9 @@ def pool_sequential_grouped(spark, sf):
 @query
 def posterior_hdi(spark, sf):
     """The 95 % highest-density interval of the pooled log ratio per cluster."""
-    group = ["endpoint_cluster"]
-    cells = materialise(pooling.mixture(_supplier_effects(spark, sf), group))
-    return _rounded(pooling.hdi(pooling.density(cells, pooling.moments_of(cells, group), group), group), 5)
+    pooled = pooling.pool(_supplier_effects(spark, sf), ["endpoint_cluster"])
+    ends = {"mu_lower": F.ln("pooled_hr_cri_lower"), "mu_upper": F.ln("pooled_hr_cri_upper")}
+    return _rounded(pooled.select("endpoint_cluster", *[v.alias(n) for n, v in ends.items()]), 5)
 
 
 @query
@@ -616,7 +616,7 @@ def log_view(spark, sf):
 @query
 def overview_kpis(spark, sf):
     log = derived(spark, sf, "log")
-    return summaries.overview(log, review.pending_queue(log))
+    return summaries.overview(log, review.in_queue(sampling.in_spot_check(log)))
 
 
 @query
@@ -834,13 +834,11 @@ def effect_json(spark, sf):
 def scorecard_(spark, sf):
     """The flagship: clusters, log metrics, per-cluster pooling, median variance, bias, strength."""
     log = derived(spark, sf, "log")
-    clusters = materialise(scorecard.cluster_pairs(log, "registered_endpoint"))
-    effects = materialise(_order_effects(spark, sf))
-    approved = pooling.poolable_effects(effects, log).join(clusters, "pair_id")
+    rows = materialise(scorecard.with_cluster(log).select(*scorecard.LOG_COLUMNS))
+    effects = materialise(_order_effects(spark, sf).select("pair_id", "log_hr", "se_log_hr"))
+    approved = pooling.poolable_effects(rows.select("pair_id", "endpoint_cluster").join(effects, "pair_id"), rows)
     pooled = pooling.pool(approved, ["endpoint_cluster"])
-    card = scorecard.build_scorecard(
-        clusters, log, derived(spark, sf, "linkage_log"), pooled, effects, _power(spark, sf)
-    )
+    card = scorecard.build_scorecard(rows, derived(spark, sf, "linkage_log"), pooled, effects, _power(spark, sf))
     return _rounded(card, 5, "pooled_hr", "pooled_hr_cri_lower", "pooled_hr_cri_upper", "between_trial_tau")
 
 
@@ -848,8 +846,7 @@ def scorecard_(spark, sf):
 def scorecard_parity(spark, sf):
     """Without pooling, and with agreement counted over all rows."""
     log = derived(spark, sf, "log")
-    clusters = scorecard.cluster_pairs(log, "registered_endpoint")
-    card = scorecard.build_scorecard(clusters, log, derived(spark, sf, "linkage_log"), parity=True)
+    card = scorecard.build_scorecard(scorecard.with_cluster(log), derived(spark, sf, "linkage_log"), parity=True)
     return card.select(*schemas.SCORECARD_COLUMNS[:8], "evidence_strength")
 
 

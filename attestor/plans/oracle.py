@@ -506,8 +506,10 @@ def _pool_ctes(effects: str, groups: str, prefix: bool = False, interval: bool =
     g = f"{groups}, " if groups else ""
     key = f"{g}pair_id" if prefix else groups
     k = f"{key}, " if key else ""
-    cells = f"""SELECT e.*, r.j, (r.j + 0.5::DOUBLE) * (3.0::DOUBLE / 400) AS tau,
-  1.0::DOUBLE / (se_log_hr * se_log_hr + power((r.j + 0.5::DOUBLE) * (3.0::DOUBLE / 400), 2)) AS w FROM ({effects}) e, range(0, 400) r(j)"""
+    # Midpoints of v with tau = 3 v^3: finer than the engine's nodes, and without an edge at 0.
+    v = "((r.j + 0.5::DOUBLE) / 1600)"
+    cells = f"""SELECT e.*, r.j, 3 * power({v}, 3) AS tau,
+  1.0::DOUBLE / (se_log_hr * se_log_hr + 9 * power({v}, 6)) AS w FROM ({effects}) e, range(0, 1600) r(j)"""
     if prefix:
         over = f"OVER (PARTITION BY {g}j ORDER BY registration_date, pair_id ROWS UNBOUNDED PRECEDING)"
         sums = f"""SELECT {k}j, tau, count(*) {over} AS n, sum(w) {over} AS sw, sum(w * log_hr) {over} AS swy, sum(w * log_hr * log_hr) {over} AS swyy, sum(ln(w)) {over} AS slw FROM cells"""
@@ -519,7 +521,7 @@ def _pool_ctes(effects: str, groups: str, prefix: bool = False, interval: bool =
         "cells": cells,
         "sums": sums,
         "post": "SELECT *, swy / prec AS m FROM (SELECT *, 4.0::DOUBLE + sw AS prec FROM sums)",
-        "weighed": "SELECT *, 0.5 * slw - 0.5 * ln(prec) - 0.5 * (swyy - prec * m * m) - tau * tau / 0.5::DOUBLE AS lp FROM post",
+        "weighed": "SELECT *, 0.5 * slw - 0.5 * ln(prec) - 0.5 * (swyy - prec * m * m) - tau * tau / 0.5::DOUBLE + 2 * ln(j + 0.5::DOUBLE) AS lp FROM post",
         "raised": f"SELECT *, exp(lp - max(lp) OVER ({part})) AS ex FROM weighed",
         "probs": f"SELECT *, ex / sum(ex) OVER ({part}) AS p FROM raised",
         "moments": f"""SELECT {k}max(n) AS n_trials, sum(p * m) AS mu, sum(p * tau) AS tau_mean,
@@ -614,12 +616,13 @@ FROM (SELECT least(greatest(floor((optimism_bias + 2.0::DOUBLE) / (3.0::DOUBLE /
 _VALID = "human_decision IS NOT NULL AND trim(reviewer_initials) <> '' AND (human_decision <> 'override' OR trim(override_reason) <> '')"
 _LAST = f"SELECT * FROM review_events WHERE {_VALID} QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY ts DESC, event_id DESC) = 1"
 ORACLE["review_fold"] = _with(
-    """SELECT l.pair_id, routing, CASE WHEN e.pair_id IS NULL OR e.human_decision = 'defer' THEN 'no' ELSE 'yes' END AS human_reviewed,
+    """SELECT l.pair_id, routing, CASE WHEN e.pair_id IS NULL OR e.human_decision = 'defer' THEN 'no'
+    WHEN l.pair_id IN (SELECT pair_id FROM spot) THEN 'spot_check' ELSE 'yes' END AS human_reviewed,
   coalesce(e.human_decision, '') AS human_decision, coalesce(e.human_final_class, '') AS human_final_class,
   CASE WHEN e.pair_id IS NULL THEN '' WHEN e.human_poolable THEN 'True' ELSE 'False' END AS human_poolable, coalesce(trim(e.override_reason), '') AS override_reason,
   coalesce(upper(trim(e.reviewer_initials)), '') AS reviewer_initials
 FROM review_log l LEFT JOIN e ON e.pair_id = l.pair_id""",
-    "review_log", "review_events", e=_LAST,
+    "review_log", "review_events", e=_LAST, spot=_SPOT.replace("FROM log", "FROM review_log"),
 )
 ORACLE["review_rejects"] = _with(
     f"""SELECT event_id, pair_id, CASE WHEN NOT ({_VALID}) THEN concat_ws(',', CASE WHEN trim(reviewer_initials) = '' THEN 'reviewer_initials' END,

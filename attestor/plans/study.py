@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from attestor.functions.extract import effect_measures, extract_effects
 from attestor.functions.vectors import hashed_embedding
@@ -21,7 +21,7 @@ def run_study(
     verdicts: DataFrame | None = None,
     adjudications: DataFrame | None = None,
     shared_posterior: bool = False,
-    order: Sequence[str] = ("ts",),
+    order: Sequence[str] = review.EVENT_ORDER,
 ) -> dict[str, DataFrame]:
     """All stages as written tables, by name.
 
@@ -45,7 +45,7 @@ def run_study(
     decisions = stage("decisions", matching.decision_entries(matched, answers, "none"))
     log = stage("log", review.fold_reviews(decisions, reviews(decisions), order))
 
-    effects = stage("effects", effect_measures(extract_effects(linked)))
+    effects = stage("effects", effect_measures(extract_effects(linked, "abstract_sections" if "abstract_sections" in linked.columns else None)))
     approved = stage("poolable", pooling.poolable_effects(effects, log))
     clusters = stage("clusters", scorecard.cluster_pairs(log, "registered_endpoint"))
     prefixes = stage("sequential", pooling.pool_prefixes(approved))
@@ -55,10 +55,7 @@ def run_study(
         pooled = pooling.broadcast_posterior(clusters, log, pooling.pool(approved))
     else:
         pooled = pooling.pool(approved.join(clusters, "pair_id"), ["endpoint_cluster"])
-    card = scorecard.build_scorecard(
-        clusters, log, linkage_log, stage("pooled", pooled), effects,
-        audit.withColumn("audit_timestamp", F.lit("")),
-    )
+    card = scorecard.build_scorecard(scorecard.with_cluster(log), linkage_log, stage("pooled", pooled), effects, audit)
     return {
         "linked": linked, "linkage_log": linkage_log, "matched": matched, "log": log, "effects": effects,
         "sequential": prefixes, "power_audit": audit, "scorecard": stage("scorecard", card),

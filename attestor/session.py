@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,7 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 def local_session(cores: str | int = 8, shuffle_partitions: int = 8, app: str = "attestor") -> SparkSession:
     """A single-JVM session for tests and benches; clusters bring their own session."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -21,23 +20,24 @@ def local_session(cores: str | int = 8, shuffle_partitions: int = 8, app: str =
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
+    shared_dir(spark)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a fresh folder of its own: on a cluster a machine-local
-    folder would be lost with its machine.
+    Where that is unset, a local session uses a folder beside its warehouse; a cluster must name one.
     """
     sc = spark.sparkContext
-    configured = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF)
-    current = configured or sc.getCheckpointDir()
+    current = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF) or sc.getCheckpointDir()
     if current is None:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local["):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-        current = tempfile.mkdtemp(prefix="attestor-")
+        current = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(current)
     return current

@@ -93,12 +93,15 @@ def test_stratified_sample_has_the_asked_size(frame, n):
         assert got.filter("routing = 'auto_concordant'").count() >= min(2, n // 3)
 
 
-def test_large_quotas_give_the_same_sample(frame, monkeypatch):
+def test_stratified_sample_takes_the_head_of_each_stratum(frame):
+    import hashlib
+
     rows = [(f"p{i}", r) for i, r in enumerate(["llm"] * 30 + ["auto_concordant"] * 2 + ["other"] * 8)]
-    df = frame("pair_id string, routing string", rows)
-    small = {r["pair_id"] for r in sampling.stratified_sample(df, 12).collect()}
-    monkeypatch.setattr(sampling, "SMALL_QUOTA", 0)
-    assert {r["pair_id"] for r in sampling.stratified_sample(df, 12).collect()} == small
+    by_hash = sorted(rows, key=lambda r: (hashlib.sha256(r[0].encode()).hexdigest()[:16], r[0]))
+    quota = {r[0] for s in ("llm", "auto_concordant") for r in [x for x in by_hash if x[1] == s][:4]}
+    rest = [r[0] for r in by_hash if r[0] not in quota][: 12 - len(quota)]
+    got = {r["pair_id"] for r in sampling.stratified_sample(frame("pair_id string, routing string", rows), 12).collect()}
+    assert got == quota | set(rest)
 
 
 def test_spot_check_samples_automatic_rows_only(log):
@@ -119,10 +122,8 @@ def test_pending_queue(frame):
         ("f", "auto_concordant", "", "True", "x", "no", "0.91"),
     ]
     df = frame(QUEUE, rows)
-    none = frame("pair_id string", [])
-    assert [r["pair_id"] for r in review.pending_queue(df, none).collect()] == ["a", "f", "e", "b"]
-    spot = frame("pair_id string", [("c",)])
-    queued = review.pending_queue(df, spot)
+    assert [r["pair_id"] for r in review.pending_queue(df, F.lit(False)).collect()] == ["a", "f", "e", "b"]
+    queued = review.pending_queue(df, F.col("pair_id") == "c")
     assert [r["pair_id"] for r in queued.collect()] == ["a", "f", "e", "c", "b"]
     triggers = queued.withColumn("llm_comparability", F.lit("False")).select("pair_id", review.review_triggers(F.col("spot_check")).alias("t"))
     got = {r["pair_id"]: len(r["t"]) for r in triggers.collect()}
@@ -162,9 +163,11 @@ def test_review_fold(frame):
 
 
 def test_spot_check_status(frame):
-    spot = frame("pair_id string", [("NCT001_111",)])
-    valid = events(frame).filter("event_id = 2")
-    assert review.latest_reviews(valid, ["ts"], spot).first()["human_reviewed"] == "spot_check"
+    log = frame("pair_id string, routing string", [("NCT001_111", "auto_concordant"), ("NCT002_222", "llm"), ("NCT004_444", "llm")])
+    latest = review.latest_reviews(events(frame).filter("event_id in (2, 4)"))
+    got = {r["pair_id"]: r["human_reviewed"] for r in review.apply_reviews(log, latest, F.col("pair_id") != "").collect()}
+    # A deferred or missing review is no spot check.
+    assert got == {"NCT001_111": "spot_check", "NCT002_222": "no", "NCT004_444": "no"}
 
 
 def test_link_review_fold(frame):
@@ -181,7 +184,7 @@ def test_link_review_fold(frame):
         "pmid string, abstract_text string, abstract_sections map<string,string>, authors array<string>, pub_year string, journal string",
         [("7", "The primary outcome was met. End", None, ["Doe", "Roe"], "2019", "J7")],
     )
-    got = {r["nct_id"]: r for r in review.fold_link_reviews(linked, reviews, pubs).collect()}
+    got = {r["nct_id"]: r for r in review.fold_link_reviews(linked, reviews, pubs, ["ts"]).collect()}
     assert (got["N1"]["pmid"], got["N1"]["linkage_method"], got["N1"]["linkage_flag"], got["N1"]["published_endpoint"]) == ("7", "manual", "", "primary outcome was met")
     assert (got["N2"]["pmid"], got["N2"]["linkage_method"]) == ("2", "direct")
     assert [r["linked_by"] for r in review.link_review_audit(reviews).collect()] == ["reviewer:AB"]

@@ -132,7 +132,7 @@ def test_whole_study(spark, frame, tmp_path):
     def reviews(log):
         return log.select(
             "pair_id", F.lit("confirm").alias("human_decision"), F.lit("concordant").alias("human_final_class"), F.lit(True).alias("human_poolable"),
-            F.lit("ab").alias("reviewer_initials"), F.lit("").alias("override_reason"), F.lit(dt.datetime(2024, 1, 1)).alias("ts"),
+            F.lit("ab").alias("reviewer_initials"), F.lit("").alias("override_reason"), F.lit(dt.datetime(2024, 1, 1)).alias("ts"), F.lit(1).alias("event_id"),
         )
 
     out = study.run_study(t, frame(PUB_SCHEMA, pubs), reviews, str(tmp_path))
