@@ -7,17 +7,30 @@ confirmed or not by the years. Every publication passes the article gate before
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from attestor import presets
 from attestor.functions.extract import published_endpoint
 from attestor.functions.text import first_text, fixed, text, title_tokens, year_in, years_agree
 from attestor.operators.gating import gate
+from attestor.operators.ordered import keep_latest
 from attestor.operators.similarity_join import distinct_sets, nearest_sets
 from attestor.schemas import LINK_COLUMNS as LINK_FIELDS
 from attestor.session import materialise
 
 
+def unique_articles(publications: DataFrame, order: Sequence[str] = ("version",)) -> DataFrame:
+    """One row per identifier: the latest version, where the table has one; rows that tie go by a hash of their columns.
+
+    Baseline and update files repeat identifiers; a join on them must not multiply trials.
+    """
+    known = [c for c in order if c in publications.columns]
+    rows = publications if known else publications.withColumn("_version", F.lit(0))
+    return keep_latest(rows, ["pmid"], known or ["_version"]).select(*publications.columns)
+
+
 def submitted_matches(trials: DataFrame, kept: DataFrame) -> DataFrame:
     """Trials whose submitted reference exists and passed the gate: ``(nct_id, pmid)``."""
     asked = trials.filter(F.trim(text("ctgov_pmid")) != "").select("nct_id", F.trim("ctgov_pmid").alias("pmid"))
@@ -74,6 +87,7 @@ def link(trials: DataFrame, publications: DataFrame, verdicts: DataFrame | None
     The gate reads every abstract, so its narrow result is written once and shared by all stages.
     Only ids and scores go through the matching joins; the articles' texts are joined at the end.
     """
+    publications = unique_articles(publications)
     judged = materialise(gate(publications, verdicts).select("pmid", "title", "secondary_ids", "kept", "gate_note"))
     kept = judged.filter("kept")
     base = trials.withColumn("title", first_text("official_title", "brief_title"))

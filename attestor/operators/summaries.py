@@ -207,6 +207,14 @@ def linkage_entries(linkage_log: DataFrame) -> DataFrame:
     return linkage_log.groupBy("nct_id", entry.alias("entry")).agg(F.count(F.lit(1)).alias("times"))
 
 
+def linkage_lists(linkage_log: DataFrame) -> DataFrame:
+    """Per trial: the number of links, and all of them in one text, each distinct one once."""
+    entries = linkage_entries(linkage_log)
+    return entries.groupBy("nct_id").agg(
+        F.sum("times").alias("links"), F.array_join(F.array_sort(F.collect_list("entry")), " | ").alias("all_links")
+    )
+
+
 def linkage_digest(linkage_log: DataFrame) -> DataFrame:
     """Links per trial: their number and, in one text, how often each method and confidence occurs.
 
@@ -228,7 +236,7 @@ def links_of(linkage_log: DataFrame, nct_id: str) -> DataFrame:
 
 def provenance(log: DataFrame, linkage_log: DataFrame) -> DataFrame:
     """Every decision made about each pair, in display form."""
-    rows = log.withColumn("nct_id", pair_nct("pair_id")).join(linkage_digest(linkage_log), "nct_id", "left")
+    rows = log.withColumn("nct_id", pair_nct("pair_id")).join(linkage_lists(linkage_log), "nct_id", "left")
 
     def label(name: str, fallback: str) -> Column:
         return F.when(F.col(name).isin(*presets.SWITCH_TYPES), labels(name, presets.SWITCH_LABELS)).otherwise(fallback)
@@ -238,7 +246,7 @@ def provenance(log: DataFrame, linkage_log: DataFrame) -> DataFrame:
         "nct_id",
         F.coalesce(F.nullif(pair_pmid("pair_id"), F.lit("")), F.lit("Not linked")).alias("pair_pmid"),
         F.coalesce("links", F.lit(0)).alias("links"),
-        F.coalesce("link_kinds", F.lit("No linkage entry.")).alias("link_kinds"),
+        F.coalesce("all_links", F.lit("No linkage entry.")).alias("all_links"),
         safe_text("registered_endpoint").alias("registered_endpoint"),
         safe_text("published_endpoint", "None extracted").alias("published_endpoint"),
         fmt_num("similarity_score", 4).alias("similarity_score"),

@@ -191,8 +191,28 @@ def _publications(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _article_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every publication, and for every second one an earlier version or (for every sixth) a correction."""
+    pubs = _publications(spark, sf).withColumn("version", F.lit(1))
+    number = F.col("pmid").cast("bigint")
+    again = pubs.filter(number % 2 == 0).withColumns(
+        {
+            "title": F.concat(F.when(number % 6 == 0, "Corrected: ").otherwise("Preprint: "), F.col("title")),
+            "version": F.when(number % 6 == 0, 2).otherwise(0),
+        }
+    )
+    return pubs.unionByName(again)
+
+
 def _linked(spark: SparkSession, sf: str) -> DataFrame:
-    return linkage.link(derived(spark, sf, "link_trials"), _publications(spark, sf))
+    # Older versions of publications must neither multiply trials nor win.
+    pubs = _article_versions(spark, sf).filter("version < 2")
+    return linkage.link(derived(spark, sf, "link_trials"), pubs)
+
+
+@query
+def article_versions(spark, sf):
+    return linkage.unique_articles(_article_versions(spark, sf)).select("pmid", "title", "version")
 
 
 @query
@@ -258,6 +278,68 @@ def linkage_queue(spark, sf):
     )
 
 
+@query
+def links_of(spark, sf):
+    """All links of the first and the last trial of the log, each as one text."""
+    log = derived(spark, sf, "linkage_log")
+    ends = log.agg(F.min("nct_id"), F.max("nct_id")).first()
+    return summaries.links_of(log, ends[0]).unionByName(summaries.links_of(log, ends[1]))
+
+
+@query
+def audit_append(spark, sf):
+    """The linkage log appended to an audit log in two batches, then read whole."""
+    path, log = work_path(spark, "audit"), derived(spark, sf, "linkage_log")
+    tables.append_log(log.filter("linkage_method = 'manual'"), path)
+    tables.append_log(log.filter("linkage_method <> 'manual'"), path)
+    rows = spark.read.parquet(path)
+    return rows.groupBy("pipeline_version", "linkage_method", "linkage_confidence").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("created_at").isNull()).alias("unstamped"), F.max("nct_id").alias("last_nct")
+    )
+
+
+@query
+def log_export(spark, sf):
+    """Two logs exported as text tables, filtered, and read back."""
+    logs = {"linkage": derived(spark, sf, "linkage_log"), "calls": derived(spark, sf, "calls").withColumn("nct_id", F.lit("NCT1"))}
+    paths = tables.export_logs(logs, work_path(spark, "export"), F.col("nct_id") != "NCT00000001")
+    back = tables.read_text_table(spark, paths[0], ["nct_id", "pmid", "linkage_confidence"])
+    calls = tables.read_text_table(spark, paths[1], ["user_id", "prompt_tokens"])
+    return back.groupBy(F.lit("linkage").alias("log"), F.col("linkage_confidence").alias("kind")).agg(
+        F.count(F.lit(1)).alias("n"), F.max("pmid").alias("last")
+    ).unionByName(calls.groupBy(F.lit("calls").alias("log"), F.col("nct_id").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.max("prompt_tokens").alias("last")))
+
+
+@query
+def first_trials(spark, sf):
+    return registry.first_trials(derived(spark, sf, "link_trials"), 25).select("nct_id", "official_title", "completion_date")
+
+
+@query
+def row_rules(spark, sf):
+    """Linkage and power rows with spelling and range problems, and the rules they break."""
+    links = derived(spark, sf, "linkage_log").withColumns(
+        {
+            "nct_id": F.when(F.col("pmid").endswith("1"), F.concat(F.lit("  "), F.lower("nct_id"))).when(F.col("pmid").endswith("2"), F.concat(F.lit("X"), F.col("nct_id"))).otherwise(F.col("nct_id")),
+            "linkage_method": F.when(F.col("pmid").endswith("3"), "guess").otherwise(F.col("linkage_method")),
+            "linkage_confidence": F.when(F.col("pmid").endswith("4"), F.lit(None)).otherwise(F.col("linkage_confidence")),
+        }
+    )
+    checked = schemas.validate(schemas.normalise_trial_id(links), schemas.linkage_rules())
+    trials = derived(spark, sf, "power_trials").select(
+        "nct_id", F.col("enrollment").try_cast("double").alias("enrollment"), F.lit(0.8).alias("assumed_hr"),
+        F.coalesce("event_rate", F.lit(1.5)).alias("assumed_event_rate"), F.lit(0.05).alias("alpha"),
+        F.when(F.col("registration_date").contains("/"), 1.0).otherwise(0.8).alias("power"),
+    )
+    tested = schemas.validate(trials, schemas.power_rules())
+
+    def counted(df: DataFrame, kind: str) -> DataFrame:
+        found = df.groupBy(F.array_join("violations", ",").alias("violations"))
+        return found.agg(F.count(F.lit(1)).alias("n"), F.min("nct_id").alias("first_nct")).select(F.lit(kind).alias("kind"), "violations", "n", "first_nct")
+
+    return counted(checked, "linkage").unionByName(counted(tested, "power"))
+
+
 @query
 def linkage_log_view(spark, sf):
     return review.linkage_log_view(derived(spark, sf, "linkage_log"))
@@ -275,14 +357,36 @@ def link_review_fold(spark, sf):
         F.max("pmid").alias("pmid"), F.min("linkage_method").alias("linkage_method"),
         F.min("linkage_confidence").alias("linkage_confidence"),
     ).withColumns({c: F.lit("") for c in ("linkage_notes", "linkage_flag", "published_endpoint", "journal")})
-    events = table(spark, sf, "events").select(
-        "event_id", "ts", F.format_string("NCT%08d", "user_id").alias("nct_id"),
-        F.when(F.col("event_type") == "view", "Unlinked").when(F.col("event_type") == "click", "High")
-        .when(F.col("event_type") == "signup", "Medium").when(F.col("event_type") == "error", "Low").otherwise("none").alias("linkage_confidence"),
+    return review.fold_link_reviews(linked, _link_events(spark, sf), _publications(spark, sf), ["ts", "event_id"])
+
+
+def _link_events(spark: SparkSession, sf: str) -> DataFrame:
+    kinds = {"view": "Unlinked", "click": "High", "signup": "Medium", "error": "Low"}
+    confidence = F.lit("none")
+    for event, value in kinds.items():
+        confidence = F.when(F.col("event_type") == event, value).otherwise(confidence)
+    return table(spark, sf, "events").select(
+        "event_id", "ts", F.format_string("NCT%08d", "user_id").alias("nct_id"), confidence.alias("linkage_confidence"),
         F.when(F.col("value") < 40, "").otherwise((F.col("user_id") + 20000000).cast("string")).alias("pmid"),
         F.lit("xy").alias("reviewer_initials"), F.concat(F.lit("checked "), F.col("event_type")).alias("notes"),
     )
-    return review.fold_link_reviews(linked, events, _publications(spark, sf), ["ts", "event_id"])
+
+
+@query
+def link_resolution(spark, sf):
+    """Manual link decisions from events: the resolved trials of orders are matched anew, all others keep their results."""
+    linked = derived(spark, sf, "linkage_log").groupBy("nct_id").agg(
+        F.max("pmid").alias("pmid"), F.min("linkage_method").alias("linkage_method"),
+        F.min("linkage_confidence").alias("linkage_confidence"),
+    ).withColumns({c: F.lit("") for c in ("linkage_notes", "linkage_flag", "published_endpoint", "journal")})
+    linked = linked.withColumn("primary_outcomes", F.lit("Primary outcome was reached"))
+    old = linked.select("nct_id", "pmid", F.lit("old").alias("pair_id"), F.lit(0.123).alias("similarity_score"), F.lit("kept").alias("routing"))
+    return review.resolve_links(linked, _link_events(spark, sf), _publications(spark, sf), old).matches
+
+
+@query
+def link_audit(spark, sf):
+    return review.link_review_audit(_link_events(spark, sf))
 
 
 # ------------------------------------------------------------------ article gate
@@ -406,6 +510,22 @@ def hr_extract_summary(spark, sf):
     return summaries.extraction_summary(extract.extract_effects(derived(spark, sf, "linked_lines")))
 
 
+@query
+def hr_extract_sections(spark, sf):
+    """Effects from labelled results sections, and from the whole abstract where there is none."""
+    lines = derived(spark, sf, "linked_lines")
+    labelled = F.substring("registration_date", 10, 1).cast("int") % 2 == 0
+    filled = F.trim("abstract_text") != ""
+    rows = lines.withColumns(
+        {
+            "sections": F.when(labelled & filled, F.create_map(F.lit("METHODS"), F.lit("HR 0.70 (95% CI 0.60-0.80)"), F.lit("RESULTS"), F.col("abstract_text"))),
+            "abstract_text": F.when(filled, "Earlier work: HR 0.90 (95% CI 0.80-1.10).").otherwise(F.col("abstract_text")),
+        }
+    )
+    found = extract.extract_effects(rows, "sections")
+    return found.select("pair_id", "hr", "hr_lci", "hr_uci", "log_hr", "se_log_hr", "extraction_method", "outcome")
+
+
 def _with_fields(raw: DataFrame) -> DataFrame:
     return raw.withColumns(extract.effect_fields(F.col("hr"), F.col("hr_lci"), F.col("hr_uci")))
 
@@ -613,6 +733,15 @@ def log_view(spark, sf):
     return review.existing_columns(derived(spark, sf, "log"), wanted)
 
 
+@query
+def select_or_first(spark, sf):
+    """A chosen row of the log, and the first one where the choice is not there."""
+    log = derived(spark, sf, "log").select("pair_id", "routing", "similarity_score")
+    last = log.agg(F.max("pair_id")).first()[0]
+    hit, miss = (review.select_or_first(log, "pair_id", key, ["pair_id"]) for key in (last, "not there"))
+    return hit.withColumn("choice", F.lit("last")).unionByName(miss.withColumn("choice", F.lit("missing")))
+
+
 @query
 def overview_kpis(spark, sf):
     log = derived(spark, sf, "log")
@@ -714,6 +843,14 @@ def embed_hook(spark, sf):
     return v.select(F.md5("text").alias("text_key"), F.size("embedding").alias("dims"), F.round(vectors.dot(F.col("embedding"), F.col("embedding")), 3).alias("norm"))
 
 
+@query
+def user_embedder(spark, sf):
+    """A user's own function over all distinct texts, in batches: length, number of e, and first code point."""
+    texts = table(spark, sf, "documents").select("text").distinct()
+    vectors_ = vectors.embed_with(texts, "text", lambda batch: [[len(t), t.count("e"), ord(t[0]) if t else 0] for t in batch])
+    return vectors_.select(F.md5("text").alias("text_key"), *[F.get("embedding", F.lit(i)).cast("bigint").alias(f"v{i}") for i in range(3)])
+
+
 @query
 def match_endpoints(spark, sf):
     """Endpoint texts of all orders compared by the offline embedder (word counts)."""
@@ -741,16 +878,17 @@ def _study_documents(spark: SparkSession, sf: str) -> DataFrame:
         lambda r: r.isNotNull(),
     )
     date = F.when(F.col("completion_date") == "2015-06", "2015-06-30").otherwise(F.col("completion_date"))
+    no = F.substring("nct_id", 4, 8).cast("bigint")
     return p.select(
         s(
             identificationModule=s(nctId=F.col("nct_id"), officialTitle=F.col("title")),
-            designModule=s(studyType=F.lit("INTERVENTIONAL"), phases=F.array(F.lit("PHASE2"), F.lit("PHASE3")), enrollmentInfo=s(count=F.col("enrollment").cast("bigint"))),
+            designModule=s(studyType=F.when(no % 11 == 0, "OBSERVATIONAL").otherwise("INTERVENTIONAL"), phases=F.when(no % 7 == 0, F.array(F.lit("PHASE1"))).otherwise(F.array(F.lit("PHASE2"), F.lit("PHASE3"))), enrollmentInfo=s(count=F.col("enrollment").cast("bigint"))),
             outcomesModule=s(primaryOutcomes=F.array(s(measure=F.lit("Overall survival")), s(measure=F.col("primary_outcomes")))),
             statusModule=s(
-                overallStatus=F.lit("COMPLETED"), completionDateStruct=s(date=date),
-                studyFirstSubmitDate=F.lit("2010-01-01"), resultsFirstPostedDateStruct=s(date=F.lit("2018-01-01")),
+                overallStatus=F.when(no % 13 == 0, "RECRUITING").otherwise("COMPLETED"), completionDateStruct=s(date=date),
+                studyFirstSubmitDate=F.lit("2010-01-01"), resultsFirstPostedDateStruct=s(date=F.when(no % 17 != 0, "2018-01-01")),
             ),
-            conditionsModule=s(conditions=F.concat("conditions", F.array(F.lit("Breast Cancer")))),
+            conditionsModule=s(conditions=F.concat("conditions", F.array(F.when(no % 19 == 0, "Asthma").otherwise("Breast Cancer")))),
             eligibilityModule=s(eligibilityCriteria=F.col("eligibility")),
             referencesModule=s(references=refs),
         ).alias("protocolSection")

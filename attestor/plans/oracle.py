@@ -328,6 +328,8 @@ ORACLE["linkage_counts"] = _with(
 UNION ALL SELECT 'linkage_method', linkage_method, count(*) FROM linkage_log GROUP BY ALL""",
     "linkage_log",
 )
+_LINK_EVENTS = """SELECT *, 'NCT' || lpad(user_id::VARCHAR, 8, '0') AS nct_id, CASE event_type WHEN 'view' THEN 'Unlinked' WHEN 'click' THEN 'High' WHEN 'signup' THEN 'Medium' WHEN 'error' THEN 'Low' ELSE 'none' END AS conf,
+  CASE WHEN value < 40 THEN '' ELSE (user_id + 20000000)::VARCHAR END AS pmid FROM events"""
 ORACLE["link_review_fold"] = _with(
     """SELECT l.nct_id, CASE WHEN r.nct_id IS NULL THEN l.pmid WHEN conf = 'Unlinked' THEN '' ELSE r.pmid END AS pmid,
   CASE WHEN r.nct_id IS NULL THEN l.linkage_method ELSE 'manual' END AS linkage_method, coalesce(conf, l.linkage_confidence) AS linkage_confidence,
@@ -338,8 +340,7 @@ ORACLE["link_review_fold"] = _with(
 FROM l LEFT JOIN r ON r.nct_id = l.nct_id LEFT JOIN link_pubs p ON p.pmid = r.pmid AND conf <> 'Unlinked'""",
     "linkage_log", "link_pubs",
     l="SELECT nct_id, max(pmid) AS pmid, min(linkage_method) AS linkage_method, min(linkage_confidence) AS linkage_confidence FROM linkage_log GROUP BY nct_id",
-    e="""SELECT *, 'NCT' || lpad(user_id::VARCHAR, 8, '0') AS nct_id, CASE event_type WHEN 'view' THEN 'Unlinked' WHEN 'click' THEN 'High' WHEN 'signup' THEN 'Medium' WHEN 'error' THEN 'Low' ELSE 'none' END AS conf,
-  CASE WHEN value < 40 THEN '' ELSE (user_id + 20000000)::VARCHAR END AS pmid FROM events""",
+    e=_LINK_EVENTS,
     r="SELECT * FROM e WHERE conf <> 'none' AND (conf = 'Unlinked' OR pmid <> '') QUALIFY row_number() OVER (PARTITION BY nct_id ORDER BY ts DESC, event_id DESC) = 1",
 )
 
@@ -675,12 +676,14 @@ def _or(column: str, fallback: str) -> str:
     return f"CASE WHEN trim({column}) = '' THEN '{fallback}' ELSE trim({column}) END"
 
 
+_LINK_ENTRIES = f"""SELECT nct_id AS nct, 'PMID ' || {_or('pmid', 'Not available')} || ' (' || linkage_method || ' / ' || linkage_confidence || ')' AS entry, count(*) AS n
+FROM linkage_log GROUP BY ALL"""
 ORACLE["linkage_entries"] = _with(
     f"SELECT nct_id, 'PMID ' || {_or('pmid', 'Not available')} || ' (' || linkage_method || ' / ' || linkage_confidence || ')' AS entry, count(*) AS times FROM linkage_log GROUP BY ALL",
     "linkage_log",
 )
 ORACLE["provenance"] = _with(
-    f"""SELECT pair_id, split_part(pair_id, '_', 1) AS nct_id, split_part(pair_id, '_', 2) AS pair_pmid, coalesce(links, 0)::BIGINT AS links, coalesce(link_kinds, 'No linkage entry.') AS link_kinds,
+    f"""SELECT pair_id, split_part(pair_id, '_', 1) AS nct_id, split_part(pair_id, '_', 2) AS pair_pmid, coalesce(links, 0)::BIGINT AS links, coalesce(all_links, 'No linkage entry.') AS all_links,
   {_or('registered_endpoint', 'Not available.')} AS registered_endpoint, {_or('published_endpoint', 'None extracted')} AS published_endpoint,
   printf('%.4f', similarity_score) AS similarity_score, {_ROUTE_LABEL} AS routing, {_label('llm_switch_type', 'Not classified')} AS ai_classification,
   {_or('llm_confidence', 'Not called')} AS ai_confidence, {_or('human_decision', 'Not reviewed')} AS human_decision, {_label('human_final_class', 'Pending review')} AS human_class,
@@ -688,8 +691,66 @@ ORACLE["provenance"] = _with(
   {_or('review_timestamp', 'Not yet reviewed')} AS review_timestamp
 FROM log LEFT JOIN d ON d.nct = split_part(pair_id, '_', 1)""",
     "log", "linkage_log",
-    d="""SELECT nct_id AS nct, sum(n) AS links, string_agg(kind || ' x' || n, ' | ' ORDER BY kind || ' x' || n) AS link_kinds
-FROM (SELECT nct_id, linkage_method || ' / ' || linkage_confidence AS kind, count(*) AS n FROM linkage_log GROUP BY ALL) GROUP BY nct_id""",
+    d=f"SELECT nct, sum(n) AS links, string_agg(entry, ' | ' ORDER BY entry) AS all_links FROM ({_LINK_ENTRIES}) GROUP BY nct",
+)
+ORACLE["links_of"] = _with(
+    f"""SELECT nct AS nct_id, string_agg(entry, ' | ' ORDER BY entry) AS all_links FROM ({_LINK_ENTRIES})
+WHERE nct IN (SELECT min(nct_id) FROM linkage_log UNION SELECT max(nct_id) FROM linkage_log) GROUP BY nct""",
+    "linkage_log",
+)
+ORACLE["audit_append"] = _with(
+    f"""SELECT '{presets.VERSION_TAG}' AS pipeline_version, linkage_method, linkage_confidence, count(*) AS n, 0::BIGINT AS unstamped, max(nct_id) AS last_nct
+FROM linkage_log GROUP BY ALL""",
+    "linkage_log",
+)
+ORACLE["log_export"] = _with(
+    """SELECT 'linkage' AS log, linkage_confidence AS kind, count(*) AS n, max(pmid) AS last FROM linkage_log WHERE nct_id <> 'NCT00000001' GROUP BY ALL
+UNION ALL SELECT 'calls', 'NCT1', count(*), max(prompt_tokens::VARCHAR) FROM calls""",
+    "linkage_log", "calls",
+)
+ORACLE["first_trials"] = _with("SELECT nct_id, official_title, completion_date FROM link_trials ORDER BY nct_id LIMIT 25", "link_trials")
+ORACLE["row_rules"] = _with(
+    """SELECT 'linkage' AS kind, violations, count(*) AS n, min(nct) AS first_nct FROM (SELECT
+    CASE WHEN pmid LIKE '%2' THEN 'X' || nct_id ELSE nct_id END AS nct,
+    CASE WHEN pmid LIKE '%2' THEN 'nct_id_prefix' WHEN pmid LIKE '%3' THEN 'linkage_method' WHEN pmid LIKE '%4' THEN 'linkage_confidence' ELSE '' END AS violations
+  FROM linkage_log) GROUP BY ALL
+UNION ALL SELECT 'power', violations, count(*), min(nct_id) FROM (SELECT nct_id,
+    concat_ws(',', CASE WHEN NOT coalesce(try_cast(enrollment AS DOUBLE) > 0, false) THEN 'enrollment' END, CASE WHEN event_rate IS NULL THEN 'assumed_event_rate' END,
+      CASE WHEN contains(registration_date, '/') THEN 'power' END) AS violations FROM power_trials) GROUP BY ALL""",
+    "linkage_log", "power_trials",
+)
+ORACLE["select_or_first"] = _with(
+    """SELECT pair_id, routing, similarity_score, 'last' AS choice FROM log WHERE pair_id = (SELECT max(pair_id) FROM log)
+UNION ALL SELECT pair_id, routing, similarity_score, 'missing' FROM log WHERE pair_id = (SELECT min(pair_id) FROM log)""",
+    "log",
+)
+ORACLE["article_versions"] = _with(
+    """SELECT pmid, CASE WHEN pmid::BIGINT % 6 = 0 THEN 'Corrected: ' ELSE '' END || title AS title, CASE WHEN pmid::BIGINT % 6 = 0 THEN 2 ELSE 1 END AS version FROM link_pubs""",
+    "link_pubs",
+)
+ORACLE["user_embedder"] = "SELECT DISTINCT md5(text) AS text_key, length(text) AS v0, length(text) - length(replace(text, 'e', '')) AS v1, unicode(text)::BIGINT AS v2 FROM documents"
+_LABELLED = "substr(registration_date, 10, 1)::INTEGER % 2 = 0"
+ORACLE["hr_extract_sections"] = _with(
+    f"""SELECT pair_id, hr, lci AS hr_lci, uci AS hr_uci, log_hr, se AS se_log_hr, coalesce(method, 'failed') AS extraction_method,
+    CASE WHEN reason IS NULL THEN 'extracted' ELSE 'failed' END AS outcome FROM x WHERE {_LABELLED} OR words IS NULL
+UNION ALL SELECT pair_id, 0.9::DOUBLE, 0.8::DOUBLE, 1.1::DOUBLE, round(ln(0.9::DOUBLE), 6), round((ln(1.1::DOUBLE) - ln(0.8::DOUBLE)) / 3.92::DOUBLE, 6), 'hr_paren_ci', 'extracted'
+  FROM x WHERE NOT ({_LABELLED}) AND words IS NOT NULL""",
+    "linked_lines", x=_EXTRACT,
+)
+ORACLE["link_audit"] = _with(
+    """SELECT nct_id, CASE WHEN conf <> 'Unlinked' THEN pmid END AS pmid, 'manual' AS linkage_method, conf AS linkage_confidence, 'reviewer:XY' AS linked_by, 'checked ' || event_type AS notes
+FROM e WHERE conf <> 'none' AND (conf = 'Unlinked' OR pmid <> '')""",
+    e=_LINK_EVENTS,
+)
+# The words "primary outcome was reached" against the sentence with "in", a number and "months" after it.
+ORACLE["link_resolution"] = _with(
+    """SELECT l.nct_id, l.pmid, 'old' AS pair_id, 0.123::DOUBLE AS similarity_score, 'kept' AS routing FROM l WHERE nct_id NOT IN (SELECT nct_id FROM r)
+UNION ALL SELECT l.nct_id, r.pmid, l.nct_id || '_' || r.pmid, CASE WHEN p.pmid IS NULL THEN 0.0::DOUBLE ELSE round(4 / (2 * sqrt(7)), 4) END,
+  CASE WHEN p.pmid IS NULL THEN 'auto_major_switch' ELSE 'llm' END
+FROM l JOIN r ON r.nct_id = l.nct_id LEFT JOIN link_pubs p ON p.pmid = r.pmid WHERE conf IN ('High', 'Medium')""",
+    "linkage_log", "link_pubs",
+    l="SELECT nct_id, max(pmid) AS pmid FROM linkage_log GROUP BY nct_id", e=_LINK_EVENTS,
+    r="SELECT * FROM e WHERE conf <> 'none' AND (conf = 'Unlinked' OR pmid <> '') QUALIFY row_number() OVER (PARTITION BY nct_id ORDER BY ts DESC, event_id DESC) = 1",
 )
 ORACLE["trial_meta"] = _with(
     """SELECT k.nct_id, k.pmid AS asked_pmid, t.ttl AS title, CASE WHEN has THEN t.ctgov_pmid WHEN k.pmid <> '' THEN k.pmid ELSE coalesce(t.ctgov_pmid, '') END AS pmid,
@@ -771,7 +832,8 @@ _STUDY = _POP.replace("{words}", "title || ' ' || CASE WHEN conditions_list = ''
 ORACLE["registry_json"] = _with(
     """SELECT p.nct_id, title AS official_title, 'PHASE2, PHASE3' AS phase, t.enrollment::BIGINT AS enrollment, 'Overall survival | ' || p.primary_outcomes AS primary_outcomes,
   '2015-06-30' AS completion_date, CASE WHEN ctgov_pmid = '' THEN 'x1' ELSE ctgov_pmid END AS ctgov_pmid, population_class, bc_subtype, bc_setting
-FROM p JOIN link_trials t ON t.nct_id = p.nct_id WHERE completion_date = '2015-06' AND population_class <> 'non_breast_excluded'""",
+FROM p JOIN link_trials t ON t.nct_id = p.nct_id WHERE completion_date = '2015-06' AND population_class <> 'non_breast_excluded'
+  AND len(list_filter([7, 11, 13, 17, 19], lambda d: substr(p.nct_id, 4)::BIGINT % d = 0)) = 0""",
     "population", "link_trials", p=_STUDY,
 )
 _FLAT = "trim(regexp_replace(regexp_replace(abstract_text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), '\\s+', ' ', 'g'))"
