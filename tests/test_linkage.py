@@ -46,6 +46,46 @@ def test_boilerplate_titles_meet_as_one_class(spark):
     assert len(got) == 400 and {(r["score"], r["payload"]) for r in got} == {(0.6, 1000)}
 
 
+def titles(n, seed):
+    """Half boilerplate around a few listed words, half words by Zipf's law; each with a word of its own."""
+    rng = random.Random(seed)
+    for i in range(n):
+        if i % 2:
+            words = ["randomized", "trial", "of", f"drug{rng.randrange(30)}", f"dose{rng.randrange(8)}", "in", f"arm{rng.randrange(6)}", "cancer"]
+        else:
+            words = [f"w{int(1 / (rng.random() + 1e-5))}" for _ in range(8)]
+        yield sorted({*words, f"own{seed}_{i}"})
+
+
+@pytest.mark.parametrize("k", [1, 5])
+def test_pairs_met_grow_with_the_titles(spark, k):
+    """Ten times the titles make about ten times the pairs, and no key holds many of them."""
+    met = []
+    for n in (300, 3000):
+        offered = spark.createDataFrame([(t, i) for i, t in enumerate(titles(n, 1))], "tokens array<string>, payload int")
+        wanted = spark.createDataFrame([(t,) for t in titles(n, 2)], "tokens array<string>")
+        counts = similarity_join.token_counts(offered)
+        left, right = (similarity_join.with_words(similarity_join.in_search_order(df, counts)) for df in (wanted, offered))
+        sizes = [similarity_join.set_sizes(df) for df in (left, right)]
+        by_rare = similarity_join._meeting(similarity_join._rare_keys(left, sizes[1], 0.6), similarity_join._rare_keys(right, sizes[0], 0.6))
+        classes = [df.filter("size(words) > 0").select("words", "own").distinct() for df in (left, right)]
+        by_class = similarity_join._meeting(*[similarity_join._combination_keys(c, s, 0.6) for c, s in zip(classes, sizes[::-1])])
+        met.append(by_rare.count() + by_class.count())
+        if n == 3000:
+            largest = by_rare.groupBy("a.key").count().agg(F.max("count")).first()[0] or 0
+            assert largest <= similarity_join.RARE_LIMIT * n / 100
+    assert met[1] <= 25 * met[0]
+
+
+def test_repeated_publications_give_one_row_per_trial(frame):
+    versions = [publication("100", title="submitted paper"), publication("100", title="submitted paper"), publication("100", title="other title")]
+    pubs = frame(PUB_SCHEMA, versions)
+    trials = frame(TRIAL_SCHEMA, [("NCT01", "any", "", "2020", "100")])
+    assert linkage.link(trials, pubs).count() == 1
+    numbered = pubs.withColumn("version", F.when(F.col("title") == "other title", 3).otherwise(1))
+    assert linkage.unique_articles(numbered).first()["title"] == "other title"
+
+
 def test_search_without_offers(spark):
     wanted = spark.createDataFrame([(["a", "b"],)], "tokens array<string>")
     offered = spark.createDataFrame([], "tokens array<string>, payload int")

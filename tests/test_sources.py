@@ -118,6 +118,19 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == batch == {"a": 1, "b": 4, "e": 8}
 
 
+def test_stream_snapshots_keep_the_state(spark, tmp_path):
+    from attestor.streaming.review_stream import EVENT_SCHEMA, current_state, latest_per_pair, read_events, run_fold
+
+    folder, out, marks = (str(tmp_path / n) for n in ("events", "state", "marks"))
+    for i in range(5):
+        rows = [(p, "confirm", "concordant", True, "ab", "", dt.datetime(2024, 1, 1, 0, (i * 7 + j) % 30), 10 * i + j) for j, p in enumerate("abc")]
+        spark.createDataFrame(rows, EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+        run_fold(read_events(spark, folder), out, marks, compact_every=2)
+    assert {r[0] for r in spark.read.parquet(f"{out}/snapshots").select("upto").distinct().collect()} == {1, 3}
+    got = {r["pair_id"]: r["event_id"] for r in current_state(spark, out).collect()}
+    assert got == {r["pair_id"]: r["event_id"] for r in latest_per_pair(spark.read.parquet(folder)).collect()}
+
+
 def test_whole_study(spark, frame, tmp_path):
     from tests_support import PUB_SCHEMA, TRIAL_SCHEMA, publication
 
