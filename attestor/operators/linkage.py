@@ -135,37 +135,37 @@ def link(trials: DataFrame, publications: DataFrame, verdicts: DataFrame | None
     notes = (
         F.when(
             F.col("_pmid0").isNotNull(),
-            F.concat(F.lit("CT.gov RESULT reference PMID "), F.col("_pmid0"), F.lit(" fetched successfully. "), note),
+            F.concat(F.lit("Submitted with the results: PMID "), F.col("_pmid0"), F.lit(". "), note),
         )
         .when(
             F.col("_pmid1").isNotNull(),
-            F.concat(F.lit("Single direct NCT ID match in PubMed (PMID "), F.col("_pmid1"), F.lit("). "), note),
+            F.concat(F.lit("Only article that carries the trial's id (PMID "), F.col("_pmid1"), F.lit("). "), note),
         )
         .when(
             by_title & high,
             F.concat(
-                F.lit("Title Jaccard="), score, F.lit(f" ≥ {presets.JACCARD_HIGH} (High threshold). Matched to: "),
+                F.lit("Title similarity "), score, F.lit(f" reaches {presets.JACCARD_HIGH}. Article: "),
                 F.col("_article_title"), F.lit(". "), note,
             ),
         )
         .when(
             by_title & years_ok,
             F.concat(
-                F.lit("Stage 3 author+date disambiguation: Jaccard="), score, F.lit(", pub_year="), text("pub_year"),
-                F.lit(" within ±2 of completion_year="), text(expected), F.lit(", first_author='"), text("first_author"),
-                F.lit("'. Matched to: "), F.col("_article_title"), F.lit(". "), note,
+                F.lit("Title similarity "), score, F.lit(", published "), text("pub_year"),
+                F.lit(" against completion "), text(expected), F.lit(", first author '"), text("first_author"),
+                F.lit("'. Article: "), F.col("_article_title"), F.lit(". "), note,
             ),
         )
         .when(
             by_title,
             F.concat(
-                F.lit("Stage 3 year mismatch: pub_year='"), text("pub_year"), F.lit("' vs expected≈'"), text(expected),
-                F.lit("' (completion_date='"), text("completion_date"), F.lit("'). Jaccard="), score,
-                F.lit(". Human review required. "), note,
+                F.lit("Years disagree: published '"), text("pub_year"), F.lit("', completed '"), text(expected),
+                F.lit("' (from '"), text("completion_date"), F.lit("'). Title similarity "), score,
+                F.lit(". To be checked. "), note,
             ),
         )
-        .when(F.col("title") == "", "No trial title available for fuzzy matching; manual linkage required.")
-        .otherwise(f"No PubMed match found (no title at or above medium threshold {presets.JACCARD_MEDIUM}). Manual review required.")
+        .when(F.col("title") == "", "The trial has no title to search for.")
+        .otherwise(f"No article title reaches a similarity of {presets.JACCARD_MEDIUM}.")
     )
     linked = linked.withColumns(
         {"linkage_method": method, "linkage_confidence": confidence, "linkage_notes": notes}

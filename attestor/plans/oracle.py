@@ -241,14 +241,14 @@ SELECT *, CASE kase WHEN 'reject' THEN 'reject' WHEN 'lean' THEN 'reject' WHEN '
     WHEN list_has_any(bad, ['Meta-Analysis', 'Systematic Review', 'Review']) THEN 'systematic_review'
     WHEN list_has_any(bad, ['Editorial', 'Letter', 'Comment', 'News']) THEN 'editorial_letter' ELSE 'unknown' END AS article_type,
   kase IN ('lean', 'open') AS flag_for_review,
-  CASE kase WHEN 'reject' THEN 'Publication type(s) definitively non-results: ' || array_to_string(bad, ', ') || '.'
-    WHEN 'accept' THEN 'Publication type(s) confirm results paper: ' || array_to_string(good, ', ') || '.' || CASE WHEN len(secs) > 0 THEN ' Results section present.' ELSE '' END
-    WHEN 'lean' THEN 'Heuristic signals strongly favour rejection (reject_score=' || reject_score || ', accept_score=' || accept_score || '). Signals: ' || array_to_string(sig, '; ') || '.'
-    ELSE 'Heuristic signals inconclusive (reject_score=' || reject_score || ', accept_score=' || accept_score || '). Escalating to LLM arbiter.' END AS why
+  CASE kase WHEN 'reject' THEN 'Rejected by publication type: ' || array_to_string(bad, ', ') || '.'
+    WHEN 'accept' THEN 'Accepted by publication type: ' || array_to_string(good, ', ') || '.' || CASE WHEN len(secs) > 0 THEN ' It has a results section.' ELSE '' END
+    WHEN 'lean' THEN 'Rejected by weight of signals (reject_score=' || reject_score || ', accept_score=' || accept_score || '). Signals: ' || array_to_string(sig, '; ') || '.'
+    ELSE 'Signals do not decide (reject_score=' || reject_score || ', accept_score=' || accept_score || '). Passed on to the arbiter.' END AS why
 FROM ({cased})"""
 
 
-_NO_ARBITER = "' LLM arbiter unavailable; flagged for human review.'"
+_NO_ARBITER = "' No answer from the arbiter: left to a person.'"
 _LINK_GATE = _gated("SELECT * FROM link_pubs", "[]::VARCHAR[]", "[]::VARCHAR[]")
 _NOTE = f"""'[Article gate: ' || upper(verdict) || ' | type=' || article_type || ' | conf=' || confidence || ' | tier=heuristic] ' || why || CASE WHEN kase = 'open' THEN {_NO_ARBITER} ELSE '' END"""
 _LINK_CTES = {
@@ -281,16 +281,16 @@ ORACLE["linkage_cascade"] = _with(
     "link_trials", "link_pubs", **_LINK_CTES,
 )
 ORACLE["linkage_notes"] = _with(
-    f"""SELECT nct_id, pmid, {_METHOD} AS linkage_method, {_CONF} AS linkage_confidence, 'pipeline_v3.0' AS linked_by,
-  CASE WHEN pmid0 IS NOT NULL THEN 'CT.gov RESULT reference PMID ' || pmid0 || ' fetched successfully. ' || note
-    WHEN pmid1 IS NOT NULL THEN 'Single direct NCT ID match in PubMed (PMID ' || pmid1 || '). ' || note
-    WHEN high THEN 'Title Jaccard=' || printf('%.3f', score) || ' ≥ 0.7 (High threshold). Matched to: ' || article_title || '. ' || note
-    WHEN pmid2 IS NOT NULL AND yok THEN 'Stage 3 author+date disambiguation: Jaccard=' || printf('%.3f', score) || ', pub_year=' || pub_year || ' within ±2 of completion_year=' || expected
-      || ', first_author=''' || authors_list || '''. Matched to: ' || article_title || '. ' || note
-    WHEN pmid2 IS NOT NULL THEN 'Stage 3 year mismatch: pub_year=''' || pub_year || ''' vs expected≈''' || coalesce(expected, '') || ''' (completion_date=''' || completion_date || '''). Jaccard='
-      || printf('%.3f', score) || '. Human review required. ' || note
-    WHEN ttl = '' THEN 'No trial title available for fuzzy matching; manual linkage required.'
-    ELSE 'No PubMed match found (no title at or above medium threshold 0.5). Manual review required.' END AS notes FROM linked""",
+    f"""SELECT nct_id, pmid, {_METHOD} AS linkage_method, {_CONF} AS linkage_confidence, 'attestor-2' AS linked_by,
+  CASE WHEN pmid0 IS NOT NULL THEN 'Submitted with the results: PMID ' || pmid0 || '. ' || note
+    WHEN pmid1 IS NOT NULL THEN 'Only article that carries the trial''s id (PMID ' || pmid1 || '). ' || note
+    WHEN high THEN 'Title similarity ' || printf('%.3f', score) || ' reaches 0.7. Article: ' || article_title || '. ' || note
+    WHEN pmid2 IS NOT NULL AND yok THEN 'Title similarity ' || printf('%.3f', score) || ', published ' || pub_year || ' against completion ' || expected
+      || ', first author ''' || authors_list || '''. Article: ' || article_title || '. ' || note
+    WHEN pmid2 IS NOT NULL THEN 'Years disagree: published ''' || pub_year || ''', completed ''' || coalesce(expected, '') || ''' (from ''' || completion_date || '''). Title similarity '
+      || printf('%.3f', score) || '. To be checked. ' || note
+    WHEN ttl = '' THEN 'The trial has no title to search for.'
+    ELSE 'No article title reaches a similarity of 0.5.' END AS notes FROM linked""",
     "link_trials", "link_pubs", **_LINK_CTES,
 )
 ORACLE["title_candidates"] = _with(

@@ -23,30 +23,10 @@ LINK_COLUMNS = (
     "pmid", "linkage_method", "linkage_confidence", "abstract_text", "published_endpoint",
     "first_author", "pub_year", "journal", "linkage_notes", "linkage_flag",
 )
-LINKAGE_LOG_COLUMNS = (
-    "nct_id", "pmid", "linkage_method", "linkage_confidence", "timestamp", "linked_by", "notes",
-    "pipeline_version",
-)
-DECISION_COLUMNS = (
-    "pair_id", "registered_endpoint", "published_endpoint", "similarity_score", "ssi", "routing",
-    "llm_model", "llm_switch_type", "llm_reasoning", "llm_confidence", "llm_comparability", "llm_flag",
-    "human_reviewed", "human_decision", "human_final_class", "human_poolable", "override_reason",
-    "reviewer_initials", "review_timestamp", "pipeline_version", "created_at",
-)
 HUMAN_COLUMNS = (
     "human_reviewed", "human_decision", "human_final_class", "human_poolable", "override_reason",
     "reviewer_initials", "review_timestamp",
 )
-POWER_COLUMNS = (
-    "nct_id", "enrollment", "assumed_hr", "assumed_event_rate", "alpha", "power",
-    "posterior_hr_at_registration", "optimism_bias", "excluded_reason", "inputs_source",
-    "audit_timestamp",
-)
-EXTRACTION_COLUMNS = (
-    "nct_id", "pmid", "pair_id", "hr", "hr_lci", "hr_uci", "log_hr", "se_log_hr", "extraction_method",
-    "source_text", "requires_manual_check", "exclusion_reason", "registration_date",
-    "pipeline_version", "extracted_at",
-)
 GOLD_COLUMNS = (
     "pair_id", "nct_id", "pmid", "registered_endpoint", "published_endpoint", "gold_switch_type",
     "gold_direction", "notes",

@@ -110,7 +110,7 @@ def test_gate(frame):
     for row, verdict, confidence, kind, kept in GATE:
         r = out[row[0]]
         assert (r["verdict"], r["confidence"], r["article_type"], r["kept"]) == (verdict, confidence, kind, kept), row[0]
-    assert "LLM arbiter unavailable" in out["3"]["reason"]
+    assert "No answer from the arbiter" in out["3"]["reason"]
     assert out["4"]["signals"] == ["title:REJECT:Study protocol", "abstract:REJECT:protocol_future_tense_language_detected"]
 
 
@@ -199,8 +199,8 @@ def test_cascade(study):
     flags = {r["nct_id"]: r["linkage_flag"] for r in out}
     assert flags["NCT06"] == presets.FLAG_TEXT and flags["NCT05"] == ""
     notes = {r["nct_id"]: r["linkage_notes"] for r in out}
-    assert notes["NCT05"].startswith("Stage 3 author+date disambiguation: Jaccard=0.556")
-    assert "No trial title" in notes["NCT07"]
+    assert notes["NCT05"].startswith("Title similarity 0.556, published ")
+    assert "no title to search" in notes["NCT07"]
     assert linkage.linkage_audit(linkage.link(trials, pubs)).filter("pmid IS NULL").count() == 5
 
 
