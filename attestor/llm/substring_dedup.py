@@ -32,8 +32,8 @@ from attestor.llm.frames import arrow_schema, batch, group_slices, parts, stored
 WINDOW = 35
 ANCHOR = 6
 
-#: Paths of one node that a task compares by itself.
-MANY_PATHS = 256
+#: Paths of one node that a task compares by itself: some two megabytes of windows.
+MANY_PATHS = 4096
 
 _U = np.uint64
 _EDGES = "node long, path long, name long, spot long"
