@@ -77,7 +77,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+_WORDS = "regexp_extract_all({0}, '[^\\x20\\x09-\\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE: dict[str, str] = {
+    "op1_minhash_near_dedup": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents), s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS shingle FROM d
+        ), n AS (SELECT doc_id, count(shingle) AS n FROM d LEFT JOIN s USING (doc_id) GROUP BY doc_id), both_ AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+        ), link AS (
+            SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)
+        ), reach AS (
+            SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b
+        )
+        SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(min(reach.b), n.doc_id)) AS component_id,
+               n.doc_id <= coalesce(min(reach.b), n.doc_id) AS kept
+        FROM n LEFT JOIN reach ON reach.a = n.doc_id GROUP BY n.doc_id, n.n
+    """,
+    "op6_substring_dedup": f"""
+        WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents), v AS (
+            SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, unnest([array_to_string(w[i:i + 34], ' ') FOR i IN range(1, len(w) - 33)]) AS passage
+            FROM d WHERE len(w) >= 35
+        ), again AS (SELECT doc_id, i FROM v WHERE passage IN (SELECT passage FROM v GROUP BY passage HAVING count(*) > 1)),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM again),
+        g AS (SELECT doc_id, count(*) AS n, list(i) AS places FROM gone GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_removed,
+               sha256(array_to_string([x FOR x, j IN w IF places IS NULL OR NOT list_contains(places, j)], ' ')) AS kept_sha256
+        FROM d LEFT JOIN g USING (doc_id)
+    """,
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
