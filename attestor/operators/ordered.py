@@ -61,7 +61,7 @@ def running_totals(
 
 
 _WHOLE = (T.IntegerType, T.LongType, T.ShortType, T.ByteType)
-_NARROW = (T.IntegerType, T.ShortType, T.ByteType, T.BooleanType, T.DateType, T.TimestampType)
+_NARROW = (T.IntegerType, T.ShortType, T.ByteType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def _packed(df: DataFrame, columns: Sequence[str]) -> Column | None:
@@ -72,6 +72,11 @@ def _packed(df: DataFrame, columns: Sequence[str]) -> Column | None:
         value = F.col(name)
         if isinstance(kind, T.TimestampType):
             value = F.unix_micros(value)
+        elif isinstance(kind, T.TimestampNTZType):
+            # By its parts: a time without zone keeps its order in every session.
+            seconds = F.hour(value) * 3600 + F.minute(value) * 60
+            micros = (F.date_part(F.lit("SECOND"), value) * 1_000_000).cast("long")
+            value = (F.unix_date(value.cast("date")).cast("long") * 86_400 + seconds) * 1_000_000 + micros
         elif isinstance(kind, T.DateType):
             value = F.unix_date(value)
         return value.cast("decimal(38,0)")

@@ -10,6 +10,7 @@ from attestor import presets
 from attestor.functions.text import (
     blank_to_null, first_text, fmt_num, labels, pair_nct, pair_pmid, percent, safe_text, text, truthy,
 )
+from attestor.operators.ordered import keep_latest
 
 LOW_LINKS = ("Low", "Unlinked")
 
@@ -171,11 +172,16 @@ def trial_meta(keys: DataFrame, linked: DataFrame, trials: DataFrame) -> DataFra
         return F.struct(first_text("official_title", "brief_title").alias("title"), text("pmid_").alias("pmid"), *[F.trim(text(c)).alias(c) for c in have])
 
     extra = ["linkage_confidence", "linkage_method", "journal"]
+
+    def one(df: DataFrame, by: Sequence[str], extra: Sequence[str], name: str) -> DataFrame:
+        """One row of facts per key; of several the one with the greatest hash, so reruns agree."""
+        rows = df.select(*by, facts(df, extra).alias(name)).withColumn("_hash", F.xxhash64(name))
+        return keep_latest(rows, by, ["_hash"]).drop("_hash")
+
     l = linked.withColumn("pmid_", F.trim(text("pmid")))
-    exact = l.groupBy("nct_id", "pmid_").agg(F.min(facts(l, extra)).alias("_exact"))
-    anyone = l.groupBy("nct_id").agg(F.min(facts(l, extra)).alias("_any"))
-    t = trials.withColumn("pmid_", F.trim(text("ctgov_pmid")))
-    base = t.groupBy("nct_id").agg(F.min(facts(t, [])).alias("_base"))
+    exact = one(l, ["nct_id", "pmid_"], extra, "_exact")
+    anyone = one(l, ["nct_id"], extra, "_any")
+    base = one(trials.withColumn("pmid_", F.trim(text("ctgov_pmid"))), ["nct_id"], [], "_base")
     rows = keys.select("nct_id", F.trim(text("pmid")).alias("pmid_")).distinct()
     rows = rows.join(exact, ["nct_id", "pmid_"], "left").join(anyone, "nct_id", "left").join(base, "nct_id", "left")
     best = F.when(F.col("pmid_") == "", F.col("_any")).otherwise(F.col("_exact"))
