@@ -60,6 +60,22 @@ def test_keep_latest_and_top_rows(frame):
     assert sorted((r["k"], r["ts"]) for r in top) == [("a", 2), ("b", 1)]
 
 
+def test_keep_latest_by_time_and_number(spark):
+    import datetime as dt
+
+    t = dt.datetime(1969, 3, 30, 2, 30, 0, 7)
+    rows = [("a", t, 5, "x"), ("a", t, -(2**63), "y"), ("a", t - dt.timedelta(microseconds=1), 9, "z"), ("b", None, 1, "n"), ("b", None, 2, "m"), (None, t, None, "k"), (None, t, 0, "l")]
+    for kind in ("timestamp", "timestamp_ntz"):
+        df = spark.createDataFrame(rows, f"k string, ts {kind}, id long, v string")
+        assert sorted((str(r["k"]), r["v"]) for r in ordered.keep_latest(df, ["k"], ["ts", "id"]).collect()) == [("None", "l"), ("a", "x"), ("b", "m")]
+    # Rows that tie in the order are told apart by their values, equal rows are one.
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 1, "y"), ("a", 1, "y")], "k string, n int, v string")
+    got = {ordered.keep_latest(df.repartition(p), ["k"], ["n"]).first()["v"] for p in (1, 2, 3)}
+    assert len(got) == 1 and ordered.keep_latest(df, ["k"], ["n"]).count() == 1
+    # An order by text is combined with the row.
+    assert ordered.keep_latest(df, ["k"], ["v"]).first()["v"] == "y"
+
+
 def test_histogram_covers_all_numbers(frame):
     df = frame("v string", [(str(i / 10),) for i in range(11)] + [("abc",), ("",)])
     got = ordered.histogram(df, "v", 5)
