@@ -550,7 +550,7 @@ def effect_validation(spark, sf):
     """Plausibility reasons of all measured effects, and the row rules they break."""
     e = derived(spark, sf, "order_effects")
     e = _with_fields(e).withColumn("variance", F.col("variance") + F.when(F.col("hr") > 3, 0.001).otherwise(0.0))
-    kind = F.when(~((F.col("hr_lci") < F.col("hr")) & (F.col("hr") < F.col("hr_uci"))), "order").when(
+    kind = F.when(F.col("hr_lci").isNull(), "missing").when(~((F.col("hr_lci") < F.col("hr")) & (F.col("hr") < F.col("hr_uci"))), "order").when(
         extract.interval_problem(F.col("hr"), F.col("hr_lci"), F.col("hr_uci")).isNotNull(), "range"
     )
     checked = schemas.validate(e, schemas.effect_rules())

@@ -99,7 +99,8 @@ SELECT 'NCT' || lpad(cast(o_orderkey as string), 8, '0') AS nct_id,
 FROM {orders}
 """
 
-# Effect sizes measured from line prices: per order and per supplier.
+# Effect sizes measured from line prices: per order and per supplier. A unit with one line has no error; the
+# operators reject it.
 _EFFECTS = """
 SELECT {key} AS unit, count(*) AS n, avg(ln(l_extendedprice / (l_quantity * 1500))) AS y,
   stddev_samp(ln(l_extendedprice / (l_quantity * 1500))) / sqrt(count(*)) AS s,
@@ -110,14 +111,14 @@ SQL["order_effects"] = """
 SELECT 'NCT' || lpad(cast(o_orderkey as string), 8, '0') || '_' || cast(20000000 + o_custkey as string) AS pair_id,
   'NCT' || lpad(cast(o_orderkey as string), 8, '0') AS nct_id, e.registration_date,
   round(exp(e.y), 4) AS hr, round(exp(e.y - 1.96 * e.s), 4) AS hr_lci, round(exp(e.y + 1.96 * e.s), 4) AS hr_uci
-FROM (""" + _EFFECTS.format(key="l_orderkey") + """) AS e JOIN {orders} ON o_orderkey = e.unit WHERE e.n > 1
+FROM (""" + _EFFECTS.format(key="l_orderkey") + """) AS e JOIN {orders} ON o_orderkey = e.unit
 """
 SQL["supplier_effects"] = """
 SELECT 'NCT' || lpad(cast(s_suppkey as string), 8, '0') || '_1' AS pair_id,
   'NCT' || lpad(cast(s_suppkey as string), 8, '0') AS nct_id, r_name AS endpoint_cluster, e.registration_date,
   round(exp(e.y), 4) AS hr, round(exp(e.y - 1.96 * e.s), 4) AS hr_lci, round(exp(e.y + 1.96 * e.s), 4) AS hr_uci
 FROM (""" + _EFFECTS.format(key="l_suppkey") + """) AS e JOIN {supplier} ON s_suppkey = e.unit
-  JOIN {nation} ON n_nationkey = s_nationkey JOIN {region} ON r_regionkey = n_regionkey WHERE e.n > 1
+  JOIN {nation} ON n_nationkey = s_nationkey JOIN {region} ON r_regionkey = n_regionkey
 """
 
 # Linkage audit rows: every order once, some orders again.

@@ -484,10 +484,10 @@ _ORDER_EFFECTS = f"SELECT * FROM ({_fields('order_effects')}) WHERE {_FINE} AND
 _SUPPLIER_EFFECTS = f"SELECT * FROM ({_fields('supplier_effects')}) WHERE se_log_hr > 0"
 ORACLE["effect_sizes"] = _with("SELECT pair_id, hr, hr_lci, hr_uci, log_hr, se_log_hr, variance FROM e", "order_effects", e=_ORDER_EFFECTS)
 ORACLE["effect_validation"] = _with(
-    f"""SELECT pair_id, CASE WHEN NOT (hr_lci < hr AND hr < hr_uci) THEN 'order' WHEN NOT ({_FINE}) THEN 'range' ELSE '' END AS problem,
-  concat_ws(',', CASE WHEN NOT hr > 0 THEN 'hr_positive' END, CASE WHEN NOT hr_lci > 0 THEN 'hr_lci_positive' END, CASE WHEN NOT hr_uci > 0 THEN 'hr_uci_positive' END,
+    f"""SELECT pair_id, CASE WHEN hr_lci IS NULL THEN 'missing' WHEN NOT (hr_lci < hr AND hr < hr_uci) THEN 'order' WHEN NOT ({_FINE}) THEN 'range' ELSE '' END AS problem,
+  concat_ws(',', CASE WHEN NOT hr > 0 THEN 'hr_positive' END, CASE WHEN NOT coalesce(hr_lci > 0, false) THEN 'hr_lci_positive' END, CASE WHEN NOT coalesce(hr_uci > 0, false) THEN 'hr_uci_positive' END,
     CASE WHEN NOT coalesce(se_log_hr > 0, false) THEN 'se_log_hr_positive' END, CASE WHEN NOT coalesce(variance + CASE WHEN hr > 3 THEN 0.001 ELSE 0 END > 0, false) THEN 'variance_positive' END,
-    CASE WHEN hr > 3 THEN 'variance_value' END) AS violations FROM ({_fields('order_effects')})""",
+    CASE WHEN se_log_hr IS NULL THEN 'se_log_hr' END, CASE WHEN hr > 3 OR variance IS NULL THEN 'variance_value' END) AS violations FROM ({_fields('order_effects')})""",
     "order_effects",
 )
 ORACLE["decision_validation"] = _with(
