@@ -23,8 +23,30 @@ def cosine(a: Column, b: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot(a, b)))
 
 
+def sparse_cosine(a: Column, b: Column) -> Column:
+    """Cosine of two unit vectors given as maps, clamped to [0, 1]."""
+    shared = F.aggregate(
+        F.map_entries(a), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at(b, e["key"]), F.lit(0.0))
+    )
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), shared))
+
+
+def word_vectors(df: DataFrame, text_col: str, out: str = "embedding") -> DataFrame:
+    """The offline default embedder: word counts of distinct texts scaled to unit length, as a map from word to weight.
+
+    Nothing is hashed, so different words never fall together; a text without words has an empty map.
+    """
+    words = F.filter(F.split(F.lower(collapse(text_col)), r"(?U)[^\w]+"), lambda w: w != "")
+    counted = df.select(text_col, F.explode_outer(words).alias("_word")).groupBy(text_col, "_word").agg(F.count(F.lit(1)).alias("_n"))
+    entry = F.when(F.col("_word").isNotNull(), F.struct(F.col("_word").alias("w"), F.col("_n").alias("n")))
+    listed = counted.groupBy(text_col).agg(F.collect_list(entry).alias("_words"))
+    length = F.sqrt(F.aggregate("_words", F.lit(0.0), lambda acc, e: acc + e["n"].cast("double") * e["n"].cast("double")))
+    entries = F.transform("_words", lambda e: F.struct(e["w"].alias("key"), (e["n"] / F.col("_length")).alias("value")))
+    return listed.withColumn("_length", length).select(text_col, F.map_from_entries(entries).alias(out))
+
+
 def hashed_embedding(df: DataFrame, text_col: str, out: str = "embedding", size: int = 512) -> DataFrame:
-    """The offline default embedder: hashed word counts scaled to unit length, all on the JVM."""
+    """Hashed word counts scaled to unit length, as dense vectors of a fixed size."""
     words = df.withColumn("_words", F.split(F.lower(collapse(text_col)), r"(?U)[^\w]+"))
     words = words.withColumn("_words", F.filter("_words", lambda w: w != ""))
     counted = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=size).transform(words)

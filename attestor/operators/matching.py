@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from attestor import presets, schemas
 from attestor.functions.text import fill_template, normalise, pair_key, split_candidates, text
-from attestor.functions.vectors import cosine, hashed_embedding
+from attestor.functions.vectors import cosine, sparse_cosine, word_vectors
 from attestor.operators.gating import strip_fences
 from attestor.operators.ordered import keep_latest, running_totals
 from attestor.session import materialise
@@ -51,15 +51,17 @@ def distinct_texts(candidates: DataFrame) -> DataFrame:
 def best_scores(pairs: DataFrame, key: Sequence[str], candidates: DataFrame, vectors: DataFrame) -> DataFrame:
     """The best candidate's similarity per pair; 0 where either side is empty.
 
-    ``vectors(text, embedding)`` has one row per text. Vectors meet once per distinct pair of
+    ``vectors(text, embedding)`` has one row per text, the vector as an array or, where most of it is
+    zero, as a map. Vectors meet once per distinct pair of
     texts, however often that pair of texts occurs; only scores travel back to the pairs.
     """
     v = vectors.select("text", "embedding")
+    similarity = sparse_cosine if isinstance(v.schema["embedding"].dataType, T.MapType) else cosine
     texts = candidates.select("candidate", "published").distinct()
     scored = (
         texts.join(v.withColumnsRenamed({"text": "candidate", "embedding": "_a"}), "candidate")
         .join(v.withColumnsRenamed({"text": "published", "embedding": "_b"}), "published")
-        .select("candidate", "published", cosine(F.col("_a"), F.col("_b")).alias("score"))
+        .select("candidate", "published", similarity(F.col("_a"), F.col("_b")).alias("score"))
     )
     best = candidates.join(scored, ["candidate", "published"]).groupBy(*key).agg(F.max("score").alias("_best"))
     return pairs.join(best, list(key), "left").withColumn(
@@ -70,7 +72,7 @@ def best_scores(pairs: DataFrame, key: Sequence[str], candidates: DataFrame, vec
 def match_endpoints(
     linked: DataFrame,
     endpoint: str = "primary_outcomes",
-    embedder: Callable[[DataFrame, str], DataFrame] = hashed_embedding,
+    embedder: Callable[[DataFrame, str], DataFrame] = word_vectors,
 ) -> DataFrame:
     """Matchable pairs with ``pair_id``, ``similarity_score``, ``ssi`` and ``routing``."""
     rows = matchable(linked, endpoint).withColumn("pair_id", pair_key(F.trim("nct_id"), F.trim("pmid")))
@@ -91,7 +93,7 @@ def refresh_matches(
     linked: DataFrame,
     changed: DataFrame,
     existing: DataFrame,
-    embedder: Callable[[DataFrame, str], DataFrame] = hashed_embedding,
+    embedder: Callable[[DataFrame, str], DataFrame] = word_vectors,
 ) -> DataFrame:
     """Compare only the trials of ``changed(nct_id)`` again; all other results stay as they are."""
     columns = ["nct_id", "pmid", *MATCH_COLUMNS]

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from attestor import presets, schemas
 from attestor.functions.extract import published_endpoint
 from attestor.functions.text import matching_texts, number, text, truthy
-from attestor.functions.vectors import hashed_embedding
+from attestor.functions.vectors import word_vectors
 from attestor.operators import matching
 from attestor.operators.ordered import keep_latest
 from attestor.operators.sampling import in_spot_check
@@ -219,7 +219,7 @@ def resolve_links(
     publications: DataFrame,
     matches: DataFrame,
     order: Sequence[str] = EVENT_ORDER,
-    embedder: Callable[[DataFrame, str], DataFrame] = hashed_embedding,
+    embedder: Callable[[DataFrame, str], DataFrame] = word_vectors,
 ) -> Resolution:
     """Manual link decisions as one flow: the links they give, their audit rows, and the resolved trials matched anew.
 

@@ -603,7 +603,7 @@ def refresh_matches(spark, sf):
     linked = derived(spark, sf, "endpoint_texts")
     old = linked.select("nct_id", "pmid", tx.pair_key("nct_id", "pmid").alias("pair_id"), F.lit(0.123).alias("similarity_score"), F.lit("kept").alias("routing"))
     changed = table(spark, sf, "events").select(F.concat(F.lit("NCT"), F.lpad(F.col("user_id").cast("string"), 8, "0")).alias("nct_id"))
-    out = matching.refresh_matches(linked, changed, old, lambda df, c: vectors.hashed_embedding(df, c, size=8192))
+    out = matching.refresh_matches(linked, changed, old)
     return out.select("nct_id", "pmid", "pair_id", "similarity_score", "routing")
 
 
@@ -837,10 +837,15 @@ def response_parse(spark, sf):
 
 @query
 def embed_hook(spark, sf):
-    """Unit vectors for all distinct document texts with the offline embedder: length and norm."""
+    """Unit vectors of all distinct document texts by the built-in embedder: words, heaviest weight, and norm."""
     texts = table(spark, sf, "documents").select("text").distinct()
-    v = vectors.hashed_embedding(texts, "text")
-    return v.select(F.md5("text").alias("text_key"), F.size("embedding").alias("dims"), F.round(vectors.dot(F.col("embedding"), F.col("embedding")), 3).alias("norm"))
+    v = vectors.word_vectors(texts, "text")
+    weights = F.map_values("embedding")
+    norm = F.aggregate(weights, F.lit(0.0), lambda acc, x: acc + x * x)
+    return v.select(
+        F.md5("text").alias("text_key"), F.size("embedding").alias("words"),
+        F.round(F.coalesce(F.array_max(weights), F.lit(0.0)), 6).alias("heaviest"), F.round(norm, 6).alias("norm"),
+    )
 
 
 @query
@@ -855,9 +860,7 @@ def user_embedder(spark, sf):
 def match_endpoints(spark, sf):
     """Endpoint texts of all orders compared by the offline embedder (word counts)."""
     linked = derived(spark, sf, "endpoint_texts")
-    return matching.match_endpoints(linked, embedder=lambda df, c: vectors.hashed_embedding(df, c, size=8192)).select(
-        "pair_id", "similarity_score", "ssi", "routing"
-    )
+    return matching.match_endpoints(linked).select("pair_id", "similarity_score", "ssi", "routing")
 
 
 # ------------------------------------------------------------------ sources

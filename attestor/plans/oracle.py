@@ -825,7 +825,12 @@ FROM (SELECT *, nct_id IN (SELECT 'NCT' || lpad(user_id::VARCHAR, 8, '0') FROM e
 LEFT JOIN m ON m.pair_id = e.nct_id || '_' || e.pmid""",
     "endpoint_texts", **_MATCHES, m=_MATCHED,
 )
-ORACLE["embed_hook"] = r"SELECT DISTINCT md5(text) AS text_key, 512 AS dims, CASE WHEN regexp_matches(text, '[\pL\pN\pM_]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM documents"
+ORACLE["embed_hook"] = r"""
+WITH t AS (SELECT DISTINCT text FROM documents), w AS (
+  SELECT text, word, count(*) AS n FROM (SELECT text, unnest(regexp_extract_all(lower(text), '[\pL\pM\p{Nd}\p{Pc}]+')) AS word FROM t) GROUP BY ALL
+), v AS (SELECT text, count(*) AS words, max(n) / sqrt(sum(n * n)) AS heaviest FROM w GROUP BY text)
+SELECT md5(text) AS text_key, coalesce(words, 0)::INTEGER AS words, round(coalesce(heaviest, 0), 6) AS heaviest, CASE WHEN words IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS norm
+FROM t LEFT JOIN v USING (text)"""
 
 # ------------------------------------------------------------------ sources
 _STUDY = _POP.replace("{words}", "title || ' ' || CASE WHEN conditions_list = '' THEN '' ELSE replace(conditions_list, '|', ' ') || ' ' END || 'Breast Cancer ' || eligibility")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 
 from attestor.functions.extract import effect_measures, extract_effects
-from attestor.functions.vectors import hashed_embedding
+from attestor.functions.vectors import word_vectors
 from attestor.operators import linkage, matching, pooling, power, review, scorecard
 from attestor.sources.tables import write_stage
 
@@ -17,7 +17,7 @@ def run_study(
     publications: DataFrame,
     reviews: Callable[[DataFrame], DataFrame],
     folder: str,
-    embedder: Callable[[DataFrame, str], DataFrame] = hashed_embedding,
+    embedder: Callable[[DataFrame, str], DataFrame] = word_vectors,
     verdicts: DataFrame | None = None,
     adjudications: DataFrame | None = None,
     shared_posterior: bool = False,
