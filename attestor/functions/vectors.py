@@ -37,9 +37,11 @@ def word_vectors(df: DataFrame, text_col: str, out: str = "embedding") -> DataFr
     Nothing is hashed, so different words never fall together; a text without words has an empty map.
     """
     words = F.filter(F.split(F.lower(collapse(text_col)), r"(?U)[^\w]+"), lambda w: w != "")
-    counted = df.select(text_col, F.explode_outer(words).alias("_word")).groupBy(text_col, "_word").agg(F.count(F.lit(1)).alias("_n"))
-    entry = F.when(F.col("_word").isNotNull(), F.struct(F.col("_word").alias("w"), F.col("_n").alias("n")))
-    listed = counted.groupBy(text_col).agg(F.collect_list(entry).alias("_words"))
+    # Words are counted under a digest: a long text is not repeated for each of them.
+    keyed = df.select(text_col, F.sha2(F.col(text_col).cast("binary"), 256).alias("_key"))
+    counted = keyed.select("_key", F.explode(words).alias("_word")).groupBy("_key", "_word").agg(F.count(F.lit(1)).alias("_n"))
+    listed = counted.groupBy("_key").agg(F.collect_list(F.struct(F.col("_word").alias("w"), F.col("_n").alias("n"))).alias("_words"))
+    listed = keyed.join(listed, "_key", "left").withColumn("_words", F.coalesce("_words", F.array().cast("array<struct<w:string,n:bigint>>")))
     length = F.sqrt(F.aggregate("_words", F.lit(0.0), lambda acc, e: acc + e["n"].cast("double") * e["n"].cast("double")))
     entries = F.transform("_words", lambda e: F.struct(e["w"].alias("key"), (e["n"] / F.col("_length")).alias("value")))
     return listed.withColumn("_length", length).select(text_col, F.map_from_entries(entries).alias(out))
