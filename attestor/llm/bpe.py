@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from attestor.llm.frames import arrow_schema, batch
 
 #: Words, stretches between white space and transitions a worker remembers.
-KNOWN_WORDS = 240_000
+KNOWN_WORDS = 600_000
 KNOWN_STEPS = 500_000
 _END = "\0"
 #: White space as the tokenizer's pattern engine knows it. Fixed values.
@@ -122,7 +122,7 @@ class TokenAutomaton:
         self._compile(model["vocab"], model["merges"])
         self._label_of = np.array([self.labels.get(i, "") for i in range(max(self.labels) + 1)], object)
         self._solid = re.compile(f"[^{_SPACES}]+")
-        self.known, self.words = Memory(KNOWN_WORDS), Memory(KNOWN_WORDS)  # stretches between white space; words
+        self.known = Memory(KNOWN_WORDS)  # words, and stretches between white space that are several words
 
     def _key(self, label: str) -> str:
         """A label as spelled in a word: the word end is one sign."""
@@ -144,7 +144,10 @@ class TokenAutomaton:
             self.left[whole], self.right[whole], self.made[whole] = first, second, order
             self.lost[first << 20 | second] = order
         self.spelled = {self._key(label): i for label, i in vocab.items() if i not in unused}
-        self.longest = max(map(len, self.spelled))
+        #: The longest token by its first two signs: no longer one needs to be looked up.
+        self.reach: dict[str, int] = {}
+        for label in self.spelled:
+            self.reach[label[:2]] = max(self.reach.get(label[:2], 0), len(label))
         self.steps.clear()
 
     def _cut(self, token: int, following: int) -> int | None:
@@ -178,15 +181,15 @@ class TokenAutomaton:
         whole = tokens.get(spelled)
         if whole is not None:
             return (whole,)
-        n, longest = len(spelled), self.longest
+        n, reach, get = len(spelled), self.reach.get, tokens.get
         out: list[int] = []
         begins: list[int] = []
         dead: set[int] = set()
         at, last = 0, -1
         while at < n:
-            to = n if n - at < longest else at + longest
+            to = min(n, at + reach(spelled[at : at + 2], 1))
             while to > at:
-                token = tokens.get(spelled[at:to])
+                token = get(spelled[at:to])
                 if token is not None and to not in dead:
                     if last < 0:
                         break
@@ -219,8 +222,8 @@ class TokenAutomaton:
         return self.path(word.encode().decode("latin-1").translate(self._letters) + _END)
 
     def _word(self, word: str) -> bytes:
-        ids = self.words.find(word)
-        return self.words.keep(word, np.array(self.encode_word(word), "<u4").tobytes()) if ids is None else ids
+        ids = self.known.find(word)
+        return self.known.keep(word, np.array(self.encode_word(word), "<u4").tobytes()) if ids is None else ids
 
     def _stretch(self, stretch: str) -> bytes:
         """Ids of a lower-case stretch: its words by the splitting pattern, one after the other."""
@@ -229,7 +232,10 @@ class TokenAutomaton:
             return ids
         text = stretch if self._capitals.search(stretch) is None else stretch.translate(self._small)
         pattern = self._words if self._newer.search(text) is None else self._strict_words
-        return self.known.keep(stretch, b"".join(map(self._word, pattern.findall(text))))
+        words = pattern.findall(text)
+        if words == [stretch]:
+            return self._word(stretch)
+        return self.known.keep(stretch, b"".join(map(self._word, words)))
 
     def _plain(self, text: str) -> bytes:
         if not unicodedata.is_normalized("NFC", text):
