@@ -37,8 +37,8 @@ def word_vectors(df: DataFrame, text_col: str, out: str = "embedding") -> DataFr
     Nothing is hashed, so different words never fall together; a text without words has an empty map.
     """
     words = F.filter(F.split(F.lower(collapse(text_col)), r"(?U)[^\w]+"), lambda w: w != "")
-    # Words are counted under a digest: a long text is not repeated for each of them.
-    keyed = df.select(text_col, F.sha2(F.col(text_col).cast("binary"), 256).alias("_key"))
+    # Texts are dealt by a digest and then stay: their words are counted and joined back where they are.
+    keyed = df.select(text_col, F.sha2(F.col(text_col).cast("binary"), 256).alias("_key")).repartition("_key")
     counted = keyed.select("_key", F.explode(words).alias("_word")).groupBy("_key", "_word").agg(F.count(F.lit(1)).alias("_n"))
     listed = counted.groupBy("_key").agg(F.collect_list(F.struct(F.col("_word").alias("w"), F.col("_n").alias("n"))).alias("_words"))
     listed = keyed.join(listed, "_key", "left").withColumn("_words", F.coalesce("_words", F.array().cast("array<struct<w:string,n:bigint>>")))

@@ -837,15 +837,10 @@ def response_parse(spark, sf):
 
 @query
 def embed_hook(spark, sf):
-    """Unit vectors of all distinct document texts by the built-in embedder: words, heaviest weight, and norm."""
+    """Unit vectors for all distinct document texts with the dense embedder: length and norm."""
     texts = table(spark, sf, "documents").select("text").distinct()
-    v = vectors.word_vectors(texts, "text")
-    weights = F.map_values("embedding")
-    norm = F.aggregate(weights, F.lit(0.0), lambda acc, x: acc + x * x)
-    return v.select(
-        F.md5("text").alias("text_key"), F.size("embedding").alias("words"),
-        F.round(F.coalesce(F.array_max(weights), F.lit(0.0)), 6).alias("heaviest"), F.round(norm, 6).alias("norm"),
-    )
+    v = vectors.hashed_embedding(texts, "text")
+    return v.select(F.md5("text").alias("text_key"), F.size("embedding").alias("dims"), F.round(vectors.dot(F.col("embedding"), F.col("embedding")), 3).alias("norm"))
 
 
 @query
