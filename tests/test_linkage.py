@@ -116,7 +116,7 @@ def test_gate(frame):
 
 def test_results_section_is_named(frame):
     r = gating.gate(frame(PUB_SCHEMA, [publication("1", abstract_sections={"RESULTS": "x"})])).first()
-    assert r["accept_score"] == 4 and r["reason"].endswith("Results section present.")
+    assert r["accept_score"] == 4 and r["reason"].endswith("It has a results section.")
 
 
 def test_arbiter(frame):
