@@ -2,10 +2,10 @@
 
 A page is a row of tokens: tags, told apart by their path of open elements, and blocks of text. Tokens
 that occur equally often in every page of a host have one occurrence vector and form an equivalence
-class. Classes that are large and frequent enough and keep one order are nested into the host's
-template: the class that occurs once in a page frames it, and what lies between two of its tokens is
+class. Classes that are large and frequent enough, keep one order in all pages and nest are the host's
+template: the classes that occur once in a page frame it, and what lies between two of their tags is
 a slot; classes inside a slot repeat there. Text that is itself a template token is the same in all
-pages. What the slots hold besides is the pages' own text.
+pages, inside of article elements as elsewhere. What the slots hold besides is the pages' own text.
 
 The occurrence vector of a token over all pages of its host is kept as one number, the exclusive or
 of a hash per page and count. So it is summed up in tasks and by Spark like a count, and no page meets
@@ -17,7 +17,7 @@ from __future__ import annotations
 import html
 import re
 import struct
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from hashlib import blake2b
 from typing import NamedTuple
@@ -25,6 +25,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as Wd
 from pyspark.sql import functions as F
 
 from attestor.llm.bpe import _pieces
@@ -162,44 +163,79 @@ def _hash(*values: str) -> int:
 
 
 def token_id(token: Token) -> int:
-    return _hash(token.kind, token.path, token.text)
+    """A hash of kind, path and text; the last bit tells a tag (1) from text (0)."""
+    return _hash(token.kind, token.path, token.text) & ~1 | (token.kind != "t")
 
 
-_VECTORS = "host string, token long, vector long, pages long, total long, most long, tag int"
+_SEQUENCES = "host string, name long, ids array<long>"
+
+
+def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A page's tokens in order, as their ids."""
+    schema = pa.schema([("host", pa.string()), ("name", pa.int64()), ("ids", pa.list_(pa.int64()))])
+    for b in batches:
+        for row, pages in _pieces(b.column("html")):
+            urls = b.column("url").slice(row, len(pages)).to_pylist()
+            names = [_hash(url or "", page) for url, page in zip(urls, pages, strict=True)]
+            yield batch(schema, [b.column("host").slice(row, len(pages)), names, [[token_id(t) for t in tokens(page)] for page in pages]])
+
+
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return [values[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
+_VECTORS = "host string, token long, vector long, pages long, most long"
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per host and token of a batch: the hashed occurrence vector and counts, summed before they leave the task."""
     schema = arrow_schema(_VECTORS)
     for b in batches:
-        for row, pages in _pieces(b.column("html")):
-            sums: dict = defaultdict(lambda: [0, 0, 0, 0, 0])
-            hosts = b.column("host").slice(row, len(pages)).to_pylist()
-            urls = b.column("url").slice(row, len(pages)).to_pylist()
-            for host, url, page in zip(hosts, urls, pages, strict=True):
-                name = _hash(url or "", page)
-                found: Counter = Counter()
-                tags = set()
-                for token in tokens(page):
-                    i = token_id(token)
-                    found[i] += 1
-                    if token.kind != "t":
-                        tags.add(i)
-                counts = np.array(list(found.values()), np.uint64)
-                with np.errstate(over="ignore"):
-                    marks = (counts * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(name & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
-                    marks = ((marks ^ (marks >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)).view(np.int64)
-                for (i, n), mark in zip(found.items(), marks.tolist(), strict=True):
-                    held = sums[host, i]
-                    held[0] ^= mark
-                    held[1] += 1
-                    held[2] += n
-                    held[3] = max(held[3], n)
-                    held[4] = int(i in tags)
-                held = sums[host, 0]  # the host's pages
+        sums: dict = defaultdict(lambda: [0, 0, 0])
+        for host, name, ids in zip(b.column("host").to_pylist(), b.column("name").to_pylist(), _lists(b.column("ids")), strict=True):
+            found, counts = np.unique(ids, return_counts=True)
+            with np.errstate(over="ignore"):
+                marks = (counts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(name & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+                marks = ((marks ^ (marks >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)).view(np.int64)
+            for i, n, mark in zip(found.tolist(), counts.tolist(), marks.tolist(), strict=True):
+                held = sums[host, i]
+                held[0] ^= mark
                 held[1] += 1
-            keys = list(sums)
-            yield batch(schema, [[k[0] for k in keys], [k[1] for k in keys], *([v[j] for v in sums.values()] for j in range(5))])
+                held[2] = max(held[2], n)
+            sums[host, None][1] += 1  # the host's pages
+        keys = list(sums)
+        yield batch(schema, [[k[0] for k in keys], [k[1] for k in keys], *([v[j] for v in sums.values()] for j in range(3))])
+
+
+_ORDERS = "host string, token long, class int, first_rank long, last_rank long, first_gap long, last_gap long"
+
+
+def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per host and tag of a class: the range of its ranks in its class, and of the gaps of class 0 it stands in."""
+    schema = arrow_schema(_ORDERS)
+    for b in batches:
+        hosts: dict = {}
+        columns = [_lists(b.column(c)) for c in ("ids", "members", "classes")]
+        for host, ids, members, classes in zip(b.column("host").to_pylist(), *columns, strict=True):
+            if host not in hosts:
+                least = np.full((2, len(members)), np.iinfo(np.int64).max)
+                hosts[host] = (members, classes, least, np.full((2, len(members)), -1))
+            _, _, least, most = hosts[host]
+            at = np.searchsorted(members, ids)
+            at[at == len(members)] = 0
+            at = at[members[at] == ids]
+            of = classes[at]
+            order = np.argsort(of, kind="stable")
+            rank = np.empty(len(at), np.int64)
+            rank[order] = np.arange(len(at)) - np.searchsorted(of[order], of[order])
+            gap = np.cumsum(of == 0)
+            for k, places in enumerate((rank, gap)):
+                least[k, at] = np.minimum(least[k, at], places)
+                most[k, at] = np.maximum(most[k, at], places)
+        for host, (members, classes, least, most) in hosts.items():
+            met = most[0] >= 0
+            yield batch(schema, [[host] * int(met.sum()), members[met], classes[met], least[0, met], most[0, met], least[1, met], most[1, met]])
 
 
 def host_of(url_column: str = "url"):
@@ -211,23 +247,37 @@ def host_of(url_column: str = "url"):
 def templates(pages: DataFrame, support: float = SUPPORT, least_tokens: int = LEAST_TOKENS) -> DataFrame:
     """``host, pages, frame, texts``: the deduced template of every host.
 
-    ``frame`` are the tokens of the class that occurs exactly once in all of the host's pages it is in;
-    ``texts`` are text tokens of any class. Classes rarer than ``support`` or with fewer than
-    ``least_tokens`` tokens are no part of the template, so its size follows the template, not the pages.
+    ``frame`` are the tags of valid classes that occur once in all of the host's pages they are in. The most
+    frequent of these classes is the root. A tag whose rank in its class changes from page to page is broken
+    out of it, and a class is nested where its tags stand in one and the same gap of the root in all pages;
+    others divide nothing. ``texts`` are text tokens of any class: the same text is no page's own,
+    wherever it stands. Classes rarer than ``support`` or with fewer than ``least_tokens`` tokens are no part of
+    the template, so its size follows the template, not the pages.
     """
-    rows = pages.select(host_of().alias("host"), "url", "html").mapInArrow(_vectors, _VECTORS)
-    sums = rows.groupBy("host", "token").agg(
-        F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.max("most").alias("most"), F.max("tag").alias("tag")
-    )
-    sums = written(sums)
-    hosts = sums.where("token = 0").select("host", F.col("pages").alias("host_pages"))
-    frequent = sums.where("token <> 0").join(hosts, "host").where(F.col("pages") >= F.lit(support) * F.col("host_pages"))
-    classes = frequent.groupBy("host", "host_pages", "vector", "pages", "most").agg(F.collect_list(F.struct("token", "tag")).alias("members"))
+    rows = written(pages.select(host_of().alias("host"), "url", "html").mapInArrow(_sequences, _SEQUENCES))
+    sums = rows.mapInArrow(_vectors, _VECTORS).groupBy("host", "token")
+    sums = written(sums.agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.max("most").alias("most")))
+    hosts = sums.where("token IS NULL").select("host", F.col("pages").alias("host_pages"))
+    frequent = sums.where("token IS NOT NULL").join(hosts, "host").where(F.col("pages") >= F.lit(support) * F.col("host_pages"))
+    classes = frequent.groupBy("host", "host_pages", "vector", "pages", "most").agg(F.sort_array(F.collect_list("token")).alias("members"))
     classes = classes.where(F.size("members") >= least_tokens)
-    member = classes.select("host", "host_pages", (F.col("most") == 1).alias("once"), F.explode("members").alias("m"))
-    frame = F.collect_list(F.when(F.col("once") & (F.col("m.tag") == 1), F.col("m.token")))
-    texts = F.collect_list(F.when((F.col("m.tag") == 0) & (F.col("host_pages") >= LEAST_PAGES), F.col("m.token")))
-    return member.groupBy("host").agg(F.first("host_pages").alias("pages"), F.sort_array(frame).alias("frame"), F.sort_array(texts).alias("texts"))
+    is_tag = F.col("token").bitwiseAND(F.lit(1)) == 1
+    by_support = Wd.partitionBy("host").orderBy(F.col("most") != 1, F.desc("pages"), F.desc(F.size("members")), "vector")
+    classes = classes.withColumn("class", F.row_number().over(by_support) - 1)
+    member = written(classes.select("host", "host_pages", "class", "most", F.explode("members").alias("token")))
+
+    tags = member.where(is_tag & (F.col("most") == 1)).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("token", "class"))).alias("m"))
+    tags = stored(tags.select("host", F.col("m.token").alias("members"), F.col("m.class").alias("classes")), "classes")
+    places = rows.join(tags, "host").select("host", "ids", "members", "classes").mapInArrow(_orders, _ORDERS).groupBy("host", "class", "token")
+    places = places.agg(*(F.min(f"first_{c}").alias(f"first_{c}") for c in ("rank", "gap")), *(F.max(f"last_{c}").alias(f"last_{c}") for c in ("rank", "gap")))
+    ordered = places.where("first_rank = last_rank AND first_gap = last_gap").groupBy("host", "class")
+    ordered = ordered.agg(F.collect_list("token").alias("tokens"), F.min("first_gap").alias("first"), F.max("first_gap").alias("last"))
+    nested = ordered.where((F.col("class") == 0) | ((F.col("first") == F.col("last")) & (F.size("tokens") >= least_tokens)))
+    frames = nested.groupBy("host").agg(F.sort_array(F.flatten(F.collect_list("tokens"))).alias("frame"))
+
+    texts = F.sort_array(F.collect_list(F.when(~is_tag & (F.col("host_pages") >= LEAST_PAGES), F.col("token")))).alias("texts")
+    found = member.groupBy("host").agg(F.first("host_pages").alias("pages"), texts).join(frames, "host", "left")
+    return found.select("host", "pages", F.coalesce("frame", F.array().cast("array<long>")).alias("frame"), "texts")
 
 
 def slots(page: list[Token], frame: frozenset, texts: frozenset) -> list[list[Token]]:
@@ -238,7 +288,7 @@ def slots(page: list[Token], frame: frozenset, texts: frozenset) -> list[list[To
         if token.kind != "t":
             if i in frame:
                 out.append([])
-        elif i not in texts or token.article:
+        elif i not in texts:
             out[-1].append(token)
     return out
 
@@ -248,11 +298,13 @@ def main_text(page: str, frame: frozenset = frozenset(), texts: frozenset = froz
 
     Blocks inside menus, forms, adverts and the like never count. Of the rest those inside article or main
     elements are the article where there are any; else the slot with most text, with the slots next to it
-    in the same parent element.
+    in the same parent element. Text of the template is left out, inside of article and main too; only where
+    such elements hold nothing else they keep it, as the pages then share their article.
     """
-    found = [[t for t in slot if not t.aside] for slot in slots(tokens(page), frame, texts)]
+    every = tokens(page)
+    found = [[t for t in slot if not t.aside] for slot in slots(every, frame, texts)]
     blocks = [t for slot in found for t in slot]
-    inside = [t for t in blocks if t.article]
+    inside = [t for t in blocks if t.article] or [t for t in every if t.kind == "t" and t.article and not t.aside]
     if not inside and blocks:
         largest = max(found, key=lambda slot: sum(len(t.text) for t in slot))
         parents = {t.path.rsplit("/", 1)[0] for t in largest}

@@ -109,6 +109,22 @@ def test_template_of_a_host_without_article_elements(spark):
     assert templates.extract(pages.limit(0)).count() == 0
 
 
+def test_template_decides_inside_article_elements(spark):
+    end = "<div><p>Read this free story every day</p></div>"
+    page = lambda i: f"<html><body><article><h1>Title {i}</h1>{end if i % 2 else ''}<p>Story {i} goes on</p>{'' if i % 2 else end}</article></body></html>"
+    pages = spark.createDataFrame([(i, f"http://a.org/{i}", page(i)) for i in range(12)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in templates.extract(pages).collect()} == {i: f"Title {i}\n\nStory {i} goes on" for i in range(12)}
+
+
+def test_classes_keep_one_order_and_nest(spark):
+    quote, table = "<blockquote>q</blockquote>", "<table>t</table>"
+    page = lambda i: f"<html><body><h1>T</h1>{(quote + table) if i % 2 else (table + quote)}<ul>{'<dl>x</dl>' if i else ''}</ul></body></html>"
+    pages = spark.createDataFrame([(i, f"http://a.org/{i}", page(i)) for i in range(12)], "page_id long, url string, html string")
+    frame = set(templates.templates(pages).first().frame)
+    ids = {name: templates.token_id(templates.Token("<", f"/html/body/{name}", "", False, False)) for name in ("h1", "ul", "ul/dl", "blockquote", "table")}
+    assert {n for n, i in ids.items() if i in frame} == {"h1", "ul", "ul/dl"}
+
+
 def test_quality_of_held_out_documents(spark):
     rows = QUERIES["op10_quality"](spark, MEDIUM).join(spark.read.parquet(f"{MEDIUM}/labels.parquet"), "doc_id").collect()
     held = [r for r in rows if r.held_out]
