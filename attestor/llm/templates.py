@@ -46,6 +46,8 @@ BLOCKS = frozenset(
     "html head body address article aside blockquote details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu "
     "nav ol p pre section summary table tbody td tfoot th thead tr ul caption title".split()
 )
+#: Elements that hold a text as a whole; all others are parts of one. Fixed values.
+CONTAINERS = frozenset("html body main article section div td fieldset details".split())
 #: Words in a class, id or role that mark an element as no part of the article. Fixed values.
 MARKS = frozenset(
     "ad ads advert advertisement adverts banner banners sponsor sponsored promo promotion cookie cookies consent notice notices alert popup modal overlay newsletter "
@@ -280,36 +282,80 @@ def templates(pages: DataFrame, support: float = SUPPORT, least_tokens: int = LE
     return found.select("host", "pages", F.coalesce("frame", F.array().cast("array<long>")).alias("frame"), "texts")
 
 
-def slots(page: list[Token], frame: frozenset, texts: frozenset) -> list[list[Token]]:
-    """The page's own text between one frame token and the next, template text left out."""
-    out: list[list[Token]] = [[]]
+class Block(NamedTuple):
+    """A block of text, its slot, and the number of the element it stands in."""
+
+    token: Token
+    slot: int
+    element: int
+
+
+def slots(page: list[Token], frame: frozenset) -> tuple[list[Block], list[tuple[str, int]]]:
+    """The blocks of a page in their slots, and its elements by number: name and parent. Element 0 is the page."""
+    out: list[Block] = []
+    elements, at, slot = [("", 0)], 0, 0
     for token in page:
-        i = token_id(token)
-        if token.kind != "t":
-            if i in frame:
-                out.append([])
-        elif i not in texts:
-            out[-1].append(token)
-    return out
+        if token.kind == "t":
+            out.append(Block(token, slot, at))
+            continue
+        slot += token_id(token) in frame
+        if token.kind == "<":
+            elements.append((token.path.rsplit("/", 1)[1], at))
+            at = len(elements) - 1
+        else:
+            at = elements[at][1]
+    return out, elements
+
+
+def container(blocks: list[Block], elements: list[tuple[str, int]]) -> list[Block]:
+    """The blocks in the nearest container of the largest slot: lists, quotes, tables and sections in it included.
+
+    Lists, quotes, tables and the like are parts of a text, so the nearest element of ``CONTAINERS`` around all of
+    the slot counts; and the one around that, if it has text of its own beside it. Only a ``div`` in ``body`` is
+    told apart from text beside it.
+    """
+
+    def holder(element: int) -> int:
+        while element and elements[element][0] not in CONTAINERS:
+            element = elements[element][1]
+        return element
+
+    sizes: dict = defaultdict(int)
+    for block in blocks:
+        sizes[block.slot] += len(block.token.text)
+    largest = max(sizes, key=sizes.get)
+    around = {b.element for b in blocks if b.slot == largest}
+    top = max(around)
+    for element in around:
+        while element != top:  # a parent has a smaller number
+            if element > top:
+                element = elements[element][1]
+            else:
+                top = elements[top][1]
+    top, holders = holder(top), {holder(b.element) for b in blocks}
+    while top and (outer := holder(elements[top][1])) in holders and (elements[top][0] != "div" or elements[outer][0] not in ("body", "html", "")):
+        top = outer
+    inside = [False] * len(elements)
+    for i, (_, parent) in enumerate(elements):
+        inside[i] = i == top or inside[parent]
+    return [b for b in blocks if inside[b.element]]
 
 
 def main_text(page: str, frame: frozenset = frozenset(), texts: frozenset = frozenset()) -> str:
     """The blocks of a page's article, joined by blank lines.
 
     Blocks inside menus, forms, adverts and the like never count. Of the rest those inside article or main
-    elements are the article where there are any; else the slot with most text, with the slots next to it
-    in the same parent element. Text of the template is left out, inside of article and main too; only where
-    such elements hold nothing else they keep it, as the pages then share their article.
+    elements are the article where there are any; else all in the nearest container of the slot with most text.
+    Text of the template is left out, inside of article and main too; only where such elements hold nothing
+    else they keep it, as the pages then share their article.
     """
-    every = tokens(page)
-    found = [[t for t in slot if not t.aside] for slot in slots(every, frame, texts)]
-    blocks = [t for slot in found for t in slot]
-    inside = [t for t in blocks if t.article] or [t for t in every if t.kind == "t" and t.article and not t.aside]
+    found, elements = slots(tokens(page), frame)
+    found = [b for b in found if not b.token.aside]
+    blocks = [b for b in found if token_id(b.token) not in texts]
+    inside = [b for b in blocks if b.token.article] or [b for b in found if b.token.article]
     if not inside and blocks:
-        largest = max(found, key=lambda slot: sum(len(t.text) for t in slot))
-        parents = {t.path.rsplit("/", 1)[0] for t in largest}
-        inside = [t for slot in found for t in slot if slot is largest or t.path.rsplit("/", 1)[0] in parents]
-    return "\n\n".join(t.text for t in inside)
+        inside = container(blocks, elements)
+    return "\n\n".join(b.token.text for b in inside)
 
 
 _TEXT = "page_id long, url string, text string, n_chars long"

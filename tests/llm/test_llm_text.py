@@ -125,6 +125,19 @@ def test_classes_keep_one_order_and_nest(spark):
     assert {n for n, i in ids.items() if i in frame} == {"h1", "ul", "ul/dl"}
 
 
+@pytest.mark.parametrize("long", ["p", "ul", "blockquote", "table", "section"])
+def test_nested_parts_of_an_article_without_article_elements(spark, long):
+    def page(i):
+        size = lambda name: " words" * (40 if name == long else 4)
+        parts = {"p": "<p>{}</p>", "ul": "<ul><li>{}</li></ul>", "blockquote": "<blockquote><p>{}</p></blockquote>", "table": "<table><tr><td>{}</td></tr></table>", "section": "<section><p>{}</p></section>"}
+        texts = [f"{name} {i}{size(name)}" for name in parts] + [f"end {i}"]
+        story = "".join(form.format(text) for form, text in zip(parts.values(), texts, strict=False))
+        return f"<html><body><div><p>Site</p><dl><dd>Tip {i}</dd></dl></div><div>{story}<p>{texts[-1]}</p></div><div><p>Seen {i} times</p></div></body></html>", "\n\n".join(texts)
+
+    pages = spark.createDataFrame([(i, f"http://a.org/{i}", page(i)[0]) for i in range(8)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in templates.extract(pages).collect()} == {i: page(i)[1] for i in range(8)}
+
+
 def test_quality_of_held_out_documents(spark):
     rows = QUERIES["op10_quality"](spark, MEDIUM).join(spark.read.parquet(f"{MEDIUM}/labels.parquet"), "doc_id").collect()
     held = [r for r in rows if r.held_out]
