@@ -8,8 +8,8 @@ a slot; classes inside a slot repeat there. Text that is itself a template token
 pages, inside of article elements as elsewhere. What the slots hold besides is the pages' own text.
 
 The occurrence vector of a token over all pages of its host is kept as one number, the exclusive or
-of a hash per page and count. So it is summed up in tasks and by Spark like a count, and no page meets
-another.
+of a hash per different page and count. So it is summed up in tasks and by Spark like a count, and only
+copies of one page meet.
 """
 
 from __future__ import annotations
@@ -31,11 +31,10 @@ from pyspark.sql import functions as F
 from attestor.llm.bpe import _pieces
 from attestor.llm.frames import arrow_schema, batch, stored, written
 
-#: A class must occur in this part of a host's pages, and have this many tokens.
+#: A class must occur in this part of a host's different pages and in this many of them, and have this many tokens.
 SUPPORT = 0.8
+LEAST_PAGES = 3
 LEAST_TOKENS = 2
-#: Text is taken for template only on hosts with this many pages; fewer may just be copies of one page.
-LEAST_PAGES = 5
 
 #: Elements whose content is never article text; header and footer only outside of an article. Fixed values.
 ASIDE = frozenset("head nav aside form menu dialog noscript template svg math button select object iframe canvas audio video".split())
@@ -169,17 +168,17 @@ def token_id(token: Token) -> int:
     return _hash(token.kind, token.path, token.text) & ~1 | (token.kind != "t")
 
 
-_SEQUENCES = "host string, name long, ids array<long>"
+_SEQUENCES = "host string, name binary, ids array<long>"
 
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A page's tokens in order, as their ids."""
-    schema = pa.schema([("host", pa.string()), ("name", pa.int64()), ("ids", pa.list_(pa.int64()))])
+    """A page's tokens in order, as their ids, and a digest of them."""
+    schema = pa.schema([("host", pa.string()), ("name", pa.binary()), ("ids", pa.list_(pa.int64()))])
     for b in batches:
         for row, pages in _pieces(b.column("html")):
-            urls = b.column("url").slice(row, len(pages)).to_pylist()
-            names = [_hash(url or "", page) for url, page in zip(urls, pages, strict=True)]
-            yield batch(schema, [b.column("host").slice(row, len(pages)), names, [[token_id(t) for t in tokens(page)] for page in pages]])
+            ids = [np.array([token_id(t) for t in tokens(page)], np.int64) for page in pages]
+            names = [blake2b(i.tobytes(), digest_size=16).digest() for i in ids]
+            yield batch(schema, [b.column("host").slice(row, len(pages)), names, ids])
 
 
 def _lists(column: pa.ListArray) -> list[np.ndarray]:
@@ -187,27 +186,29 @@ def _lists(column: pa.ListArray) -> list[np.ndarray]:
     return [values[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
 
-_VECTORS = "host string, token long, vector long, pages long, most long"
+_VECTORS = "host string, token long, vector long, pages long, most long, copies long"
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per host and token of a batch: the hashed occurrence vector and counts, summed before they leave the task."""
     schema = arrow_schema(_VECTORS)
     for b in batches:
-        sums: dict = defaultdict(lambda: [0, 0, 0])
-        for host, name, ids in zip(b.column("host").to_pylist(), b.column("name").to_pylist(), _lists(b.column("ids")), strict=True):
+        sums: dict = defaultdict(lambda: [0, 0, 0, 0])
+        columns = [b.column(c).to_pylist() for c in ("host", "name", "copies")]
+        for host, name, copies, ids in zip(*columns, _lists(b.column("ids")), strict=True):
             found, counts = np.unique(ids, return_counts=True)
             with np.errstate(over="ignore"):
-                marks = (counts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(name & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+                marks = (counts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(int.from_bytes(name[:8]))) * np.uint64(0xBF58476D1CE4E5B9)
                 marks = ((marks ^ (marks >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)).view(np.int64)
             for i, n, mark in zip(found.tolist(), counts.tolist(), marks.tolist(), strict=True):
                 held = sums[host, i]
                 held[0] ^= mark
                 held[1] += 1
                 held[2] = max(held[2], n)
-            sums[host, None][1] += 1  # the host's pages
+            sums[host, None][1] += 1  # the host's different pages, and its rows
+            sums[host, None][3] += copies
         keys = list(sums)
-        yield batch(schema, [[k[0] for k in keys], [k[1] for k in keys], *([v[j] for v in sums.values()] for j in range(3))])
+        yield batch(schema, [[k[0] for k in keys], [k[1] for k in keys], *([v[j] for v in sums.values()] for j in range(4))])
 
 
 _ORDERS = "host string, token long, class int, first_rank long, last_rank long, first_gap long, last_gap long"
@@ -253,20 +254,22 @@ def templates(pages: DataFrame, support: float = SUPPORT, least_tokens: int = LE
     frequent of these classes is the root. A tag whose rank in its class changes from page to page is broken
     out of it, and a class is nested where its tags stand in one and the same gap of the root in all pages;
     others divide nothing. ``texts`` are text tokens of any class: the same text is no page's own,
-    wherever it stands. Classes rarer than ``support`` or with fewer than ``least_tokens`` tokens are no part of
+    wherever it stands. Pages with equal tokens in equal order are one page, so copies are no evidence; ``pages``
+    counts rows. Classes rarer than ``support`` or with fewer than ``least_tokens`` tokens are no part of
     the template, so its size follows the template, not the pages.
     """
-    rows = written(pages.select(host_of().alias("host"), "url", "html").mapInArrow(_sequences, _SEQUENCES))
+    rows = pages.select(host_of().alias("host"), "html").mapInArrow(_sequences, _SEQUENCES).groupBy("host", "name")
+    rows = written(rows.agg(F.first("ids").alias("ids"), F.count(F.lit(1)).alias("copies")))
     sums = rows.mapInArrow(_vectors, _VECTORS).groupBy("host", "token")
-    sums = written(sums.agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.max("most").alias("most")))
-    hosts = sums.where("token IS NULL").select("host", F.col("pages").alias("host_pages"))
-    frequent = sums.where("token IS NOT NULL").join(hosts, "host").where(F.col("pages") >= F.lit(support) * F.col("host_pages"))
-    classes = frequent.groupBy("host", "host_pages", "vector", "pages", "most").agg(F.sort_array(F.collect_list("token")).alias("members"))
+    sums = written(sums.agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.max("most").alias("most"), F.sum("copies").alias("copies")))
+    hosts = sums.where("token IS NULL").select("host", F.col("pages").alias("host_pages"), F.col("copies").alias("host_rows"))
+    frequent = sums.where("token IS NOT NULL").join(hosts, "host").where(F.col("pages") >= F.greatest(F.lit(support) * F.col("host_pages"), F.lit(LEAST_PAGES)))
+    classes = frequent.groupBy("host", "host_rows", "vector", "pages", "most").agg(F.sort_array(F.collect_list("token")).alias("members"))
     classes = classes.where(F.size("members") >= least_tokens)
     is_tag = F.col("token").bitwiseAND(F.lit(1)) == 1
     by_support = Wd.partitionBy("host").orderBy(F.col("most") != 1, F.desc("pages"), F.desc(F.size("members")), "vector")
     classes = classes.withColumn("class", F.row_number().over(by_support) - 1)
-    member = written(classes.select("host", "host_pages", "class", "most", F.explode("members").alias("token")))
+    member = written(classes.select("host", "host_rows", "class", "most", F.explode("members").alias("token")))
 
     tags = member.where(is_tag & (F.col("most") == 1)).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("token", "class"))).alias("m"))
     tags = stored(tags.select("host", F.col("m.token").alias("members"), F.col("m.class").alias("classes")), "classes")
@@ -277,8 +280,8 @@ def templates(pages: DataFrame, support: float = SUPPORT, least_tokens: int = LE
     nested = ordered.where((F.col("class") == 0) | ((F.col("first") == F.col("last")) & (F.size("tokens") >= least_tokens)))
     frames = nested.groupBy("host").agg(F.sort_array(F.flatten(F.collect_list("tokens"))).alias("frame"))
 
-    texts = F.sort_array(F.collect_list(F.when(~is_tag & (F.col("host_pages") >= LEAST_PAGES), F.col("token")))).alias("texts")
-    found = member.groupBy("host").agg(F.first("host_pages").alias("pages"), texts).join(frames, "host", "left")
+    texts = F.sort_array(F.collect_list(F.when(~is_tag, F.col("token")))).alias("texts")
+    found = member.groupBy("host").agg(F.first("host_rows").alias("pages"), texts).join(frames, "host", "left")
     return found.select("host", "pages", F.coalesce("frame", F.array().cast("array<long>")).alias("frame"), "texts")
 
 

@@ -118,7 +118,7 @@ def test_template_decides_inside_article_elements(spark):
 
 def test_classes_keep_one_order_and_nest(spark):
     quote, table = "<blockquote>q</blockquote>", "<table>t</table>"
-    page = lambda i: f"<html><body><h1>T</h1>{(quote + table) if i % 2 else (table + quote)}<ul>{'<dl>x</dl>' if i else ''}</ul></body></html>"
+    page = lambda i: f"<html><body><h1>T</h1>{(quote + table) if i % 2 else (table + quote)}<ul>{'<dl>x</dl>' if i else ''}</ul><p>{i}</p></body></html>"
     pages = spark.createDataFrame([(i, f"http://a.org/{i}", page(i)) for i in range(12)], "page_id long, url string, html string")
     frame = set(templates.templates(pages).first().frame)
     ids = {name: templates.token_id(templates.Token("<", f"/html/body/{name}", "", False, False)) for name in ("h1", "ul", "ul/dl", "blockquote", "table")}
@@ -138,6 +138,21 @@ def test_nested_parts_of_an_article_without_article_elements(spark, long):
     assert {r.page_id: r.text for r in templates.extract(pages).collect()} == {i: page(i)[1] for i in range(8)}
 
 
+@pytest.mark.parametrize("copies", [1, 4, 5, 20])
+def test_copies_of_a_page_are_no_template(spark, copies):
+    rows = [(i, f"http://a.org/{i % 2}", "<html><body><div><p>The story</p><p>goes on</p></div></body></html>") for i in range(copies)]
+    rows += [(100 + i, f"http://a.org/{i}", host_page(1)) for i in range(copies > 4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.text for r in templates.extract(pages).where("page_id < 100").collect()} == {"The story\n\ngoes on"}
+
+
+def test_pages_that_are_all_there_twice(spark):
+    once = [(i, f"http://a.org/{i}", host_page(i).replace("<ul>", "<ul>" if i else "<ol>")) for i in range(12)]
+    schema = "page_id long, url string, html string"
+    one, two = (templates.templates(spark.createDataFrame(rows, schema)).first() for rows in (once, once + once))
+    assert (one.frame, one.texts) == (two.frame, two.texts) and (one.pages, two.pages) == (12, 24)
+
+
 def test_quality_of_held_out_documents(spark):
     rows = QUERIES["op10_quality"](spark, MEDIUM).join(spark.read.parquet(f"{MEDIUM}/labels.parquet"), "doc_id").collect()
     held = [r for r in rows if r.held_out]
