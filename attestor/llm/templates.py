@@ -37,9 +37,13 @@ LEAST_PAGES = 3
 LEAST_TOKENS = 2
 
 #: Elements whose content is never article text; header and footer only outside of an article. Fixed values.
-ASIDE = frozenset("head nav aside form menu dialog noscript template svg math button select object iframe canvas audio video".split())
+ASIDE = frozenset("head nav aside form menu dialog noscript template svg button select object iframe canvas audio video".split())
 OUTER = frozenset("header footer".split())
-RAW = frozenset("script style textarea title xmp iframe noscript template svg math select button option".split())
+RAW = frozenset("script style textarea title xmp iframe noscript template svg annotation annotation-xml select button option".split())
+#: Those that hold markup: one that is never closed ends with its tag; of the rest all text to the end belongs to it.
+MARKUP = frozenset("noscript template svg annotation annotation-xml select button option".split())
+#: Those that are empty if they end with a slash.
+EMPTY = frozenset("svg annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "html head body address article aside blockquote details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu "
@@ -47,6 +51,9 @@ BLOCKS = frozenset(
 )
 #: Elements that hold a text as a whole; all others are parts of one. Fixed values.
 CONTAINERS = frozenset("html body main article section div td fieldset details".split())
+#: An element marked by its class, id or role is left out of article and main elements if it repeats over the host's
+#: pages like a template and this part of its text, at most, stands on one page only.
+OWN_TEXT = 0.1
 #: Words in a class, id or role that mark an element as no part of the article. Fixed values.
 MARKS = frozenset(
     "ad ads advert advertisement adverts banner banners sponsor sponsored promo promotion cookie cookies consent notice notices alert popup modal overlay newsletter "
@@ -70,38 +77,37 @@ class Token(NamedTuple):
     text: str
     aside: bool  # inside an element that is no article text
     article: bool  # inside article or main
+    marks: tuple = ()  # the marked elements it is inside of, as ids of their path and marks
 
 
-def _marked(attributes: str) -> bool:
-    for hit in _MARK.finditer(attributes):
-        value = (hit[1] or hit[2] or hit[3] or "").lower()
-        if any(word in MARKS for word in _SPLIT.split(value)):
-            return True
-    return False
+def _marked(attributes: str) -> str:
+    """The words of ``MARKS`` in an element's class, id and role."""
+    values = " ".join(hit[1] or hit[2] or hit[3] or "" for hit in _MARK.finditer(attributes))
+    return " ".join(sorted(MARKS.intersection(_SPLIT.split(values.lower())))) if values else ""
 
 
 def tokens(page: str) -> list[Token]:
     """The tokens of a page. Character references are decoded, white space in a block is one space."""
     out: list[Token] = []
-    open_: list[tuple[str, str, bool, bool]] = []  # name, path, aside, article
+    open_: list[tuple[str, str, bool, bool, tuple]] = []  # name, path, aside, article, marks
     text: list[str] = []
 
-    def state() -> tuple[str, str, bool, bool]:
-        return open_[-1] if open_ else ("", "", False, False)
+    def state() -> tuple[str, str, bool, bool, tuple]:
+        return open_[-1] if open_ else ("", "", False, False, ())
 
     def flush() -> None:
         if text:
             block = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if block:
-                _, path, aside, article = state()
-                out.append(Token("t", path, block, aside, article))
+                _, path, aside, article, marks = state()
+                out.append(Token("t", path, block, aside, article, marks))
 
     def close(depth: int) -> None:
         flush()
         while len(open_) > depth:
-            _, path, aside, article = open_.pop()
-            out.append(Token("/", path, "", aside, article))
+            _, path, aside, article, marks = open_.pop()
+            out.append(Token("/", path, "", aside, article, marks))
 
     at = 0
     while True:
@@ -115,9 +121,11 @@ def tokens(page: str) -> list[Token]:
             continue  # a comment or declaration
         name, ending = hit[2].lower(), hit[1] == "/"
         if not ending and name in RAW:
-            close_at = _CLOSE[name].search(page, at)
-            at = close_at.end() if close_at else len(page)
             text.append(" ")
+            if name in EMPTY and hit[3].endswith("/"):
+                continue
+            close_at = _CLOSE[name].search(page, at)
+            at = close_at.end() if close_at else at if name in MARKUP else len(page)
             continue
         if name not in BLOCKS:
             if name == "br":
@@ -147,14 +155,16 @@ def tokens(page: str) -> list[Token]:
                     names = names[:depth]
         if name == "body" and "head" in names:
             close(names.index("head"))
-        _, path, aside, article = state()
+        _, path, aside, article, marks = state()
         inside = article or name in ("article", "main")
-        aside = aside or name in ASIDE or (name in OUTER and not article) or (name not in ("html", "body", "article", "main") and _marked(hit[3]))
+        aside = aside or name in ASIDE or (name in OUTER and not article)
         own = f"{path}/{name}"
+        if hit[3] and name not in ("html", "body", "article", "main") and (mark := _marked(hit[3])):
+            marks = (*marks, _hash("mark", own, mark))
         if name in VOID:
             continue
-        open_.append((name, own, aside, inside))
-        out.append(Token("<", own, "", aside, inside))
+        open_.append((name, own, aside, inside, marks))
+        out.append(Token("<", own, "", aside, inside, marks))
     close(0)
     return out
 
@@ -168,17 +178,24 @@ def token_id(token: Token) -> int:
     return _hash(token.kind, token.path, token.text) & ~1 | (token.kind != "t")
 
 
-_SEQUENCES = "host string, name binary, ids array<long>"
+_SEQUENCES = "host string, name binary, ids array<long>, marked array<struct<mark: long, block: long, size: long>>"
+_MARKED = pa.list_(pa.struct([("mark", pa.int64()), ("block", pa.int64()), ("size", pa.int64())]))
 
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A page's tokens in order, as their ids, and a digest of them."""
-    schema = pa.schema([("host", pa.string()), ("name", pa.binary()), ("ids", pa.list_(pa.int64()))])
+    """A page's tokens in order, as their ids, and a digest of them; the blocks in marked elements of its articles."""
+    schema = pa.schema([("host", pa.string()), ("name", pa.binary()), ("ids", pa.list_(pa.int64())), ("marked", _MARKED)])
     for b in batches:
         for row, pages in _pieces(b.column("html")):
-            ids = [np.array([token_id(t) for t in tokens(page)], np.int64) for page in pages]
+            ids, marked = [], []
+            for page in pages:
+                found = tokens(page)
+                ids.append(np.array([token_id(t) for t in found], np.int64))
+                blocks = {(m, int(i)): len(t.text) for t, i in zip(found, ids[-1], strict=True) if t.marks and t.kind == "t" and t.article and not t.aside for m in t.marks}
+                marked.append([(m, i, size) for (m, i), size in blocks.items()] + [(m, None, 0) for m in {m for m, _ in blocks}])
             names = [blake2b(i.tobytes(), digest_size=16).digest() for i in ids]
-            yield batch(schema, [b.column("host").slice(row, len(pages)), names, ids])
+            marked = pa.array([[dict(zip(("mark", "block", "size"), m, strict=True)) for m in page] for page in marked], _MARKED)
+            yield batch(schema, [b.column("host").slice(row, len(pages)), names, ids, marked])
 
 
 def _lists(column: pa.ListArray) -> list[np.ndarray]:
@@ -248,7 +265,7 @@ def host_of(url_column: str = "url"):
 
 
 def templates(pages: DataFrame, support: float = SUPPORT, least_tokens: int = LEAST_TOKENS) -> DataFrame:
-    """``host, pages, frame, texts``: the deduced template of every host.
+    """``host, pages, frame, texts, marks``: the deduced template of every host.
 
     ``frame`` are the tags of valid classes that occur once in all of the host's pages they are in. The most
     frequent of these classes is the root. A tag whose rank in its class changes from page to page is broken
@@ -256,20 +273,21 @@ def templates(pages: DataFrame, support: float = SUPPORT, least_tokens: int = LE
     others divide nothing. ``texts`` are text tokens of any class: the same text is no page's own,
     wherever it stands. Pages with equal tokens in equal order are one page, so copies are no evidence; ``pages``
     counts rows. Classes rarer than ``support`` or with fewer than ``least_tokens`` tokens are no part of
-    the template, so its size follows the template, not the pages.
+    the template, so its size follows the template, not the pages. ``marks`` are marked elements in articles that
+    are as frequent, with little text (``OWN_TEXT``) that stands on one page only.
     """
     rows = pages.select(host_of().alias("host"), "html").mapInArrow(_sequences, _SEQUENCES).groupBy("host", "name")
-    rows = written(rows.agg(F.first("ids").alias("ids"), F.count(F.lit(1)).alias("copies")))
-    sums = rows.mapInArrow(_vectors, _VECTORS).groupBy("host", "token")
+    rows = written(rows.agg(F.first("ids").alias("ids"), F.first("marked").alias("marked"), F.count(F.lit(1)).alias("copies")))
+    sums = rows.drop("marked").mapInArrow(_vectors, _VECTORS).groupBy("host", "token")
     sums = written(sums.agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.max("most").alias("most"), F.sum("copies").alias("copies")))
     hosts = sums.where("token IS NULL").select("host", F.col("pages").alias("host_pages"), F.col("copies").alias("host_rows"))
     frequent = sums.where("token IS NOT NULL").join(hosts, "host").where(F.col("pages") >= F.greatest(F.lit(support) * F.col("host_pages"), F.lit(LEAST_PAGES)))
-    classes = frequent.groupBy("host", "host_rows", "vector", "pages", "most").agg(F.sort_array(F.collect_list("token")).alias("members"))
+    classes = frequent.groupBy("host", "vector", "pages", "most").agg(F.sort_array(F.collect_list("token")).alias("members"))
     classes = classes.where(F.size("members") >= least_tokens)
     is_tag = F.col("token").bitwiseAND(F.lit(1)) == 1
     by_support = Wd.partitionBy("host").orderBy(F.col("most") != 1, F.desc("pages"), F.desc(F.size("members")), "vector")
     classes = classes.withColumn("class", F.row_number().over(by_support) - 1)
-    member = written(classes.select("host", "host_rows", "class", "most", F.explode("members").alias("token")))
+    member = written(classes.select("host", "class", "most", F.explode("members").alias("token")))
 
     tags = member.where(is_tag & (F.col("most") == 1)).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("token", "class"))).alias("m"))
     tags = stored(tags.select("host", F.col("m.token").alias("members"), F.col("m.class").alias("classes")), "classes")
@@ -281,8 +299,18 @@ def templates(pages: DataFrame, support: float = SUPPORT, least_tokens: int = LE
     frames = nested.groupBy("host").agg(F.sort_array(F.flatten(F.collect_list("tokens"))).alias("frame"))
 
     texts = F.sort_array(F.collect_list(F.when(~is_tag, F.col("token")))).alias("texts")
-    found = member.groupBy("host").agg(F.first("host_rows").alias("pages"), texts).join(frames, "host", "left")
-    return found.select("host", "pages", F.coalesce("frame", F.array().cast("array<long>")).alias("frame"), "texts")
+    found = member.groupBy("host").agg(texts).join(frames, "host", "full").join(marks(rows, hosts, support), "host", "full")
+    lists = [F.coalesce(c, F.array().cast("array<long>")).alias(c) for c in ("frame", "texts", "marks")]
+    return found.join(hosts, "host").select("host", F.col("host_rows").alias("pages"), *lists)
+
+
+def marks(rows: DataFrame, hosts: DataFrame, support: float) -> DataFrame:
+    """``host, marks``: marked elements in articles for which the host's different pages speak."""
+    blocks = rows.select("host", F.explode("marked").alias("m")).groupBy("host", "m.mark", "m.block").agg(F.count(F.lit(1)).alias("n"), F.max("m.size").alias("size"))
+    alone = F.sum(F.when(F.col("n") == 1, F.col("size")).otherwise(0))
+    found = blocks.groupBy("host", "mark").agg(F.max(F.when(F.col("block").isNull(), F.col("n"))).alias("pages"), F.sum(F.col("n") * F.col("size")).alias("all"), alone.alias("alone"))
+    found = found.join(hosts, "host").where(F.col("pages") >= F.greatest(F.lit(support) * F.col("host_pages"), F.lit(LEAST_PAGES)))
+    return found.where(F.col("alone") <= OWN_TEXT * F.col("all")).groupBy("host").agg(F.sort_array(F.collect_list("mark")).alias("marks"))
 
 
 class Block(NamedTuple):
@@ -344,20 +372,25 @@ def container(blocks: list[Block], elements: list[tuple[str, int]]) -> list[Bloc
     return [b for b in blocks if inside[b.element]]
 
 
-def main_text(page: str, frame: frozenset = frozenset(), texts: frozenset = frozenset()) -> str:
+def main_text(page: str, frame: frozenset = frozenset(), texts: frozenset = frozenset(), marks: frozenset | None = None) -> str:
     """The blocks of a page's article, joined by blank lines.
 
-    Blocks inside menus, forms, adverts and the like never count. Of the rest those inside article or main
+    Blocks inside menus, forms and the like never count. Those that a class, id or role marks as advert, comments and
+    so on do not either; but inside article and main only if the host's pages speak for it (``marks``; None: no
+    pages are known and marks decide), and elsewhere only if the page has other text. Of the rest those inside article or main
     elements are the article where there are any; else all in the nearest container of the slot with most text.
     Text of the template is left out, inside of article and main too; only where such elements hold nothing
     else they keep it, as the pages then share their article.
     """
     found, elements = slots(tokens(page), frame)
-    found = [b for b in found if not b.token.aside]
-    blocks = [b for b in found if token_id(b.token) not in texts]
-    inside = [b for b in blocks if b.token.article] or [b for b in found if b.token.article]
-    if not inside and blocks:
-        inside = container(blocks, elements)
+    found = [b for b in found if not b.token.aside and (marks is None or marks.isdisjoint(b.token.marks))]
+    unmarked = [b for b in found if not b.token.marks]
+    inside = [b for b in (unmarked if marks is None else found) if b.token.article]
+    if inside:
+        inside = [b for b in inside if token_id(b.token) not in texts] or inside
+    else:
+        blocks = [b for b in unmarked if token_id(b.token) not in texts] or [b for b in found if token_id(b.token) not in texts]
+        inside = container(blocks, elements) if blocks else []
     return "\n\n".join(b.token.text for b in inside)
 
 
@@ -367,14 +400,14 @@ _TEXT = "page_id long, url string, text string, n_chars long"
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = arrow_schema(_TEXT)
     for b in batches:
-        held, sets = None, (frozenset(), frozenset())
+        held, sets = None, (frozenset(),) * 3
         for row, pages in _pieces(b.column("html")):
             texts = []
             for i, page in enumerate(pages, row):
                 host = b.column("host")[i].as_py()
                 if host != held or held is None:
                     held = host
-                    sets = tuple(frozenset(b.column(c)[i].as_py() or ()) for c in ("frame", "texts"))
+                    sets = tuple(frozenset(b.column(c)[i].as_py() or ()) for c in ("frame", "texts", "marks"))
                 texts.append(main_text(page, *sets))
             n = len(texts)
             yield batch(schema, [b.column("page_id").slice(row, n), b.column("url").slice(row, n), texts, [len(t) for t in texts]])
@@ -387,6 +420,6 @@ def extract(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     rows are rows of their own. Other columns are ignored; an empty table gives an empty result.
     """
     # As a table its size is known: Spark sends it to all tasks where it is small, else it shuffles.
-    found = stored(templates(pages, support).select("host", "frame", "texts"), "templates")
+    found = stored(templates(pages, support).select("host", "frame", "texts", "marks"), "templates")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of().alias("host"))
-    return rows.join(found, "host", "left").select("page_id", "url", "html", "host", "frame", "texts").mapInArrow(_extract, _TEXT)
+    return rows.join(found, "host", "left").select("page_id", "url", "html", "host", "frame", "texts", "marks").mapInArrow(_extract, _TEXT)

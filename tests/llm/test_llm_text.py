@@ -153,6 +153,24 @@ def test_pages_that_are_all_there_twice(spark):
     assert (one.frame, one.texts) == (two.frame, two.texts) and (one.pages, two.pages) == (12, 24)
 
 
+def test_marks_inside_articles_need_the_host(spark):
+    def page(i, more=""):
+        head = f'<header class="entry-header"><h1>Title {i}</h1></header>'
+        return f'<html><body><article>{head}<div class="long-form"><p>Story {i} goes on</p></div><div id="related"><p>Teaser {i % 2}</p></div>{more}</article></body></html>'
+
+    rows = [(i, f"http://a.org/{i}", page(i, '<div class="notice">Corrected on 1 May</div>' if i == 3 else "")) for i in range(12)] + [(50, "http://b.org/", page(50))]
+    got = {r.page_id: r.text.split("\n\n") for r in templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: [f"Title {i}", f"Story {i} goes on", *(["Corrected on 1 May"] if i == 3 else [])] for i in range(12)} | {50: ["Title 50", "Story 50 goes on", "Teaser 0"]}
+
+
+def test_marked_wrappers_and_embedded_markup():
+    none = frozenset()
+    assert templates.main_text('<div class="long-form"><p>A</p><p>B</p></div><nav>N</nav>', none, none, none) == "A\n\nB"
+    assert templates.main_text('<div class="share-page"><main><p>A</p></main></div>', none, none, none) == "A"
+    assert templates.main_text("<article><p>A <svg/> B</p><p>C <svg width='1' /> D <svg><text>x</text></svg> E</p></article>") == "A B\n\nC D E"
+    assert templates.main_text("<article><p>If <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> then <math/> end</p><svg><p>F</p></article>") == "If x=2 then end\n\nF"
+
+
 def test_quality_of_held_out_documents(spark):
     rows = QUERIES["op10_quality"](spark, MEDIUM).join(spark.read.parquet(f"{MEDIUM}/labels.parquet"), "doc_id").collect()
     held = [r for r in rows if r.held_out]
