@@ -148,6 +148,11 @@ class Scorer:
             out.append(place)
         return out
 
+    def evidence(self, text: str) -> bool:
+        """Whether the model knows a word of the text, or a letter of one."""
+        words, pieces = self.model.words, self.model.grams
+        return any(word in words or any(letter in pieces for letter in word) for word in _WORD.findall(text.lower()))
+
     def text(self, text: str) -> tuple[str, float]:
         words = _WORD.findall(text.lower())
         if not words or not self.model.languages:
@@ -189,19 +194,21 @@ def predict(docs: DataFrame, model: Model, carry: Column | None = None) -> DataF
     return rows.mapInArrow(_predict(shared), "doc_id long, held string, lang_pred string, score double")
 
 
-def _accept(shared, least: float, text_at: int):
+def _accept(shared, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for b in batches:
             for row, texts in _pieces(b.column(text_at)):
-                found = [scorer.text(t) for t in texts]
-                yes = [lang != UNDETERMINED and score >= least for lang, score in found]
+                yes = [scorer.evidence(t) for t in texts]
                 yield b.slice(row, len(yes)).filter(pa.array(yes, pa.bool_()))
 
     return run
 
 
-def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose ``text`` has a language with a score of ``least`` or more."""
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, all columns, whose ``text`` has a language, however low its score.
+
+    Rejected are NULL, empty and letterless texts and those of which the model knows no word and no letter.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_accept(shared, least, docs.columns.index("text")), docs.schema)
+    return docs.mapInArrow(_accept(shared, docs.columns.index("text")), docs.schema)

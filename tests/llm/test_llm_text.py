@@ -59,6 +59,15 @@ def test_language_of_odd_rows(spark):
     assert language.predict(docs.limit(0), model).count() == 0
 
 
+def test_short_texts_of_known_letters_are_accepted(spark):
+    rows = [(1, "the house and the garden", "en"), (2, "das haus und der garten", "de"), (3, "la casa grande", "es"), (4, "le jardin et la maison", "fr")]
+    model = language.fit(spark.createDataFrame([(*r, None, 0) for r in rows], DOCS), least=1)
+    texts = ["Re.", "De.", "Erö.", "a", "日本", "12", "日本 the"]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], DOCS)
+    assert min(r.score for r in language.predict(docs, model).collect() if r.doc_id < 4) < 0.5
+    assert {r.text for r in language.accepted(docs, model).collect()} == {"Re.", "De.", "Erö.", "a", "日本 the"}
+
+
 def test_text_of_the_small_pages(spark):
     pages = {r.page_id: r for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
     rows = QUERIES["op3_page_text"](spark, SMALL).collect()
