@@ -97,6 +97,12 @@ def mix(
     size 0 and give nothing. Repeated rows are rows of their own. No document gives more than
     ``repeats`` times its words. Other columns are ignored; an empty table gives an empty result.
     """
+    taken = _taken(docs, weights, repeats, block_words, shard_words, seed)
+    return taken.select("doc_id", "size", "source_size", "target", "taken", "place")
+
+
+def _taken(docs: DataFrame, weights: tuple = WEIGHTS, repeats: int = MOST_REPEATS, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
+    """:func:`mix` with ``source``, ``weight_rank`` and ``shard`` of every row."""
     rows = written(sizes(docs, seed))
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats)
     all_words = F.sum("source_size").over(Wd.partitionBy())
@@ -106,7 +112,7 @@ def mix(
 
     # One row per source: joined as a small table where Spark finds it small, else by shuffle.
     named = rows.alias("d").join(quotas.alias("q"), F.col("d.source").eqNullSafe(F.col("q.source")))
-    named = named.select("d.doc_id", "d.size", "d.place", "q.source_size", "q.target", "q.quota", "q.weight_rank")
+    named = named.select("d.doc_id", "d.source", "d.size", "d.place", "q.source_size", "q.target", "q.quota", "q.weight_rank")
     shards = F.ceil(F.col("source_size") / shard_words)
     named = written(named.withColumn("shard", F.when(F.col("size") > 0, F.pmod(F.col("place"), F.greatest(shards, F.lit(1))))))
 
@@ -132,25 +138,40 @@ def mix(
 
     touched = F.sequence(F.expr(f"begin div {block_words}"), F.expr(f"(begin + size - 1) div {block_words}"))
     extra = F.when(F.col("more") > 0, F.aggregate(touched, F.lit(0).cast("long"), given)).otherwise(F.lit(0).cast("long"))
-    taken = placed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times") + extra).alias("taken"), "place")
-    empty = named.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), "place")
+    of = ("source", "weight_rank", "shard")
+    taken = placed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times") + extra).alias("taken"), "place", *of)
+    empty = named.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), "place", *of)
     return taken.unionByName(empty)
 
 
 def mixed_documents(docs: DataFrame, *, seed: int = SEED, **options) -> DataFrame:
-    """The documents of the mix with all their columns, whole: each as often as the mix takes it.
+    """The documents of the mix with all their columns, whole: each as often as its shard's words allow.
 
-    A document of which ``taken / size`` is not whole gets one more copy with the odds of the fraction,
-    drawn from its seeded place; so sources still come near their targets.
+    Every document of a shard is taken as often as the words of the shard's quota allow, and one time more
+    as long as, in the seeded order, the running sum stays in what is left. So a shard misses the words that
+    :func:`mix` takes of it by less than one document. The document at the end is taken if a part of it that
+    changes from shard to shard is inside; the first shard rounds to the nearer side.
     """
-    taken = mix(docs, seed=seed, **options).where("taken > 0")
-    share = F.try_divide("taken", "size")
-    odds = F.pmod(F.xxhash64("place"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    copies = F.floor(share) + F.when(share - F.floor(share) > odds, 1).otherwise(0)
-    chosen = taken.select("place", copies.cast("int").alias("copies_")).where("copies_ > 0").dropDuplicates(["place"])
-    rows = docs.withColumn("place_", seeded(seed)).join(chosen.withColumnRenamed("place", "place_"), "place_")
-    rows = rows.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_"))))
-    return rows.select(*[rows[c] for c in docs.columns])
+    shard = Wd.partitionBy("weight_rank", "shard")
+    before = shard.orderBy("place", "doc_id").rowsBetween(Wd.unboundedPreceding, -1)
+    taken = _taken(docs, seed=seed, **options).where("size > 0")
+    taken = taken.withColumn("words", F.sum("size").over(shard)).withColumn("quota", F.sum("taken").over(shard))
+    part = F.pmod(F.lit(0.5) + F.col("shard") * F.lit(0.6180339887498949), F.lit(1.0))
+    more = F.coalesce(F.sum("size").over(before), F.lit(0)) + part * F.col("size") < F.expr("quota % words")
+    copies = F.expr("quota div words") + F.when(more, 1).otherwise(0)
+    # Equal rows have one place; their copies are dealt to them evenly.
+    chosen = taken.select("place", "source", copies.alias("copies")).groupBy("place", "source").agg(F.sum("copies").alias("copies_"), F.count(F.lit(1)).alias("rows_"))
+    chosen = written(chosen.where("copies_ > 0").select(F.col("place").alias("place_"), F.col("source").alias("source_"), "copies_", "rows_"))
+    named = docs.withColumn("own_place_", seeded(seed))
+    met = (F.col("own_place_") == F.col("place_")) & F.col("source").eqNullSafe(F.col("source_"))
+    rows = named.join(chosen.where("rows_ = 1"), met).select(*docs.columns, "copies_")
+    repeated = chosen.where("rows_ > 1")
+    if not repeated.isEmpty():
+        numbered = named.join(repeated, met).withColumn("row_", F.row_number().over(Wd.partitionBy("place_", "source_").orderBy(F.xxhash64(*docs.columns))))
+        dealt = F.expr("copies_ div rows_") + F.when(F.col("row_") <= F.expr("copies_ % rows_"), 1).otherwise(0)
+        rows = rows.unionByName(numbered.select(*docs.columns, dealt.alias("copies_")).where("copies_ > 0"))
+    rows = rows.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_").cast("int"))))
+    return rows.select(*docs.columns)
 
 
 SQL = f"""

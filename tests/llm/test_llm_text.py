@@ -269,6 +269,33 @@ def test_mix_comes_near_its_targets(spark):
     assert whole.columns == docs.columns and set(whole.select("text").distinct().toPandas().text) <= {r[1] for r in rows}
 
 
+def assert_shards_hit(docs, whole, **options):
+    """Each shard of each source gives the words that the mix takes of it, but for less than one document."""
+    keys = ["weight_rank", "shard"]
+    taken = mixing._taken(docs, **options).where("size > 0").toPandas()
+    shard_of = {(r.place, r.source): (r.weight_rank, r.shard) for r in taken.itertuples()}
+    got = Counter()
+    for r in mixing.sizes(whole).collect():
+        got[shard_of[r.place, r.source]] += r.size
+    for key, rows in taken.groupby(keys):
+        assert abs(got[key] - rows.taken.sum()) < max(rows["size"].max(), 1), key
+    return len(taken.groupby(keys))
+
+
+def test_whole_documents_hit_the_words_of_every_shard(spark):
+    long = [(9000 + i, f"l{i} " * 700, "en", "long", 0) for i in range(25)]
+    equal = [(None, "again " * 30, f"x{i % 3}", "equal", i) for i in range(150)]
+    rows = mix_rows() + long + equal + [(None, "again " * 30, "en", "other", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for options in ({}, {"shard_words": 2000}):
+        whole = mixing.mixed_documents(docs, **options)
+        assert whole.columns == docs.columns and set(whole.collect()) <= set(docs.collect())
+        assert assert_shards_hit(docs, whole, **options) > (20 if options else 7)
+        again = mixing.mixed_documents(docs.repartition(5), **options)
+        assert Counter(again.collect()) == Counter(whole.collect())
+    assert mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
 def test_mix_as_sql(spark):
     connection = duckdb.connect()
     connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
