@@ -1,5 +1,6 @@
 """Language, page text, quality, mixing and the pipeline."""
 
+import hashlib
 import html
 import re
 from collections import Counter, defaultdict
@@ -350,6 +351,28 @@ def test_pipeline_stages(spark, tmp_path):
         assert stage(spark, empty, SMALL).count() == 0
 
 
+def test_run_of_the_pipeline_stage_by_stage(spark):
+    from test_llm_dedup import brute_components
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        before, docs = docs, stage(spark, docs, SMALL).localCheckpoint()
+        if name == "near_dedup":
+            texts = {r.doc_id: r.text for r in before.collect()}
+            kept = {i for i, (_, _, stays) in brute_components(texts).items() if stays}
+            assert Counter(docs.collect()) == Counter(r for r in before.collect() if r.doc_id in kept)
+        elif name == "mix":
+            assert assert_shards_hit(before, docs)
+    library = Tokenizer.from_file(corpus_pipeline.WORD_BPE)
+    want = Counter()
+    for r in docs.collect():
+        ids = library.encode(r.text, add_special_tokens=False).ids
+        decoded = hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        want[r.doc_id, len(ids), np.array(ids, "<u4").tobytes(), decoded] += 1
+    assert Counter((r.doc_id, r.n_tokens, bytes(r.ids), r.decoded_sha256) for r in corpus_pipeline.run(spark, SMALL).collect()) == want
+
+
 def test_crc_of_ids(spark):
     import zlib
 
