@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import bpe, exact_dedup, language, media, mixing, near_dedup, packing, quality, substring_dedup, templates
+from attestor.llm import bpe, exact_dedup, language, media, mixing, near_dedup, packing, positional_index, quality, substring_dedup, templates
 from attestor.llm.frames import crc_mod, table
 from attestor.session import work_path
 
@@ -69,11 +69,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("held").cast("boolean").alias("held_out"), "score", "predicted")
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = positional_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, "contaminated")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_minhash_near_dedup, op2_language_id, op3_page_text, op4_bpe, op5_token_packing, op6_substring_dedup, op7_exact_dedup, op8_media,
-        op9_source_mix, op10_quality,
+        op9_source_mix, op10_quality, op11_decontamination,
     )
 }
 
@@ -114,4 +120,5 @@ ORACLE: dict[str, str] = {
               FROM documents) WINDOW same AS (PARTITION BY t)
     """,
     "op9_source_mix": mixing.SQL,
+    "op11_decontamination": positional_index.SQL,
 }
