@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import bpe, exact_dedup, language, media, mixing, near_dedup, packing, periodic_runs, positional_index, quality, substring_dedup, templates
+from attestor.llm import (
+    bpe, conversation_repair, exact_dedup, language, media, mixing, near_dedup, packing, periodic_runs, positional_index, quality,
+    substring_dedup, templates,
+)
 from attestor.llm.frames import crc_mod, table
 from attestor.session import work_path
 
@@ -79,11 +82,15 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_minhash_near_dedup, op2_language_id, op3_page_text, op4_bpe, op5_token_packing, op6_substring_dedup, op7_exact_dedup, op8_media,
-        op9_source_mix, op10_quality, op11_decontamination, op12_periodic_runs,
+        op9_source_mix, op10_quality, op11_decontamination, op12_periodic_runs, op13_conversation_repair,
     )
 }
 
