@@ -17,15 +17,17 @@ from __future__ import annotations
 import html
 import re
 import struct
+from bisect import bisect
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 from typing import NamedTuple
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as Wd
 from pyspark.sql import functions as F
 
 from attestor.llm.bpe import _pieces
@@ -36,12 +38,15 @@ SUPPORT = 0.8
 LEAST_PAGES = 3
 LEAST_TOKENS = 2
 
-#: Elements whose content is never article text; header and footer only outside of an article. Fixed values.
-ASIDE = frozenset("head nav aside form menu dialog noscript template svg button select object iframe canvas audio video".split())
+#: Elements whose content is never article text; header only outside of an article, footer only outside of a quote. Fixed values.
+ASIDE = frozenset("head nav aside form menu dialog".split())
 OUTER = frozenset("header footer".split())
-RAW = frozenset("script style textarea title xmp iframe noscript template svg annotation annotation-xml select button option".split())
+#: Elements whose content is left out as it stands: scripts, controls, and what is shown where media cannot be played.
+RAW = frozenset(
+    "script style textarea title xmp iframe noscript template svg annotation annotation-xml select button option datalist video audio canvas object".split()
+)
 #: Those that hold markup: one that is never closed ends with its tag; of the rest all text to the end belongs to it.
-MARKUP = frozenset("noscript template svg annotation annotation-xml select button option".split())
+MARKUP = frozenset("noscript template svg annotation annotation-xml select button option datalist video audio canvas object".split())
 #: Those that are empty if they end with a slash.
 EMPTY = frozenset("svg annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,6 +56,8 @@ BLOCKS = frozenset(
 )
 #: Elements that hold a text as a whole; all others are parts of one. Fixed values.
 CONTAINERS = frozenset("html body main article section div td fieldset details".split())
+#: Elements that name what follows them, with their level; those of level 7 name the next cell or part. Fixed values.
+HEADINGS = {"h1": 1, "h2": 2, "h3": 3, "h4": 4, "h5": 5, "h6": 6, "th": 7, "td": 7, "dt": 7, "caption": 7, "summary": 7}
 #: An element marked by its class, id or role is left out of article and main elements if it repeats over the host's
 #: pages like a template and this part of its text, at most, stands on one page only.
 OWN_TEXT = 0.1
@@ -60,111 +67,202 @@ MARKS = frozenset(
     "subscribe signup sidebar side nav navbar navigation menu breadcrumb breadcrumbs toolbar pagination pager footer header masthead comment comments "
     "disqus reply replies respond share sharing social related recommended recommendations widget login search form complementary contentinfo dialog".split()
 )
+#: Of these, the words that name parts whose text differs from page to page, so no host can tell: they mark an
+#: element of an article by themselves, if nothing but they and the words below make up a class, id or role. Fixed values.
+STRONG = frozenset(
+    "ad ads advert advertisement adverts banner banners sponsor sponsored promo promotion cookie cookies consent popup newsletter subscribe signup sidebar nav navbar "
+    "navigation breadcrumb breadcrumbs toolbar pagination pager comment comments disqus reply replies respond share sharing social related recommended "
+    "recommendations login".split()
+)
+PARTS = frozenset(
+    "area article articles author bar block body bottom box button buttons center column container content contents count footer group header heading holder icon "
+    "icons inline inner item items label left link links list main meta notice outer panel post posts right row section side slot site story stories text thread title "
+    "top unit user reader widget wrap wrapper".split()
+)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+#: A tag: quotes count only at the start of a value; every character is read once, as nothing is taken back.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|))*+)>")
+_OPEN = re.compile(r"<[a-zA-Z/!?]")
+_MARK = re.compile(r"\b(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))", re.I)
+_CLOSE = {name: re.compile(rf"</{name}\s*+>", re.I) for name in RAW}
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_SIZE = re.compile(r"[0-9x]+|[a-z]")
 #: Open elements of the same kind that a new one ends, up to their container. Fixed values.
 _ENDS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table", "tbody")), "td": ("td th", ("tr",)), "th": ("td th", ("tr",)), "option": ("option", ("select",))}
+#: Of marked elements inside one another, this many count by themselves; those further in belong to the last.
+_NESTED_MARKS = 8
 
 
 class Token(NamedTuple):
     """A tag with its path (``kind`` "<" or "/"), or a block of text ("t") with the path it stands in."""
 
     kind: str
-    path: str
+    path: int | str  # the names of the open elements, or the number of this path
     text: str
     aside: bool  # inside an element that is no article text
     article: bool  # inside article or main
     marks: tuple = ()  # the marked elements it is inside of, as ids of their path and marks
+    strong: bool = False  # inside an element that its marks alone leave out
+    name: str = ""  # of the element, or the one a text stands in
+
+
+def path_number(path: str, parent: int = 0) -> int:
+    """A path as one number, which follows from its parent's and the last name."""
+    for name in path.split("/"):
+        if name:
+            parent = ((parent ^ crc32(name.encode("utf-8", "surrogatepass"))) * 0x9E3779B97F4A7C15 + 1) & 0xFFFFFFFFFFFFFFFF
+            parent ^= parent >> 29
+    return parent
+
+
+def _marked(attributes: str) -> tuple[str, bool]:
+    """The words of ``MARKS`` in an element's class, id and role, and whether one of these names is a strong mark."""
+    values = " ".join(hit[1] or hit[2] or hit[3] or "" for hit in _MARK.finditer(attributes)).lower()
+    if not values:
+        return "", False
+    found = " ".join(sorted(MARKS.intersection(_SPLIT.split(values))))
+    return found, bool(found) and any(_strong(name) for name in values.split())
+
+
+def _strong(name: str) -> bool:
+    parts = {w for w in _SPLIT.split(name) if w}
+    return not STRONG.isdisjoint(parts) and all(w in STRONG or w in PARTS or _SIZE.fullmatch(w) for w in parts)
 
 
-def _marked(attributes: str) -> str:
-    """The words of ``MARKS`` in an element's class, id and role."""
-    values = " ".join(hit[1] or hit[2] or hit[3] or "" for hit in _MARK.finditer(attributes))
-    return " ".join(sorted(MARKS.intersection(_SPLIT.split(values.lower())))) if values else ""
+class _Open(NamedTuple):
+    """An open element."""
+
+    name: str
+    path: int
+    aside: bool
+    article: bool
+    marks: tuple
+    strong: bool
+
+
+_OUTSIDE = _Open("", 0, False, False, (), False)
 
 
 def tokens(page: str) -> list[Token]:
-    """The tokens of a page. Character references are decoded, white space in a block is one space."""
+    """The tokens of a page. Character references are decoded, white space in a block is one space.
+
+    The page is read once from start to end, whatever is left open or unfinished in it. A ``>`` ends a tag
+    outside of quoted values; a tag that never ends so ends at its first ``>``, the second such one, or one without
+    any, with the page.
+    """
     out: list[Token] = []
-    open_: list[tuple[str, str, bool, bool, tuple]] = []  # name, path, aside, article, marks
+    open_: list[_Open] = []
+    depths: dict[str, list[int]] = defaultdict(list)  # where elements of a name are open
     text: list[str] = []
-
-    def state() -> tuple[str, str, bool, bool, tuple]:
-        return open_[-1] if open_ else ("", "", False, False, ())
+    unclosed: set = set()  # names of raw elements that no end tag follows any more
+    ended = False
 
     def flush() -> None:
         if text:
             block = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if block:
-                _, path, aside, article, marks = state()
-                out.append(Token("t", path, block, aside, article, marks))
+                name, path, aside, article, marks, strong = open_[-1] if open_ else _OUTSIDE
+                out.append(Token("t", path, block, aside, article, marks, strong, name))
 
     def close(depth: int) -> None:
         flush()
         while len(open_) > depth:
-            _, path, aside, article, marks = open_.pop()
-            out.append(Token("/", path, "", aside, article, marks))
+            name, path, aside, article, marks, strong = open_.pop()
+            depths[name].pop()
+            out.append(Token("/", path, "", aside, article, marks, strong, name))
+
+    def last(*names: str) -> int:
+        return max((depths[n][-1] for n in names if depths[n]), default=-1)
 
     at = 0
     while True:
-        hit = _TOKEN.search(page, at)
-        if hit is None:
+        mark = _OPEN.search(page, at)
+        if mark is None:
             text.append(page[at:])
             break
-        text.append(page[at : hit.start()])
-        at = hit.end()
-        if hit[2] is None:
-            continue  # a comment or declaration
-        name, ending = hit[2].lower(), hit[1] == "/"
+        begin = mark.start()
+        text.append(page[at:begin])
+        sign = page[begin + 1]
+        if sign in "!?":
+            if page.startswith("!--", begin + 1):
+                end, size = page.find("-->", begin + 2), 3
+            elif page.startswith("![CDATA[", begin + 1) and "]]>" not in unclosed:
+                end, size = page.find("]]>", begin), 3
+                if end < 0:
+                    unclosed.add("]]>")
+                    end, size = page.find(">", begin), 1
+            else:
+                end, size = page.find(">", begin), 1
+            if end < 0:
+                break
+            at = end + size
+            continue
+        if sign == "/" and not page[begin + 2 : begin + 3].isalpha():
+            end = page.find(">", begin)
+            if end < 0:
+                break
+            at = end + 1
+            continue
+        hit = _TAG.match(page, begin)
+        if hit is None:
+            end = page.find(">", begin)
+            if ended or end < 0:
+                break
+            ended = True
+            hit = _TAG.match(page[begin : end + 1].replace('"', " ").replace("'", " "))
+            if hit is None:
+                at = end + 1
+                continue
+            at = end + 1
+        else:
+            at = hit.end()
+        name, ending, attributes = hit[2].lower(), hit[1] == "/", hit[3]
         if not ending and name in RAW:
             text.append(" ")
-            if name in EMPTY and hit[3].endswith("/"):
+            if name in EMPTY and attributes.endswith("/"):
                 continue
-            close_at = _CLOSE[name].search(page, at)
+            close_at = None if name in unclosed else _CLOSE[name].search(page, at)
+            if close_at is None:
+                unclosed.add(name)
             at = close_at.end() if close_at else at if name in MARKUP else len(page)
             continue
         if name not in BLOCKS:
             if name == "br":
                 text.append(" ")
             continue
-        names = [o[0] for o in open_]
         if ending:
-            if name in names:
-                close(len(names) - 1 - names[::-1].index(name))
+            if depths[name]:
+                close(depths[name][-1])
             else:
                 flush()
             continue
         flush()
-        if "p" in names and not (len(names) and names[-1] in ("button",)):
+        if depths["p"] and last("table", "td", "th", "caption") < depths["p"][-1]:
             # A block ends the paragraph before it.
-            last = len(names) - 1 - names[::-1].index("p")
-            if not any(n in ("table", "td", "th", "caption") for n in names[last + 1 :]):
-                close(last)
-                names = names[:last]
+            close(depths["p"][-1])
         if name in _ENDS:
             same, bound = _ENDS[name]
-            for depth in range(len(names) - 1, -1, -1):
-                if names[depth] in bound:
-                    break
-                if names[depth] in same.split():
-                    close(depth)
-                    names = names[:depth]
-        if name == "body" and "head" in names:
-            close(names.index("head"))
-        _, path, aside, article, marks = state()
+            floor = last(*bound)
+            inner = [d[bisect(d, floor)] for n in same.split() if (d := depths[n]) and d[-1] > floor]
+            if inner:
+                close(min(inner))
+        if name == "body" and depths["head"]:
+            close(depths["head"][0])
+        around, path, aside, article, marks, strong = open_[-1] if open_ else _OUTSIDE
         inside = article or name in ("article", "main")
-        aside = aside or name in ASIDE or (name in OUTER and not article)
-        own = f"{path}/{name}"
-        if hit[3] and name not in ("html", "body", "article", "main") and (mark := _marked(hit[3])):
-            marks = (*marks, _hash("mark", own, mark))
+        aside = aside or name in ASIDE or (name == "header" and not article) or (name == "footer" and not depths["blockquote"])
+        own = path_number(name, path)
+        if attributes and name not in ("html", "body"):
+            words, sure = _marked(attributes)
+            strong = strong or sure
+            if words and name not in ("article", "main") and len(marks) < _NESTED_MARKS:
+                marks = (*marks, _hash("mark", str(own), words))
         if name in VOID:
             continue
-        open_.append((name, own, aside, inside, marks))
-        out.append(Token("<", own, "", aside, inside, marks))
+        depths[name].append(len(open_))
+        open_.append(_Open(name, own, aside, inside, marks, strong))
+        out.append(Token("<", own, "", aside, inside, marks, strong, name))
     close(0)
     return out
 
@@ -173,9 +271,15 @@ def _hash(*values: str) -> int:
     return struct.unpack("<q", blake2b("\0".join(values).encode("utf-8", "surrogatepass"), digest_size=8).digest())[0]
 
 
+@lru_cache(maxsize=1 << 15)
+def _tag_id(kind: str, path: int) -> int:
+    return _hash(kind, str(path), "") | 1
+
+
 def token_id(token: Token) -> int:
     """A hash of kind, path and text; the last bit tells a tag (1) from text (0)."""
-    return _hash(token.kind, token.path, token.text) & ~1 | (token.kind != "t")
+    path = token.path if isinstance(token.path, int) else path_number(token.path)
+    return _hash("t", str(path), token.text) & ~1 if token.kind == "t" else _tag_id(token.kind, path)
 
 
 _SEQUENCES = "host string, name binary, ids array<long>, marked array<struct<mark: long, block: long, size: long>>"
@@ -228,7 +332,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(schema, [[k[0] for k in keys], [k[1] for k in keys], *([v[j] for v in sums.values()] for j in range(4))])
 
 
-_ORDERS = "host string, token long, class int, first_rank long, last_rank long, first_gap long, last_gap long"
+_ORDERS = "host string, token long, class long, first_rank long, last_rank long, first_gap long, last_gap long"
 
 
 def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,9 +389,12 @@ def templates(pages: DataFrame, support: float = SUPPORT, least_tokens: int = LE
     classes = frequent.groupBy("host", "vector", "pages", "most").agg(F.sort_array(F.collect_list("token")).alias("members"))
     classes = classes.where(F.size("members") >= least_tokens)
     is_tag = F.col("token").bitwiseAND(F.lit(1)) == 1
-    by_support = Wd.partitionBy("host").orderBy(F.col("most") != 1, F.desc("pages"), F.desc(F.size("members")), "vector")
-    classes = classes.withColumn("class", F.row_number().over(by_support) - 1)
-    member = written(classes.select("host", "class", "most", F.explode("members").alias("token")))
+    # A class is known by a number of its own, the root by 0; roots are found by an aggregation, so no host is put in order.
+    classes = classes.withColumn("class", F.xxhash64("vector", "pages", "most").bitwiseOR(F.lit(1)))
+    first = F.struct((F.col("most") == 1).alias("once"), "pages", F.size("members").alias("size"), (-F.col("vector")).alias("vector"))
+    roots = stored(classes.groupBy("host").agg(F.max_by("class", first).alias("root")), "roots")
+    member = classes.select("host", "class", "most", F.explode("members").alias("token")).join(roots, "host")
+    member = written(member.select("host", F.when(F.col("class") == F.col("root"), 0).otherwise(F.col("class")).alias("class"), "most", "token"))
 
     tags = member.where(is_tag & (F.col("most") == 1)).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("token", "class"))).alias("m"))
     tags = stored(tags.select("host", F.col("m.token").alias("members"), F.col("m.class").alias("classes")), "classes")
@@ -329,68 +436,101 @@ def slots(page: list[Token], frame: frozenset) -> tuple[list[Block], list[tuple[
         if token.kind == "t":
             out.append(Block(token, slot, at))
             continue
-        slot += token_id(token) in frame
+        slot += bool(frame) and token_id(token) in frame
         if token.kind == "<":
-            elements.append((token.path.rsplit("/", 1)[1], at))
+            elements.append((token.name, at))
             at = len(elements) - 1
         else:
             at = elements[at][1]
     return out, elements
 
 
-def container(blocks: list[Block], elements: list[tuple[str, int]]) -> list[Block]:
-    """The blocks in the nearest container of the largest slot: lists, quotes, tables and sections in it included.
+def container(blocks: list[Block], elements: list[tuple[str, int]]) -> list[bool]:
+    """Which elements are in the nearest container of the largest slot: lists, quotes, tables and sections in it included.
 
     Lists, quotes, tables and the like are parts of a text, so the nearest element of ``CONTAINERS`` around all of
     the slot counts; and the one around that, if it has text of its own beside it. Only a ``div`` in ``body`` is
     told apart from text beside it.
     """
-
-    def holder(element: int) -> int:
-        while element and elements[element][0] not in CONTAINERS:
-            element = elements[element][1]
-        return element
-
+    holder = [0] * len(elements)
+    for i, (name, parent) in enumerate(elements):
+        holder[i] = i if name in CONTAINERS else holder[parent]
     sizes: dict = defaultdict(int)
     for block in blocks:
         sizes[block.slot] += len(block.token.text)
     largest = max(sizes, key=sizes.get)
     around = {b.element for b in blocks if b.slot == largest}
-    top = max(around)
+    top, seen = max(around), set()
     for element in around:
-        while element != top:  # a parent has a smaller number
+        while element != top and element not in seen:  # a parent has a smaller number
             if element > top:
+                seen.add(element)
                 element = elements[element][1]
             else:
+                seen.add(top)
                 top = elements[top][1]
-    top, holders = holder(top), {holder(b.element) for b in blocks}
-    while top and (outer := holder(elements[top][1])) in holders and (elements[top][0] != "div" or elements[outer][0] not in ("body", "html", "")):
+    top, holders = holder[top], {holder[b.element] for b in blocks}
+    while top and (outer := holder[elements[top][1]]) in holders and (elements[top][0] != "div" or elements[outer][0] not in ("body", "html", "")):
         top = outer
     inside = [False] * len(elements)
     for i, (_, parent) in enumerate(elements):
         inside[i] = i == top or inside[parent]
-    return [b for b in blocks if inside[b.element]]
+    return inside
+
+
+def own_blocks(blocks: list[Block], texts: frozenset) -> list[Block]:
+    """The blocks without those of the template.
+
+    A heading stays if text of the page's own follows before the next heading of its level: all recipes
+    of a host may have a heading "Ingredients". Names of cells and terms stay before such text likewise.
+    """
+    stay, below = [], [False] * 8
+    for block in reversed(blocks):
+        level = HEADINGS.get(block.token.name, 0)
+        own = token_id(block.token) not in texts
+        if own or (level and below[level]):
+            stay.append(block)
+        if own and (level == 0 or level == 7):
+            below = [True] * 8
+        elif level and level < 7:
+            below[level:] = [False] * (8 - level)
+            if own:
+                below[:level] = [True] * level
+        elif not level:
+            below[7] = False
+    return stay[::-1]
+
+
+def _without_strong(blocks: list[Block]) -> list[Block]:
+    """The blocks outside of strongly marked elements; if these hold all but headings, the marks say nothing."""
+    left = [b for b in blocks if not b.token.strong]
+    return left if any(not 0 < HEADINGS.get(b.token.name, 0) < 7 for b in left) else blocks
 
 
 def main_text(page: str, frame: frozenset = frozenset(), texts: frozenset = frozenset(), marks: frozenset | None = None) -> str:
     """The blocks of a page's article, joined by blank lines.
 
     Blocks inside menus, forms and the like never count. Those that a class, id or role marks as advert, comments and
-    so on do not either; but inside article and main only if the host's pages speak for it (``marks``; None: no
-    pages are known and marks decide), and elsewhere only if the page has other text. Of the rest those inside article or main
-    elements are the article where there are any; else all in the nearest container of the slot with most text.
-    Text of the template is left out, inside of article and main too; only where such elements hold nothing
-    else they keep it, as the pages then share their article.
+    so on do not either. Inside article and main a name that consists of such a word and words for parts decides
+    by itself (``STRONG``), unless nothing but headings is left; other words need the host's pages (``marks``; None: no
+    pages are known and all marks decide). Elsewhere all marks decide if the page has other text. Of the rest
+    those inside article or main elements are the article where there are any; else all in the nearest container
+    of the slot with most text. Text of the template is left out (:func:`own_blocks`), inside of article and main
+    too; only where such elements hold nothing else they keep it, as the pages then share their article.
     """
     found, elements = slots(tokens(page), frame)
     found = [b for b in found if not b.token.aside and (marks is None or marks.isdisjoint(b.token.marks))]
     unmarked = [b for b in found if not b.token.marks]
     inside = [b for b in (unmarked if marks is None else found) if b.token.article]
     if inside:
-        inside = [b for b in inside if token_id(b.token) not in texts] or inside
+        inside = _without_strong(inside)
+        inside = own_blocks(inside, texts) or inside
     else:
-        blocks = [b for b in unmarked if token_id(b.token) not in texts] or [b for b in found if token_id(b.token) not in texts]
-        inside = container(blocks, elements) if blocks else []
+        named = [own_blocks(b, texts) for b in (_without_strong(unmarked), _without_strong(found))]
+        kept = named[0] or named[1]
+        if kept:
+            there = container([b for b in kept if token_id(b.token) not in texts], elements)
+            inside = [b for b in kept if there[b.element]]
     return "\n\n".join(b.token.text for b in inside)
 
 

@@ -170,7 +170,7 @@ def test_marks_inside_articles_need_the_host(spark):
 
     rows = [(i, f"http://a.org/{i}", page(i, '<div class="notice">Corrected on 1 May</div>' if i == 3 else "")) for i in range(12)] + [(50, "http://b.org/", page(50))]
     got = {r.page_id: r.text.split("\n\n") for r in templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {i: [f"Title {i}", f"Story {i} goes on", *(["Corrected on 1 May"] if i == 3 else [])] for i in range(12)} | {50: ["Title 50", "Story 50 goes on", "Teaser 0"]}
+    assert got == {i: [f"Title {i}", f"Story {i} goes on", *(["Corrected on 1 May"] if i == 3 else [])] for i in range(12)} | {50: ["Title 50", "Story 50 goes on"]}
 
 
 def test_marked_wrappers_and_embedded_markup():
