@@ -78,7 +78,8 @@ def by_rarity(postings: DataFrame, all_phrases: DataFrame) -> DataFrame:
 
     Phrases with a word that occurs nowhere are left out, as they cannot match.
     """
-    met = postings.groupBy("term").agg(F.count(F.lit(1)).alias("met"))
+    # Lists, as tables, have a known size: small ones are sent to all tasks, and the postings stay where they are.
+    met = stored(postings.groupBy("term").agg(F.count(F.lit(1)).alias("met")), "frequencies")
     at = all_phrases.select("phrase", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("offset", "term")).join(met, "term")
     inside = Wd.partitionBy("phrase")  # as many rows as a phrase has words
     at = at.withColumn("rank", F.row_number().over(inside.orderBy("met", "offset")) - 1).withColumn("found", F.count(F.lit(1)).over(inside))
@@ -107,7 +108,7 @@ def exact_matches(postings: DataFrame, all_phrases: DataFrame, lists: int = LIST
     rest = asked.where(F.col("rank") >= lists).drop("n_terms", "rank")
     wanted = left.join(rest, "phrase").withColumn("pos", F.col("start") + F.col("offset"))
     # Only documents with candidates are looked at again.
-    there = postings.join(left.select(*_DOC).distinct(), list(_DOC), "left_semi")
+    there = postings.join(stored(left.select(*_DOC).distinct(), "left"), list(_DOC), "left_semi")
     met = wanted.join(there, [*_DOC, "term", "pos"], "left_semi").groupBy(*left.columns).agg(F.count(F.lit(1)).alias("met"))
     whole = met.where(F.col("met") == F.col("n_terms") - lists).select(*left.columns)
     return whole.unionByName(left.where(F.col("n_terms") <= lists))
