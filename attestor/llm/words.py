@@ -1,6 +1,9 @@
 """Words of whole texts as 64-bit hashes, computed on Arrow buffers without a Python loop over words.
 
 A word is a run of bytes other than space and ``\\t\\n\\v\\f\\r``, so the UTF-8 bytes can be cut directly.
+Its hash is a sum of random numbers, one per byte and place in the word, so it has no structure that
+texts could follow (as polynomials modulo a power of two have); a second hash of other numbers is there where
+64 bits are too few.
 ``slices`` deals a batch out in pieces of about ``SLICE_BYTES``: memory follows that size, or the
 longest single text where it is longer.
 """
@@ -69,6 +72,7 @@ class Words(NamedTuple):
     ends: np.ndarray
     first: np.ndarray  # one more than there are texts
     data: np.ndarray
+    second: np.ndarray  # a hash independent of the first, where asked for
 
 
 class Slice(NamedTuple):
@@ -99,33 +103,58 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
         row = end
 
 
-def words(piece: Slice, lower: bool = False) -> Words:
+#: Random numbers per place in a word and byte, for the first places; those further on are mixed when met.
+_PLACES = 32
+_TABLES_OF = [mix(np.arange(_PLACES * 256, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(seed)) for seed in (17, 0xD1B54A32D192ED03)]
+
+
+def _numbers(code: np.ndarray, far: np.ndarray, which: int) -> np.ndarray:
+    """One random number per code (256 times the place in the word, and the byte)."""
+    if not len(far):
+        return _TABLES_OF[which][code]
+    out = _TABLES_OF[which][np.minimum(code, _PLACES * 256 - 1)]
+    with np.errstate(over="ignore"):
+        out[far] = mix(code[far].astype(_U) * _U(0x9E3779B97F4A7C15) + _U((17, 0xD1B54A32D192ED03)[which]))
+    return out
+
+
+def words(piece: Slice, lower: bool = False, second: bool = False) -> Words:
     data, offsets = piece.data, piece.offsets
     if lower:
         data = LOWER[data]
     n = len(data)
-    if n == 0:
-        empty = np.zeros(0, np.int64)
-        return Words(np.zeros(0, _U), empty, empty, np.zeros(len(offsets), np.int64), data)
     space = _SPACE[data]
     solid = ~space
-    before = np.empty(n, bool)
-    before[0] = True
+    before = np.ones(n, bool)
     before[1:] = space[:-1]
     inner = offsets[:-1]
     before[inner[inner < n]] = True
-    after = np.empty(n, bool)
-    after[:-1] = before[1:]
-    after[-1] = True
+    starts = np.flatnonzero(solid & before)
+    if not len(starts):
+        empty, none = np.zeros(0, np.int64), np.zeros(0, _U)
+        return Words(none, empty, empty, np.zeros(len(offsets), np.int64), data, none)
+    after = np.ones(n, bool)
     # The byte before a text's first byte ends the word before it.
-    after[:-1] |= space[1:]
-    starts, ends = np.flatnonzero(solid & before), np.flatnonzero(solid & after) + 1
+    after[:-1] = before[1:] | space[1:]
+    ends = np.flatnonzero(solid & after) + 1
+    lengths = ends - starts
+    begin = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(begin, lengths)
+    code = place << 8 | data[solid]
+    far = np.flatnonzero(place >= _PLACES) if int(lengths.max()) > _PLACES else place[:0]
     with np.errstate(over="ignore"):
-        up, down = _power_tables(n + 1)
-        total = np.zeros(n + 1, _U)
-        np.cumsum(_BYTE[data] * up[:n], out=total[1:])
-        hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(_U))
-    return Words(hashes, starts, ends, np.searchsorted(starts, offsets), data)
+        hashes, again = (mix(np.add.reduceat(_numbers(code, far, i), begin) + lengths.astype(_U)) if i == 0 or second else code[:0].astype(_U) for i in (0, 1))
+    return Words(hashes, starts, ends, np.searchsorted(starts, offsets), data, again)
+
+
+def whole_texts(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """One hash per text, of its words in order."""
+    lengths = np.diff(first)
+    with np.errstate(over="ignore"):
+        place = (np.arange(len(hashes)) - np.repeat(first[:-1], lengths)).astype(_U)
+        total = np.zeros(len(hashes) + 1, _U)
+        np.cumsum(mix(hashes ^ mix(place * _U(0x9E3779B97F4A7C15) + _U(5))), out=total[1:])
+        return mix(total[first[1:]] - total[first[:-1]] + lengths.astype(_U))
 
 
 def grams(hashes: np.ndarray, size: int) -> np.ndarray:
