@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.llm import words as W
-from attestor.llm.frames import arrow_schema, batch, written
+from attestor.llm.frames import HEAVY, arrow_schema, batch, spread_join, written
 
 WINDOW = 48
 #: A cut is made at one position in this many, on average.
@@ -108,7 +108,7 @@ def identifiers(chunks: DataFrame) -> DataFrame:
     return ordered.select("print", F.posexplode("all").alias("variant", "one")).select("print", "one.size", "one.proof", "variant")
 
 
-def exact_duplicates(docs: DataFrame) -> DataFrame:
+def exact_duplicates(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """One row per row of ``docs`` (``doc_id``, ``text``): the group of equal texts and who stays.
 
     Returns ``doc_id``, ``keep_id`` (largest ``doc_id`` of the group), ``group_size``, ``kept`` and
@@ -127,7 +127,9 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     groups = recipes.groupBy("recipe").agg(
         F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.max_by("row", "doc_id").alias("best"), F.max("row").alias("any_row")
     )
-    found = recipes.join(groups, "recipe")
+    # The rows of a large group are dealt over several tasks; each gets the group's line.
+    groups = written(groups).withColumn("members", F.col("group_size"))
+    found = spread_join(recipes, groups, ["recipe"], "members", ["row"], heavy=heavy)
     kept = F.col("row") == F.coalesce("best", "any_row")
     return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 

@@ -97,6 +97,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Rows of one key that a task of a join takes at most, about.
+HEAVY = 512
+
+
+def spread_join(rows: DataFrame, table_: DataFrame, keys: list[str], size: str, by: list[str], how: str = "inner", heavy: int = HEAVY) -> DataFrame:
+    """``rows`` with the columns of ``table_``, which has one row per ``keys`` and, in ``size``, how many rows have them.
+
+    Keys with more than ``heavy`` rows are dealt over as many tasks as that takes, by a hash of the columns ``by``;
+    their row of ``table_`` goes to each. The list of such keys is a table of its own: at most one in
+    ``heavy`` rows has a line there, and Spark sends it to all tasks only where it is small. ``size`` is left out.
+    """
+    deals = F.ceil(F.col(size) / heavy).cast("int")
+    hot = stored(table_.where(F.col(size) > heavy).select(*keys, deals.alias("deals_")), "hot")
+    deal = F.coalesce(F.pmod(F.xxhash64(*by), F.col("deals_")).cast("int"), F.lit(0))
+    dealt = rows.join(hot, keys, "left").withColumn("deal_", deal).drop("deals_")
+    lines = table_.withColumn("deal_", F.explode(F.sequence(F.lit(0), F.greatest(deals, F.lit(1)) - 1))).drop(size)
+    return dealt.join(lines, [*keys, "deal_"], how).drop("deal_")
+
+
 def crc_mod(column: Column | str, n: int) -> Column:
     """crc32 of the value as text, modulo ``n``; NULL counts as the empty text."""
     column = F.col(column) if isinstance(column, str) else column

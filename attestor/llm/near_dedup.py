@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestor.llm import words as W
-from attestor.llm.frames import arrow_schema, batch, group_slices, parts, whole_groups, written
+from attestor.llm.frames import HEAVY, arrow_schema, batch, group_slices, parts, spread_join, stored, whole_groups, written
 from attestor.llm.graph import components
 
 SHINGLE = 5
@@ -151,12 +151,27 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(schema, [b.column(c).filter(pa.array(near)) for c in ("a", "b")])
 
 
-def within_radius(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def with_both(pairs: DataFrame, table: DataFrame, column: str, heavy: int = HEAVY) -> DataFrame:
+    """Pairs ``a, b`` with a column of both nodes. ``table`` is dealt by node already, so only pairs move.
+
+    The centre ``a`` of a large group is in many pairs. Those of one ``a`` beyond ``heavy`` are dealt by hash over
+    several tasks, and the few rows of such centres go to each.
+    """
+    pairs = written(pairs)
+    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy)
+    centres = stored(counts.select("a", F.ceil(F.col("n") / heavy).cast("int").alias("deals")), "centres")
+    left = table.select(F.col("node").alias("a"), F.col(column).alias(f"{column}_a"))
+    right = table.select(F.col("node").alias("b"), F.col(column).alias(f"{column}_b"))
+    few = pairs.join(centres, "a", "left_anti").join(right, "b").join(left, "a")
+    many = pairs.join(centres, "a").withColumn("deal", F.pmod(F.xxhash64("b"), F.col("deals")).cast("int")).drop("deals").join(right, "b")
+    lines = left.join(centres, "a").withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals")
+    out = ["a", "b", f"{column}_a", f"{column}_b"]
+    return few.select(*out).unionByName(many.join(lines, ["a", "deal"]).select(*out))
+
+
+def within_radius(pairs: DataFrame, classes: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """The pairs ``a, b`` whose signatures are within the radius."""
-    sig = classes.select("node", "sig")
-    pairs = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
-    pairs = pairs.join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(_near, "a long, b long")
+    return with_both(pairs, classes, "sig", heavy).mapInArrow(_near, "a long, b long")
 
 
 def _unpacked(body: bytes, size: int) -> np.ndarray:
@@ -183,12 +198,9 @@ def _confirm(size: int, percent: int):
     return run
 
 
-def confirm(pairs: DataFrame, bodies: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The pairs whose whole shingle sets are similar enough. ``bodies`` is dealt by node already, so only pairs move."""
-    right = bodies.select(F.col("node").alias("b"), F.col("body").alias("body_b"))
-    left = bodies.select(F.col("node").alias("a"), F.col("body").alias("body_a"))
-    full = pairs.join(right, "b").join(left, "a")
-    return full.select("a", "b", "body_a", "body_b").mapInArrow(_confirm(size, percent), "a long, b long")
+def confirm(pairs: DataFrame, bodies: DataFrame, size: int = SHINGLE, percent: int = PERCENT, heavy: int = HEAVY) -> DataFrame:
+    """The pairs whose whole shingle sets are similar enough."""
+    return with_both(pairs, bodies, "body", heavy).mapInArrow(_confirm(size, percent), "a long, b long")
 
 
 def first_slots(one: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -314,7 +326,7 @@ def met_between(shared: DataFrame, classes: DataFrame, groups: DataFrame, labels
 
 
 def near_duplicates(
-    docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK, key_block: int = KEY_BLOCK
+    docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK, key_block: int = KEY_BLOCK, heavy: int = HEAVY
 ) -> DataFrame:
     """Near-duplicate components of ``docs`` (``doc_id``, ``text``), one row per row of the input.
 
@@ -327,7 +339,7 @@ def near_duplicates(
     """
     marks = written(signed(docs, size))
     linkable = marks.where("n_shingles > 0 and doc_id is not null")
-    ids = linkable.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node"))
+    ids = linkable.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
     nodes = written(ids)
     n = parts(docs)
     classes = linkable.join(nodes.select("node").distinct(), F.col("doc_id") == F.col("node")).select("node", "sig", "set_a", "set_b")
@@ -341,17 +353,22 @@ def near_duplicates(
     met = shared.select(F.col("node").alias("doc_id")).distinct().repartition(n, "doc_id")
     bodies = written(texts.repartition(n, "doc_id").join(met, "doc_id", "left_semi").withColumnRenamed("doc_id", "node"))
 
-    near = written(within_radius(stars, classes))
-    labels = components(confirm(near, bodies, size, percent))
+    near = written(within_radius(stars, classes, heavy))
+    labels = components(confirm(near, bodies, size, percent, heavy))
     groups = components(near)
     inside = linked_within(groups, labels, bodies, size, percent, block)
-    across = confirm(met_between(shared.drop("a"), classes, groups, labels, key_block), bodies, size, percent)
+    across = confirm(met_between(shared.drop("a"), classes, groups, labels, key_block), bodies, size, percent, heavy)
     known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
     labels = components(known.unionByName(inside).unionByName(across))
 
-    found = marks.join(nodes, ["set_a", "set_b", "n_shingles"], "left").join(labels, "node", "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "node")).otherwise(F.col("doc_id"))
-    found = found.select("doc_id", "n_shingles", component.alias("component_id"))
+    # Texts without shingles or id stand alone; those of one set, or of one node, are dealt over tasks where they are many.
+    digest = ["set_a", "set_b", "n_shingles"]
+    own = marks.select("doc_id", *digest).withColumn("linkable", (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    found = spread_join(own.where("linkable"), nodes, digest, "copies", ["doc_id"], "left", heavy)
+    sizes = nodes.groupBy("node").agg(F.sum("copies").alias("copies")).join(labels, "node")
+    found = spread_join(found, sizes, ["node"], "copies", ["doc_id"], "left", heavy)
+    found = found.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
+    found = found.unionByName(own.where("not linkable").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -10,8 +10,8 @@ its anchor. Only paths are shuffled, one row for some fourteen windows:
 * where paths branch, equal paths are reduced to one, and its source coordinates bring back the
   words, whose windows are then compared one by one under their node.
 
-A path or window is known by the hash of its words next to that of its anchor, so only texts that
-share the anchor could ever be confused. A row is named by a hash of its ``doc_id`` and all its words,
+A path or window is known by a hash of its words next to that of its anchor. The two are built on independent
+hashes of the words, so different words would have to agree in 128 bits to be confused. A row is named by a hash of its ``doc_id`` and all its words,
 and a ``spot`` holds, in one number, a second such hash, the place of a window and how many follow it.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestor.llm import words as W
-from attestor.llm.frames import arrow_schema, batch, group_slices, parts, stored, whole_groups
+from attestor.llm.frames import HEAVY, arrow_schema, batch, group_slices, parts, spread_join, stored, whole_groups
 
 WINDOW = 35
 ANCHOR = 6
@@ -66,7 +66,7 @@ def names(found: W.Words, ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each text's id and words, so that copies of a text lie apart, and the check bits of a second one."""
     with np.errstate(over="ignore"):
         own = W.mix(ids.fill_null(0).to_numpy().astype(np.int64).view(_U) + _U(1))
-        whole = W.long_gram(found.hashes, found.first[:-1], found.first[1:])
+        whole = W.whole_texts(found.hashes, found.first)
         return W.mix(whole + own), W.mix(whole ^ (own * _U(3))) >> _U(64 - _CHECK_BITS)
 
 
@@ -107,10 +107,10 @@ def _edges(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for piece in W.slices(b.column("text")):
-                found = W.words(piece)
+                found = W.words(piece, second=True)
                 text, node, first, n = paths(found, window)
                 if len(text):
-                    path = W.long_gram(found.hashes, first, first + n + window - 1)
+                    path = W.long_gram(found.second, first, first + n + window - 1)
                     name, check = names(found, b.column("doc_id").slice(piece.row, len(piece.offsets) - 1))
                     yield batch(schema, [node, path, name[text], spots(check[text], first - found.first[text], n)])
 
@@ -133,9 +133,9 @@ def _unpacked(body: bytes) -> bytes:
 
 
 def _words(ids: pa.Array, row: int, text: bytes) -> tuple[np.ndarray, int]:
-    """Word hashes of one text and its check bits."""
-    found = W.words(W.Slice(0, np.frombuffer(text, np.uint8), np.array([0, len(text)])))
-    return found.hashes, int(names(found, ids.slice(row, 1))[1][0])
+    """Second word hashes of one text and its check bits."""
+    found = W.words(W.Slice(0, np.frombuffer(text, np.uint8), np.array([0, len(text)])), second=True)
+    return found.second, int(names(found, ids.slice(row, 1))[1][0])
 
 
 _BUNDLES = "node long, name long, spot long, edges binary"
@@ -228,20 +228,21 @@ def _remove(window: int):
     return run
 
 
-def repeated_spots(docs: DataFrame, texts: DataFrame, window: int = WINDOW, many: int = MANY_PATHS) -> DataFrame:
-    """``name, spot`` of all windows that start elsewhere too."""
+def repeated_spots(docs: DataFrame, texts: DataFrame, window: int = WINDOW, many: int = MANY_PATHS, heavy: int = HEAVY) -> DataFrame:
+    """``name, spot`` of all windows that start elsewhere too. What one node or path has beyond ``heavy`` is dealt over tasks."""
     n = parts(docs)
     edges = docs.mapInArrow(_edges(window), _EDGES)
     nodes = edges.groupBy("node").agg(F.count(F.lit(1)).alias("met"), F.min("path").alias("x"), F.max("path").alias("y")).where("met > 1")
-    edges = stored(edges.join(nodes.select("node", (F.col("x") != F.col("y")).alias("branches")), "node"), "edges")
+    nodes = stored(nodes.select("node", "met", (F.col("x") != F.col("y")).alias("branches")), "nodes")
+    edges = stored(spread_join(edges, nodes, ["node"], "met", ["name", "spot"], heavy=heavy), "edges")
 
     branching = edges.where("branches").drop("branches")
     by_path = branching.groupBy("node", "path").agg(F.count(F.lit(1)).alias("times"), F.min("name").alias("name"), F.min_by("spot", "name").alias("spot"))
     by_path = stored(by_path, "paths")
-    again = branching.join(by_path.where("times > 1").select("node", "path"), ["node", "path"])
+    again = spread_join(branching, by_path.where("times > 1").select("node", "path", "times"), ["node", "path"], "times", ["name", "spot"], heavy=heavy)
 
     crowds = by_path.groupBy("node").agg(F.count(F.lit(1)).alias("paths"))
-    known = by_path.join(crowds, "node").select("name", "paths", F.struct("node", "spot", (F.col("times") > 1).alias("again")).alias("step"))
+    known = spread_join(by_path, crowds.withColumn("n", F.col("paths")), ["node"], "n", ["path"], heavy=heavy).select("name", "paths", F.struct("node", "spot", (F.col("times") > 1).alias("again")).alias("step"))
 
     def sources(condition: str) -> DataFrame:
         asked = known.where(condition).groupBy("name").agg(F.collect_list("step").alias("asked"))
@@ -253,12 +254,13 @@ def repeated_spots(docs: DataFrame, texts: DataFrame, window: int = WINDOW, many
     crowded = sources(f"paths > {many}").mapInArrow(_bundles(window, True), _EDGES)
     witness = F.col("spot").bitwiseAND(_WITNESS) == _WITNESS
     common = crowded.groupBy("node", "path").agg(F.count(F.lit(1)).alias("met"), F.max(witness).alias("again")).where("met > 1 or again")
-    single = crowded.where(~witness).join(common.select("node", "path"), ["node", "path"])
+    common = stored(common.select("node", "path", "met"), "common")
+    single = spread_join(crowded.where(~witness), common, ["node", "path"], "met", ["name", "spot"], heavy=heavy)
     row = ["name", "spot"]
     return edges.where(~F.col("branches")).select(*row).unionByName(again.select(*row)).unionByName(few).unionByName(single.select(*row))
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, many: int = MANY_PATHS) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, many: int = MANY_PATHS, heavy: int = HEAVY) -> DataFrame:
     """Every text of ``docs`` (``doc_id``, ``text``) without the words of windows that occur elsewhere.
 
     Returns ``doc_id``, ``n_words``, ``n_removed`` and ``kept``: the words that stay, joined by one space. A
@@ -271,6 +273,6 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, many: int = MANY_PATH
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # The filter drops nothing; with it all uses of the texts have one plan and share one shuffle.
     texts = docs.mapInArrow(_pack, _TEXTS).where("name is not null").repartition(parts(docs), "name")
-    by_text = repeated_spots(docs, texts, window, many).groupBy("name").agg(F.collect_list("spot").alias("spans"))
+    by_text = repeated_spots(docs, texts, window, many, heavy).groupBy("name").agg(F.collect_list("spot").alias("spans"))
     rows = texts.join(by_text, "name", "left").select("doc_id", "body", F.coalesce("spans", F.array().cast("array<bigint>")).alias("spans"))
     return rows.mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept string")

@@ -225,3 +225,56 @@ def test_sliding_argmin(values, width):
     if len(values) >= width:
         got = substring_dedup.sliding_argmin(np.array(values, np.uint64), width).tolist()
         assert got == [min(range(i, i + width), key=lambda j: (values[j], j)) for i in range(len(values) - width + 1)]
+
+
+def thue_morse(n):
+    """A word of ``n`` letters and its complement, which polynomial hashes modulo a power of two confuse."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_follow_a_hash_are_told_apart(spark):
+    one, two = thue_morse(1024)
+    common = words_of(34, 3)
+    texts = {1: " ".join([*common, one]), 2: " ".join([*common, two]), 3: " ".join(["x", "y", "z", "q", one]), 4: " ".join(["x", "y", "z", "q", two])}
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in texts.items()], DOCS)
+    assert {r.doc_id: r.n_removed for r in substring_dedup.without_repeats(docs).collect()} == dict.fromkeys(texts, 0)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs.where("doc_id > 2")).collect()}
+    assert got == {3: (1, 3, True), 4: (1, 4, True)}
+
+
+def test_long_rows_of_two_words_are_told_apart(spark):
+    """The same pattern among whole words, in texts of one id."""
+    one, two = (" ".join(t) for t in thue_morse(2048))
+    docs = spark.createDataFrame([(1, one, None, None, 0), (1, two, None, None, 0)], DOCS)
+    want = Counter()
+    counts = Counter(tuple(t.split()[i : i + 35]) for t in (one, two) for i in range(2048 - 34))
+    for t in (one, two):
+        w, covered = t.split(), [False] * 2048
+        for i in range(2048 - 34):
+            if counts[tuple(w[i : i + 35])] > 1:
+                covered[i : i + 35] = [True] * 35
+        want[" ".join(x for x, c in zip(w, covered, strict=True) if not c)] += 1
+    assert Counter(r.kept for r in substring_dedup.without_repeats(docs).collect()) == want
+
+
+def test_large_groups_are_dealt_over_tasks(spark):
+    """Thousands of copies and near copies, with joins that deal out groups from 50 rows on."""
+    base = words_of(60, 71)
+    texts = {i: " ".join(base) for i in range(1500)}
+    for i in range(1500, 1900):  # near copies, all of one group
+        near = list(base)
+        near[i % 60] = f"n{i}"
+        texts[i] = " ".join(near)
+    texts |= {i: " ".join(words_of(45, i)) for i in range(1900, 1960)} | {1960: "", 1961: ""}
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in texts.items()], DOCS)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs, block=50, key_block=50, heavy=50).collect()}
+    distinct = {t: min(i for i, x in texts.items() if x == t) for t in set(texts.values()) if t}
+    of = brute_components({i: t for t, i in distinct.items()})
+    assert got == {i: (of[distinct[t]][0], of[distinct[t]][1], of[distinct[t]][1] == i) if t else (0, i, True) for i, t in texts.items()}
+    found = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(docs, heavy=50).collect()}
+    sizes, keep = Counter(texts.values()), {t: max(i for i, x in texts.items() if x == t) for t in set(texts.values())}
+    assert found == {i: (keep[t], sizes[t], keep[t] == i) for i, t in texts.items()}
+    some = {i: t for i, t in texts.items() if i % 5 == 0}
+    removed = substring_dedup.without_repeats(docs.where("doc_id % 5 = 0"), 12, 30, heavy=50).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in removed} == brute_repeats(some, 12)
