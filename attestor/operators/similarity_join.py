@@ -12,7 +12,8 @@ The search has two parts, by how many offered sets have a token (its document fr
 * Sets without a common rare token score by their frequent tokens and sizes alone. So all sets with
   equal frequent tokens and equal size are one **class**, of which only the ``k`` first payloads can
   win, and classes are compared instead of titles. They meet under combinations of several of their
-  first tokens, as many as the threshold allows, so that no single word is a key.
+  first tokens, as many as the threshold allows. However long the titles, no single word is a key unless a
+  pair need not share a second one; what is still a long list is split by Spark's skew join.
 
 The higher the threshold, the fewer tokens and combinations. The search goes down in steps: a set that has
 its ``k`` best partners at one step cannot have better ones below it and is done, so only sets
@@ -32,8 +33,9 @@ from attestor.session import materialise
 #: A token of at most this many offered sets is rare: the most partners that one token can bring.
 RARE_LIMIT = 32
 STEPS = (0.8, 0.7, 0.6)
-#: Tokens of a combination, by how many tokens may differ; longer ones where few may.
-COMBINATION = {0: 5, 1: 4, 2: 3, 3: 3, 4: 2, 5: 2}
+#: Tokens of a combination, by how many tokens may differ; longer ones where few may, and pairs for any more.
+COMBINATION = {0: 5, 1: 4, 2: 3, 3: 3}
+FEWEST = 2
 
 
 def _ceil(value: Column) -> Column:
@@ -90,10 +92,11 @@ def _by_partner_size(sets: DataFrame, listed: str, sizes: Sequence[int], thresho
     return rows.filter((F.col("need") <= F.size(listed)) & (F.col("need") <= F.col("other")))
 
 
-def _rare_keys(sets: DataFrame, sizes: Sequence[int], threshold: float) -> DataFrame:
-    rows = _by_partner_size(sets, "ordered", sizes, threshold)
-    length = F.least(F.size("ordered") - F.col("need") + 1, F.col("rare"))
-    return rows.withColumn("prefix", F.slice("ordered", 1, length)).withColumn("key", F.explode("prefix"))
+def _rare_keys(sets: DataFrame, threshold: float) -> DataFrame:
+    """One row per set and rare token that may be the first it shares: with any partner it shares ``threshold`` of its tokens."""
+    length = F.least(F.size("ordered") - F.greatest(_ceil(F.col("own") * threshold), F.lit(1)) + 1, F.col("rare"))
+    rows = sets.filter(length > 0).withColumn("prefix", F.slice("ordered", 1, length))
+    return rows.withColumn("key", F.explode("prefix"))
 
 
 def _combinations(array: Column, length: int) -> Column:
@@ -110,14 +113,14 @@ def _combinations(array: Column, length: int) -> Column:
 def _combination_keys(classes: DataFrame, sizes: Sequence[int], threshold: float) -> DataFrame:
     rows = _by_partner_size(classes, "words", sizes, threshold)
     spare = F.greatest("own", "other") - F.col("need")
-    length = F.lit(1)
+    length = F.lit(FEWEST)
     for most, tokens in sorted(COMBINATION.items(), reverse=True):
         length = F.when(spare <= most, tokens).otherwise(length)
     rows = rows.withColumn("length", F.least(length, F.col("need")))
     rows = rows.withColumn("prefix", F.slice("words", 1, F.size("words") - F.col("need") + F.col("length")))
     # One expression per length: each has its own nesting.
     keys = F.array().cast("array<bigint>")
-    for tokens in sorted({1, *COMBINATION.values()}):
+    for tokens in sorted({1, FEWEST, *COMBINATION.values()}):
         keys = F.when(F.col("length") == tokens, _combinations(F.col("prefix"), tokens)).otherwise(keys)
     return rows.withColumn("key", F.explode(keys))
 
@@ -138,9 +141,15 @@ def _scored(pairs: DataFrame, threshold: float, shared: Column, left: Sequence[s
     ).select(*left, *right, F.round("_raw", 4).alias("score"))
 
 
-def pairs_by_rare(left: DataFrame, right: DataFrame, left_sizes: Sequence[int], right_sizes: Sequence[int], threshold: float) -> DataFrame:
+def rare_meetings(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Sets under their rare tokens; lists are short, so sizes are compared when they meet."""
+    close = F.least("a.own", "b.own") >= F.greatest("a.own", "b.own") * threshold - 1e-9
+    return _rare_keys(left, threshold).alias("a").join(_rare_keys(right, threshold).alias("b"), F.col("a.key") == F.col("b.key")).filter(close)
+
+
+def pairs_by_rare(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """``(tokens, payload, score)`` of the pairs with Jaccard >= threshold that share a rare token."""
-    met = _meeting(_rare_keys(left, right_sizes, threshold), _rare_keys(right, left_sizes, threshold))
+    met = rare_meetings(left, right, threshold)
     # A pair counts under the first rare token of both prefixes only.
     first = F.get(F.array_intersect(F.col("a.prefix"), F.col("b.prefix")), 0)
     met = met.filter(first == F.col("a.key"))
@@ -153,7 +162,7 @@ def pairs_by_class(left: DataFrame, right: DataFrame, left_sizes: Sequence[int],
     met = _meeting(_combination_keys(left, right_sizes, threshold), _combination_keys(right, left_sizes, threshold))
     # A pair counts under the combination of its first shared words only.
     met = met.withColumn("_shared", F.array_intersect(F.col("a.words"), F.col("b.words")))
-    lengths = sorted({1, *COMBINATION.values()})
+    lengths = sorted({1, FEWEST, *COMBINATION.values()})
     own_key = F.lit(None).cast("bigint")
     for tokens in lengths:
         parts = [F.get("_shared", F.lit(i)) for i in range(tokens)]
@@ -173,7 +182,7 @@ def nearest_sets(
     counts = materialise(token_counts(offered))
     right = spread(with_words(in_search_order(offered, counts, rare_limit)))
     pending = spread(with_words(in_search_order(wanted, counts, rare_limit)))
-    left_sizes, right_sizes = set_sizes(pending), set_sizes(right)
+    right_sizes = set_sizes(right)
     first = top_rows(right.filter(F.size("words") > 0).select("words", "own", "payload"), ["words", "own"], [F.col("payload")], k)
     right_classes = spread(first.groupBy("words", "own").agg(F.collect_list("payload").alias("payloads")))
     order = [F.desc("score"), F.col("payload")]
@@ -181,7 +190,9 @@ def nearest_sets(
 
     def best_of(floor: float, step: float) -> DataFrame:
         reached = F.col("score") >= step
-        by_rare = pairs_by_rare(pending, right, left_sizes, right_sizes, floor).filter(reached)
+        # Offered sets get keys for the sizes that are still wanted only; late steps want few.
+        left_sizes = set_sizes(pending)
+        by_rare = pairs_by_rare(pending, right, floor).filter(reached)
         left_classes = pending.filter(F.size("words") > 0).select("words", "own").distinct()
         by_class = pairs_by_class(left_classes, right_classes, left_sizes, right_sizes, floor).filter(reached)
         # Classes with equal scores are first cut to their k first payloads, while still in the task.

@@ -67,7 +67,7 @@ def test_pairs_met_grow_with_the_titles(spark, k):
         counts = similarity_join.token_counts(offered)
         left, right = (similarity_join.with_words(similarity_join.in_search_order(df, counts)) for df in (wanted, offered))
         sizes = [similarity_join.set_sizes(df) for df in (left, right)]
-        by_rare = similarity_join._meeting(similarity_join._rare_keys(left, sizes[1], 0.6), similarity_join._rare_keys(right, sizes[0], 0.6))
+        by_rare = similarity_join.rare_meetings(left, right, 0.6)
         classes = [df.filter("size(words) > 0").select("words", "own").distinct() for df in (left, right)]
         by_class = similarity_join._meeting(*[similarity_join._combination_keys(c, s, 0.6) for c, s in zip(classes, sizes[::-1])])
         met.append(by_rare.count() + by_class.count())
@@ -77,6 +77,36 @@ def test_pairs_met_grow_with_the_titles(spark, k):
     assert met[1] <= 25 * met[0]
 
 
+def test_long_titles_of_frequent_words_as_brute_force(spark):
+    """Titles of 18 to 30 words that are all frequent: no word is rare, and pairs may differ in many."""
+    rng = random.Random(4)
+    vocabulary = [f"w{i:02d}" for i in range(40)]
+    base = [rng.sample(vocabulary, rng.randint(18, 30)) for _ in range(12)]
+
+    def near():
+        words = set(rng.choice(base))
+        for _ in range(rng.randint(0, 9)):
+            words.discard(rng.choice(vocabulary))
+            words.add(rng.choice(vocabulary))
+        return tuple(sorted(words))
+
+    left, right = {near() for _ in range(90)}, sorted({near() for _ in range(120)})
+    want = {}
+    for x in left:
+        scored = sorted((-round(len(set(x) & set(y)) / len(set(x) | set(y)) + 1e-12, 4), i) for i, y in enumerate(right))
+        want[x] = [(i, -s) for s, i in scored if -s >= 0.5][:2]
+    wanted = spark.createDataFrame([(list(s),) for s in left], "tokens array<string>")
+    offered = spark.createDataFrame([(list(s), i) for i, s in enumerate(right)], "tokens array<string>, payload int")
+    counts = similarity_join.token_counts(offered)
+    ordered = similarity_join.with_words(similarity_join.in_search_order(offered, counts, 0))
+    keys = similarity_join._combination_keys(ordered.select("words", "own"), similarity_join.set_sizes(ordered), 0.5)
+    assert keys.agg(F.min("length")).first()[0] >= 2
+    got = {}
+    for r in similarity_join.nearest_sets(wanted, offered, 0.5, 2, rare_limit=0).orderBy("rank").collect():
+        got.setdefault(tuple(r["tokens"]), []).append((r["payload"], r["score"]))
+    assert got == {x: w for x, w in want.items() if w}
+
+
 def test_repeated_publications_give_one_row_per_trial(frame):
     versions = [publication("100", title="submitted paper"), publication("100", title="submitted paper"), publication("100", title="other title")]
     pubs = frame(PUB_SCHEMA, versions)
