@@ -139,7 +139,8 @@ def words(piece: Slice, lower: bool = False, second: bool = False) -> Words:
     ends = np.flatnonzero(solid & after) + 1
     lengths = ends - starts
     begin = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(begin, lengths)
+    size = np.int32 if int(lengths.sum()) < 1 << 23 else np.int64  # a slice is small, but for one very long text
+    place = np.arange(int(lengths.sum()), dtype=size) - np.repeat(begin.astype(size), lengths)
     code = place << 8 | data[solid]
     far = np.flatnonzero(place >= _PLACES) if int(lengths.max()) > _PLACES else place[:0]
     with np.errstate(over="ignore"):
