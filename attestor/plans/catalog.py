@@ -954,6 +954,26 @@ def csv_all_string(spark, sf):
     return back.select("doc_id", F.md5("text").alias("text_md5"), "lang", "notes")
 
 
+@query
+def effect_array_json(spark, sf):
+    """Effect measures as one file with one JSON array, read back in splits."""
+    path = work_path(spark, "effect-array")
+    tables.write_effect_array(extract.effect_measures(extract.extract_effects(derived(spark, sf, "linked_lines"))), path)
+    return tables.read_effects(spark, path, multi_line=True).groupBy("extraction_method").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("log_hr"), 4).alias("log_hr"), F.min("registration_date").alias("first_date")
+    )
+
+
+@query
+def csv_one_file(spark, sf):
+    """Conversation turns, whose texts have line feeds, as a single CSV file that is read in splits."""
+    path = work_path(spark, "one-csv")
+    tables.write_text_table(table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").coalesce(1), path)
+    back = tables.read_text_table(spark, path, ["conv_id", "turn", "role", "text"])
+    lines = F.size(F.split("text", "\n")).alias("lines")
+    return back.select("conv_id", "turn", "role", F.md5("text").alias("text_md5"), lines)
+
+
 @query
 def effect_json(spark, sf):
     path = work_path(spark, "effects")

@@ -472,6 +472,9 @@ ORACLE["effect_json"] = _with(
     "SELECT method AS extraction_method, count(*) AS n, round(sum(log_hr), 4) AS log_hr, min(registration_date) AS first_date FROM x WHERE reason IS NULL GROUP BY method",
     "linked_lines", x=_EXTRACT,
 )
+ORACLE["effect_array_json"] = ORACLE["effect_json"]
+ORACLE["csv_one_file"] = """SELECT conv_id::VARCHAR AS conv_id, turn::VARCHAR AS turn, coalesce(role, '') AS role, md5(coalesce(text, '')) AS text_md5,
+  len(string_split(coalesce(text, ''), chr(10)))::INT AS lines FROM conversations"""
 
 
 def _fields(name: str) -> str:
