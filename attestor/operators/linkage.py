@@ -81,38 +81,58 @@ def author_year_matches(publications: DataFrame, wanted: DataFrame) -> DataFrame
     return first.join(keyed, ["first_author", "pub_year"]).select("first_author", "pub_year", "pmid")
 
 
-def link(trials: DataFrame, publications: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
-    """Trials with their link columns, one row per trial.
+JUDGED = ("pmid", "title", "secondary_ids", "kept", "gate_note")
 
-    The gate reads every abstract, so its narrow result is written once and shared by all stages.
-    Only ids and scores go through the matching joins; the articles' texts are joined at the end.
+
+def judge(publications: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+    """The gate's narrow result per publication: it reads every abstract, so it is written once."""
+    return gate(publications, verdicts).select(*JUDGED)
+
+
+def staged_ids(trials: DataFrame, judged: DataFrame) -> DataFrame:
+    """Trials with ``title``, the results of the id stages, and the ``_tokens`` to search for.
+
+    Trials that need no title search (and later those without any link) get a key of their own in ``_tokens``,
+    so that they spread over the join's tasks instead of meeting in the one for NULL.
     """
-    publications = unique_articles(publications)
-    judged = materialise(gate(publications, verdicts).select("pmid", "title", "secondary_ids", "kept", "gate_note"))
     kept = judged.filter("kept")
     base = trials.withColumn("title", first_text("official_title", "brief_title"))
     s0 = submitted_matches(base, kept).withColumnRenamed("pmid", "_pmid0").distinct()
     s1 = unique_id_matches(judged).join(kept.select("pmid"), "pmid", "left_semi").withColumnRenamed("pmid", "_pmid1")
     staged = base.join(s0, "nct_id", "left").join(s1, "nct_id", "left")
-
-    # Trials that need no title search (and later those without any link) get a key of their own,
-    # so that they spread over the join's tasks instead of meeting in the one for NULL.
-    own_key = F.concat(F.lit("#"), F.col("nct_id"))
-    needs_title = F.col("_pmid0").isNull() & F.col("_pmid1").isNull() & (F.col("title") != "")
     tokens = F.array_sort(title_tokens("title"))
-    staged = staged.withColumn("_tokens", F.when(needs_title & (F.size(tokens) > 0), tokens).otherwise(F.array(own_key)))
-    s2 = title_matches(staged.filter(needs_title).select("title"), kept).select(
+    searched = F.col("_pmid0").isNull() & F.col("_pmid1").isNull() & (F.col("title") != "") & (F.size(tokens) > 0)
+    return staged.withColumn("_searched", searched).withColumn("_tokens", F.when(searched, tokens).otherwise(F.array(_own_key())))
+
+
+def _own_key() -> Column:
+    return F.concat(F.lit("#"), F.col("nct_id"))
+
+
+def link(trials: DataFrame, publications: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+    """Trials with their link columns, one row per trial.
+
+    Only ids and scores go through the matching joins; the articles' texts are joined at the end.
+    """
+    publications = unique_articles(publications)
+    judged = materialise(judge(publications, verdicts))
+    staged = staged_ids(trials, judged)
+    s2 = title_matches(staged.filter("_searched").select("title"), judged.filter("kept")).select(
         F.col("tokens").alias("_tokens"), F.col("pmid").alias("_pmid2"), F.col("score").alias("title_score")
     )
-    staged = staged.join(s2, "_tokens", "left")
+    return described(staged.join(s2, "_tokens", "left"), publications, judged, trials.columns)
+
 
+def described(staged: DataFrame, publications: DataFrame, judged: DataFrame, trial_columns: Sequence[str]) -> DataFrame:
+    """Link columns from the results of all stages, with the linked articles' texts."""
+    kept, own_key = judged.filter("kept"), _own_key()
     articles = publications.select(
         F.col("pmid").alias("_key"), F.col("title").alias("_article_title"), "abstract_text", "abstract_sections",
         F.coalesce(F.try_element_at("authors", F.lit(1)), F.lit("")).alias("first_author"),
         "pub_year", "journal",
     ).join(kept.select(F.col("pmid").alias("_key"), "gate_note"), "_key")
     picked = (
-        staged.drop(*[c for c in LINK_FIELDS if c in trials.columns])
+        staged.drop(*[c for c in LINK_FIELDS if c in trial_columns])
         .withColumn("pmid", F.coalesce("_pmid0", "_pmid1", "_pmid2"))
         .withColumn("_key", F.coalesce("pmid", own_key))
     )
@@ -173,7 +193,7 @@ def link(trials: DataFrame, publications: DataFrame, verdicts: DataFrame | None
     linked = published_endpoint(linked, "abstract_text", "abstract_sections")
     flag = F.when(F.col("linkage_confidence").isin("Low", "Unlinked"), presets.FLAG_TEXT).otherwise("")
     return linked.select(
-        *[c for c in trials.columns if c not in LINK_FIELDS],
+        *[c for c in trial_columns if c not in LINK_FIELDS],
         text("pmid").alias("pmid"),
         "linkage_method", "linkage_confidence",
         text("abstract_text").alias("abstract_text"),

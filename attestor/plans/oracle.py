@@ -280,6 +280,7 @@ ORACLE["linkage_cascade"] = _with(
   CASE WHEN {_CONF} IN ('Low', 'Unlinked') THEN 'FLAGGED_FOR_REVIEW' ELSE '' END AS linkage_flag, score AS title_score FROM linked""",
     "link_trials", "link_pubs", **_LINK_CTES,
 )
+ORACLE["linkage_updates"] = ORACLE["linkage_cascade"]
 ORACLE["linkage_notes"] = _with(
     f"""SELECT nct_id, pmid, {_METHOD} AS linkage_method, {_CONF} AS linkage_confidence, 'attestor-2' AS linked_by,
   CASE WHEN pmid0 IS NOT NULL THEN 'Submitted with the results: PMID ' || pmid0 || '. ' || note
