@@ -278,14 +278,30 @@ def linkage_confidence_summary(spark, sf):
     return summaries.linkage_summary(derived(spark, sf, "linkage_log"))
 
 
+def _flagged_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The linkage log, some of its certain links flagged by hand."""
+    by_hand = (F.col("linkage_method") == "fuzzy") & F.col("pmid").endswith("7")
+    return derived(spark, sf, "linkage_log").withColumn("linkage_flag", F.when(by_hand, "check").otherwise(""))
+
+
 @query
 def linkage_kpis(spark, sf):
-    return summaries.linkage_kpis(derived(spark, sf, "linkage_log").withColumn("linkage_flag", F.lit("")))
+    return summaries.linkage_kpis(_flagged_log(spark, sf))
+
+
+@query
+def formatted_scores(spark, sf):
+    """Numbers as the report shows them: a score with four decimals, and the share of a group that was reviewed."""
+    log = derived(spark, sf, "log")
+    done = F.count_if(F.col("human_reviewed") != "no")
+    shares = log.groupBy("routing").agg(tx.fmt_pct(done, F.count(F.lit(1))).alias("reviewed"), tx.fmt_pct(done, F.lit(0)).alias("of_none"))
+    shown = F.when(F.col("human_reviewed") == "no", "none").otherwise(F.col("similarity_score").cast("string"))
+    return log.select("pair_id", "routing", tx.fmt_num(shown, 3).alias("score")).join(shares, "routing")
 
 
 @query
 def linkage_queue(spark, sf):
-    return review.linkage_queue(derived(spark, sf, "linkage_log").withColumn("linkage_flag", F.lit(""))).select(
+    return review.linkage_queue(_flagged_log(spark, sf)).select(
         "nct_id", "pmid", "linkage_confidence", "linkage_method"
     )
 
@@ -298,6 +314,19 @@ def links_of(spark, sf):
     return summaries.links_of(log, ends[0]).unionByName(summaries.links_of(log, ends[1]))
 
 
+@query
+def audit_append_once(spark, sf):
+    """The linkage log appended in two batches, one of them twice, beside a batch whose writer failed."""
+    path, log = work_path(spark, "audit-once"), derived(spark, sf, "linkage_log")
+    for part, rows in (("manual", log.filter("linkage_method = 'manual'")), ("rest", log.filter("linkage_method <> 'manual'"))):
+        tables.append_once(rows, path, part)
+    tables.append_once(log.filter("linkage_method <> 'manual'"), path, "rest")
+    tables.stamped(log, "created_at").write.parquet(f"{path}/rows/batch=b-failed")
+    return tables.read_appended(spark, path).groupBy("pipeline_version", "linkage_method", "linkage_confidence").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("created_at").isNull()).alias("unstamped"), F.max("nct_id").alias("last_nct")
+    )
+
+
 @query
 def audit_append(spark, sf):
     """The linkage log appended to an audit log in two batches, then read whole."""

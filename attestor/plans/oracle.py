@@ -318,11 +318,12 @@ ORACLE["linkage_confidence_summary"] = _with(
     + " FROM linkage_log",
     "linkage_log",
 )
+_OPEN = f"({_LOW} OR (linkage_method = 'fuzzy' AND pmid LIKE '%7'))"
 ORACLE["linkage_kpis"] = _with(
-    f"""SELECT count(*) AS linked_trials, {_n("linkage_confidence = 'High'")} AS high_confidence, {_n("linkage_confidence = 'Medium'")} AS medium_confidence, {_n(_LOW)} AS flagged FROM linkage_log""",
+    f"""SELECT count(*) AS linked_trials, {_n("linkage_confidence = 'High'")} AS high_confidence, {_n("linkage_confidence = 'Medium'")} AS medium_confidence, {_n(_OPEN)} AS flagged FROM linkage_log""",
     "linkage_log",
 )
-ORACLE["linkage_queue"] = _with(f"SELECT nct_id, pmid, linkage_confidence, linkage_method FROM linkage_log WHERE {_LOW}", "linkage_log")
+ORACLE["linkage_queue"] = _with(f"SELECT nct_id, pmid, linkage_confidence, linkage_method FROM linkage_log WHERE {_OPEN}", "linkage_log")
 ORACLE["linkage_log_view"] = _with("SELECT nct_id, pmid, linkage_confidence AS confidence, linkage_method AS method FROM linkage_log", "linkage_log")
 ORACLE["linkage_counts"] = _with(
     """SELECT 'linkage_confidence' AS field, linkage_confidence AS value, count(*) AS n FROM linkage_log GROUP BY ALL
@@ -374,10 +375,9 @@ FROM (SELECT g.*, kase = 'open' AND g.pmid IN (SELECT pmid FROM v) AS m FROM g)
     "articles", "verdict_answers", g=_ARTICLE_GATE, v=_ARBITER,
 )
 ORACLE["arbiter_requests"] = _with(
-    """SELECT pmid, '=== ARTICLE RECORD ===' || chr(10) || 'Title:             ' || title || chr(10) || 'Publication types: ' || array_to_string(list_sort(types), ', ') || chr(10)
-  || 'Journal:           ' || journal || chr(10) || 'Year:              ' || pub_year || chr(10) || chr(10) || '=== ABSTRACT ===' || chr(10)
-  || CASE WHEN abstract_text = '' THEN '(no abstract available)' ELSE abstract_text END || chr(10) || chr(10)
-  || 'Classify this article and return your JSON verdict.' || chr(10) AS request FROM g WHERE kase = 'open'""",
+    """SELECT pmid, 'Does this article report the main results of a trial? Answer in JSON.' || chr(10) || title || chr(10)
+  || 'In: ' || journal || ', ' || pub_year || '; indexed as: ' || array_to_string(list_sort(types), ', ') || chr(10)
+  || 'Summary: ' || CASE WHEN abstract_text = '' THEN '(no abstract available)' ELSE abstract_text END || chr(10) AS request FROM g WHERE kase = 'open'""",
     "articles", g=_ARTICLE_GATE,
 )
 
@@ -707,6 +707,12 @@ ORACLE["audit_append"] = _with(
 FROM linkage_log GROUP BY ALL""",
     "linkage_log",
 )
+ORACLE["audit_append_once"] = ORACLE["audit_append"]
+ORACLE["formatted_scores"] = _with(
+    """SELECT pair_id, routing, CASE WHEN human_reviewed = 'no' THEN '-' ELSE printf('%.3f', similarity_score) END AS score, reviewed, '0.0%' AS of_none
+FROM log JOIN (SELECT routing, printf('%.1f%%', 100.0 * count(*) FILTER (WHERE human_reviewed <> 'no') / count(*)) AS reviewed FROM log GROUP BY routing) USING (routing)""",
+    "log",
+)
 ORACLE["log_export"] = _with(
     """SELECT 'linkage' AS log, linkage_confidence AS kind, count(*) AS n, max(pmid) AS last FROM linkage_log WHERE nct_id <> 'NCT00000001' GROUP BY ALL
 UNION ALL SELECT 'calls', 'NCT1', count(*), max(prompt_tokens::VARCHAR) FROM calls""",
@@ -794,9 +800,9 @@ ORACLE["cost_summary"] = _with(
 
 # ------------------------------------------------------------------ requests, answers, embeddings
 ORACLE["prompt_requests"] = _with(
-    """SELECT pair_id, 'Trial subtype: ' || CASE WHEN o_custkey % 2 = 0 THEN 'tnbc' ELSE 'unknown_subtype' END || chr(10) || 'Treatment setting: adjuvant' || chr(10) || chr(10)
-  || 'Registered endpoint (ClinicalTrials.gov):' || chr(10) || CASE WHEN registered_endpoint = 'None' THEN '' ELSE registered_endpoint END || chr(10) || chr(10)
-  || 'Published endpoint (PubMed / PMC):' || chr(10) || published_endpoint || chr(10) || chr(10) || 'Classify the relationship between these two endpoints.' || chr(10) AS request
+    """SELECT pair_id, 'Compare two endpoints of one study (' || CASE WHEN o_custkey % 2 = 0 THEN 'tnbc' ELSE 'unknown_subtype' END || '; adjuvant).' || chr(10)
+  || 'As registered: ' || CASE WHEN registered_endpoint = 'None' THEN '' ELSE registered_endpoint END || chr(10) || 'As reported: ' || published_endpoint || chr(10)
+  || 'Say which kind of change, if any, lies between them.' || chr(10) AS request
 FROM log WHERE routing = 'llm'""",
     "log",
 )

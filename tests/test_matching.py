@@ -100,8 +100,8 @@ def test_requests_only_for_ambiguous_pairs(frame):
     df = frame(schema, [("a", "llm", " OS  at 5 y ", "none", "", "adjuvant"), ("b", "auto_concordant", "x", "y", "", "")])
     (r,) = matching.pair_requests(df).collect()
     assert r["pair_id"] == "a"
-    assert r["request"].startswith("Trial subtype: unknown_subtype\nTreatment setting: adjuvant\n")
-    assert "\nOS at 5 y\n\nPublished endpoint (PubMed / PMC):\n\n\nClassify" in r["request"]
+    assert r["request"].startswith("Compare two endpoints of one study (unknown_subtype; adjuvant).\n")
+    assert "\nAs registered: OS at 5 y\nAs reported: \n" in r["request"]
 
 
 @pytest.mark.parametrize("limit", [1000, 3])

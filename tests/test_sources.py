@@ -178,3 +178,14 @@ def test_validation_of_schemas(frame):
 
 def test_review_rules_are_shared():
     assert review_stream.review_rules is review.review_rules
+
+
+def test_a_batch_is_appended_once(spark, tmp_path):
+    path, rows = str(tmp_path / "audit"), spark.createDataFrame([("a",), ("b",)], "x string")
+    assert tables.append_once(rows, path, "run-1") and not tables.append_once(rows, path, "run-1")
+    assert tables.append_once(rows.limit(1), path, "0002")
+    rows.withColumns({"pipeline_version": F.lit("v"), "created_at": F.current_timestamp()}).write.parquet(f"{path}/rows/batch=b-lost")
+    assert tables.read_appended(spark, path).count() == 3
+    assert tables.append_once(rows, path, "lost") and tables.read_appended(spark, path).count() == 5
+    with pytest.raises(ValueError, match="token"):
+        tables.append_once(rows, path, "a/b")
