@@ -33,7 +33,9 @@ BACKOFF = 0.7
 #: Words a worker remembers the scores of; when full it starts anew.
 KNOWN_WORDS = 100_000
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: Signs of words that are neither letters nor digits of a decimal number: fractions, circled and Roman numbers.
+_NUMBERS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_WORD = re.compile(rf"[^\W\d_{re.escape(_NUMBERS)}]+")
 
 
 class Model(NamedTuple):

@@ -60,6 +60,41 @@ def test_language_of_odd_rows(spark):
     assert language.predict(docs.limit(0), model).count() == 0
 
 
+def test_scores_as_plain_loops_and_numbers_are_no_letters(spark):
+    rows = [(1, "the house and the garden", "en"), (2, "das haus und der garten", "de"), (3, "la casa grande", "es"), (4, "le jardin et la maison", "fr")]
+    model = language.fit(spark.createDataFrame([(*r, None, 0) for r in rows], DOCS), least=1)
+
+    def plain(text):
+        words, word = [], ""
+        for c in (text or "").lower() + " ":
+            if c.isalpha():
+                word += c
+            elif word:
+                words, word = [*words, word], ""
+        if not words:
+            return "und", 0.0
+        total = [float(p) for p in model.prior]
+        for w in words:
+            of = [model.scores[model.words[w]]] if w in model.words else []
+            for size in range(5, 0, -1):
+                marked = f"<{w}>"
+                of = of or [model.scores[model.grams[marked[i : i + size]]] * language.BACKOFF for i in range(len(marked) - size + 1) if marked[i : i + size] in model.grams]
+            for k in range(len(total)):
+                total[k] += float(sum(s[k] for s in of)) / len(of) if of else 0.0
+        odds = [np.exp(t - max(total)) for t in total]
+        best = max(range(len(odds)), key=lambda k: (odds[k], -k))
+        return model.languages[best], odds[best] / sum(odds)
+
+    texts = ["½ ② ① Ⅷ ³", "²x", "The HAUS of 3 gardens", "xyzzy qqq", "日本", "la", "la la le", "Été ½ jardin", None, "garten-garden " * 3000, "a_b", "٣ 一"]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)] + [(1, texts[1], None, None, 0)], DOCS)
+    got = language.predict(docs, model).collect()
+    assert len(got) == len(texts) + 1
+    for r in got:
+        lang, score = plain(texts[r.doc_id])
+        assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-3), texts[r.doc_id]
+    assert {r.lang_pred for r in got if r.doc_id in (0, 8)} == {"und"}
+
+
 def test_short_texts_of_known_letters_are_accepted(spark):
     rows = [(1, "the house and the garden", "en"), (2, "das haus und der garten", "de"), (3, "la casa grande", "es"), (4, "le jardin et la maison", "fr")]
     model = language.fit(spark.createDataFrame([(*r, None, 0) for r in rows], DOCS), least=1)
