@@ -6,13 +6,16 @@ a task reads the archive's directory, takes the members whose headers begin in i
 neighbouring members in one read and streams them as Arrow batches. A member that arrives damaged or
 not at all is fetched again by its own offset, so one bad read does not repeat the others.
 
-Folders are named by URI, so any store that Arrow's filesystems reach will do.
+Folders are named by URI, so any store that Arrow's filesystems reach will do. A path without scheme is taken
+to be in the store that Spark takes it to be in. What has been written is noted beside the archives; a reader that
+finds another number of archives or bytes (each machine's own disk, say) stops with an error.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
+import json
 import struct
 import time
 import uuid
@@ -39,6 +42,8 @@ SPLIT_BYTES = 8 << 20
 READ_BYTES = 1 << 20
 TRIES = 4
 ROW = 64
+#: What was written in a folder: numbers of archives, members and bytes.
+_NOTE = "_written.json"
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 _LOCAL = struct.Struct("<4s5H3I2H")
 
@@ -50,6 +55,12 @@ def store(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its scheme, as Spark's own readers and writers understand it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def padded(payload: bytes) -> bytes:
     """The payload with zero bytes up to a positive multiple of 64."""
     return payload + bytes(max(ROW, -(-len(payload) // ROW) * ROW) - len(payload))
@@ -137,10 +148,15 @@ def write_archives(docs: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
     NULL counts as the empty text. Member names hold the row's number in its task, ``doc_id`` (blank if
     NULL) and the unpadded size. A task holds one archive in memory.
     """
+    folder = qualified(docs.sparkSession, folder)
     target, base = store(folder)
     target.create_dir(base, recursive=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return written(rows.mapInArrow(_write(folder, archive_bytes), "archive string, members long, bytes long"))
+    done = written(rows.mapInArrow(_write(folder, archive_bytes), "archive string, members long, bytes long"))
+    total = done.agg(F.count(F.lit(1)).alias("archives"), F.coalesce(F.sum("members"), F.lit(0)).alias("members"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+    with target.open_output_stream(f"{base}/{_NOTE}", compression=None) as out:
+        out.write(json.dumps(total.first().asDict()).encode())
+    return done
 
 
 class ByteRange(InputPartition):
@@ -162,6 +178,11 @@ class MediaReader(DataSourceReader):
         target, base = store(self.folder)
         found = target.get_file_info(fs.FileSelector(base, allow_not_found=True))
         files = sorted((f.path, f.size) for f in found if f.path.endswith(".zip"))
+        if any(f.path.endswith(f"/{_NOTE}") for f in found):
+            with target.open_input_stream(f"{base}/{_NOTE}") as source:
+                note = json.loads(source.read())
+            if (len(files), sum(size for _, size in files)) != (note["archives"], note["bytes"]):
+                raise OSError(f"{self.folder} has {len(files)} archives, not the {note['archives']} written with {note['bytes']} bytes: can all machines reach it?")
         return [ByteRange(path, at, at + self.split) for path, size in files for at in range(0, size, self.split)]
 
     def _again(self, source, info: zipfile.ZipInfo) -> bytes:
@@ -231,7 +252,7 @@ class MediaArchives(DataSource):
 
 def read_archives(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     spark.dataSource.register(MediaArchives)
-    return spark.read.format("media_archives").option("splitBytes", str(split_bytes)).load(folder)
+    return spark.read.format("media_archives").option("splitBytes", str(split_bytes)).load(qualified(spark, folder))
 
 
 _FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

@@ -227,3 +227,57 @@ def test_members_are_tried_again_by_offset(tmp_path, monkeypatch):
     out = pa.Table.from_batches(list(reader.read(part)))
     assert dict(zip(out["member"].to_pylist(), out["media"].to_pylist(), strict=True)) == bodies
     assert tried == ["2.2.5.png"]
+
+
+def plain_png(body):
+    """The samples of an 8-bit grey PNG by the format's rules, with every kind of row filter."""
+    import struct
+    import zlib
+
+    assert body[:8] == bytes([137]) + b"PNG\r\n\x1a\n"
+    at, packed, kinds = 8, b"", []
+    while at < len(body):
+        size, kind = struct.unpack(">I4s", body[at : at + 8])
+        data, (crc,) = body[at + 8 : at + 8 + size], struct.unpack(">I", body[at + 8 + size : at + 12 + size])
+        assert crc == zlib.crc32(kind + data)
+        kinds.append(kind)
+        if kind == b"IHDR":
+            width, height, depth, colour, method, filters, interlace = struct.unpack(">IIBBBBB", data)
+            assert (depth, colour, method, filters, interlace) == (8, 0, 0, 0, 0)
+        packed += data if kind == b"IDAT" else b""
+        at += 12 + size
+    assert kinds[0] == b"IHDR" and kinds[-1] == b"IEND"
+    lines, above, out = zlib.decompress(packed), [0] * width, b""
+    assert len(lines) == height * (width + 1)
+    for y in range(height):
+        kind, row = lines[y * (width + 1)], list(lines[y * (width + 1) + 1 : (y + 1) * (width + 1)])
+        for x in range(width):
+            left, corner = (row[x - 1], above[x - 1]) if x else (0, 0)
+            p = left + above[x] - corner
+            paeth = min((left, above[x], corner), key=lambda v: abs(p - v))
+            row[x] = (row[x] + (0, left, above[x], (left + above[x]) // 2, paeth)[kind]) % 256
+        above, out = row, out + bytes(row)
+    return out
+
+
+def test_stored_images_are_png_for_any_reader(spark):
+    texts = {1: "some text " * 30, 2: None, 3: "Ä" * 32, 4: "x" * 64}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").selectExpr("*", "'a' AS archive", "'m' AS member", "1 AS position", "'f' AS feature")
+    folder = work_path(spark, "media-png")
+    media.write_archives(docs, folder)
+    got = {int(r.member.split(".")[1]): plain_png(bytes(r.media)) for r in media.read_archives(spark, folder).collect()}
+    want = {i: (t or "").encode() for i, t in texts.items()}
+    assert got == {i: t + bytes(max(64, -(-len(t) // 64) * 64) - len(t)) for i, t in want.items()}
+
+
+def test_a_reader_that_misses_archives_stops(spark):
+    import os
+
+    folder = work_path(spark, "media-missing")
+    docs = spark.createDataFrame([(i, f"text {i} " * 200) for i in range(40)], "doc_id long, text string")
+    done = media.write_archives(docs, folder, archive_bytes=2_000).collect()
+    assert len(done) > 2 and media.read_archives(spark, folder).count() == 40
+    _, base = media.store(media.qualified(spark, folder))
+    os.remove(f"{base}/{os.path.basename(done[0].archive)}")
+    with pytest.raises(Exception, match="archives, not the"):
+        media.read_archives(spark, folder).count()
