@@ -14,7 +14,7 @@ from attestor.operators import (
 )
 from attestor.plans.inputs import derived, table
 from attestor.session import materialise, work_path
-from attestor.sources import articles as xml, registry, tables
+from attestor.sources import articles as xml, registry, stage_tables, tables
 from attestor.streaming import review_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -831,6 +831,22 @@ def resume_anti(spark, sf):
     return matching.unmatched_yet(todo, done)
 
 
+@query
+def upsert_in_buckets(spark, sf):
+    """The last line of each order into the table of old results, in two batches that rewrite only the buckets they touch."""
+    path = work_path(spark, "buckets")
+    old = _matched_orders(spark, sf).select("nct_id", F.lit("old").alias("routing"), F.lit(0).alias("line"), F.lit(0.0).alias("score"))
+    stage_tables.write_buckets(old, path, ["nct_id"], 16)
+    line = F.struct("l_linenumber", "l_quantity")
+    new = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.max(line).alias("last")).select(
+        F.format_string("NCT%08d", "l_orderkey").alias("nct_id"), F.lit("new").alias("routing"),
+        F.col("last.l_linenumber").alias("line"), F.col("last.l_quantity").alias("score"), "l_orderkey",
+    )
+    for odd in (0, 1):
+        stage_tables.upsert_buckets(new.filter(F.col("l_orderkey") % 2 == odd).drop("l_orderkey"), path, ["nct_id"], 16)
+    return stage_tables.read_buckets(spark, path)
+
+
 @query
 def upsert_keep_last(spark, sf):
     """Old results from orders, new ones per line item; the last line of an order wins."""

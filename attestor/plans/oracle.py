@@ -781,6 +781,7 @@ last AS (SELECT * FROM new QUALIFY row_number() OVER (PARTITION BY l_orderkey OR
 SELECT {NCT.format('o_orderkey')} AS nct_id, CASE WHEN line IS NULL THEN 'old' ELSE 'new' END AS routing, coalesce(line, 0) AS line, coalesce(score, 0.0) AS score
 FROM orders LEFT JOIN last ON l_orderkey = o_orderkey
 """
+ORACLE["upsert_in_buckets"] = ORACLE["upsert_keep_last"]
 ORACLE["left_updates"] = _with(
     """SELECT split_part(pair_id, '_', 1) AS nct_id, split_part(pair_id, '_', 2) AS pmid, o_custkey, CASE WHEN u THEN pair_id END AS pair_id,
   CASE WHEN u THEN similarity_score END AS similarity_score, CASE WHEN u THEN routing END AS routing FROM (SELECT *, routing <> 'auto_major_switch' AS u FROM log)""",
