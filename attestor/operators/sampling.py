@@ -17,37 +17,67 @@ BUCKET_DIGITS = 3
 EDGE_KEYS = 4096
 
 
-def share_edge(df: DataFrame, size_of: Callable[[int], int], key: str = "pair_id") -> tuple[str, str] | None:
-    """The last (hash, key) of the first ``size_of(row count)`` rows in that order; NULL keys are no rows.
+Edge = tuple[str, str]
 
-    Rows are counted per hash bucket, then within the one bucket in which the sample ends, until that one
-    is small. Copies of a key stay together: the key at the edge counts with all its rows.
+
+def share_edges(df: DataFrame, group: Column, size_of: Callable[[int], int], key: str = "pair_id") -> dict[object, Edge | None]:
+    """Per value of ``group`` the last (hash, key) of the first ``size_of(row count)`` rows in that order; NULL keys are no rows.
+
+    Rows of all groups are counted per hash bucket in one pass, then within the bucket in which each sample
+    ends, until that is small. Copies of a key stay together: the key at the edge counts with all its
+    rows. For few groups, as strata are.
     """
-    keyed = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias(key)).withColumn(RANK, stable_rank(key))
-    prefix, wanted = "", None
-    while True:
-        inside = keyed.filter(F.col(RANK).startswith(prefix)) if prefix else keyed
-        bucket = F.substring(RANK, 1, len(prefix) + BUCKET_DIGITS)
-        counts = {r["b"]: r["n"] for r in inside.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
-        if wanted is None:
-            total = sum(counts.values())
-            wanted = min(size_of(total), total)
-        if wanted <= 0:
-            return None
-        for name in sorted(counts):
-            if counts[name] >= wanted:
-                break
-            wanted -= counts[name]
-        prefix = name
-        rows = keyed.filter(F.col(RANK).startswith(prefix)).groupBy(RANK, key).agg(F.count(F.lit(1)).alias("n"))
-        if counts[name] <= EDGE_KEYS or len(prefix) >= 15:
-            for row in rows.orderBy(RANK, key).collect():
-                if row["n"] >= wanted:
-                    return row[RANK], row[key]
-                wanted -= row["n"]
-
-
-def up_to(edge: tuple[str, str] | None, key: str = "pair_id") -> Column:
+    keyed = df.filter(F.col(key).isNotNull()).select(group.alias("_group"), F.col(key).cast("string").alias(key))
+    keyed = keyed.filter(F.col("_group").isNotNull()).withColumn(RANK, stable_rank(key))
+    edges: dict[object, Edge | None] = {}
+    wanted: dict[object, int] = {}
+    ending: dict[object, str] = {}  # the small buckets in which samples end
+
+    def inside(prefixes: dict[object, str]) -> Column:
+        hit = F.lit(False)
+        for value, prefix in prefixes.items():
+            hit |= (F.col("_group") == F.lit(value)) & F.col(RANK).startswith(prefix)
+        return hit
+
+    open_: dict[object, str] | None = None
+    digits = BUCKET_DIGITS
+    while open_ is None or open_:
+        rows = keyed if open_ is None else keyed.filter(inside(open_))
+        counted = rows.groupBy("_group", F.substring(RANK, 1, digits).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
+        found: dict[object, dict[str, int]] = {}
+        for row in counted:
+            found.setdefault(row["_group"], {})[row["b"]] = row["n"]
+        open_ = {}
+        for value, counts in found.items():
+            if value not in wanted:
+                total = sum(counts.values())
+                wanted[value] = min(size_of(total), total)
+            if wanted[value] <= 0:
+                edges[value] = None
+                continue
+            for name in sorted(counts):
+                if counts[name] >= wanted[value]:
+                    break
+                wanted[value] -= counts[name]
+            (ending if counts[name] <= EDGE_KEYS or digits >= 15 else open_)[value] = name
+        digits += BUCKET_DIGITS
+    if ending:
+        last = keyed.filter(inside(ending)).groupBy("_group", RANK, key).agg(F.count(F.lit(1)).alias("n"))
+        for row in sorted(last.collect(), key=lambda r: (r[RANK], r[key])):
+            value = row["_group"]
+            if value not in edges:
+                if row["n"] >= wanted[value]:
+                    edges[value] = (row[RANK], row[key])
+                wanted[value] -= row["n"]
+    return edges
+
+
+def share_edge(df: DataFrame, size_of: Callable[[int], int], key: str = "pair_id") -> Edge | None:
+    """:func:`share_edges` of all rows as one group."""
+    return share_edges(df, F.lit(0), size_of, key).get(0)
+
+
+def up_to(edge: Edge | None, key: str = "pair_id") -> Column:
     """Whether a row lies in the sample that ends at ``edge``: a test of the row alone."""
     if edge is None:
         return F.lit(False)
@@ -89,9 +119,9 @@ def stratified_sample(
 ) -> DataFrame:
     """At most ``n`` rows: an equal quota per stratum, filled up from the rest, all in hash order, as a set."""
     quota, chosen = max(n // len(strata), 1), F.lit(False)
-    for value in strata:
-        inside = F.coalesce(F.col(stratum) == value, F.lit(False))
-        chosen = chosen | (inside & up_to(share_edge(log.filter(inside), lambda rows: min(rows, quota), key), key))
+    edges = share_edges(log.filter(F.col(stratum).isin(*strata)), F.col(stratum), lambda rows: min(rows, quota), key)
+    for value, edge in edges.items():
+        chosen = chosen | (F.coalesce(F.col(stratum) == value, F.lit(False)) & up_to(edge, key))
     taken = log.filter(chosen).count()
     if taken > n:
         chosen = chosen & up_to(share_edge(log.filter(chosen), lambda _: n, key), key)
