@@ -114,7 +114,8 @@ def link(trials: DataFrame, publications: DataFrame, verdicts: DataFrame | None
 
     Only ids and scores go through the matching joins; the articles' texts are joined at the end.
     """
-    publications = unique_articles(publications)
+    # Written once: the gate reads it, and the texts of linked articles come from it.
+    publications = materialise(unique_articles(publications))
     judged = materialise(judge(publications, verdicts))
     staged = staged_ids(trials, judged)
     s2 = title_matches(staged.filter("_searched").select("title"), judged.filter("kept")).select(
