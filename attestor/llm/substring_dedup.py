@@ -1,6 +1,7 @@
-"""Repeated word windows through a compacted de Bruijn graph.
+"""Repeated word windows, gathered in paths around anchors.
 
-Every run of ``window`` words is an edge of the graph of all texts. Consecutive edges of a text that
+Taken as a graph, every run of ``window`` words is an edge; what would be its nodes, runs of one word less, are never
+rows here, as anchors take their place. Consecutive edges of a text that
 share their anchor (the ``ANCHOR``-word run with the smallest hash inside the window, at the same place)
 form a path: equal windows have equal anchors, so a repeated window is always found under the node of
 its anchor. Only paths are shuffled, one row for some fourteen windows:

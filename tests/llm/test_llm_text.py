@@ -392,7 +392,7 @@ def test_run_of_the_pipeline_stage_by_stage(spark):
 
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:4]:
-        before, docs = docs, stage(spark, docs, SMALL).localCheckpoint()
+        before, docs = docs, stage(spark, docs, SMALL).checkpoint()
         if name == "near_dedup":
             texts = {r.doc_id: r.text for r in before.collect()}
             kept = {i for i, (_, _, stays) in brute_components(texts).items() if stays}
