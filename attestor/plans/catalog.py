@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from attestor import presets, schemas
 from attestor.functions import extract, rules, text as tx, vectors
 from attestor.operators import (
-    agreement, gating, linkage, matching, ordered, pooling, power, relink, review, sampling, scorecard, summaries,
+    agreement, gating, linkage, matching, ordered, pooling, power, relink, review, sampling, scorecard, summaries, text_index,
 )
 from attestor.plans.inputs import derived, table
 from attestor.session import materialise, work_path
@@ -533,6 +533,16 @@ def document_search(spark, sf):
     return review.filtered_log(docs, {"lang": ["en", "de", "fr", "es"]}, search="licen[cs]e|copyright", search_in=["text"]).select("doc_id", "lang")
 
 
+@query
+def document_search_indexed(spark, sf):
+    """The same search through a trigram index of all whole documents, and one that needs a scan."""
+    docs, path = table(spark, sf, "documents"), work_path(spark, "grams")
+    text_index.write_index(docs, path, "doc_id", ["text"])
+    known = docs.filter(F.col("lang").isin("en", "de", "fr", "es"))
+    found = [text_index.search(spark, known, path, "doc_id", p, ["text"]).select("doc_id", "lang", F.lit(p).alias("pattern")) for p in ("licen[cs]e|copyright", "v[0-9]")]
+    return found[0].unionByName(found[1])
+
+
 # ------------------------------------------------------------------ effect extraction
 
 

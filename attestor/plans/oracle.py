@@ -437,6 +437,8 @@ ORACLE["text_filter"] = _with(
     f"SELECT pair_id, llm_confidence FROM log WHERE routing = 'llm' AND llm_confidence IN ('low', 'medium') AND ({_SEARCH})", "log"
 )
 ORACLE["document_search"] = "SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'de', 'fr', 'es') AND regexp_matches(text, '(?i)licen[cs]e|copyright')"
+ORACLE["document_search_indexed"] = """SELECT doc_id, lang, pattern FROM documents, (VALUES ('licen[cs]e|copyright'), ('v[0-9]')) AS p (pattern)
+WHERE lang IN ('en', 'de', 'fr', 'es') AND regexp_matches(text, '(?i)' || pattern)"""
 
 # ------------------------------------------------------------------ effect extraction
 _TRY = []
