@@ -12,7 +12,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from attestor.functions.once import let
 from attestor.functions.text import text
+from attestor.session import at_least_parallel
 
 BUCKETS = 64
 #: Letters that a search without case takes for plain ones although lower-casing does not. Fixed values.
@@ -26,8 +28,10 @@ def folded(value: Column) -> Column:
 
 def grams(value: Column) -> Column:
     """The distinct trigrams of a text, each read once."""
-    signs = F.split(folded(value), "")
-    pieces = F.transform(signs, lambda c, i: F.concat(c, F.get(signs, i + 1), F.get(signs, i + 2)))
+    pieces = let(
+        F.split(folded(value), ""),
+        lambda signs: F.transform(signs, lambda c, i: F.concat(c, F.get(signs, i + 1), F.get(signs, i + 2))),
+    )
     return F.array_distinct(F.filter(pieces, lambda p: p.isNotNull() & (F.length(p) == 3)))
 
 
@@ -38,7 +42,7 @@ def _bucket(gram: Column) -> Column:
 def write_index(df: DataFrame, path: str, key: str, columns: Sequence[str]) -> None:
     """Index the text ``columns`` of ``df`` by its unique ``key``; a trigram never spans two columns."""
     every = F.array_distinct(F.flatten(F.array(*[grams(text(c)) for c in columns])))
-    rows = df.select(F.col(key).alias("id"), F.explode(every).alias("gram"))
+    rows = at_least_parallel(df.select(key, *columns)).select(F.col(key).alias("id"), F.explode(every).alias("gram"))
     rows = rows.withColumn("bucket", _bucket(F.col("gram")))
     rows.repartition(BUCKETS, "bucket").sortWithinPartitions("gram", "id").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
