@@ -36,6 +36,15 @@ KNOWN_WORDS = 100_000
 #: Signs of words that are neither letters nor digits of a decimal number: fractions, circled and Roman numbers.
 _NUMBERS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 _WORD = re.compile(rf"[^\W\d_{re.escape(_NUMBERS)}]+")
+_RUN = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str) -> list[str]:
+    """The runs of letters; the few that hold other numbers are cut at these."""
+    runs = _RUN.findall(text)
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [word for run in runs for word in ((run,) if run.isalpha() else _WORD.findall(run))]
 
 
 class Model(NamedTuple):
@@ -64,7 +73,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         words: Counter = Counter()
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
-            for word, n in Counter(_WORD.findall((text.as_py() or "").lower())).items():
+            for word, n in Counter(words_of((text.as_py() or "").lower())).items():
                 words[lang, word] += n
         pieces: Counter = Counter()
         for (lang, word), n in words.items():
@@ -153,10 +162,10 @@ class Scorer:
     def evidence(self, text: str) -> bool:
         """Whether the model knows a word of the text, or a letter of one."""
         words, pieces = self.model.words, self.model.grams
-        return any(word in words or any(letter in pieces for letter in word) for word in _WORD.findall(text.lower()))
+        return any(word in words or any(letter in pieces for letter in word) for word in words_of(text.lower()))
 
     def text(self, text: str) -> tuple[str, float]:
-        words = _WORD.findall(text.lower())
+        words = words_of(text.lower())
         if not words or not self.model.languages:
             return (UNDETERMINED, 0.0)
         if len(self.known) > KNOWN_WORDS + len(self.model.words):
