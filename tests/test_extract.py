@@ -111,3 +111,15 @@ def test_power_row_rules(frame):
                [(10, 0.8, 0.15, 0.05, 0.8), (0, 0.8, 1.0, 0.05, 0.8)])
     got = [r["violations"] for r in schemas.validate(df, schemas.power_rules()).collect()]
     assert got == [[], ["enrollment", "assumed_event_rate"]]
+
+
+def test_one_scan_for_the_beginning_changes_no_result(frame):
+    """The cascade against each pattern over the whole text, for signs whose case or class is beyond ASCII too."""
+    odd = ["relative riſK 1.5 (1.1 to 2.0)", "HAZARD RATıO OF 0.7 (0.5 to 0.9)", "hr 0.6 (95 % CI 0.4–0.8)", "oddſ ratio 2,5 [1,5-3,5]"]
+    odd += ["or 12 then HR of 3; HR = 0.9 [0.8, 1.1]", "\U0001f600 or 5 İ HR 0.9 (0.8-1.1)", "HR 0.9 (1.8-1.1) RR 1.2 (1.1-1.3)", "the hr", "", "no or 1", "HR ١.٥ (1.1-2.0)"]
+    texts = odd + [t for t, _ in TEXTS]
+    df = frame("no long, t string", list(enumerate(texts)))
+    every = extract.regex_cascade(df, "t", begins="").select("no", "effect")
+    got = extract.regex_cascade(df, "t", begins=presets.EFFECT_BEGINS).select("no", "effect")
+    assert sorted(got.collect()) == sorted(every.collect())
+    assert [r.no for r in got.filter("effect IS NOT NULL").sort("no").collect()][:4] == [0, 1, 2, 3]
