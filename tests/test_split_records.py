@@ -86,3 +86,13 @@ def test_written_arrays_are_json(spark, tmp_path):
         (file,) = (tmp_path / f"out{n}").glob("part-*")
         assert [tuple(r.values()) for r in json.loads(file.read_text())] == [row] * n
         assert [tuple(r) for r in tables.read_effects(spark, str(tmp_path / f"out{n}"), multi_line=True).collect()] == [row] * n
+
+
+def test_large_arrays_are_sorted_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "ARRAY_ROWS", 3)
+    rows = [(f"p{i % 40:02d}", "n", None, 0.8, 0.6, 1.1, -0.2231, 0.15, 0.02, "hr_paren_ci", f'"{i}"\n}}', "2020-01-01") for i in range(90)]
+    tables.write_effect_array(spark.createDataFrame(rows, schemas.EFFECT_SCHEMA).repartition(4), str(tmp_path / "out"))
+    (file,) = (tmp_path / "out").glob("part-*")
+    assert sorted(tuple(r.values()) for r in json.loads(file.read_text())) == sorted(rows)
+    lines = [line.removeprefix(",") for line in file.read_text().splitlines()]
+    assert (lines[0], lines[-1]) == ("[", "]") and lines[1:-1] == sorted(lines[1:-1])
