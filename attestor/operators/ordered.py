@@ -27,6 +27,20 @@ def split_by_range(df: DataFrame, keys: Sequence[str | Column], parts: int) -> D
     return materialise(ranged.withColumns({PART: F.spark_partition_id(), ROW: F.monotonically_increasing_id()}))
 
 
+#: Rows that one task of a whole sort holds, about.
+SORTED_ROWS = 500_000
+
+
+def in_order(df: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
+    """``df`` sorted as a whole, by as many tasks as its rows ask for, so that none holds more the larger it is.
+
+    Rows with equal keys go by their other columns and may be divided between tasks.
+    """
+    rest = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    parts = max(-(-df.count() // SORTED_ROWS), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartitionByRange(parts, *keys, *rest).sortWithinPartitions(*keys, *rest)
+
+
 def _same(left: str, right: str, columns: Sequence[str]) -> Column:
     return reduce(
         lambda a, b: a & b, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns]

@@ -17,7 +17,7 @@ from attestor.functions.extract import published_endpoint
 from attestor.functions.text import matching_texts, number, text, truthy
 from attestor.functions.vectors import word_vectors
 from attestor.operators import matching
-from attestor.operators.ordered import keep_latest
+from attestor.operators.ordered import in_order, keep_latest
 from attestor.operators.sampling import in_spot_check
 
 
@@ -248,7 +248,7 @@ def by_custom_order(df: DataFrame, column: str, ranks: Mapping[str, int], *then:
     for value, position in ranks.items():
         hit = F.col(column) == value
         rank = F.when(hit, position) if rank is None else rank.when(hit, position)
-    return df.orderBy(rank.otherwise(unknown), *then)
+    return in_order(df, [rank.otherwise(unknown), *then])
 
 
 def linkage_log_view(log: DataFrame) -> DataFrame:

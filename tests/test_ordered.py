@@ -104,3 +104,12 @@ def test_stable_share_counts_copies(frame):
 
         order = sorted(["a"] * 5 + ["b"] * 5 + ["c"], key=lambda k: hashlib.sha256(k.encode()).hexdigest()[:16])
         assert got == set(order[:n])
+
+
+def test_whole_sort_grows_in_tasks_not_in_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "SORTED_ROWS", 50)
+    rows = [(None if i % 3 else i % 7, i) for i in range(2000)]
+    df = ordered.in_order(spark.createDataFrame(rows, "k long, v long").repartition(5), ["k"])
+    parts = df.rdd.glom().map(len).collect()
+    assert len(parts) == 40 and max(parts) < 400  # two rows in three have the same key
+    assert [tuple(r) for r in df.collect()] == sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
