@@ -2,6 +2,7 @@
 
 import re
 
+import pyarrow as pa
 import pytest
 
 from attestor.operators import review, text_index
@@ -48,3 +49,23 @@ def test_only_the_asked_folders_are_read(spark, indexed):
     df, path = indexed
     plan = text_index.search(spark, df, path, "doc", "license", ["body"])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [bucket" in plan
+
+
+def test_lists_of_a_stretch_are_whole_and_together(spark, tmp_path, monkeypatch):
+    texts = [*TEXTS, "\U0001f600\U0001f601\U0001f602\0 nul\0", None, "ab"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc long, body string").coalesce(1)
+    text_index.write_index(df, str(tmp_path / "one"), "doc", ["body"])
+    folded = dict(df.select("doc", text_index.folded(text_index.text("body"))).collect())
+    want = {(t[i : i + 3], doc) for doc, t in folded.items() for i in range(len(t) - 2)}
+    rows = spark.read.parquet(str(tmp_path / "one")).collect()
+    assert {(r.gram, i) for r in rows for i in r.ids} == want == {(r.gram, i) for r in rows for i in sorted(set(r.ids))}
+    assert len(rows) < len(want)
+
+
+def test_stretches_of_any_size_give_the_same_lists(monkeypatch):
+    texts = ["abcabc", "", "xabc", "ab", "c\U0001f600dabc"]
+    want = {(t[i : i + 3], n) for n, t in enumerate(texts) for i in range(len(t) - 2)}
+    for size in (1, 7, 100):
+        monkeypatch.setattr(text_index, "STRETCH", size)
+        b = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts), pa.array([len(t) for t in texts])], ["id", "body", "size"])
+        assert {(g, i) for out in text_index._postings(iter([b])) for g, ids in zip(*map(pa.Array.to_pylist, out.columns)) for i in ids} == want
