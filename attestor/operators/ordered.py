@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from attestor.session import materialise
+from attestor.session import materialise, shuffled
 
 PART = "_part"
 #: A row's place in the order of its range.
@@ -124,7 +124,7 @@ def keep_latest(df: DataFrame, keys: Sequence[str], latest_by: Sequence[str]) ->
         return df.groupBy(*keys).agg(picked).select(*keys, "_row.*").select(*df.columns)
     rows = df.withColumn("_order", packed)
     best = rows.groupBy(*keys).agg(F.max("_order").alias("_order"))
-    rows = rows.alias("r").join(best.alias("b"), _same("r", "b", [*keys, "_order"])).select("r.*")
+    rows = rows.alias("r").join(shuffled(best.alias("b")), _same("r", "b", [*keys, "_order"])).select("r.*")
     first = Window.partitionBy(*keys, "_order").orderBy(F.desc("_tie"))
     rows = rows.withColumn("_tie", tie).withColumn("_no", F.row_number().over(first))
     return rows.filter("_no = 1").select(*df.columns)

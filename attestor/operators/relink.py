@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from attestor import presets
 from attestor.operators.linkage import described, judge, offered_titles, pmid_order, staged_ids, unique_articles
 from attestor.operators.similarity_join import distinct_sets, nearest_sets
-from attestor.session import work_path
+from attestor.session import shuffled, work_path
 
 _PICK = ("_pmid0", "_pmid1", "_pmid2", "title_score")
 
@@ -61,7 +61,7 @@ def first_linkage(trials: DataFrame, publications: DataFrame) -> Linkage:
     judged = _stored(judge(publications))
     staged = _stored(staged_ids(trials, judged))
     best = _best_titles(staged.filter("_searched").select("_tokens"), judged.filter("kept"))
-    picks = _stored(staged.join(best, "_tokens", "left"))
+    picks = _stored(staged.join(shuffled(best), "_tokens", "left"))
     return Linkage(trials, publications, judged, picks, _stored(described(picks, publications, judged, trials.columns)))
 
 
@@ -71,40 +71,40 @@ def relink(known: Linkage, trials: DataFrame, publications: DataFrame) -> tuple[
     A trial that is known is replaced; a publication that is known is replaced by a later version. The result is
     that of one run over all rows. Delivered rows may repeat known ones, which then count as unchanged.
     """
-    trials = _stored(trials.select(*known.trials.columns).join(known.trials, list(known.trials.columns), "left_anti"))
+    trials = _stored(trials.select(*known.trials.columns).join(shuffled(known.trials), list(known.trials.columns), "left_anti"))
     delivered = unique_articles(publications.select(*known.publications.columns))
-    later = _order(delivered).alias("n").join(_order(known.publications).alias("o"), "pmid", "left")
+    later = _order(delivered).alias("n").join(shuffled(_order(known.publications).alias("o")), "pmid", "left")
     later = later.filter("o.order IS NULL OR n.order > o.order").select("pmid")
-    changed = _stored(delivered.join(later, "pmid", "left_semi"))
-    articles = _stored(known.publications.join(changed.select("pmid"), "pmid", "left_anti").unionByName(changed))
+    changed = _stored(delivered.join(shuffled(later), "pmid", "left_semi"))
+    articles = _stored(known.publications.join(shuffled(changed.select("pmid")), "pmid", "left_anti").unionByName(changed))
     judged_now = _stored(judge(changed))
-    judged = _stored(known.judged.join(changed.select("pmid"), "pmid", "left_anti").unionByName(judged_now))
-    every = _stored(known.trials.join(trials.select("nct_id"), "nct_id", "left_anti").unionByName(trials))
+    judged = _stored(known.judged.join(shuffled(changed.select("pmid")), "pmid", "left_anti").unionByName(judged_now))
+    every = _stored(known.trials.join(shuffled(trials.select("nct_id")), "nct_id", "left_anti").unionByName(trials))
 
     staged = _stored(staged_ids(every, judged))
-    before = known.picks.join(trials.select("nct_id"), "nct_id", "left_anti").filter("_searched")
+    before = known.picks.join(shuffled(trials.select("nct_id")), "nct_id", "left_anti").filter("_searched")
     before = before.select("nct_id", F.col("_pmid2").alias("_old"), F.col("title_score").alias("_old_score"))
-    stale = before.join(changed.select(F.col("pmid").alias("_old")), "_old", "left_semi").select("nct_id")
-    sound = before.join(stale, "nct_id", "left_anti")
+    stale = before.join(shuffled(changed.select(F.col("pmid").alias("_old"))), "_old", "left_semi").select("nct_id")
+    sound = before.join(shuffled(stale), "nct_id", "left_anti")
     searched = staged.filter("_searched").select("nct_id", "_tokens")
-    fresh = _stored(searched.join(sound.select("nct_id"), "nct_id", "left_anti"))
-    others = _stored(searched.join(sound, "nct_id"))
-    found = fresh.join(_best_titles(fresh, judged.filter("kept")), "_tokens").select("nct_id", "_pmid2", "title_score")
-    beside = others.join(_best_titles(others, judged_now.filter("kept")), "_tokens", "left")
+    fresh = _stored(searched.join(shuffled(sound.select("nct_id")), "nct_id", "left_anti"))
+    others = _stored(searched.join(shuffled(sound), "nct_id"))
+    found = fresh.join(shuffled(_best_titles(fresh, judged.filter("kept"))), "_tokens").select("nct_id", "_pmid2", "title_score")
+    beside = others.join(shuffled(_best_titles(others, judged_now.filter("kept"))), "_tokens", "left")
     wins = F.col("_pmid2").isNotNull() & (
         F.col("_old").isNull()
         | (F.col("title_score") > F.col("_old_score"))
         | ((F.col("title_score") == F.col("_old_score")) & (pmid_order(F.col("_pmid2")) < pmid_order(F.col("_old"))))
     )
     beside = beside.select("nct_id", F.when(wins, F.col("_pmid2")).otherwise(F.col("_old")).alias("_pmid2"), F.when(wins, F.col("title_score")).otherwise(F.col("_old_score")).alias("title_score"))
-    picks = _stored(staged.join(found.unionByName(beside), "nct_id", "left").select(*known.picks.columns))
+    picks = _stored(staged.join(shuffled(found.unionByName(beside)), "nct_id", "left").select(*known.picks.columns))
 
     same = [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in _PICK]
-    kept_pick = picks.alias("n").join(known.picks.alias("o"), (F.col("n.nct_id") == F.col("o.nct_id")) & same[0] & same[1] & same[2] & same[3], "left_semi")
+    kept_pick = picks.alias("n").join(shuffled(known.picks.alias("o")), (F.col("n.nct_id") == F.col("o.nct_id")) & same[0] & same[1] & same[2] & same[3], "left_semi")
     linked_to = F.coalesce("_pmid0", "_pmid1", "_pmid2")
-    moved = kept_pick.withColumn("pmid", linked_to).join(changed.select("pmid"), "pmid", "left_semi").select("nct_id")
-    settled = kept_pick.join(trials.select("nct_id"), "nct_id", "left_anti").join(moved, "nct_id", "left_anti").select("nct_id")
-    todo = _stored(picks.join(settled, "nct_id", "left_anti"))
+    moved = kept_pick.withColumn("pmid", linked_to).join(shuffled(changed.select("pmid")), "pmid", "left_semi").select("nct_id")
+    settled = kept_pick.join(shuffled(trials.select("nct_id")), "nct_id", "left_anti").join(shuffled(moved), "nct_id", "left_anti").select("nct_id")
+    todo = _stored(picks.join(shuffled(settled), "nct_id", "left_anti"))
     rows = described(todo, articles, judged, known.trials.columns)
-    linked = _stored(known.linked.join(todo.select("nct_id"), "nct_id", "left_anti").unionByName(rows))
+    linked = _stored(known.linked.join(shuffled(todo.select("nct_id")), "nct_id", "left_anti").unionByName(rows))
     return Linkage(every, articles, judged, picks, linked), todo.select("nct_id")

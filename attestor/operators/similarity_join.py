@@ -28,7 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from attestor.operators.ordered import top_rows
-from attestor.session import materialise
+from attestor.session import materialise, shuffled
 
 #: A token of at most this many offered sets is rare: the most partners that one token can bring.
 RARE_LIMIT = 32
@@ -36,6 +36,8 @@ STEPS = (0.8, 0.7, 0.6)
 #: Tokens of a combination, by how many tokens may differ; longer ones where few may, and pairs for any more.
 COMBINATION = {0: 5, 1: 4, 2: 3, 3: 3}
 FEWEST = 2
+#: Tokens whose counts are sent to every task, the most common ones.
+COMMON_TOKENS = 5000
 
 
 def _ceil(value: Column) -> Column:
@@ -56,11 +58,14 @@ def token_counts(offered: DataFrame) -> DataFrame:
 def in_search_order(sets: DataFrame, counts: DataFrame, rare_limit: int = RARE_LIMIT) -> DataFrame:
     """Add ``own`` (all tokens), ``ordered`` (those that any offered set has, rare ones first) and ``rare``.
 
-    A common word meets its count in a join that splits skewed keys, or in a small table.
+    The most common words meet their counts in a small table, so that no key of the join with the others is long.
     """
-    listed = sets.select("tokens", F.explode("tokens").alias("token")).join(counts, "token")
+    common = F.broadcast(counts.orderBy(F.desc("df"), "token").limit(COMMON_TOKENS))
+    every = sets.select("tokens", F.explode("tokens").alias("token")).join(common, "token", "left")
+    others = every.filter("df IS NULL").drop("df").join(shuffled(counts), "token")
+    listed = every.filter("df IS NOT NULL").unionByName(others)
     ranked = listed.groupBy("tokens").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("_ranked"))
-    return sets.join(ranked, "tokens").select(
+    return sets.join(shuffled(ranked), "tokens").select(
         *sets.columns,
         F.size("tokens").alias("own"),
         F.transform("_ranked", lambda r: r["token"]).alias("ordered"),
@@ -127,7 +132,7 @@ def _combination_keys(classes: DataFrame, sizes: Sequence[int], threshold: float
 
 def _meeting(a: DataFrame, b: DataFrame) -> DataFrame:
     joined = a.alias("a").join(
-        b.alias("b"),
+        shuffled(b.alias("b")),
         (F.col("a.key") == F.col("b.key")) & (F.col("a.own") == F.col("b.other")) & (F.col("a.other") == F.col("b.own")),
     )
     return joined
@@ -144,7 +149,7 @@ def _scored(pairs: DataFrame, threshold: float, shared: Column, left: Sequence[s
 def rare_meetings(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """Sets under their rare tokens; lists are short, so sizes are compared when they meet."""
     close = F.least("a.own", "b.own") >= F.greatest("a.own", "b.own") * threshold - 1e-9
-    return _rare_keys(left, threshold).alias("a").join(_rare_keys(right, threshold).alias("b"), F.col("a.key") == F.col("b.key")).filter(close)
+    return _rare_keys(left, threshold).alias("a").join(shuffled(_rare_keys(right, threshold).alias("b")), F.col("a.key") == F.col("b.key")).filter(close)
 
 
 def pairs_by_rare(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -198,7 +203,7 @@ def nearest_sets(
         # Classes with equal scores are first cut to their k first payloads, while still in the task.
         by_class = by_class.select("words", "own", "score", F.explode("payloads").alias("payload"))
         best_class = top_rows(by_class, ["words", "own"], order, k).drop("rank")
-        from_class = pending.select("tokens", "words", "own").join(best_class, ["words", "own"])
+        from_class = pending.select("tokens", "words", "own").join(shuffled(best_class), ["words", "own"])
         columns = ["tokens", "payload", "score"]
         both = by_rare.select(columns).unionByName(from_class.select(columns))
         # A partner met both ways has its true score under the rare token, the higher one.
@@ -212,9 +217,9 @@ def nearest_sets(
             return best if found is None else found.unionByName(best)
         best = materialise(best)
         complete = best.filter(F.col("rank") == k).select("tokens")
-        done = best.join(complete, "tokens", "left_semi")
+        done = best.join(shuffled(complete), "tokens", "left_semi")
         found = done if found is None else found.unionByName(done)
-        pending = spread(pending.join(complete, "tokens", "left_anti"))
+        pending = spread(pending.join(shuffled(complete), "tokens", "left_anti"))
         if pending.isEmpty():
             return found
     raise AssertionError("the last step returns")

@@ -54,6 +54,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as the side of a join that grows with the input: both sides are sorted by key, none is sent through the driver.
+
+    Left alone, Spark goes by the size of compressed files and hands a million short rows to every task.
+    """
+    return df.hint("merge")
+
+
 def at_least_parallel(df: DataFrame) -> DataFrame:
     """Spread a scan with fewer splits than cores (one small file, say); other scans stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

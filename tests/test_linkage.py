@@ -246,3 +246,21 @@ def test_author_year(study):
     _, pubs = study
     wanted = pubs.sparkSession.createDataFrame([("Doe", "2020"), ("Doe", "2020"), ("Roe", "2020")], "first_author string, pub_year string")
     assert linkage.author_year_matches(pubs, wanted).count() == pubs.count()
+
+
+def test_growing_tables_are_not_sent_whole(study):
+    trials, pubs = study
+    plan = linkage.staged_ids(trials, linkage.judge(pubs))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+@pytest.mark.parametrize("common", [0, 3])
+def test_counts_of_common_tokens_come_another_way(spark, monkeypatch, common):
+    rng = random.Random(5)
+    sets = sorted({tuple(sorted(rng.sample([f"w{i}" for i in range(12)], 5))) for _ in range(60)})
+    df = spark.createDataFrame([(list(s),) for s in sets], "tokens array<string>")
+    counts = similarity_join.token_counts(df)
+    monkeypatch.setattr(similarity_join, "COMMON_TOKENS", common)
+    got = {tuple(r.tokens): r.ordered for r in similarity_join.in_search_order(df, counts).collect()}
+    df_of = {r.token: r.df for r in counts.collect()}
+    assert got == {s: sorted(s, key=lambda t: (df_of[t], t)) for s in sets}
