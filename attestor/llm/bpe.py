@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from attestor.llm.frames import arrow_schema, batch
 
 #: Words, stretches between white space and transitions a worker remembers.
-KNOWN_WORDS = 600_000
-KNOWN_STEPS = 500_000
+KNOWN_WORDS = 250_000
+KNOWN_STEPS = 200_000
 _END = "\0"
 #: White space as the tokenizer's pattern engine knows it. Fixed values.
 _SPACES = "\t-\r \x85\xa0  -     　"

@@ -210,16 +210,17 @@ def _accept(shared, text_at: int):
         scorer = Scorer(shared.value)
         for b in batches:
             for row, texts in _pieces(b.column(text_at)):
-                yes = [scorer.evidence(t) for t in texts]
+                yes = [scorer.text(t)[0] != UNDETERMINED and scorer.evidence(t) for t in texts]
                 yield b.slice(row, len(yes)).filter(pa.array(yes, pa.bool_()))
 
     return run
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, all columns, whose ``text`` has a language, however low its score.
+    """The rows of ``docs``, all columns, whose ``text`` has a language by :func:`predict`, however low its score.
 
-    Rejected are NULL, empty and letterless texts and those of which the model knows no word and no letter.
+    Every whole text is scored by its words and, where these are unknown, their n-grams. Rejected are NULL, empty
+    and letterless texts and those of which the model knows no word and no letter.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(_accept(shared, docs.columns.index("text")), docs.schema)

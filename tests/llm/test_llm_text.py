@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -413,3 +414,13 @@ def test_crc_of_ids(spark):
 
     rows = spark.range(50).selectExpr("id", "id AS doc_id").withColumn("m", crc_mod("doc_id", 4)).collect()
     assert all(r.m == zlib.crc32(str(r.id).encode()) % 4 for r in rows)
+
+
+def test_acceptance_scores_every_text(spark, monkeypatch):
+    model, scored = small_model(spark), []
+    of = language.Scorer.text
+    monkeypatch.setattr(language.Scorer, "text", lambda self, t: scored.append(t) or of(self, t))
+    texts = pa.array(["the house", None, "12", "haus und"])
+    shared = type("Shared", (), {"value": model})
+    kept = [b.column(0).to_pylist() for b in language._accept(shared, 0)(iter([pa.RecordBatch.from_arrays([texts], ["text"])]))]
+    assert scored == ["the house", "", "12", "haus und"] and kept == [["the house", "haus und"]]
