@@ -2,10 +2,13 @@
 
 import json
 import random
+import time
+from pathlib import Path
 
 import pytest
 
 from attestor import schemas
+from attestor.session import CLEANUP_CONF, shared_dir
 from attestor.sources import split_records as S
 from attestor.sources import tables
 
@@ -96,3 +99,30 @@ def test_large_arrays_are_sorted_by_many_tasks(spark, tmp_path, monkeypatch):
     assert sorted(tuple(r.values()) for r in json.loads(file.read_text())) == sorted(rows)
     lines = [line.removeprefix(",") for line in file.read_text().splitlines()]
     assert (lines[0], lines[-1]) == ("[", "]") and lines[1:-1] == sorted(lines[1:-1])
+
+
+def test_arrays_leave_nothing_else_on_disk(spark, tmp_path):
+    """The staged rows, the sorted parts and the shuffles go; the array alone is larger than its table."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = manager.getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    def below(folder):
+        return {str(f) for f in Path(folder).rglob("*") if f.is_file()}
+
+    shared = shared_dir(spark).removeprefix("file:")
+    rows = [(f"p{i:04d}", "n", None, 0.8, 0.6, 1.1, -0.2231, 0.15, 0.02, "hr_paren_ci", "é — \r\n", "2020-01-01") for i in range(3000)]
+    df = spark.createDataFrame(rows, schemas.EFFECT_SCHEMA).repartition(4)
+    spark.sparkContext._jvm.System.gc()
+    cleanup = spark.conf.get(CLEANUP_CONF)
+    files, shuffled = below(shared), shuffles()
+    tables.write_effect_array(df, str(tmp_path / "out"))
+    assert below(shared) <= files and spark.conf.get(CLEANUP_CONF) == cleanup
+    until = time.time() + 30
+    while (left := shuffles() - shuffled) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    (file,) = (tmp_path / "out").glob("part-*")
+    assert [tuple(r.values()) for r in json.loads(file.read_text())] == rows
